@@ -186,6 +186,38 @@ FROM {cat_columns} WHERE column_name IN ('id', 'email')""",
 SELECT DISTINCT table_catalog, table_schema, table_name, concat('pk_', table_name) AS constraint_name,
  CASE WHEN comment IS NULL THEN 'FOREIGN KEY' ELSE 'PRIMARY KEY' END AS constraint_type
 FROM {cat_columns} WHERE column_name = 'id'""",
+    "cat_name_columns": f"""
+SELECT {_NAME_PARTS}, column_name, 'class.name' AS tag_name FROM {{part}} JOIN (
+ SELECT 0 AS kind, 'firstname_1' AS column_name UNION ALL SELECT 0, 'lastname_1' UNION ALL SELECT 0, 'firstname_2'
+ UNION ALL SELECT 0, 'lastname_2' UNION ALL SELECT 1, 'first_name' UNION ALL SELECT 1, 'last_name'
+ UNION ALL SELECT 2, 'buyer_first' UNION ALL SELECT 2, 'buyer_last' UNION ALL SELECT 2, 'payee_first'
+ UNION ALL SELECT 2, 'payee_last' UNION ALL SELECT 3, 'full_name') c ON c.kind = p_partkey % 4""",
+    "trace_starts": """
+SELECT concat('s', CAST(cust_id AS STRING)) AS subject_id,
+ concat(CASE WHEN cust_id % 5 = 0 THEN 'gold' ELSE 'silver' END, '.s', CAST(cust_id % 3 AS STRING), '.t', CAST(cust_id % 4 AS STRING)) AS table_full_name,
+ concat('c', CAST(cust_id % 3 AS STRING)) AS column_name,
+ CASE WHEN cust_id % 2 = 0 THEN 'class.email_address' ELSE 'class.name' END AS tag, email AS value FROM {people}
+UNION ALL SELECT concat('s', CAST(cust_id AS STRING)), concat('silver.s', CAST(cust_id % 3 AS STRING), '.t5'),
+ 'c1', 'class.phone_number', phone FROM {people} WHERE phone IS NOT NULL""",
+    "match_log": """
+SELECT concat('s', CAST(l_orderkey AS STRING)) AS subject_id,
+ concat(CASE l_linenumber % 3 WHEN 0 THEN 'bronze' WHEN 1 THEN 'silver' ELSE 'gold' END, '.s', CAST(l_suppkey % 3 AS STRING), '.t', CAST(l_partkey % 6 AS STRING)) AS table_full_name,
+ concat('k', CAST(l_partkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS row_id, CAST(l_quantity AS BIGINT) AS n_rows,
+ CASE WHEN l_linenumber = 1 THEN NULL ELSE 50 + l_quantity END AS score FROM {lineitem}""",
+    "copies": """
+SELECT concat('s', CAST(cust_id AS STRING)) AS subject_id, 'silver.crm.customers' AS table_full_name, 'direct' AS provenance, CAST(1 AS BIGINT) AS n_rows FROM {people}
+UNION ALL SELECT concat('s', CAST(lead_id AS STRING)), 'silver.crm.bookings', 'direct', count(*) FROM {bookings} GROUP BY lead_id
+UNION ALL SELECT concat('s', CAST(cust_id AS STRING)), 'bronze.crm.people_raw', 'upstream', CAST(1 AS BIGINT) FROM {people}
+UNION ALL SELECT concat('s', CAST(cust_id AS STRING)), 'silver.crm.bookings', 'downstream', CAST(1 AS BIGINT) FROM {people} WHERE phone IS NULL
+UNION ALL SELECT concat('s', CAST(cust_id AS STRING)), 'gold.mkt.contacts', 'downstream', CAST(1 AS BIGINT) FROM {people}""",
+    "scope_requests": f"""
+SELECT DISTINCT concat('r', CAST(l_orderkey AS STRING)) AS request_id, {_full_name('l_partkey')} AS table_full_name FROM {{lineitem}}""",
+    "scope_searched": """
+SELECT DISTINCT concat('r', CAST(l_orderkey AS STRING)) AS request_id,
+ CASE l_linenumber % 3 WHEN 0 THEN 'class.email_address' WHEN 1 THEN 'class.name' ELSE 'class.passport' END AS tag_name FROM {lineitem}""",
+    "system_choices": """
+SELECT concat('r', CAST(o_orderkey AS STRING)) AS request_id, 'fare-check' AS system_id FROM {orders} WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT concat('r', CAST(o_orderkey AS STRING)), 'loyalty-tier' FROM {orders} WHERE o_orderstatus = 'F'""",
     "erasure_requests": """
 SELECT concat('r', CAST(o_orderkey AS STRING)) AS request_id, concat('h', CAST(o_custkey AS STRING)) AS subject_ref_hash,
  concat('steward', CAST(o_custkey % 9 AS STRING)) AS requested_by, 'Art. 17' AS legal_basis,
