@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stewardry.plans import queries_basic
+from stewardry.plans import queries_basic, queries_subjects
 
-QUERIES = {**queries_basic.QUERIES}
-CHECKS = {**queries_basic.CHECKS}
+QUERIES = {**queries_basic.QUERIES, **queries_subjects.QUERIES}
+CHECKS = {**queries_basic.CHECKS, **queries_subjects.CHECKS}
