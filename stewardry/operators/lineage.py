@@ -8,6 +8,8 @@ executor costs no more than the current level.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -146,44 +148,56 @@ def trace_tables(
     )
 
 
-def trace_columns(
-    edges: DataFrame,
-    seeds: DataFrame,
-    direction: str,
-    max_depth: int = COLUMN_DEPTH,
-    stop_prefix: str | None = None,
-) -> DataFrame:
-    """Columns that ``seeds(subject_id, table_full_name, column_name, tag, value)`` reach.
+def trace_columns_ways(edges: DataFrame, seeds: DataFrame, ways: Mapping[str, str | None], max_depth: int = COLUMN_DEPTH) -> DataFrame:
+    """Columns that ``seeds(subject_id, table_full_name, column_name, tag, value)`` reach, several
+    directions in one walk. ``ways`` maps ``up`` or ``down`` to the layer prefix where it stops.
 
     Every hop is a result, not just the last. A reached column takes the tag and value of its
-    nearest seed, the smallest pair if several are equally near. Columns in ``stop_prefix`` are
+    nearest seed, the smallest pair if several are equally near. Columns in the stop layer are
     results but lead no further. Ends that are not three-part table names, or that name no column,
     are left out. The walk runs once per distinct seed column, however many subjects share it.
     """
-    near, far = ("target", "source") if direction == "up" else ("source", "target")
+    def node(way: Column, table: Column, column: Column) -> Column:
+        return F.struct(way.alias("way"), table.alias("table_full_name"), column.alias("column_name"))
 
-    def node(end: str) -> Column:
-        table, column = F.col(f"{end}_table_full_name"), F.col(f"{end}_column_name")
-        return F.struct(table.alias("table_full_name"), column.alias("column_name"))
+    named = edges.filter(F.col("source_column_name").isNotNull() & F.col("target_column_name").isNotNull())
 
-    named = F.col("source_column_name").isNotNull() & F.col("target_column_name").isNotNull()
-    hops = edges.filter(named & is_table_name(f"{far}_table_full_name"))
-    hops = materialise(hops.select(node(near).alias("src"), node(far).alias("dst")).distinct(), "edges")
+    def hops_of(way: str) -> DataFrame:
+        near, far = ("target", "source") if way == "up" else ("source", "target")
+        ends = [node(F.lit(way), F.col(f"{e}_table_full_name"), F.col(f"{e}_column_name")) for e in (near, far)]
+        return named.filter(is_table_name(f"{far}_table_full_name")).select(ends[0].alias("src"), ends[1].alias("dst"))
 
-    start = F.struct("table_full_name", "column_name")
-    starts = seeds.select("subject_id", start.alias("grp"), "tag", "value").distinct()
+    hops = materialise(reduce(DataFrame.unionByName, [hops_of(w) for w in ways]).distinct(), "edges")
+    per_way = F.explode(F.array(*[F.lit(w) for w in ways]))
+    starts = seeds.select("subject_id", "table_full_name", "column_name", "tag", "value", per_way.alias("way")).distinct()
+    starts = starts.select("subject_id", node(F.col("way"), F.col("table_full_name"), F.col("column_name")).alias("grp"), "tag", "value")
     walk = starts.select("grp", F.col("grp").alias("node")).distinct()
-    expand = None if stop_prefix is None else ~F.col("node.table_full_name").startswith(stop_prefix)
-    reached = _reach(hops, walk, max_depth, expand).filter(F.col("depth") > 0)
+    stopped = F.lit(False)
+    for way, prefix in ways.items():
+        if prefix is not None:
+            stopped = stopped | ((F.col("node.way") == way) & F.col("node.table_full_name").startswith(prefix))
+    reached = _reach(hops, walk, max_depth, ~stopped).filter(F.col("depth") > 0)
 
     nearest = F.min(F.struct("depth", "tag", "value")).alias("nearest")
     per_subject = starts.join(reached, "grp").groupBy("subject_id", "node").agg(nearest)
     own = starts.select("subject_id", F.col("grp").alias("node")).distinct()
     return per_subject.join(own, ["subject_id", "node"], "left_anti").select(
-        "subject_id", "node.table_full_name", "node.column_name", "nearest.tag", "nearest.value", "nearest.depth"
+        "subject_id", F.col("node.way").alias("way"), "node.table_full_name", "node.column_name",
+        "nearest.tag", "nearest.value", "nearest.depth",
     )
 
 
+def trace_columns(
+    edges: DataFrame,
+    seeds: DataFrame,
+    direction: str,
+    max_depth: int = COLUMN_DEPTH,
+    stop_prefix: str | None = None,
+) -> DataFrame:
+    """:func:`trace_columns_ways` in one direction."""
+    return trace_columns_ways(edges, seeds, {direction: stop_prefix}, max_depth).drop("way")
+
+
 # ---- summaries over traces -------------------------------------------------------------------
 
 def lineage_summary(up: DataFrame, down: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -211,8 +225,10 @@ def trace_seeds(matches: DataFrame, conditions: DataFrame) -> DataFrame:
 
 
 def lineage_conditions(traced: DataFrame) -> DataFrame:
-    """Traced columns as search conditions: per subject, table and tag the columns and the value."""
-    return traced.groupBy("subject_id", "table_full_name", "tag").agg(
+    """Traced columns as search conditions: per subject, table and tag the columns and the value,
+    kept apart by direction where the trace has one."""
+    way = ["way"] if "way" in traced.columns else []
+    return traced.groupBy("subject_id", *way, "table_full_name", "tag").agg(
         F.sort_array(F.collect_set("column_name")).alias("columns"), F.min("value").alias("value")
     )
 

@@ -12,8 +12,9 @@ How a search runs:
    conditions of the spec hold. A row that meets a spec through several keys counts once, decided
    on the row itself, so no deduplicating shuffle follows.
 
-A small set of specs is broadcast by its real size; a large one is shuffled with salted keys, so
-a key that a third of all rows share is spread over many tasks.
+A set of keys that was counted and found small is broadcast; a large one is shuffled with salts, so
+a key that a third of all rows share is spread over many tasks. With very few keys, as for a single
+subject, rows are simply tested for them, and the search is one filtering scan.
 """
 
 from __future__ import annotations
@@ -52,9 +53,11 @@ SLOWEST_TABLES = 15
 #: Lengths of the text pieces used as containment keys; a text uses the longest that fits.
 PIECES = (6, 3, 1)
 POSTCODE_PIECE = 5
-#: Above this many keys the specs are no longer expected to be broadcast and keys are salted.
-SALT_FROM_KEYS = 100_000
+#: Up to this many keys, which are counted first, are broadcast; more are shuffled and salted.
+BROADCAST_KEYS = 100_000
 SALTS = 16
+#: Up to this many keys of one kind a row is tested against each instead of offering all its pieces.
+TESTED_KEYS = 32
 
 _SPEC_KEY = ["scope", "tag", "kind", "key"]
 
@@ -155,23 +158,22 @@ def direct_requests(identifiers: DataFrame, scopes: Sequence[Scope]) -> DataFram
 
 
 def lineage_scopes(conditions: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[list[Scope], DataFrame]:
-    """Scopes and requests from traced columns ``(subject_id, table_full_name, tag, columns, value)``.
+    """Scopes and requests from traced columns ``(subject_id, way, table_full_name, tag, columns, value)``.
 
-    Subjects whose lineage leads to the same columns share a scope; only the distinct scopes, which
-    are catalog metadata, come to the driver.
+    A scope is named after its way and its columns, so subjects whose lineage leads to the same
+    columns share it; only the distinct scopes, which are catalog metadata, come to the driver.
     """
-    known = conditions.filter(F.col("table_full_name").isin(*tables)) if tables else conditions.limit(0)
+    item = ["subject_id", "way", "table_full_name"]
+    known = conditions.filter(F.col("table_full_name").isin(*tables))
     plan = F.array_sort(F.collect_set(F.struct("tag", "columns")))
-    per_subject = known.groupBy("subject_id", "table_full_name").agg(plan.alias("plan"))
-    named = per_subject.withColumn(
-        "scope", F.sha2(F.concat("table_full_name", F.lit("|"), F.to_json("plan")), 256)
-    )
+    digest = F.sha2(F.concat("table_full_name", F.lit("|"), F.to_json("plan")), 256)
+    named = known.groupBy(*item).agg(plan.alias("plan")).withColumn("scope", F.concat("way", F.lit(":"), digest))
     named = materialise(named, "scopes")
     scopes = [
         Scope(row.scope, row.table_full_name, tuple((p.tag, tuple(p.columns)) for p in row.plan))
         for row in named.select("scope", "table_full_name", "plan").distinct().collect()
     ]
-    requests = known.join(named.select("subject_id", "table_full_name", "scope"), ["subject_id", "table_full_name"])
+    requests = known.join(named.select(*item, "scope"), item)
     return scopes, requests.select("subject_id", "scope", "tag", "value")
 
 
@@ -211,7 +213,7 @@ def _specs(requests: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFr
     asked = full.groupBy("subject_id", "scope").agg(F.array_sort(F.collect_set("c")).alias("conditions"))
     asked = asked.withColumn("spec_id", F.sha2(F.concat("scope", F.lit("|"), F.to_json("conditions")), 256))
     asked = materialise(asked, "asked")
-    members = asked.select("subject_id", "spec_id")
+    members = asked.select("subject_id", "spec_id", "scope")
     specs = asked.select("spec_id", "scope", "conditions").dropDuplicates(["spec_id"])
     return members, specs
 
@@ -299,47 +301,73 @@ def _texts(df: DataFrame, tag: str, columns: Sequence[str], fold: bool) -> Colum
     return F.filter(F.array(*values), lambda v: v.isNotNull() & (v != ""))
 
 
-def _keys(texts: Column, tag: str, kind: str) -> Column:
+@dataclass(frozen=True)
+class KeyUse:
+    """What rows must offer: keys of ``kind`` for ``tag`` in ``scope``; ``few`` lists them if few."""
+
+    scope: str
+    tag: str
+    kind: str
+    few: tuple[str, ...] | None
+
+
+def _key_uses(keys: DataFrame) -> list[KeyUse]:
+    """The kinds of keys in use, at most a handful per scope, with the keys themselves where few."""
+    group = ["scope", "tag", "kind"]
+    counts = {tuple(r)[:3]: r.n for r in keys.groupBy(*group).agg(F.count_distinct("key").alias("n")).collect()}
+    small = {k: [] for k, n in counts.items() if n <= TESTED_KEYS}
+    if small:
+        wanted = keys.sparkSession.createDataFrame(list(small), "scope string, tag string, kind string")
+        for row in keys.select(*_SPEC_KEY).distinct().join(wanted, group).collect():
+            small[row.scope, row.tag, row.kind].append(row.key)
+    return [KeyUse(*k, few=tuple(sorted(small[k])) if k in small else None) for k in sorted(counts)]
+
+
+def _keys(texts: Column, use: KeyUse) -> Column:
     """The keys of one kind that a row offers for one identifier."""
-    if kind == "equal":
+    shape = {"equal": lambda t: t, "postcode": compact_upper}.get(use.kind, F.lower)
+    shaped = F.transform(texts, shape)
+    if use.few is not None:
+        def held(key: Column) -> Column:
+            return F.exists(shaped, lambda t: t == key if use.kind == "equal" else t.contains(key))
+
+        found = F.filter(F.array(*[F.lit(k) for k in use.few]), held)
+    elif use.kind == "equal":
         found = F.array_distinct(texts)
     else:
-        shaped = F.transform(texts, compact_upper if kind == "postcode" else F.lower)
-        length = POSTCODE_PIECE if kind == "postcode" else int(kind.removeprefix("piece"))
+        length = POSTCODE_PIECE if use.kind == "postcode" else int(use.kind.removeprefix("piece"))
         found = F.array_distinct(F.flatten(F.transform(shaped, lambda t: _pieces(t, length))))
-    return F.transform(found, lambda k: F.struct(F.lit(tag).alias("tag"), F.lit(kind).alias("kind"), k.alias("key")))
+    return F.transform(found, lambda k: F.struct(F.lit(use.tag).alias("tag"), F.lit(use.kind).alias("kind"), k.alias("key")))
 
 
 def _keyed_rows(
-    df: DataFrame, scopes: Sequence[Scope], kinds: set[tuple[str, str, str]], fold: bool, primary_key: Sequence[str] | None
+    df: DataFrame, scopes: Sequence[Scope], uses: Sequence[KeyUse], asked: set[tuple[str, str]], fold: bool, primary_key: Sequence[str] | None
 ) -> DataFrame | None:
-    """Rows of one table, one per key: (table_full_name, row_id, scope, texts, tag, kind, key)."""
-    used = [
-        (scope, wanted)
-        for scope in scopes
-        if (wanted := sorted((t, k) for s, t, k in kinds if s == scope.name and t in dict(scope.columns)))
-    ]
-    if not used:
+    """Rows of one table, one per key: (table_full_name, row_id, scope, texts, tag, kind, key).
+
+    ``asked`` holds the (scope, tag) pairs that some spec looks at; other columns are not read.
+    """
+    views, prepared = [], []
+    for i, scope in enumerate(scopes):
+        # Texts are computed once, as columns, and then serve both the map and the keys.
+        texts = {}
+        for j, (tag, columns) in enumerate(scope.columns):
+            if (scope.name, tag) in asked:
+                texts[tag] = F.col(f"t{i}_{j}")
+                prepared.append(_texts(df, tag, columns, fold).alias(f"t{i}_{j}"))
+        wanted = [u for u in uses if u.scope == scope.name and u.tag in texts]
+        if wanted:
+            views.append(
+                F.struct(
+                    F.lit(scope.name).alias("scope"),
+                    F.create_map(*[x for tag, t in texts.items() for x in (F.lit(tag), t)]).alias("texts"),
+                    F.concat(*[_keys(texts[u.tag], u) for u in wanted]).alias("keys"),
+                )
+            )
+    if not views:
         return None
-    # Texts are computed once, as columns, and then serve both the map and the keys.
-    name_of = {
-        (scope.name, tag): f"t{i}_{j}" for i, (scope, _) in enumerate(used) for j, (tag, _) in enumerate(scope.columns)
-    }
-    texts = [
-        _texts(df, tag, columns, fold).alias(name_of[scope.name, tag]) for scope, _ in used for tag, columns in scope.columns
-    ]
-    views = [
-        F.struct(
-            F.lit(scope.name).alias("scope"),
-            F.create_map(
-                *[x for tag, _ in scope.columns for x in (F.lit(tag), F.col(name_of[scope.name, tag]))]
-            ).alias("texts"),
-            F.concat(*[_keys(F.col(name_of[scope.name, tag]), tag, kind) for tag, kind in wanted]).alias("keys"),
-        )
-        for scope, wanted in used
-    ]
-    prepared = df.select(row_id(df, primary_key).alias("row_id"), *texts)
-    viewed = prepared.select("row_id", F.explode(F.array(*views)).alias("view"))
+    identified = df.select(row_id(df, primary_key).alias("row_id"), *prepared)
+    viewed = identified.select("row_id", F.explode(F.array(*views)).alias("view"))
     keyed = viewed.select("row_id", "view.scope", "view.texts", F.explode("view.keys").alias("k"))
     return keyed.select(F.lit(scopes[0].table).alias("table_full_name"), "row_id", "scope", "texts", "k.tag", "k.kind", "k.key")
 
@@ -376,6 +404,15 @@ def _row_has(key: Column, tag: Column, texts: Column) -> Column:
     return F.exists(cells, one)
 
 
+def _meet(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Join rows and specs on their keys."""
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), _SPEC_KEY)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread.hint("merge"), [*_SPEC_KEY, "salt"])
+
+
 def search(
     scopes: Sequence[Scope],
     requests: DataFrame,
@@ -390,37 +427,31 @@ def search(
 
     Returns one row per (subject_id, table_full_name, row_id) with ``n_rows`` equal rows found,
     ``matched_on`` and the name ``score`` (NULL without a name). ``threshold`` drops weak name
-    matches; NULL keeps all. Accents are folded on both sides unless ``fold_columns`` is off.
+    matches; NULL keeps all. ``scope`` names the scope that was asked. Accents are folded on both sides unless ``fold_columns`` is off.
     Search values are taken literally: ``%`` and ``_`` are no wildcards.
     """
     members, specs = _specs(requests, nicknames)
     keys = materialise(_spec_keys(specs), "keys")
-    kinds = {(r.scope, r.tag, r.kind) for r in keys.select("scope", "tag", "kind").distinct().collect()}
+    uses = _key_uses(keys)
+    asked = {tuple(r) for r in specs.select("scope", F.explode("conditions.tag")).distinct().collect()}
     by_table: dict[str, list[Scope]] = defaultdict(list)
     for scope in scopes:
         by_table[scope.table].append(scope)
     parts = [
-        _keyed_rows(tables[name], own, kinds, fold_columns, (primary_keys or {}).get(name))
+        _keyed_rows(tables[name], own, uses, asked, fold_columns, (primary_keys or {}).get(name))
         for name, own in sorted(by_table.items())
     ]
     parts = [p for p in parts if p is not None]
-    schema = "subject_id string, table_full_name string, row_id string, n_rows bigint, matched_on string, score double"
+    schema = "subject_id string, scope string, table_full_name string, row_id string, n_rows bigint, matched_on string, score double"
     if not parts:
         return requests.sparkSession.createDataFrame([], schema)
     rows = reduce(DataFrame.unionByName, parts)
-
-    on = _SPEC_KEY
-    if keys.count() > SALT_FROM_KEYS:
-        on = [*_SPEC_KEY, "salt"]
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-        keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-    met = rows.join(keys, on)
+    met = _meet(rows, keys)
     first_met = F.element_at(F.filter("own_keys", lambda k: _row_has(k, F.col("tag"), F.col("texts"))), 1)
-    once = (first_met.kind == F.col("kind")) & (first_met.key == F.col("key"))
+    once = (F.size("own_keys") == 1) | ((first_met.kind == F.col("kind")) & (first_met.key == F.col("key")))
     every = F.forall("conditions", lambda c: _holds(c, F.col("texts")))
     names = F.filter("conditions", lambda c: c.kind == "name")
-    hits = met.filter(every & once).select(
+    hits = met.filter(once & every).select(
         "spec_id", "table_full_name", "row_id",
         F.array_join(F.array_distinct(F.transform("conditions", lambda c: c.tag)), ", ").alias("matched_on"),
         F.transform(names, lambda c: c.value).alias("names"),
@@ -431,7 +462,7 @@ def search(
     )
     scored = _scored(materialise(counted, "hits"), threshold)
     return members.join(scored, "spec_id").select(
-        "subject_id", "table_full_name", "row_id", "n_rows", "matched_on", "score"
+        "subject_id", "scope", "table_full_name", "row_id", "n_rows", "matched_on", "score"
     )
 
 
@@ -455,11 +486,11 @@ def search_tables(
     nicknames: DataFrame,
     **options,
 ) -> DataFrame:
-    """Direct search of all tagged tables for all subjects."""
+    """Direct search of all tagged tables for all subjects; see :func:`search` for the options."""
     scopes = direct_scopes(column_tags, tables)
     identifiers = materialise(normalise_subjects(subjects), "identifiers")
     requests = direct_requests(identifiers, scopes)
-    return search(scopes, requests, tables, nicknames, **options)
+    return search(scopes, requests, tables, nicknames, **options).drop("scope")
 
 
 def preselected() -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from stewardry.operators.lineage import lineage_conditions, trace_columns, trace_seeds
+from stewardry.operators.lineage import lineage_conditions, trace_columns_ways, trace_seeds
 from stewardry.operators.search import (
     direct_requests,
     direct_scopes,
@@ -17,7 +17,7 @@ from stewardry.operators.search import (
 )
 from stewardry.session import materialise
 
-_PROVENANCE_RANK = {"direct": 0, "upstream": 1, "downstream": 2}
+_RANK = {"direct": 0, "up": 1, "down": 2}
 
 
 def searched_columns(requests: DataFrame, scopes: Sequence) -> DataFrame:
@@ -29,22 +29,21 @@ def searched_columns(requests: DataFrame, scopes: Sequence) -> DataFrame:
     return requests.join(by_scope, ["scope", "tag"]).select("subject_id", "table_full_name", "tag", "columns", "value")
 
 
-def merge_matches(parts: Mapping[str, DataFrame]) -> DataFrame:
+def merge_matches(matches: DataFrame) -> DataFrame:
     """One row per (subject, table, row): the best way it was found, and all tags it was found by."""
-    labelled = None
-    for provenance, df in parts.items():
-        df = df.withColumn("rank", F.lit(_PROVENANCE_RANK[provenance]))
-        labelled = df if labelled is None else labelled.unionByName(df)
-    merged = labelled.groupBy("subject_id", "table_full_name", "row_id").agg(
-        F.min("rank").alias("rank"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("matched_on", ", "))))), ", ").alias("matched_on"),
+    rank = F.lit(len(_RANK))
+    for way, r in _RANK.items():
+        rank = F.when(F.col("way") == way, r).otherwise(rank)
+    tags = F.array_distinct(F.flatten(F.collect_set(F.split("matched_on", ", "))))
+    merged = matches.groupBy("subject_id", "table_full_name", "row_id").agg(
+        F.min_by("way", rank).alias("way"),
+        F.array_join(F.array_sort(tags), ", ").alias("matched_on"),
         F.max("score").alias("score"),
         F.max("n_rows").alias("n_rows"),
     )
-    names = F.array(*[F.lit(p) for p in _PROVENANCE_RANK])
+    provenance = F.when(F.col("way") == "up", "upstream").when(F.col("way") == "down", "downstream").otherwise("direct")
     return merged.select(
-        "subject_id", "table_full_name", "row_id",
-        F.get(names, F.col("rank")).alias("provenance"),
+        "subject_id", "table_full_name", "row_id", provenance.alias("provenance"),
         "matched_on", "score", "n_rows", preselected().alias("preselected"),
     )
 
@@ -64,10 +63,12 @@ def find_subject_copies(
     direct = materialise(search(scopes, requests, tables, nicknames, **options), "direct")
 
     seeds = materialise(trace_seeds(direct, searched_columns(requests, scopes)), "seeds")
-    parts = {"direct": direct}
-    for provenance, direction, stop in (("upstream", "up", "bronze."), ("downstream", "down", None)):
-        traced = trace_columns(column_edges, seeds, direction, stop_prefix=stop)
-        conditions = materialise(lineage_conditions(traced), "conditions")
-        found_scopes, found_requests = lineage_scopes(conditions, tables)
-        parts[provenance] = search(found_scopes, found_requests, tables, nicknames, **options)
-    return merge_matches(parts)
+    traced = trace_columns_ways(column_edges, seeds, {"up": "bronze.", "down": None})
+    conditions = materialise(lineage_conditions(traced), "conditions")
+    led_to, asked = lineage_scopes(conditions, tables)
+    linked = search(led_to, asked, tables, nicknames, **options)
+    return merge_matches(
+        direct.withColumn("way", F.lit("direct")).unionByName(
+            linked.withColumn("way", F.substring_index("scope", ":", 1))
+        )
+    )
