@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, functions as F
 
 # --- fixed values --------------------------------------------------------------------------
@@ -18,6 +20,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def at(moment: dt.datetime, kind: str = "timestamp_ntz") -> Column:
+    """A moment as a literal of the given timestamp type, read as the session's wall clock whatever
+    the time zone of the Python process."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz").cast(kind)
+
+
 def sla_minutes(c) -> Column:
     """``30m``, ``4h``, ``7d``, ``1y`` to minutes; anything else, NULL included, to one day."""
     text = F.lower(F.trim(_col(c)))

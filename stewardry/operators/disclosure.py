@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stewardry.functions.durations import at
 from stewardry.functions.hashing import hash_row_key, row_text
 from stewardry.operators.search import row_id
 
@@ -137,7 +138,7 @@ def access_items(rows: DataFrame, scope: DataFrame, matched: DataFrame, generate
             *_ITEM, "provenance", "matched_column_or_tag",
             F.coalesce("rows_disclosed", F.lit(0)).alias("rows_disclosed"),
             "columns_included", "columns_redacted",
-            F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"),
+            at(generated_at).alias("generated_at"),
         )
     )
 
@@ -158,7 +159,7 @@ def sla_state(requests: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Where each request stands against its deadline of 30 days."""
     kind = dict(requests.dtypes)["requested_at"]
     deadline = F.col("requested_at") + F.make_dt_interval(F.lit(SLA_DAYS))
-    now, done = F.lit(as_of).cast(kind), F.col("completed_at")
+    now, done = at(as_of, kind), F.col("completed_at")
     state = (
         F.when(done <= deadline, F.lit("on time"))
         .when(done.isNotNull(), F.lit("late"))

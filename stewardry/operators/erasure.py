@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stewardry.functions.durations import retention_days, retention_text
+from stewardry.functions.durations import at, retention_days, retention_text
 from stewardry.functions.hashing import hash_row_key, hash_subject_ref, row_text
 from stewardry.operators.lifecycle import table_property
 from stewardry.session import materialise
@@ -203,7 +203,7 @@ def erasure_items(
     )
     message = F.when(~F.col("ok"), mismatch).when(~F.col("all_ok"), F.lit(ABORTED_BY_OTHER)).otherwise(F.col("error"))
     days = F.coalesce("vacuum_retention_days", retention_days(F.lit(None).cast("string")))
-    at = F.lit(executed_at).cast("timestamp_ntz")
+    executed = at(executed_at)
     return joined.select(
         "request_id", "table_full_name", "provenance", "matched_column_or_tag",
         "rows_selected",
@@ -211,10 +211,10 @@ def erasure_items(
         "row_targeting_method",
         F.coalesce("vacuum_retention_raw", retention_text(F.lit(None).cast("string"))).alias("vacuum_retention_raw"),
         days.alias("vacuum_retention_days"),
-        (at + F.make_dt_interval(days)).alias("estimated_purge_by"),
+        (executed + F.make_dt_interval(days)).alias("estimated_purge_by"),
         status.alias("execution_status"),
         message.alias("error_message"),
-        at.alias("executed_at"),
+        executed.alias("executed_at"),
     )
 
 
@@ -236,14 +236,14 @@ def new_requests(requests: DataFrame, purpose: str, requested_at: dt.datetime) -
     extra = ["legal_basis"] if "legal_basis" in requests.columns else []
     return requests.select(
         "request_id", hash_subject_ref("subject_ref", purpose).alias("subject_ref_hash"), "requested_by", *extra,
-        F.lit(requested_at).cast("timestamp_ntz").alias("requested_at"),
+        at(requested_at).alias("requested_at"),
         F.lit(PENDING).alias("status"), F.lit(None).cast("timestamp_ntz").alias("completed_at"),
     )
 
 
 def upsert_requests(current: DataFrame, statuses: DataFrame, completed_at: dt.datetime) -> DataFrame:
     """Replace status and completion time of the requests in ``statuses``; the others stay."""
-    now = F.lit(completed_at).cast("timestamp_ntz")
+    now = at(completed_at)
     joined = current.join(statuses.withColumnRenamed("status", "new_status"), "request_id", "left")
     done = F.col("new_status").isNotNull()
     return joined.select(
@@ -363,7 +363,7 @@ def pre_delete_version(items: DataFrame, history: DataFrame) -> DataFrame:
 def restorable_items(items: DataFrame, restorations: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Items that were erased and not yet restored; ``within_window`` tells if files should still exist."""
     done = restorations.filter(F.col("execution_status") == SUCCEEDED).select("request_id", "table_full_name").distinct()
-    now = F.lit(as_of).cast(dict(items.dtypes)["estimated_purge_by"])
+    now = at(as_of, dict(items.dtypes)["estimated_purge_by"])
     return (
         items.filter(F.col("execution_status") == SUCCEEDED)
         .join(done, ["request_id", "table_full_name"], "left_anti")
@@ -425,7 +425,7 @@ def restoration_rows(
         F.col("rows_restored").cast("int").alias("rows_restored"),
         "execution_status",
         "error_message",
-        F.lit(restored_at).cast("timestamp_ntz").alias("restored_at"),
+        at(restored_at).alias("restored_at"),
     )
 
 

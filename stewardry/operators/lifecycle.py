@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stewardry.functions.durations import (
+    at,
     SLA_DEFAULT_MINUTES,
     SLA_DEFAULT_TEXT,
     sla_minutes,
@@ -110,7 +111,7 @@ def retention_compliance(compliance: DataFrame, metrics: DataFrame, as_of: dt.da
     def label(flag: str) -> Column:
         return F.when(F.col(flag), F.lit(COMPLIANT)).otherwise(F.lit(NON_COMPLIANT))
 
-    now = F.lit(as_of).cast(dict(metrics.dtypes)["max_updated_at"])
+    now = at(as_of, dict(metrics.dtypes)["max_updated_at"])
     sla_status = (
         F.when(~F.col("has_updated_at"), F.lit("NO_COLUMN"))
         .when(F.col("error").isNotNull(), F.lit("ERROR"))
@@ -158,7 +159,7 @@ def ttl_candidates(tables: DataFrame, columns: DataFrame) -> DataFrame:
 
 def expire_rows(df: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Split into (kept, expired); a row without ``_delete_at`` never expires."""
-    now = F.lit(as_of).cast(dict(df.dtypes)["_delete_at"])
+    now = at(as_of, dict(df.dtypes)["_delete_at"])
     due = F.coalesce(F.col("_delete_at") <= now, F.lit(False))
     return df.filter(~due), df.filter(due)
 
@@ -167,7 +168,7 @@ def expiry_report(tables: dict[str, DataFrame], as_of: dt.datetime, unreadable:
     """Expired and kept rows per table, all tables in one job, with status ``applied`` or ``failed``."""
     parts = []
     for name, df in tables.items():
-        now = F.lit(as_of).cast(dict(df.dtypes)["_delete_at"])
+        now = at(as_of, dict(df.dtypes)["_delete_at"])
         parts.append(df.select(F.lit(name).alias("full_table_name"), (F.col("_delete_at") <= now).alias("due")))
     counted = (
         reduce(DataFrame.unionByName, parts)

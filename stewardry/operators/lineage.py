@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stewardry.functions.durations import relative_time
+from stewardry.functions.durations import at, relative_time
 from stewardry.session import materialise
 
 # --- fixed values --------------------------------------------------------------------------
@@ -48,16 +48,16 @@ def compact_table_edges(log: DataFrame, as_of: dt.date, lookback_days: int = LOO
     """One row per (source, target) of the window, with the values of its latest event.
 
     Events of the same moment are told apart by the value itself, so the result does not depend
-    on row order.
+    on row order. The log is first reduced to the latest time of each distinct edge and value, by
+    hash aggregation ahead of the shuffle; only those few rows are then compared.
     """
+    values = ["source_table_catalog", "target_table_catalog", "entity_type"]
     typed = _without_monitoring(_window(log, as_of, lookback_days)).withColumn(
         "entity_type", F.coalesce("entity_type", F.lit(DEFAULT_ENTITY_TYPE))
     )
-    latest = [
-        F.max_by(name, F.struct("event_time", name)).alias(name)
-        for name in ("source_table_catalog", "target_table_catalog", "entity_type")
-    ]
-    return typed.groupBy(*TABLE_EDGE).agg(*latest, F.max("event_time").alias("last_seen"))
+    seen = typed.groupBy(*TABLE_EDGE, *values).agg(F.max("event_time").alias("event_time"))
+    latest = [F.max_by(v, F.struct("event_time", v)).alias(v) for v in values]
+    return seen.groupBy(*TABLE_EDGE).agg(*latest, F.max("event_time").alias("last_seen"))
 
 
 def merge_table_edges(cache: DataFrame, batch: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def lineage_summary(up: DataFrame, down: DataFrame, as_of: dt.datetime) -> DataF
         return df.select(F.col(table).alias("name"), F.lit(label).alias("direction"), "entity_type", "last_seen", "depth")
 
     both = side(up, "upstream_table", UPSTREAM_LABEL).unionByName(side(down, "downstream_table", DOWNSTREAM_LABEL))
-    now = F.lit(as_of).cast(dict(both.dtypes)["last_seen"])
+    now = at(as_of, dict(both.dtypes)["last_seen"])
     age = F.timestamp_diff("MICROSECOND", F.col("last_seen"), now)
     best = F.min(F.struct("depth", age.alias("age"), "entity_type", "last_seen")).alias("best")
     picked = both.groupBy("name", "direction").agg(best)

@@ -56,10 +56,16 @@ POSTCODE_PIECE = 5
 #: Up to this many keys, which are counted first, are broadcast; more are shuffled and salted.
 BROADCAST_KEYS = 100_000
 SALTS = 16
+#: Up to this many keys, a bitmap of their hashes of this many slots per key goes to the scans, so
+#: that rows offer hardly any key that no spec has.
+SIEVE_KEYS = 250_000
+SIEVE_SLOTS_PER_KEY = 16
 #: Up to this many keys of one kind a row is tested against each instead of offering all its pieces.
 TESTED_KEYS = 32
 
 _SPEC_KEY = ["scope", "tag", "kind", "key"]
+#: Kind of key to the length of its pieces; 0 stands for the whole text.
+_PIECE_OF_KIND = {"equal": 0, "postcode": POSTCODE_PIECE, **{f"piece{n}": n for n in PIECES}}
 
 
 # ---- tag catalogue and identifiers -----------------------------------------------------------
@@ -227,7 +233,7 @@ def _pieces(text: Column, length) -> Column:
     length = F.lit(length) if isinstance(length, int) else length
     last = F.length(text) - length + 1
     cut = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, length))
-    return F.when(last >= 1, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+    return F.when(last >= 1, cut).otherwise(F.array().cast("array<string>"))
 
 
 def _spec_keys(specs: DataFrame) -> DataFrame:
@@ -258,7 +264,7 @@ def _spec_keys(specs: DataFrame) -> DataFrame:
     spread = inside.select(
         "spec_id", "scope", "tag", "text",
         F.concat(F.lit("piece"), length.cast("string")).alias("kind"),
-        F.explode(_pieces(F.col("text"), length)).alias("key"),
+        F.explode(F.array_distinct(_pieces(F.col("text"), length))).alias("key"),
     )
     shared = spread.groupBy("kind", "key").agg(F.count_distinct("spec_id").alias("n"))
     rarest = (
@@ -323,7 +329,23 @@ def _key_uses(keys: DataFrame) -> list[KeyUse]:
     return [KeyUse(*k, few=tuple(sorted(small[k])) if k in small else None) for k in sorted(counts)]
 
 
-def _keys(texts: Column, use: KeyUse) -> Column:
+def _slot(key: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+
+
+def _sieve(keys: DataFrame, n: int) -> bytes | None:
+    """One byte per slot, set where a key hashes to: at most 4 MB. It never hides a key; what it lets
+    through by chance is dropped by the join. Too many keys would set most slots, so none then."""
+    if n > SIEVE_KEYS:
+        return None
+    slots = 1 << max(10, (n * SIEVE_SLOTS_PER_KEY).bit_length())
+    table = bytearray(slots)
+    for row in keys.select(_slot(F.col("key"), slots).alias("slot")).distinct().collect():
+        table[row.slot] = 1
+    return bytes(table)
+
+
+def _keys(texts: Column, use: KeyUse, sieve: bytes | None) -> Column:
     """The keys of one kind that a row offers for one identifier."""
     shape = {"equal": lambda t: t, "postcode": compact_upper}.get(use.kind, F.lower)
     shaped = F.transform(texts, shape)
@@ -332,16 +354,19 @@ def _keys(texts: Column, use: KeyUse) -> Column:
             return F.exists(shaped, lambda t: t == key if use.kind == "equal" else t.contains(key))
 
         found = F.filter(F.array(*[F.lit(k) for k in use.few]), held)
-    elif use.kind == "equal":
-        found = F.array_distinct(texts)
     else:
-        length = POSTCODE_PIECE if use.kind == "postcode" else int(use.kind.removeprefix("piece"))
-        found = F.array_distinct(F.flatten(F.transform(shaped, lambda t: _pieces(t, length))))
+        length = _PIECE_OF_KIND[use.kind]
+        offered = F.flatten(F.transform(shaped, lambda t: _pieces(t, length))) if length else shaped
+        if sieve is not None:
+            table, one = F.lit(sieve), F.lit(1)
+            offered = F.filter(offered, lambda k: F.substring(table, _slot(k, len(sieve)) + 1, one) == F.lit(b"\x01"))
+        found = F.array_distinct(offered)
     return F.transform(found, lambda k: F.struct(F.lit(use.tag).alias("tag"), F.lit(use.kind).alias("kind"), k.alias("key")))
 
 
 def _keyed_rows(
-    df: DataFrame, scopes: Sequence[Scope], uses: Sequence[KeyUse], asked: set[tuple[str, str]], fold: bool, primary_key: Sequence[str] | None
+    df: DataFrame, scopes: Sequence[Scope], uses: Sequence[KeyUse], asked: set[tuple[str, str]], fold: bool,
+    primary_key: Sequence[str] | None, sieve: bytes | None,
 ) -> DataFrame | None:
     """Rows of one table, one per key: (table_full_name, row_id, scope, texts, tag, kind, key).
 
@@ -361,7 +386,7 @@ def _keyed_rows(
                 F.struct(
                     F.lit(scope.name).alias("scope"),
                     F.create_map(*[x for tag, t in texts.items() for x in (F.lit(tag), t)]).alias("texts"),
-                    F.concat(*[_keys(texts[u.tag], u) for u in wanted]).alias("keys"),
+                    F.concat(*[_keys(texts[u.tag], u, sieve) for u in wanted]).alias("keys"),
                 )
             )
     if not views:
@@ -404,9 +429,9 @@ def _row_has(key: Column, tag: Column, texts: Column) -> Column:
     return F.exists(cells, one)
 
 
-def _meet(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Join rows and specs on their keys."""
-    if keys.count() <= BROADCAST_KEYS:
+def _meet(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """Join rows and specs on their keys, of which there are ``n``."""
+    if n <= BROADCAST_KEYS:
         return rows.join(F.broadcast(keys), _SPEC_KEY)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
     spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -432,13 +457,14 @@ def search(
     """
     members, specs = _specs(requests, nicknames)
     keys = materialise(_spec_keys(specs), "keys")
-    uses = _key_uses(keys)
+    n_keys = keys.count()
+    uses, sieve = _key_uses(keys), _sieve(keys, n_keys)
     asked = {tuple(r) for r in specs.select("scope", F.explode("conditions.tag")).distinct().collect()}
     by_table: dict[str, list[Scope]] = defaultdict(list)
     for scope in scopes:
         by_table[scope.table].append(scope)
     parts = [
-        _keyed_rows(tables[name], own, uses, asked, fold_columns, (primary_keys or {}).get(name))
+        _keyed_rows(tables[name], own, uses, asked, fold_columns, (primary_keys or {}).get(name), sieve)
         for name, own in sorted(by_table.items())
     ]
     parts = [p for p in parts if p is not None]
@@ -446,9 +472,9 @@ def search(
     if not parts:
         return requests.sparkSession.createDataFrame([], schema)
     rows = reduce(DataFrame.unionByName, parts)
-    met = _meet(rows, keys)
+    met = _meet(rows, keys, n_keys)
     first_met = F.element_at(F.filter("own_keys", lambda k: _row_has(k, F.col("tag"), F.col("texts"))), 1)
-    once = (F.size("own_keys") == 1) | ((first_met.kind == F.col("kind")) & (first_met.key == F.col("key")))
+    once = (F.size("own_keys") == 1) | (first_met == F.struct("kind", "key"))
     every = F.forall("conditions", lambda c: _holds(c, F.col("texts")))
     names = F.filter("conditions", lambda c: c.kind == "name")
     hits = met.filter(once & every).select(

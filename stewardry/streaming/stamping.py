@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stewardry.functions.durations import at
+
 # --- fixed values --------------------------------------------------------------------------
 RETENTION_DAYS = 365 * 7
 # -------------------------------------------------------------------------------------------
@@ -15,7 +17,7 @@ RETENTION_DAYS = 365 * 7
 
 def stamp(df: DataFrame, as_of: dt.datetime | None = None, retention_days: int = RETENTION_DAYS) -> DataFrame:
     """Add the three platform columns to new rows; works on streams and batches."""
-    now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    now = F.current_timestamp() if as_of is None else at(as_of, "timestamp")
     return (
         df.withColumn("_inserted_at", now)
         .withColumn("_updated_at", now)
