@@ -317,16 +317,20 @@ class KeyUse:
     few: tuple[str, ...] | None
 
 
-def _key_uses(keys: DataFrame) -> list[KeyUse]:
-    """The kinds of keys in use, at most a handful per scope, with the keys themselves where few."""
+def _key_uses(keys: DataFrame) -> tuple[list[KeyUse], set[tuple[str, str]], int]:
+    """The kinds of keys in use (with the keys themselves where few), the (scope, tag) pairs that any
+    spec looks at, and the number of keys, from one pass. There are a handful of kinds per scope."""
     group = ["scope", "tag", "kind"]
-    counts = {tuple(r)[:3]: r.n for r in keys.groupBy(*group).agg(F.count_distinct("key").alias("n")).collect()}
-    small = {k: [] for k, n in counts.items() if n <= TESTED_KEYS}
+    looked_at = F.collect_set(F.transform("conditions", lambda c: c.tag)).alias("tags")
+    kinds = keys.groupBy(*group).agg(F.count_distinct("key").alias("n_distinct"), F.count("*").alias("n"), looked_at).collect()
+    small = {tuple(r)[:3]: [] for r in kinds if r.n_distinct <= TESTED_KEYS}
     if small:
         wanted = keys.sparkSession.createDataFrame(list(small), "scope string, tag string, kind string")
         for row in keys.select(*_SPEC_KEY).distinct().join(wanted, group).collect():
             small[row.scope, row.tag, row.kind].append(row.key)
-    return [KeyUse(*k, few=tuple(sorted(small[k])) if k in small else None) for k in sorted(counts)]
+    uses = [KeyUse(*k, few=tuple(sorted(small[k])) if k in small else None) for k in sorted(tuple(r)[:3] for r in kinds)]
+    asked = {(r.scope, tag) for r in kinds for tags in r.tags for tag in tags}
+    return uses, asked, sum(r.n for r in kinds)
 
 
 def _slot(key: Column, slots: int) -> Column:
@@ -457,9 +461,8 @@ def search(
     """
     members, specs = _specs(requests, nicknames)
     keys = materialise(_spec_keys(specs), "keys")
-    n_keys = keys.count()
-    uses, sieve = _key_uses(keys), _sieve(keys, n_keys)
-    asked = {tuple(r) for r in specs.select("scope", F.explode("conditions.tag")).distinct().collect()}
+    uses, asked, n_keys = _key_uses(keys)
+    sieve = _sieve(keys, n_keys)
     by_table: dict[str, list[Scope]] = defaultdict(list)
     for scope in scopes:
         by_table[scope.table].append(scope)
