@@ -34,7 +34,11 @@ def tables_of(
 
 def session_tables(spark: SparkSession, catalog: str, schema: str) -> dict[str, DataFrame]:
     """Tables of one schema of the session catalog, under three-part names."""
-    return {f"{catalog}.{schema}.{t.name}": spark.table(f"{schema}.{t.name}") for t in spark.catalog.listTables(schema)}
+    return {
+        f"{catalog}.{schema}.{t.name}": spark.table(f"`{schema}`.`{t.name}`")
+        for t in spark.catalog.listTables(schema)
+        if not t.isTemporary
+    }
 
 
 def session_properties(spark: SparkSession, catalog: str, schema: str) -> DataFrame:
