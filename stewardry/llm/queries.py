@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import packing, sharding
+from stewardry.llm import langid, packing, sharding
 from stewardry.llm.common import documents
 
 SHARDS = 40
@@ -17,10 +17,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def fold(modulus: int) -> Column:
+    """A document's fold: CRC-32 of its id as text, modulo ``modulus``."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer=tokenizer_path())
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(5) == 0
+    model = langid.train(docs.filter(~held_out))
+    return langid.identify(docs, model, keep=(F.col("doc_id"), held_out.alias("held_out")))
+
+
 def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.interleave(documents(spark, sf_dir), SHARDS)
     return dealt.select(
@@ -37,6 +49,7 @@ def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_mixture": op7_language_mixture,
     "op10_stratified_sharding": op10_stratified_sharding,
 }
 
