@@ -47,8 +47,8 @@ def id_of(order: Column) -> Column:
 
 
 def grain_bits(rows: int, grain: int) -> int:
-    """Bits of a bucket number that leave about ``grain`` rows to a bucket."""
-    return max(0, math.ceil(math.log2(max(1, rows) / grain)))
+    """Bits of a bucket number that leave about ``grain`` rows to a bucket; from some 10**10 rows on, more."""
+    return min(22, max(0, math.ceil(math.log2(max(1, rows) / grain))))
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

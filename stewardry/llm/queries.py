@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import langid, packing, sharding
+from stewardry.llm import langid, packing, secrets, sharding
 from stewardry.llm.common import documents
 
 SHARDS = 40
@@ -22,6 +22,25 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def op2_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.scan(docs, secrets.train(docs), keep=(F.col("doc_id"),))
+
+    def joined(where: str) -> Column:
+        return F.expr(f"array_join(transform(filter(spans, x -> {where}), x -> concat_ws(':', x.kind, x.start, x.end)), ',')")
+
+    def number(kind: str) -> Column:
+        return F.expr(f"cast(size(filter(spans, x -> x.kind = '{kind}')) as long)").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(number(kind) for kind in secrets.KINDS[:3]),
+        F.sha2(joined("x.kind != 'crf'"), 256).alias("base_sha256"),
+        joined("true").alias("spans"),
+        number("crf"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer=tokenizer_path())
 
@@ -48,6 +67,7 @@ def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secret_field": op2_secret_field,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_mixture": op7_language_mixture,
     "op10_stratified_sharding": op10_stratified_sharding,

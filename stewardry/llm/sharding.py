@@ -9,7 +9,7 @@ from stewardry.llm.common import grain_bits
 from stewardry.session import materialise
 
 #: Rows that one task sorts in one window partition, about.
-GRAIN = 20_000
+GRAIN = 5_000
 
 
 def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:
