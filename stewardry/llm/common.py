@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 #: Order of a row whose id is NULL: before all others.
 NULL_ORDER = -(2**63)
 
-#: Rows of one Arrow batch; texts of a batch are handled in pieces of about CHUNK_BYTES.
-BATCH_ROWS = 1000
+#: Most bytes and rows of one Arrow batch; texts of a batch are handled in pieces of about CHUNK_BYTES.
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 50_000
 CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -26,10 +27,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep the batches that go to Python small enough for long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by bytes, not rows: few long texts or many narrow rows at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
