@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import langid, packing, secrets, sharding
+from stewardry.llm import langid, packing, secrets, sharding, suffix_dedup
 from stewardry.llm.common import documents
 
 SHARDS = 40
@@ -22,6 +22,10 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op2_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = secrets.scan(docs, secrets.train(docs), keep=(F.col("doc_id"),))
@@ -67,6 +71,7 @@ def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_field": op2_secret_field,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_mixture": op7_language_mixture,
