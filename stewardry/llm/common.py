@@ -148,23 +148,25 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def ngrams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of runs of ``n`` words within a row; a shorter row gives its whole run."""
-    if not len(hashes):
+    """Hashes of runs of ``n`` words within a row, in order; a shorter row gives its whole run. ``rows`` ascend."""
+    m = len(hashes)
+    if not m:
         return hashes, rows
-    out = np.zeros(len(hashes), np.uint64)
-    length = np.zeros(len(hashes), np.int64)
-    last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True))
-    ends = last[np.searchsorted(last, np.arange(len(hashes)))] + 1
+    whole = np.zeros(m, bool)
+    if m >= n:
+        whole[: m - n + 1] = rows[: m - n + 1] == rows[n - 1 :]
+    first = np.ones(m, bool)
+    first[1:] = rows[1:] != rows[:-1]
+    at = np.flatnonzero(whole | first)
+    length = np.ones(len(at), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            at = np.arange(len(hashes)) + k
-            ok = at < ends
-            out[ok] = (out[ok] + hashes[at[ok]]) * _BASE
+        out = hashes[at].copy()
+        for k in range(1, n):
+            nxt = np.minimum(at + k, m - 1)
+            ok = (at + k < m) & (rows[nxt] == rows[at])
+            out[ok] = out[ok] * _BASE + hashes[nxt[ok]]
             length += ok
-        out = mix(out + length.astype(np.uint64))
-    first = np.append(True, rows[1:] != rows[:-1])
-    whole = (length == n) | first
-    return out[whole], rows[whole]
+        return mix(out + length), rows[at]
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import langid, packing, secrets, sharding, suffix_dedup
+from stewardry.llm import langid, ngram_join, packing, secrets, sharding, suffix_dedup
 from stewardry.llm.common import documents
 
 SHARDS = 40
@@ -45,6 +45,11 @@ def op2_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.near_duplicates(documents(spark, sf_dir), ngram=3, similarity=(90, 100))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer=tokenizer_path())
 
@@ -73,6 +78,7 @@ def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_field": op2_secret_field,
+    "op4_ngram_join": op4_ngram_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_mixture": op7_language_mixture,
     "op10_stratified_sharding": op10_stratified_sharding,
