@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import langid, ngram_join, packing, secrets, sharding, suffix_dedup
+from stewardry.llm import langid, line_dedup, ngram_join, packing, secrets, sharding, suffix_dedup
 from stewardry.llm.common import documents
 
 SHARDS = 40
@@ -50,6 +50,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_gone", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer=tokenizer_path())
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_field": op2_secret_field,
     "op4_ngram_join": op4_ngram_join,
+    "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_mixture": op7_language_mixture,
     "op10_stratified_sharding": op10_stratified_sharding,
