@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import langid, line_dedup, ngram_join, packing, secrets, sharding, suffix_dedup
+from stewardry.llm import decontam, langid, line_dedup, markov, ngram_join, packing, secrets, sharding, suffix_dedup
 from stewardry.llm.common import documents
 
 SHARDS = 40
@@ -45,6 +45,10 @@ def op2_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.near_duplicates(documents(spark, sf_dir), ngram=3, similarity=(90, 100))
     return joined.select("doc_id", "n_shingles", "component_id")
@@ -66,6 +70,10 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=(F.col("doc_id"), held_out.alias("held_out")))
 
 
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov.score_texts(documents(spark, sf_dir), fold(7) == 2)
+
+
 def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.interleave(documents(spark, sf_dir), SHARDS)
     return dealt.select(
@@ -83,10 +91,12 @@ def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_field": op2_secret_field,
+    "op3_decontamination": op3_decontamination,
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_mixture": op7_language_mixture,
+    "op9_hidden_markov": op9_hidden_markov,
     "op10_stratified_sharding": op10_stratified_sharding,
 }
 
