@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import decontam, langid, line_dedup, markov, ngram_join, packing, secrets, sharding, suffix_dedup
+from stewardry.llm import decontam, langid, line_dedup, markov, ngram_join, packing, secrets, sharding, spotsigs, suffix_dedup
 from stewardry.llm.common import documents
 
 SHARDS = 40
@@ -70,6 +70,10 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=(F.col("doc_id"), held_out.alias("held_out")))
 
 
+def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_edits(documents(spark, sf_dir))
+
+
 def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov.score_texts(documents(spark, sf_dir), fold(7) == 2)
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_mixture": op7_language_mixture,
+    "op8_spot_signatures": op8_spot_signatures,
     "op9_hidden_markov": op9_hidden_markov,
     "op10_stratified_sharding": op10_stratified_sharding,
 }
