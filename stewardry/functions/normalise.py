@@ -53,7 +53,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 
 
 def fold_accents(c) -> Column:
-    """Strip diacritics (``José`` to ``Jose``) and drop what has no ASCII form.
+    """Strip diacritics (``José`` to ``Jose``) and drop symbols without ASCII form; letters of other scripts stay.
 
     Plain ASCII text passes through untouched, and text whose characters all fold one to one needs
     a single translation; only the rest is taken apart character by character.
@@ -70,15 +70,15 @@ def fold_accents(c) -> Column:
     return (
         F.when(~c.rlike(foreign), c)
         .when(~translated.rlike(foreign), translated)
-        .otherwise(F.regexp_replace(spread, foreign, ""))
+        .otherwise(F.regexp_replace(spread, r"[^\x00-\x7F\p{L}\p{M}\p{Nd}]", ""))
     )
 
 
 def norm_name(c) -> Column:
-    """Fold accents, drop one leading form of address, keep letters, spaces and hyphens, lower-case."""
+    """Fold accents, drop one leading form of address, keep letters of any script, spaces and hyphens, lower-case."""
     text = F.trim(F.regexp_replace(fold_accents(c), r"\s+", " "))
     lead = r"(?i)^(?:" + "|".join(HONORIFICS) + r")\.*(?: |$)"
-    letters = F.regexp_replace(F.regexp_replace(text, lead, ""), r"[^a-zA-Z\s\-]", "")
+    letters = F.regexp_replace(F.regexp_replace(text, lead, ""), r"[^\p{L}\p{M}\s\-]", "")
     return F.lower(F.trim(F.regexp_replace(letters, r"\s+", " ")))
 
 

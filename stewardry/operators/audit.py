@@ -25,7 +25,8 @@ LONG_DAYS = 30
 
 
 def _since(as_of: dt.date, days: int) -> Column:
-    return F.col("event_date") >= F.lit(as_of - dt.timedelta(days=days))
+    """The last ``days`` days up to the report date; later events belong to later reports."""
+    return F.col("event_date").between(F.lit(as_of - dt.timedelta(days=days)), F.lit(as_of))
 
 
 def _object_name() -> Column:
@@ -52,9 +53,15 @@ def _is_permission_change() -> Column:
 
 
 def _newest(df: DataFrame, n: int, tie: str | None) -> DataFrame:
-    """The ``n`` newest rows; the limit is the report's own, kept per task before it is merged."""
-    order = [F.col("event_time").desc()] + ([F.col(tie)] if tie else [])
-    return df.orderBy(*order).limit(n)
+    """The ``n`` newest rows; the limit is the report's own, kept per task before it is merged.
+
+    Events of one moment go by ``tie`` and then by all that the reports show, so the cut is never random.
+    """
+    shown = [
+        F.col("user_identity.email"), F.col("action_name"), _object_name(), F.col("source_ip_address"),
+        F.col("response.status_code").cast("string"), F.col("response.error_message"), F.col("request_params")["securable_type"],
+    ]
+    return df.orderBy(F.col("event_time").desc(), *([F.col(tie)] if tie else []), *shown).limit(n)
 
 
 def audit_kpis(audit: DataFrame, as_of: dt.date) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,8 +21,6 @@ from stewardry.session import materialise
 MONITORING_TABLE = r"_(drift|profile)_metrics$"
 DEFAULT_ENTITY_TYPE = "unknown"
 LOOKBACK_DAYS = 30
-TABLE_DEPTH = 20
-COLUMN_DEPTH = 10
 UPSTREAM_LABEL, DOWNSTREAM_LABEL = "↑ Upstream", "↓ Downstream"
 STATUS_RANK = {"direct": 0, "upstream": 1, "downstream": 2, "traversed": 3}
 TRAVERSED_CAPTION = "traversed · no PII match"
@@ -35,7 +34,7 @@ COLUMN_EDGE = ["source_table_full_name", "source_column_name", "target_table_ful
 
 def _window(log: DataFrame, as_of: dt.date, lookback_days: int) -> DataFrame:
     ends = F.col(TABLE_EDGE[0]).isNotNull() & F.col(TABLE_EDGE[1]).isNotNull()
-    return log.filter(ends & (F.col("event_date") >= F.lit(as_of - dt.timedelta(days=lookback_days))))
+    return log.filter(ends & F.col("event_date").between(F.lit(as_of - dt.timedelta(days=lookback_days)), F.lit(as_of)))
 
 
 def _without_monitoring(log: DataFrame) -> DataFrame:
@@ -91,15 +90,19 @@ def is_table_name(c) -> Column:
     return F.coalesce(F.size(F.split(c, r"\.")) == 3, F.lit(False))
 
 
-def _reach(edges: DataFrame, seeds: DataFrame, max_depth: int, expand: Column | None = None) -> DataFrame:
-    """Shortest hop count from each group's seeds to every node they reach.
+def _reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, expand: Column | None = None) -> DataFrame:
+    """Shortest hop count from each group's seeds to every node they reach, or ``max_depth`` hops of it.
+
+    Nodes are visited once, so the walk ends when a level brings nothing new, cycles or not.
 
     ``edges(src, dst)`` are already distinct; ``seeds(grp, node)`` count as depth 0. ``expand``
     says which newly reached nodes are followed further; seeds always are.
     """
     visited = materialise(seeds.select("grp", "node").distinct().withColumn("depth", F.lit(0)), "seeds")
     frontier = visited
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         if depth > 1 and expand is not None:
             frontier = frontier.filter(expand)
         hop = frontier.join(edges, F.col("node") == F.col("src")).select("grp", F.col("dst").alias("node")).distinct()
@@ -112,7 +115,7 @@ def _reach(edges: DataFrame, seeds: DataFrame, max_depth: int, expand: Column |
 
 
 def trace_tables(
-    edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int = TABLE_DEPTH, group: str | None = None
+    edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int | None = None, group: str | None = None
 ) -> DataFrame:
     """Edges around the tables that ``seeds(table_full_name)`` reach upstream or downstream.
 
@@ -130,7 +133,7 @@ def trace_tables(
     hops = edges.select(F.col(near).alias("src"), F.col(far).alias("dst")).distinct()
     start = F.col("table_full_name")
     walk = seeds.select((start if group else F.lit(0)).alias("grp"), start.alias("node"))
-    reached = _reach(hops, walk, max_depth - 1)
+    reached = _reach(hops, walk, None if max_depth is None else max_depth - 1)
     keys = ["node"]
     if group:
         starts = seeds.select(group, start.alias("grp")).distinct()
@@ -148,7 +151,7 @@ def trace_tables(
     )
 
 
-def trace_columns_ways(edges: DataFrame, seeds: DataFrame, ways: Mapping[str, str | None], max_depth: int = COLUMN_DEPTH) -> DataFrame:
+def trace_columns_ways(edges: DataFrame, seeds: DataFrame, ways: Mapping[str, str | None], max_depth: int | None = None) -> DataFrame:
     """Columns that ``seeds(subject_id, table_full_name, column_name, tag, value)`` reach, several
     directions in one walk. ``ways`` maps ``up`` or ``down`` to the layer prefix where it stops.
 
@@ -191,7 +194,7 @@ def trace_columns(
     edges: DataFrame,
     seeds: DataFrame,
     direction: str,
-    max_depth: int = COLUMN_DEPTH,
+    max_depth: int | None = None,
     stop_prefix: str | None = None,
 ) -> DataFrame:
     """:func:`trace_columns_ways` in one direction."""
@@ -208,7 +211,8 @@ def lineage_summary(up: DataFrame, down: DataFrame, as_of: dt.datetime) -> DataF
     both = side(up, "upstream_table", UPSTREAM_LABEL).unionByName(side(down, "downstream_table", DOWNSTREAM_LABEL))
     now = at(as_of, dict(both.dtypes)["last_seen"])
     age = F.timestamp_diff("MICROSECOND", F.col("last_seen"), now)
-    best = F.min(F.struct("depth", age.alias("age"), "entity_type", "last_seen")).alias("best")
+    # An unknown time is the least recent: NULL would sort first.
+    best = F.min(F.struct("depth", F.col("last_seen").isNull().alias("unknown"), age.alias("age"), "entity_type", "last_seen")).alias("best")
     picked = both.groupBy("name", "direction").agg(best)
     return picked.select(
         "name", "direction", F.col("best.entity_type").alias("entity_type"),

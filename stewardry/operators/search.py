@@ -24,7 +24,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from stewardry.functions.fuzzy import fuzzy_score
@@ -46,7 +46,6 @@ from stewardry.session import materialise
 # --- fixed values --------------------------------------------------------------------------
 FUZZY_THRESHOLD = 75
 AUTO_SELECT_SCORE = 90
-ROWS_PER_TABLE = 500
 SLOWEST_TABLES = 15
 # -------------------------------------------------------------------------------------------
 
@@ -103,7 +102,7 @@ def subject_refs(subjects: DataFrame) -> DataFrame:
 def _token_variants(names: DataFrame, nicknames: DataFrame) -> DataFrame:
     """(value, pos, token, variant) for each token of each distinct name, nicknames both ways."""
     tokens = names.select("value").distinct().select("value", F.posexplode(F.split("value", " ")).alias("pos", "token"))
-    pairs = nicknames.select(F.lower("nickname").alias("nickname"), F.lower("canonical").alias("canonical"))
+    pairs = nicknames.select(*[F.lower(fold_accents(c)).alias(c) for c in ("nickname", "canonical")])
     both = pairs.select(F.col("nickname").alias("token"), F.col("canonical").alias("variant")).unionByName(
         pairs.select(F.col("canonical").alias("token"), F.col("nickname").alias("variant"))
     )
@@ -527,19 +526,20 @@ def preselected() -> Column:
     return F.col("score").isNull() | (F.col("score") >= AUTO_SELECT_SCORE)
 
 
-def top_matches(matches: DataFrame, n: int = ROWS_PER_TABLE) -> DataFrame:
-    """The ``n`` best matches per (subject, table): a report for review, taken after scoring.
+def top_matches(matches: DataFrame, n: int | None = None) -> DataFrame:
+    """All matches with ``n_found``, the number their (subject, table) has; or the ``n`` best of each for review.
 
-    Rank limits are applied per task before the shuffle, so a subject with very many matches does
-    not bring them all into one task. ``capped`` marks groups that hold more.
+    Matches are ranked only where ``n`` asks for it, after scoring. Rank limits are applied per task before the
+    shuffle, so a subject with very many matches does not bring them all into one task. ``capped`` marks groups
+    that hold more.
     """
-    from pyspark.sql import Window
-
     group = ["subject_id", "table_full_name"]
     total = matches.groupBy(*group).agg(F.count("*").alias("n_found"))
+    if n is None:
+        return matches.join(total, group)
     order = Window.partitionBy(*group).orderBy(F.desc_nulls_first("score"), "row_id")
     ranked = matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return ranked.join(total, group).withColumn("capped", F.col("n_found") > n).drop("n_found")
+    return ranked.join(total, group).withColumn("capped", F.col("n_found") > n)
 
 
 def case_summary(matches: DataFrame) -> DataFrame:

@@ -26,14 +26,13 @@ def add(name: str, query: Query, check: str | None = None) -> None:
 
 # ---- access audit -----------------------------------------------------------------------------
 
-AUDIT_DAY = dt.date(2024, 1, 31)
+AUDIT_DAY = dt.date(2024, 1, 25)
 _PII = """(service_name = 'unityCatalog' AND action_name = 'generateTemporaryTableCredential'
  AND (full_name_arg LIKE 'silver.%' OR full_name_arg LIKE 'gold.%'))"""
-_LOGIN = """(status_code IS NOT NULL AND status_code <> '200'
- AND action_name IN ('login', 'tokenLogin', 'oidcTokenExchange', 'serviceAccountLogin'))"""
-_PERMS = "action_name IN ('updatePermissions', 'updateSharePermissions', 'grantPermission', 'revokePermission')"
-_D7 = "event_date >= DATE '2024-01-24'"
-_D30 = "event_date >= DATE '2024-01-01'"
+_LOGIN = f"(status_code IS NOT NULL AND status_code <> '200' AND action_name IN {audit.LOGIN_ACTIONS})"
+_PERMS = f"action_name IN {audit.PERMISSION_ACTIONS}"
+_D7 = "event_date BETWEEN DATE '2024-01-18' AND DATE '2024-01-25'"
+_D30 = "event_date BETWEEN DATE '2023-12-26' AND DATE '2024-01-25'"
 _AUDIT = check_ctes("audit_log")
 
 add("audit_kpis", lambda s, d: audit.audit_kpis(nested_audit_log(s, d), AUDIT_DAY), f"""{_AUDIT}
@@ -100,10 +99,11 @@ for _name, (_column, _mask) in _MASKED.items():
     )
 
 _FOUND = r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"
-add("mask_email_documents", lambda s, d: load(s, d, "documents").select("doc_id", F.regexp_extract("text", _FOUND, 0).alias("found"))
-    .filter("found <> ''").select("doc_id", masks.mask_email("found").alias("masked")),
-    f"""SELECT doc_id, {mask_email_sql('found')} AS masked FROM (
- SELECT doc_id, regexp_extract(text, '{_FOUND}', 0) AS found FROM documents) WHERE found <> ''""")
+add("mask_email_documents", lambda s, d: load(s, d, "documents")
+    .select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"({_FOUND})"))).alias("position", "found"))
+    .select("doc_id", "position", masks.mask_email("found").alias("masked")),
+    f"""SELECT doc_id, CAST(position AS INT) AS position, {mask_email_sql('found')} AS masked FROM (SELECT doc_id, unnest(found) AS found, unnest(range(len(found))) AS position
+ FROM (SELECT doc_id, regexp_extract_all(text, '{_FOUND}') AS found FROM documents))""")
 
 # ---- policies ---------------------------------------------------------------------------------
 
@@ -278,24 +278,26 @@ SELECT count(CASE WHEN status = 'applied' THEN 1 END) AS applied, count(CASE WHE
 
 LINEAGE_DAY = dt.date(2001, 11, 5)
 ALL_DAYS = 5000
+#: A day well inside the log, so that later events must be left out.
+COMPACT_DAY = dt.date(2000, 5, 4)
 _SPLIT = dt.date(2000, 11, 5)
 _TLOG = check_ctes("table_lineage_log")
 _CLOG = check_ctes("column_lineage_log")
 
 
-def _table_edges_sql(name: str, since: str) -> str:
+def _table_edges_sql(name: str, since: str, until: str = "2001-11-05") -> str:
     pick = ", ".join(f"max(CASE WHEN event_time = newest THEN {c} END) AS {c}" for c in ("source_table_catalog", "target_table_catalog", "entity_type"))
     return f"""{name} AS (SELECT source_table_full_name, target_table_full_name, {pick}, max(event_time) AS last_seen FROM (
  SELECT source_table_full_name, target_table_full_name, source_table_catalog, target_table_catalog, coalesce(entity_type, 'unknown') AS entity_type,
   event_time, max(event_time) OVER (PARTITION BY source_table_full_name, target_table_full_name) AS newest
  FROM table_lineage_log WHERE source_table_full_name IS NOT NULL AND target_table_full_name IS NOT NULL
   AND NOT regexp_matches(source_table_full_name, '_(drift|profile)_metrics$') AND NOT regexp_matches(target_table_full_name, '_(drift|profile)_metrics$')
-  AND event_date >= DATE '{since}') GROUP BY 1, 2)"""
+  AND event_date BETWEEN DATE '{since}' AND DATE '{until}') GROUP BY 1, 2)"""
 
 
-def _column_edges_sql(name: str, since: str) -> str:
+def _column_edges_sql(name: str, since: str, until: str = "2001-11-05") -> str:
     return f"""{name} AS (SELECT source_table_full_name, source_column_name, target_table_full_name, target_column_name, max(event_time) AS last_seen
- FROM column_lineage_log WHERE source_table_full_name IS NOT NULL AND target_table_full_name IS NOT NULL AND event_date >= DATE '{since}' GROUP BY ALL)"""
+ FROM column_lineage_log WHERE source_table_full_name IS NOT NULL AND target_table_full_name IS NOT NULL AND event_date BETWEEN DATE '{since}' AND DATE '{until}' GROUP BY ALL)"""
 
 
 def all_table_edges(s: SparkSession, d: str) -> DataFrame:
@@ -314,10 +316,10 @@ def _merged(s: SparkSession, d: str, log: str, compact, merge) -> DataFrame:
     return merge(newer, older)
 
 
-add("compact_table_edges", lambda s, d: ln.compact_table_edges(load(s, d, "table_lineage_log"), LINEAGE_DAY, 365),
-    f"{_TLOG}, {_table_edges_sql('te', '2000-11-05')} SELECT * FROM te")
-add("compact_column_edges", lambda s, d: ln.compact_column_edges(load(s, d, "column_lineage_log"), LINEAGE_DAY, 365),
-    f"{_CLOG}, {_column_edges_sql('ce', '2000-11-05')} SELECT * FROM ce")
+add("compact_table_edges", lambda s, d: ln.compact_table_edges(load(s, d, "table_lineage_log"), COMPACT_DAY, 365),
+    f"{_TLOG}, {_table_edges_sql('te', '1999-05-05', '2000-05-04')} SELECT * FROM te")
+add("compact_column_edges", lambda s, d: ln.compact_column_edges(load(s, d, "column_lineage_log"), COMPACT_DAY, 365),
+    f"{_CLOG}, {_column_edges_sql('ce', '1999-05-05', '2000-05-04')} SELECT * FROM ce")
 add("merge_table_edges", lambda s, d: _merged(s, d, "table_lineage_log", ln.compact_table_edges, ln.merge_table_edges),
     f"{_TLOG}, {_table_edges_sql('te', '1988-01-01')} SELECT * FROM te")
 add("merge_column_edges", lambda s, d: _merged(s, d, "column_lineage_log", ln.compact_column_edges, ln.merge_column_edges),
@@ -334,7 +336,7 @@ def _trace_sql(direction: str) -> str:
         ("target", "source", "gold.s1.t0", "upstream_table", "source_catalog") if direction == "up"
         else ("source", "target", "silver.s1.t0", "downstream_table", "target_catalog")
     )
-    return f"""reach_{direction}(node, depth) AS (SELECT '{seed}', 0 UNION SELECT {far}_table_full_name, depth + 1 FROM reach_{direction} JOIN te ON {near}_table_full_name = node WHERE depth < 19),
+    return f"""reach_{direction}(node, depth) AS (SELECT '{seed}', 0 UNION SELECT {far}_table_full_name, depth + 1 FROM reach_{direction} JOIN te ON {near}_table_full_name = node WHERE depth < (SELECT count(DISTINCT source_table_full_name) + count(DISTINCT target_table_full_name) FROM te)),
 trace_{direction} AS (SELECT {near}_table_full_name AS matched_table, {far}_table_full_name AS {alias}, {far}_table_catalog AS {cat}, entity_type, last_seen, CAST(n.depth + 1 AS INT) AS depth
  FROM (SELECT node, min(depth) AS depth FROM reach_{direction} GROUP BY node) n JOIN te ON {near}_table_full_name = node)"""
 
@@ -356,7 +358,7 @@ def traced_columns_sql(direction: str) -> str:
 hops AS (SELECT DISTINCT {near}_table_full_name AS nt, {near}_column_name AS nc, {far}_table_full_name AS ft, {far}_column_name AS fc FROM ce
  WHERE source_column_name IS NOT NULL AND target_column_name IS NOT NULL AND len(string_split({far}_table_full_name, '.')) = 3),
 reach(st, sc, t, c, depth) AS (SELECT DISTINCT table_full_name, column_name, table_full_name, column_name, 0 FROM trace_starts
- UNION SELECT st, sc, ft, fc, depth + 1 FROM reach JOIN hops ON nt = t AND nc = c WHERE depth < 10{stop}),
+ UNION SELECT st, sc, ft, fc, depth + 1 FROM reach JOIN hops ON nt = t AND nc = c WHERE depth < (SELECT count(DISTINCT (nt, nc)) + 1 FROM hops){stop}),
 near AS (SELECT st, sc, t, c, min(depth) AS depth FROM reach GROUP BY ALL),
 found AS (SELECT subject_id, t, c, depth, tag, value, row_number() OVER (PARTITION BY subject_id, t, c ORDER BY depth, tag, value) AS rn
  FROM trace_starts JOIN near ON st = table_full_name AND sc = column_name),

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stewardry.functions.normalise import norm_name, norm_phone, norm_postcode
+from stewardry.functions.normalise import HONORIFICS, norm_name, norm_phone, norm_postcode
 from stewardry.operators import disclosure as di, erasure as er, reports as rp, search as se
 from stewardry.plans import lake
 from stewardry.plans.queries_basic import BOOKING_FIELDS, CATALOG_NOW, RC_CTES, cat_compliance, json_text
@@ -37,13 +37,13 @@ def add(name: str, query: Query, check: str | None = None) -> None:
 # ---- normalisers and tag catalogue --------------------------------------------------------------
 
 _PEOPLE = check_ctes("people")
-_HONORIFICS = "mr|mrs|ms|miss|dr|prof|sir|mx|rev|lord|lady|master|mstr|dame|fr|hon|cllr|capt|col|maj|sgt|lt|gen|judge|baron|baroness"
+_HONORIFICS = "|".join(HONORIFICS)
 
 
 def name_sql(c: str) -> str:
     plain = f"trim(regexp_replace(strip_accents({c}), '\\s+', ' ', 'g'))"
     bare = f"regexp_replace({plain}, '^(?i)({_HONORIFICS})\\.*( |$)', '')"
-    return f"lower(trim(regexp_replace(regexp_replace({bare}, '[^a-zA-Z\\s\\-]', '', 'g'), '\\s+', ' ', 'g')))"
+    return f"lower(trim(regexp_replace(regexp_replace({bare}, '[^\\p{{L}}\\s\\-]', '', 'g'), '\\s+', ' ', 'g')))"
 
 
 def phone_sql(c: str) -> str:
@@ -199,11 +199,14 @@ add("case_summary", lambda s, d: se.case_summary(load(s, d, "match_log")), f"""{
 SELECT subject_id, count(DISTINCT table_full_name) AS n_tables, count(DISTINCT split_part(table_full_name, '.', 1)) AS n_catalogs,
  CAST(sum(n_rows) AS BIGINT) AS rows_found, CAST(sum(CASE WHEN score IS NULL OR score >= 90 THEN n_rows ELSE 0 END) AS BIGINT) AS rows_selected FROM match_log GROUP BY subject_id""")
 _BY_TABLE = lambda s, d: load(s, d, "match_log").withColumn("subject_id", F.col("table_full_name"))
-add("top_matches", lambda s, d: se.top_matches(_BY_TABLE(s, d).withColumn("row_id", F.concat_ws("/", "row_id", F.col("n_rows").cast("string"), "score")).distinct()), f"""{_MATCHES},
+_UNIQUE = lambda s, d: _BY_TABLE(s, d).withColumn("row_id", F.concat_ws("/", "row_id", F.col("n_rows").cast("string"), "score")).distinct()
+_FOUND_M = f"""{_MATCHES},
 m AS (SELECT DISTINCT table_full_name AS subject_id, table_full_name, concat_ws('/', row_id, CAST(n_rows AS VARCHAR), CAST(score AS VARCHAR)) AS row_id, n_rows, score FROM match_log),
 k AS (SELECT *, row_number() OVER (PARTITION BY subject_id, table_full_name ORDER BY score DESC NULLS FIRST, row_id) AS rank,
- count(*) OVER (PARTITION BY subject_id, table_full_name) > 500 AS capped FROM m)
-SELECT subject_id, table_full_name, row_id, n_rows, score, CAST(rank AS INT) AS rank, capped FROM k WHERE rank <= 500""")
+ count(*) OVER (PARTITION BY subject_id, table_full_name) AS n_found FROM m)"""
+add("top_matches", lambda s, d: se.top_matches(_UNIQUE(s, d)), f"{_FOUND_M} SELECT subject_id, table_full_name, row_id, n_rows, score, n_found FROM k")
+add("top_matches_for_review", lambda s, d: se.top_matches(_UNIQUE(s, d), 20), f"""{_FOUND_M}
+SELECT subject_id, table_full_name, row_id, n_rows, score, CAST(rank AS INT) AS rank, n_found, n_found > 20 AS capped FROM k WHERE rank <= 20""")
 _TIMES = check_ctes("timing_log")
 add("timing_summary", lambda s, d: se.timing_summary(load(s, d, "timing_log")).withColumn("total_seconds", F.round("total_seconds", 2)),
     f"{_TIMES} SELECT phase, round(sum(seconds), 2) AS total_seconds, count(*) AS calls FROM timing_log GROUP BY phase")
@@ -250,7 +253,7 @@ def _erasure(s: SparkSession, d: str) -> dict:
 
 
 _NOT_SET = "7 days (default — not explicitly set)"
-_OTHER = "Aborted before deleting — a different table in this request failed its dry-run check, so nothing in this request was deleted."
+_OTHER = er.ABORTED_BY_OTHER
 _ITEMS = f"""items AS (SELECT request_id, table_full_name, provenance, matched_column_or_tag, rows_selected, CASE WHEN all_ok THEN matched_count ELSE 0 END AS rows_deleted,
  row_targeting_method, CASE WHEN table_full_name = 'silver.crm.bookings' THEN 'interval 30 days' ELSE '{_NOT_SET}' END AS vacuum_retention_raw,
  CAST(CASE WHEN table_full_name = 'silver.crm.bookings' THEN 30 ELSE 7 END AS INT) AS vacuum_retention_days,
@@ -286,8 +289,10 @@ SELECT request_id, 'silver.crm.bookings' AS table_full_name, CAST(0 AS INT) AS c
 add("request_status", lambda s, d: er.request_status(load(s, d, "erasure_items")), f"""{check_ctes('erasure_items')}
 SELECT request_id, CASE WHEN count(CASE WHEN execution_status = 'ABORTED' THEN 1 END) > 0 THEN 'ABORTED' WHEN count(CASE WHEN execution_status = 'SUCCEEDED' THEN 1 END) = count(*) THEN 'COMPLETED'
  WHEN count(CASE WHEN execution_status = 'FAILED' THEN 1 END) = count(*) THEN 'FAILED' ELSE 'PARTIAL' END AS status FROM erasure_items GROUP BY request_id""")
-add("upsert_requests", lambda s, d: er.upsert_requests(load(s, d, "erasure_requests"), er.request_status(load(s, d, "erasure_items").filter("execution_status <> 'SUCCEEDED'")), ERASED_AT),
-    f"""{check_ctes('erasure_requests', 'erasure_items')}, st AS (SELECT request_id, CASE WHEN bool_or(execution_status = 'ABORTED') THEN 'ABORTED' ELSE 'FAILED' END AS s FROM erasure_items WHERE execution_status <> 'SUCCEEDED' GROUP BY request_id)
+add("upsert_requests", lambda s, d: er.upsert_requests(load(s, d, "erasure_requests"), er.request_status(load(s, d, "erasure_items")), ERASED_AT),
+    f"""{check_ctes('erasure_requests', 'erasure_items')}, st AS (SELECT request_id, CASE WHEN bool_or(execution_status = 'ABORTED') THEN 'ABORTED'
+  WHEN count(*) = count(*) FILTER (execution_status = 'SUCCEEDED') THEN 'COMPLETED' WHEN count(*) = count(*) FILTER (execution_status = 'FAILED') THEN 'FAILED' ELSE 'PARTIAL' END AS s
+  FROM erasure_items GROUP BY request_id)
 SELECT r.request_id, subject_ref_hash, requested_by, legal_basis, requested_at, coalesce(s, status) AS status, CASE WHEN s IS NULL THEN completed_at ELSE TIMESTAMP '2002-01-01 09:30:00' END AS completed_at
 FROM erasure_requests r LEFT JOIN st USING (request_id)""")
 
