@@ -53,7 +53,9 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 
 
 def fold_accents(c) -> Column:
-    """Strip diacritics (``José`` to ``Jose``) and drop symbols without ASCII form; letters of other scripts stay.
+    """Strip diacritics (``José`` to ``Jose``) and drop Latin letters and symbols without an ASCII form.
+
+    Letters of other scripts stay, so a Greek, Cyrillic or Han name is searched as it is written.
 
     Plain ASCII text passes through untouched, and text whose characters all fold one to one needs
     a single translation; only the rest is taken apart character by character.
@@ -70,7 +72,7 @@ def fold_accents(c) -> Column:
     return (
         F.when(~c.rlike(foreign), c)
         .when(~translated.rlike(foreign), translated)
-        .otherwise(F.regexp_replace(spread, r"[^\x00-\x7F\p{L}\p{M}\p{Nd}]", ""))
+        .otherwise(F.regexp_replace(spread, r"[^\x00-\x7F\p{L}\p{M}\p{Nd}]|[\p{IsLatin}&&[^\x00-\x7F]]", ""))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,10 +40,12 @@ POLICY_NAMES = {
     "mask_location": "mask_location_columns",
 }
 POLICY_CATALOGS = ("silver", "gold")
-EXEMPT_GROUPS = ("sg-dbplat-pii-readers", "sg-dbplat-data-stewards", "sg-dbplat-data-product-sps")
 TAG_PREFIX = "class."
 # -------------------------------------------------------------------------------------------
 
+#: Groups that see plain values unless the caller names others.
+EXEMPT_GROUPS = ("pii-readers", "data-stewards", "data-product-services")
+
 _TABLE_KEY = ("table_catalog", "table_schema", "table_name")
 
 
@@ -51,10 +53,10 @@ class PolicyConflict(ValueError):
     """More than one policy applies to one column."""
 
 
-def default_policies(spark: SparkSession) -> DataFrame:
+def default_policies(spark: SparkSession, exempt_groups: Sequence[str] = EXEMPT_GROUPS) -> DataFrame:
     """One row per catalog, policy and tag: (policy_name, catalog, tag_name, mask_name, exempt_groups)."""
     rows = [
-        (POLICY_NAMES[mask], catalog, tag, mask, list(EXEMPT_GROUPS))
+        (POLICY_NAMES[mask], catalog, tag, mask, list(exempt_groups))
         for catalog in POLICY_CATALOGS
         for tag, mask in TAG_MASKS.items()
     ]

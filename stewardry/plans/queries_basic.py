@@ -70,18 +70,12 @@ def mask_email_sql(c: str) -> str:
 MASK_SQL = {
     "mask_email": mask_email_sql,
     "mask_dob": lambda c: f"make_date(CAST(floor(year({c}) / 10) * 10 AS BIGINT), 1, 1)",
-    "mask_age_int": lambda c: f"CAST(floor({c} / 10) * 10 AS BIGINT)",
-    "mask_age_str": lambda c: f"""CASE WHEN try_cast({c} AS BIGINT) IS NULL THEN '[REDACTED]' ELSE
- concat(CAST(CAST(floor(CAST({c} AS BIGINT) / 10) * 10 AS BIGINT) AS VARCHAR), '-', CAST(CAST(floor(CAST({c} AS BIGINT) / 10) * 10 + 9 AS BIGINT) AS VARCHAR)) END""",
-    "mask_ip": lambda c: f"""CASE WHEN regexp_matches(trim({c}), '^[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}$')
- THEN concat(split_part(trim({c}), '.', 1), '.', split_part(trim({c}), '.', 2), '.*.*') ELSE '[REDACTED]' END""",
+    "mask_age_int": lambda c: f"CAST({c} - {c} % 10 AS BIGINT)",
+    "mask_age_str": lambda c: f"coalesce((try_cast({c} AS BIGINT) // 10 || '0-') || (try_cast({c} AS BIGINT) // 10 || '9'), '[REDACTED]')",
+    "mask_ip": lambda c: f"coalesce(nullif(regexp_extract(trim({c}), '^(\\d{{1,3}}\\.\\d{{1,3}})(\\.\\d{{1,3}}){{2}}$', 1), '') || '.*.*', '[REDACTED]')",
     "mask_credit_card": lambda c: f"'**** **** **** ' || right(regexp_replace({c}, '[^0-9]', '', 'g'), 4)",
-    "mask_phone": lambda c: f"""CASE WHEN regexp_matches(trim({c}), '^\\+[0-9]')
- THEN concat(regexp_extract(trim({c}), '^(\\+[0-9]{{1,3}})', 1), ' *** *** ****')
- WHEN regexp_matches(trim({c}), '^00[0-9]') THEN concat('+', regexp_extract(trim({c}), '^00([0-9]{{1,3}})', 1), ' *** *** ****')
- ELSE '[REDACTED]' END""",
-    "mask_location": lambda c: f"""CASE WHEN regexp_matches(upper(trim({c})), '[A-Z]{{1,2}}[0-9][0-9A-Z]? [0-9][A-Z]{{2}}')
- THEN regexp_extract(upper(trim({c})), '([A-Z]{{1,2}}[0-9][0-9A-Z]?) [0-9][A-Z]{{2}}', 1) ELSE '[REDACTED]' END""",
+    "mask_phone": lambda c: f"coalesce('+' || nullif(regexp_extract(trim({c}), '^(\\+|00)(\\d{{1,3}})', 2), '') || ' *** *** ****', '[REDACTED]')",
+    "mask_location": lambda c: f"coalesce(nullif(regexp_extract(upper({c}), '([A-Z]{{1,2}}[0-9][0-9A-Z]?) [0-9][A-Z]{{2}}', 1), ''), '[REDACTED]')",
     "mask_sensitive": lambda c: "'[REDACTED]'",
 }
 _MASKED = {
@@ -121,7 +115,7 @@ SELECT cust_id, '[REDACTED]' AS first_name, '[REDACTED]' AS last_name, {mask_ema
  {MASK_SQL['mask_phone']('phone')} AS phone, {MASK_SQL['mask_location']('address')} AS address, {MASK_SQL['mask_dob']('dob')} AS dob,
  CAST({MASK_SQL['mask_age_int']('age_int')} AS INT) AS age_int, {MASK_SQL['mask_ip']('ip')} AS ip, {MASK_SQL['mask_credit_card']('card')} AS card,
  _inserted_at, _updated_at, _delete_at FROM customers""")
-add("apply_masks_exempt", lambda s, d: _customers_view(s, d, ("sg-dbplat-data-stewards",)), f"{check_ctes('customers')} SELECT * FROM customers")
+add("apply_masks_exempt", lambda s, d: _customers_view(s, d, ("data-stewards",)), f"{check_ctes('customers')} SELECT * FROM customers")
 add("policy_conflicts", lambda s, d: po.policy_conflicts(load(s, d, "cat_tags"), po.default_policies(s)), f"""{check_ctes('cat_tags')}, {_POLICIES}
 SELECT table_catalog, table_schema, table_name, column_name, count(DISTINCT policy_name) AS n_policies
 FROM cat_tags t JOIN policies p ON p.catalog = t.table_catalog AND p.tag_name = t.tag_name

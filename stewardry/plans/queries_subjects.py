@@ -82,7 +82,7 @@ add("expand_tokens", lambda s, d: se.expand_tokens(load(s, d, "subjects"), nickn
 SELECT subject_id, CAST(pos AS INT) AS pos, token, variant FROM variants""")
 add("name_slots", lambda s, d: se.assign_name_slots(load(s, d, "cat_name_columns")), f"""{check_ctes('cat_name_columns')}
 SELECT table_catalog, table_schema, table_name, column_name, CASE WHEN column_name LIKE '%\\_1' ESCAPE '\\' THEN '1' WHEN column_name LIKE '%\\_2' ESCAPE '\\' THEN '2'
- WHEN column_name LIKE 'buyer%' THEN 'buyer_' WHEN column_name LIKE 'payee%' THEN 'payee_' ELSE '_slot' END AS slot FROM cat_name_columns""")
+ WHEN column_name LIKE 'buyer%' THEN 'buyer' WHEN column_name LIKE 'payee%' THEN 'payee' ELSE 'person' END AS slot FROM cat_name_columns""")
 
 # ---- search -------------------------------------------------------------------------------------
 
@@ -259,7 +259,7 @@ _ITEMS = f"""items AS (SELECT request_id, table_full_name, provenance, matched_c
  CAST(CASE WHEN table_full_name = 'silver.crm.bookings' THEN 30 ELSE 7 END AS INT) AS vacuum_retention_days,
  TIMESTAMP '2002-01-01 09:30:00' + CASE WHEN table_full_name = 'silver.crm.bookings' THEN INTERVAL 30 DAY ELSE INTERVAL 7 DAY END AS estimated_purge_by,
  CASE WHEN all_ok THEN 'SUCCEEDED' ELSE 'ABORTED' END AS execution_status,
- CASE WHEN NOT ok THEN concat('Dry-run count (', matched_count, ') did not match rows selected (', rows_selected, ').') WHEN NOT all_ok THEN '{_OTHER}' END AS error_message,
+ CASE WHEN NOT ok THEN concat(rows_selected, ' rows were selected but ', matched_count, ' match in the table.') WHEN NOT all_ok THEN '{_OTHER}' END AS error_message,
  TIMESTAMP '2002-01-01 09:30:00' AS executed_at FROM checks JOIN gates USING (request_id))"""
 add("primary_keys", lambda s, d: er.primary_keys(load(s, d, "cat_keys"), load(s, d, "cat_constraints")).withColumn("key_columns", F.array_join("key_columns", ",")), f"""{check_ctes('cat_keys', 'cat_constraints')}
 SELECT k.table_catalog, k.table_schema, k.table_name, string_agg(k.column_name, ',' ORDER BY k.ordinal_position) AS key_columns
