@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,31 +30,87 @@ def build_session(app: str = "stewardry", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def _filesystem(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own; on a cluster such a
-    folder would be lost with its machine.
+    Only a local session may use a folder of its own machine; on a cluster such a folder would be lost with it,
+    and other executors would not see it, so it is refused.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    local = sc.master.startswith("local")
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if not local:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="stewardry-")
-    sc.setCheckpointDir(path)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    if not local and _filesystem(spark, path)[0].getScheme() == "file":
+        raise RuntimeError(f"{path} is a local folder; spark.checkpoint.dir must name one shared by all executors")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
+#: Folders that ``materialise`` has written and nothing has deleted yet.
+_written: list[str] = []
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted like those of :func:`materialise`."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The rows survive a lost executor, the plan behind them is gone, and Spark knows their true
-    size, so later joins broadcast them only if they are in fact small.
+    size, so later joins broadcast them only if they are in fact small. The folder stays until :func:`release` or the
+    :func:`scratch` block it was written in deletes it.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Delete folders that :func:`materialise` wrote, or all of them."""
+    for path in list(_written if paths is None else paths):
+        fs, target = _filesystem(spark, path)
+        fs.delete(target, True)
+        if path in _written:
+            _written.remove(path)
+
+
+class Scratch:
+    """What a :func:`scratch` block keeps when it ends."""
+
+    def __init__(self) -> None:
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Let the folder of a materialised frame outlive the block."""
+        self.kept.add(df.scratch_path)
+        return df
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Delete all that the block materialises when it ends, also when it fails.
+
+    Intermediate tables hold the same personal data as their inputs. Write a result inside the block, and nothing
+    else of it remains.
+    """
+    before, held = set(_written), Scratch()
+    try:
+        yield held
+    finally:
+        release(spark, [p for p in _written if p not in before and p not in held.kept])

@@ -10,6 +10,7 @@ import time
 
 import duckdb
 
+from stewardry.session import scratch
 from stewardry.sources.derived import DRIVER_TABLES
 
 
@@ -38,8 +39,9 @@ def _bag(rows, order):
 
 def compare(spark, con, query, sql, sf_dir) -> str | None:
     """None if equal, else what differs."""
-    df = query(spark, sf_dir)
-    mine = [tuple(r) for r in df.collect()]
+    with scratch(spark):
+        df = query(spark, sf_dir)
+        mine = [tuple(r) for r in df.collect()]
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
     theirs = cur.fetchall()

@@ -1,8 +1,14 @@
-"""Catalog metadata and registers."""
+"""Catalog metadata, registers and intermediate tables."""
+
+import os
+
+import pytest
 
 from stewardry.functions.durations import sla_minutes
 from stewardry.operators import lifecycle as lc
+from stewardry.plans import registry
 from stewardry.plans.queries_subjects import REGISTER
+from stewardry.session import materialise, release, scratch, shared_dir
 from stewardry.sources.metadata import columns_of, session_properties, session_tables, tables_of
 from stewardry.sources.registers import decision_systems, recipient_templates
 
@@ -40,3 +46,30 @@ def test_registers(spark, tmp_path):
 def test_sla_text_keeps_working_on_columns(spark):
     df = spark.createDataFrame([("2h",)], "v string")
     assert df.select(sla_minutes("v").alias("m")).collect()[0].m == 120
+
+
+def _folders(spark):
+    root = shared_dir(spark).removeprefix("file:")
+    return set(os.listdir(root))
+
+
+def test_scratch_leaves_nothing_but_what_is_kept(spark):
+    before = _folders(spark)
+    with scratch(spark) as used:
+        first = materialise(spark.range(5).toDF("x"), "gone")
+        kept = used.keep(materialise(first.filter("x > 2"), "kept"))
+        assert len(_folders(spark) - before) == 2
+    assert [f.split("-")[0] for f in _folders(spark) - before] == ["kept"] and kept.count() == 2
+    release(spark, [kept.scratch_path])
+    with pytest.raises(RuntimeError), scratch(spark):
+        materialise(spark.range(5).toDF("x"), "gone")
+        raise RuntimeError("a failing job")
+    assert _folders(spark) == before
+
+
+def test_queries_leave_no_copies(spark):
+    before = _folders(spark)
+    with scratch(spark):
+        registry.QUERIES["find_subject_copies"](spark, "/root/testdata/sf0.001").count()
+        assert _folders(spark) != before
+    assert _folders(spark) == before
