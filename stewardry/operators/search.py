@@ -8,13 +8,12 @@ How a search runs:
 3. *Keys.* Each spec picks its most selective identifier and turns it into equality keys. A
    containment (a name token, a piece of an address) becomes a fixed-length piece of the text
    looked for, which every row that contains it must also hold, so nothing is missed.
-4. *Rows* emit the same kinds of keys, meet the specs in one equi-join, and are kept if all
-   conditions of the spec hold. A row that meets a spec through several keys counts once, decided
-   on the row itself, so no deduplicating shuffle follows.
+4. *Rows* offer the same kinds of keys as pairs of two numbers, row and key hash, and meet the specs
+   in one equi-join; most pairs end there. What is left is made distinct per row and spec, meets the
+   texts of its rows again, and is kept if all conditions of the spec hold.
 
-A set of keys that was counted and found small is broadcast; a large one is shuffled with salts, so
-a key that a third of all rows share is spread over many tasks. With very few keys, as for a single
-subject, rows are simply tested for them, and the search is one filtering scan.
+There is one plan for all sizes. The keys are read from a written table, so Spark knows their size and
+broadcasts them or shuffles both sides; skewed keys are left to adaptive execution.
 """
 
 from __future__ import annotations
@@ -52,17 +51,7 @@ SLOWEST_TABLES = 15
 #: Lengths of the text pieces used as containment keys; a text uses the longest that fits.
 PIECES = (6, 3, 1)
 POSTCODE_PIECE = 5
-#: Up to this many keys, which are counted first, are broadcast; more are shuffled and salted.
-BROADCAST_KEYS = 100_000
-SALTS = 16
-#: Up to this many keys, a bitmap of their hashes of this many slots per key goes to the scans, so
-#: that rows offer hardly any key that no spec has.
-SIEVE_KEYS = 250_000
-SIEVE_SLOTS_PER_KEY = 16
-#: Up to this many keys of one kind a row is tested against each instead of offering all its pieces.
-TESTED_KEYS = 32
-
-_SPEC_KEY = ["scope", "tag", "kind", "key"]
+
 #: Kind of key to the length of its pieces; 0 stands for the whole text.
 _PIECE_OF_KIND = {"equal": 0, "postcode": POSTCODE_PIECE, **{f"piece{n}": n for n in PIECES}}
 
@@ -209,6 +198,9 @@ def _specs(requests: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFr
     rank = F.lit(len(_SELECTIVITY))
     for kind, r in _SELECTIVITY.items():
         rank = F.when(F.col("kind") == kind, r).otherwise(rank)
+    # A text of one or two letters is in nearly every row; such a condition leads only where there is no other.
+    short = F.when(F.col("kind") == "name", _shortest(_telling(F.col("tokens"))) < PIECES[1]).otherwise(F.length("value") < PIECES[1])
+    rank = F.when(F.col("kind").isin("name", "text") & short, rank + len(_SELECTIVITY)).otherwise(rank)
     condition = F.struct(
         rank.alias("rank"), "tag", "kind",
         F.when(F.col("kind").isin("equal", "date", "text"), F.lower("value")).otherwise(F.col("value")).alias("value"),
@@ -235,17 +227,19 @@ def _pieces(text: Column, length) -> Column:
     return F.when(last >= 1, cut).otherwise(F.array().cast("array<string>"))
 
 
-def _spec_keys(specs: DataFrame) -> DataFrame:
-    """One row per spec and key, each carrying the conditions and the ordered keys of its spec."""
-    lead = specs.select("spec_id", "scope", "conditions", F.element_at("conditions", 1).alias("c"))
+def _shortest(token: Column) -> Column:
+    return F.array_min(F.transform(token, lambda v: F.length(v)))
+
+
+def _telling(tokens: Column) -> Column:
+    """The token with the longest shortest variant is the most telling one."""
+    return F.element_at(F.array_sort(F.transform(tokens, lambda t: F.struct((-_shortest(t)).alias("n"), t.alias("t")))), 1)["t"]
 
-    # The token with the longest shortest variant is the most telling one.
-    def shortest(token: Column) -> Column:
-        return F.array_min(F.transform(token, lambda v: F.length(v)))
 
-    telling = F.element_at(
-        F.array_sort(F.transform("c.tokens", lambda t: F.struct((-shortest(t)).alias("n"), t.alias("t")))), 1
-    )["t"]
+def _spec_keys(specs: DataFrame) -> DataFrame:
+    """One row per spec and key: (spec_id, scope, tag, kind, key)."""
+    lead = specs.select("spec_id", "scope", F.element_at("conditions", 1).alias("c"))
+    telling = _telling(F.col("c.tokens"))
     texts = (
         F.when(F.col("c.kind") == "name", telling)
         .when(F.col("c.kind") == "postcode", F.array(F.right("c.value", F.lit(POSTCODE_PIECE))))
@@ -272,9 +266,12 @@ def _spec_keys(specs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("n", "key")).alias("pick"))
         .select("spec_id", "scope", "tag", "kind", F.col("pick.key").alias("key"))
     )
-    keys = exact.unionByName(rarest).distinct()
-    own = keys.groupBy("spec_id").agg(F.array_sort(F.collect_set(F.struct("kind", "key"))).alias("own_keys"))
-    return keys.join(own, "spec_id").join(specs.select("spec_id", "conditions"), "spec_id")
+    return exact.unionByName(rarest).distinct()
+
+
+def _key_hash(scope: Column, tag: Column, kind: Column, key: Column) -> Column:
+    """Keys meet by this number; what meets by chance fails the conditions later."""
+    return F.xxhash64(scope, tag, kind, key)
 
 
 # ---- rows and their keys -----------------------------------------------------------------------
@@ -308,96 +305,46 @@ def _texts(df: DataFrame, tag: str, columns: Sequence[str], fold: bool) -> Colum
 
 @dataclass(frozen=True)
 class KeyUse:
-    """What rows must offer: keys of ``kind`` for ``tag`` in ``scope``; ``few`` lists them if few."""
+    """What rows must offer: keys of ``kind`` for ``tag`` in ``scope``."""
 
     scope: str
     tag: str
     kind: str
-    few: tuple[str, ...] | None
-
-
-def _key_uses(keys: DataFrame) -> tuple[list[KeyUse], set[tuple[str, str]], int]:
-    """The kinds of keys in use (with the keys themselves where few), the (scope, tag) pairs that any
-    spec looks at, and the number of keys, from one pass. There are a handful of kinds per scope."""
-    group = ["scope", "tag", "kind"]
-    looked_at = F.collect_set(F.transform("conditions", lambda c: c.tag)).alias("tags")
-    kinds = keys.groupBy(*group).agg(F.count_distinct("key").alias("n_distinct"), F.count("*").alias("n"), looked_at).collect()
-    small = {tuple(r)[:3]: [] for r in kinds if r.n_distinct <= TESTED_KEYS}
-    if small:
-        wanted = keys.sparkSession.createDataFrame(list(small), "scope string, tag string, kind string")
-        for row in keys.select(*_SPEC_KEY).distinct().join(wanted, group).collect():
-            small[row.scope, row.tag, row.kind].append(row.key)
-    uses = [KeyUse(*k, few=tuple(sorted(small[k])) if k in small else None) for k in sorted(tuple(r)[:3] for r in kinds)]
-    asked = {(r.scope, tag) for r in kinds for tags in r.tags for tag in tags}
-    return uses, asked, sum(r.n for r in kinds)
-
-
-def _slot(key: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
-
-
-def _sieve(keys: DataFrame, n: int) -> bytes | None:
-    """One byte per slot, set where a key hashes to: at most 4 MB. It never hides a key; what it lets
-    through by chance is dropped by the join. Too many keys would set most slots, so none then."""
-    if n > SIEVE_KEYS:
-        return None
-    slots = 1 << max(10, (n * SIEVE_SLOTS_PER_KEY).bit_length())
-    table = bytearray(slots)
-    for row in keys.select(_slot(F.col("key"), slots).alias("slot")).distinct().collect():
-        table[row.slot] = 1
-    return bytes(table)
 
 
-def _keys(texts: Column, use: KeyUse, sieve: bytes | None) -> Column:
-    """The keys of one kind that a row offers for one identifier."""
+def _key_hashes(texts: Column, use: KeyUse) -> Column:
+    """Hashes of the keys of one kind that a row offers for one identifier."""
     shape = {"equal": lambda t: t, "postcode": compact_upper}.get(use.kind, F.lower)
+    length = _PIECE_OF_KIND[use.kind]
     shaped = F.transform(texts, shape)
-    if use.few is not None:
-        def held(key: Column) -> Column:
-            return F.exists(shaped, lambda t: t == key if use.kind == "equal" else t.contains(key))
-
-        found = F.filter(F.array(*[F.lit(k) for k in use.few]), held)
-    else:
-        length = _PIECE_OF_KIND[use.kind]
-        offered = F.flatten(F.transform(shaped, lambda t: _pieces(t, length))) if length else shaped
-        if sieve is not None:
-            table, one = F.lit(sieve), F.lit(1)
-            offered = F.filter(offered, lambda k: F.substring(table, _slot(k, len(sieve)) + 1, one) == F.lit(b"\x01"))
-        found = F.array_distinct(offered)
-    return F.transform(found, lambda k: F.struct(F.lit(use.tag).alias("tag"), F.lit(use.kind).alias("kind"), k.alias("key")))
+    offered = F.flatten(F.transform(shaped, lambda t: _pieces(t, length))) if length else shaped
+    return F.transform(offered, lambda k: _key_hash(F.lit(use.scope), F.lit(use.tag), F.lit(use.kind), k))
 
 
-def _keyed_rows(
+def _table_sides(
     df: DataFrame, scopes: Sequence[Scope], uses: Sequence[KeyUse], asked: set[tuple[str, str]], fold: bool,
-    primary_key: Sequence[str] | None, sieve: bytes | None,
-) -> DataFrame | None:
-    """Rows of one table, one per key: (table_full_name, row_id, scope, texts, tag, kind, key).
+    primary_key: Sequence[str] | None,
+) -> tuple[DataFrame, DataFrame] | None:
+    """One table's offers ``(table_full_name, row, key_hash)`` and texts ``(table_full_name, row, row_id, scope, texts)``.
 
-    ``asked`` holds the (scope, tag) pairs that some spec looks at; other columns are not read.
+    ``row`` is a hash of the row's identity. ``asked`` holds the (scope, tag) pairs that some spec looks at; other
+    columns are not read.
     """
-    views, prepared = [], []
-    for i, scope in enumerate(scopes):
-        # Texts are computed once, as columns, and then serve both the map and the keys.
-        texts = {}
-        for j, (tag, columns) in enumerate(scope.columns):
-            if (scope.name, tag) in asked:
-                texts[tag] = F.col(f"t{i}_{j}")
-                prepared.append(_texts(df, tag, columns, fold).alias(f"t{i}_{j}"))
+    ident = row_id(df, primary_key)
+    table = F.lit(scopes[0].table).alias("table_full_name")
+    hashes, views = [], []
+    for scope in scopes:
+        texts = {tag: _texts(df, tag, columns, fold) for tag, columns in scope.columns if (scope.name, tag) in asked}
         wanted = [u for u in uses if u.scope == scope.name and u.tag in texts]
         if wanted:
-            views.append(
-                F.struct(
-                    F.lit(scope.name).alias("scope"),
-                    F.create_map(*[x for tag, t in texts.items() for x in (F.lit(tag), t)]).alias("texts"),
-                    F.concat(*[_keys(texts[u.tag], u, sieve) for u in wanted]).alias("keys"),
-                )
-            )
+            hashes += [_key_hashes(texts[u.tag], u) for u in wanted]
+            cells = F.create_map(*[x for tag, t in texts.items() for x in (F.lit(tag), t)])
+            views.append(F.struct(F.lit(scope.name).alias("scope"), cells.alias("texts")))
     if not views:
         return None
-    identified = df.select(row_id(df, primary_key).alias("row_id"), *prepared)
-    viewed = identified.select("row_id", F.explode(F.array(*views)).alias("view"))
-    keyed = viewed.select("row_id", "view.scope", "view.texts", F.explode("view.keys").alias("k"))
-    return keyed.select(F.lit(scopes[0].table).alias("table_full_name"), "row_id", "scope", "texts", "k.tag", "k.kind", "k.key")
+    offers = df.select(table, F.xxhash64(ident).alias("row"), F.explode(F.array_distinct(F.concat(*hashes))).alias("key_hash"))
+    rows = df.select(table, ident.alias("row_id"), F.explode(F.array(*views)).alias("view"))
+    return offers, rows.select("table_full_name", F.xxhash64("row_id").alias("row"), "row_id", "view.scope", "view.texts")
 
 
 def _holds(condition: Column, texts: Column) -> Column:
@@ -418,29 +365,6 @@ def _holds(condition: Column, texts: Column) -> Column:
     return F.coalesce(F.exists(cells, one), F.lit(False))
 
 
-def _row_has(key: Column, tag: Column, texts: Column) -> Column:
-    """Whether a row holds a key of a spec: the same test that emitted the key."""
-    cells = F.element_at(texts, tag)
-
-    def one(text: Column) -> Column:
-        return (
-            F.when(key.kind == "equal", text == key.key)
-            .when(key.kind == "postcode", compact_upper(text).contains(key.key))
-            .otherwise(F.lower(text).contains(key.key))
-        )
-
-    return F.exists(cells, one)
-
-
-def _meet(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """Join rows and specs on their keys, of which there are ``n``."""
-    if n <= BROADCAST_KEYS:
-        return rows.join(F.broadcast(keys), _SPEC_KEY)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread.hint("merge"), [*_SPEC_KEY, "salt"])
-
-
 def search(
     scopes: Sequence[Scope],
     requests: DataFrame,
@@ -459,27 +383,26 @@ def search(
     Search values are taken literally: ``%`` and ``_`` are no wildcards.
     """
     members, specs = _specs(requests, nicknames)
+    specs = materialise(specs, "specs")
     keys = materialise(_spec_keys(specs), "keys")
-    uses, asked, n_keys = _key_uses(keys)
-    sieve = _sieve(keys, n_keys)
+    uses = [KeyUse(*r) for r in keys.select("scope", "tag", "kind").distinct().collect()]  # a handful per scope
+    looked_at = specs.select("scope", F.explode("conditions.tag").alias("tag")).distinct()
+    asked = {tuple(r) for r in looked_at.collect()}
     by_table: dict[str, list[Scope]] = defaultdict(list)
     for scope in scopes:
         by_table[scope.table].append(scope)
-    parts = [
-        _keyed_rows(tables[name], own, uses, asked, fold_columns, (primary_keys or {}).get(name), sieve)
-        for name, own in sorted(by_table.items())
-    ]
-    parts = [p for p in parts if p is not None]
+    sides = [_table_sides(tables[name], own, uses, asked, fold_columns, (primary_keys or {}).get(name)) for name, own in sorted(by_table.items())]
+    sides = [s for s in sides if s is not None]
     schema = "subject_id string, scope string, table_full_name string, row_id string, n_rows bigint, matched_on string, score double"
-    if not parts:
+    if not sides:
         return requests.sparkSession.createDataFrame([], schema)
-    rows = reduce(DataFrame.unionByName, parts)
-    met = _meet(rows, keys, n_keys)
-    first_met = F.element_at(F.filter("own_keys", lambda k: _row_has(k, F.col("tag"), F.col("texts"))), 1)
-    once = (F.size("own_keys") == 1) | (first_met == F.struct("kind", "key"))
+    offers, rows = (reduce(DataFrame.unionByName, parts) for parts in zip(*sides))
+    hashed = keys.select("spec_id", "scope", _key_hash(F.col("scope"), F.col("tag"), F.col("kind"), F.col("key")).alias("key_hash"))
+    pairs = offers.join(hashed, "key_hash").select("table_full_name", "row", "scope", "spec_id").distinct()
+    met = rows.join(pairs, ["table_full_name", "row", "scope"]).join(specs.select("spec_id", "conditions"), "spec_id")
     every = F.forall("conditions", lambda c: _holds(c, F.col("texts")))
     names = F.filter("conditions", lambda c: c.kind == "name")
-    hits = met.filter(once & every).select(
+    hits = met.filter(every).select(
         "spec_id", "table_full_name", "row_id",
         F.array_join(F.array_distinct(F.transform("conditions", lambda c: c.tag)), ", ").alias("matched_on"),
         F.transform(names, lambda c: c.value).alias("names"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,8 +13,8 @@ from stewardry.functions.normalise import HONORIFICS, norm_name, norm_phone, nor
 from stewardry.operators import disclosure as di, erasure as er, reports as rp, search as se
 from stewardry.plans import lake
 from stewardry.plans.queries_basic import BOOKING_FIELDS, CATALOG_NOW, RC_CTES, cat_compliance, json_text
-from stewardry.plans.subject_copies import find_subject_copies
-from stewardry.session import materialise, shared_dir
+from stewardry.plans.subject_copies import find_subject_copies, unsearched_tables
+from stewardry.session import materialise, scratch_folder
 from stewardry.sources.derived import check_ctes, load, nicknames
 from stewardry.sources.metadata import columns_of
 from stewardry.sources.registers import decision_systems
@@ -194,6 +193,22 @@ SELECT subject_id, table_full_name, row_id, CASE min(r) WHEN 0 THEN 'direct' WHE
  max(matched_on) AS matched_on, max(n_rows) AS n_rows FROM found GROUP BY subject_id, table_full_name, row_id""")
 add("find_subject_copies_scored", lambda s, d: _copies(s, d))
 
+
+
+def _unsearched(s: SparkSession, d: str) -> DataFrame:
+    """The lake without its gold table, and with an edge to a column that the raw people lack."""
+    known = {name: table for name, table in lake.tables(s, d).items() if not name.startswith("gold.")}
+    more = s.createDataFrame([("bronze.crm.people_raw", "nick", "silver.crm.customers", "first_name")], lake.column_edges(s).schema)
+    return unsearched_tables(load(s, d, "subjects"), known, lake.column_tags(s), lake.column_edges(s).unionByName(more), nicknames(s),
+                             primary_keys=lake.PRIMARY_KEYS, threshold=None)
+
+
+add("unsearched_tables", _unsearched, f"""{_SUBJECTS}, {_DIRECT},
+in_c AS (SELECT DISTINCT subject_id FROM d_customers), in_b AS (SELECT DISTINCT subject_id FROM d_bookings),
+named AS (SELECT DISTINCT subject_id FROM clean WHERE tag = 'class.name'), mailed AS (SELECT DISTINCT subject_id FROM clean WHERE tag = 'class.email_address')
+SELECT subject_id, 'gold.mkt.contacts' AS table_full_name, 'table not registered' AS reason FROM in_c WHERE subject_id IN (FROM named) OR subject_id IN (FROM mailed)
+UNION ALL SELECT subject_id, 'bronze.crm.people_raw', 'no such column: nick' FROM named WHERE subject_id IN (FROM in_c) OR subject_id IN (FROM in_b)""",)
+
 _MATCHES = check_ctes("match_log")
 add("case_summary", lambda s, d: se.case_summary(load(s, d, "match_log")), f"""{_MATCHES}
 SELECT subject_id, count(DISTINCT table_full_name) AS n_tables, count(DISTINCT split_part(table_full_name, '.', 1)) AS n_catalogs,
@@ -465,7 +480,7 @@ STAMPED_AT = dt.datetime(2024, 2, 1)
 
 def stamped_stream(s: SparkSession, d: str) -> DataFrame:
     """The events file as a stream, kept as one stamped row per user."""
-    work = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    work = scratch_folder(s, "stream")
     schema = s.read.parquet(f"{d}/events.parquet").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stamp_stream(stream, ["user_id"], "ts", f"{work}/table", f"{work}/checkpoint", as_of=STAMPED_AT).awaitTermination()
