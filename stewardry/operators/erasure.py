@@ -8,7 +8,7 @@ primary key, or all columns where none is declared.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stewardry.functions.durations import at, retention_days, retention_text
 from stewardry.functions.hashing import hash_row_key, hash_subject_ref, row_text
 from stewardry.operators.lifecycle import table_property
-from stewardry.session import materialise
+from stewardry.session import exists, materialise, release, scratch_folder
 
 # --- fixed values --------------------------------------------------------------------------
 RETENTION_PROPERTY = "delta.deletedFileRetentionDuration"
@@ -258,37 +258,69 @@ def run_erasure(
     keys: Mapping[str, Sequence[str]],
     kept: DataFrame,
     as_of: dt.datetime,
+    root: str | None = None,
+    write: Callable[[DataFrame, str], None] | None = None,
 ) -> dict[str, object]:
-    """Check everything, then erase only for requests of which every table passed.
+    """Check everything, erase only for requests of which every table passed, and then record what happened.
 
-    Returns ``survivors`` (per table), ``requests``, ``items`` and ``hashes``. Requests without any
-    selected row are refused.
+    Requests are recorded as PENDING first. Each table's surviving rows are written to a fresh folder below ``root``
+    (:func:`publish`); a table whose write fails stays as it was, and its items are FAILED with the error. Only
+    after the writes are items, statuses and completion times made, so the evidence never runs ahead of them.
+
+    Returns ``pending``, ``requests``, ``items``, ``hashes`` (of rows that are gone), ``paths`` of the tables to repoint,
+    and ``survivors``: each table as it stands now. Requests without any selected row are refused. Without ``root`` the
+    folders are scratch.
     """
+    spark = requests.sparkSession
     checks = materialise(dry_run(tables, selected, keys), "dryrun")
     empty = requests.join(checks, "request_id", "left_anti")
     if not empty.isEmpty():
         raise ValueError("every erasure request needs at least one selected row")
     all_ok = materialise(gate(checks), "gate")
     approved = all_ok.filter("all_ok").select("request_id")
-    items = erasure_items(checks, all_ok, kept, as_of)
+    pending = materialise(new_requests(requests, "erasure", as_of), "pending")
+    left = {name: erase(tables[name], rows, keys.get(name), approved)[0] for name, rows in selected.items()}
+    paths, errors = publish(left, root or scratch_folder(spark, "published"), write)
+    failures = spark.createDataFrame(list(errors.items()), "table_full_name string, error string")
+    items = materialise(erasure_items(checks, all_ok, kept, as_of, failures), "items")
+    gone = items.filter(F.col("execution_status") == SUCCEEDED).select("request_id", "table_full_name")
     return {
-        "survivors": {name: erase(tables[name], rows, keys.get(name), approved)[0] for name, rows in selected.items()},
-        "requests": upsert_requests(new_requests(requests, "erasure", as_of), request_status(items), as_of),
+        "survivors": {name: spark.read.schema(left[name].schema).parquet(paths[name]) if name in paths else tables[name] for name in left},
+        "pending": pending,
+        "requests": upsert_requests(pending, request_status(items), as_of),
         "items": items,
-        "hashes": row_hashes(selected).join(approved, "request_id", "left_semi"),
+        "hashes": row_hashes(selected).join(gone, ["request_id", "table_full_name"], "left_semi"),
+        "paths": paths,
     }
 
 
-def publish(survivors: Mapping[str, DataFrame], root: str) -> dict[str, str]:
-    """Write each surviving table to a fresh folder below ``root``; the caller then repoints to it.
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("errorifexists").parquet(path)
+
 
-    Overwriting in place by partition would leave a fully erased partition's old rows behind.
+def publish(
+    survivors: Mapping[str, DataFrame], root: str, write: Callable[[DataFrame, str], None] | None = None
+) -> tuple[dict[str, str], dict[str, str]]:
+    """Write each surviving table to a fresh folder below ``root``: (paths to repoint to, errors by table).
+
+    Overwriting in place by partition would leave a fully erased partition's old rows behind. One table's failure
+    does not stop the others; what it wrote is removed. A folder that is not fresh is refused before anything is
+    written.
     """
-    paths = {}
+    paths, errors = {}, {}
+    targets = {name: f"{root}/{name}" for name in survivors}
+    for name, df in survivors.items():
+        if exists(df.sparkSession, targets[name]):
+            raise FileExistsError(targets[name])
     for name, df in survivors.items():
-        paths[name] = f"{root}/{name}"
-        df.write.mode("errorifexists").parquet(paths[name])
-    return paths
+        path = targets[name]
+        try:
+            (write or _write)(df, path)
+            paths[name] = path
+        except Exception as exc:  # noqa: BLE001  whatever it was, the table was not replaced
+            errors[name] = str(exc).partition("\n")[0]
+            release(df.sparkSession, [path])
+    return paths, errors
 
 
 # ---- restore -----------------------------------------------------------------------------------

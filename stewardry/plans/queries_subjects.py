@@ -261,10 +261,17 @@ def _retention(s: SparkSession) -> DataFrame:
     return er.retention(props)
 
 
-def _erasure(s: SparkSession, d: str) -> dict:
+def _erasure(s: SparkSession, d: str, write=None) -> dict:
     requests = load(s, d, "selected_customers").select(
         "request_id", F.col("email").alias("subject_ref"), F.lit("steward").alias("requested_by"), F.lit("Art. 17").alias("legal_basis"))
-    return er.run_erasure(requests, erased_tables(s, d), selected(s, d), lake.PRIMARY_KEYS, _retention(s), ERASED_AT)
+    return er.run_erasure(requests, erased_tables(s, d), selected(s, d), lake.PRIMARY_KEYS, _retention(s), ERASED_AT, write=write)
+
+
+def _failing(df: DataFrame, path: str) -> None:
+    """A write that cannot replace the customers."""
+    if path.endswith("customers"):
+        raise OSError("no space left")
+    df.write.parquet(path)
 
 
 _NOT_SET = "7 days (default — not explicitly set)"
@@ -294,6 +301,18 @@ add("erasure_requests", lambda s, d: _erasure(s, d)["requests"], f"""{_CHECKED}
 SELECT request_id, sha256(concat('sar-erasure-v1:', lower(email))) AS subject_ref_hash, 'steward' AS requested_by, 'Art. 17' AS legal_basis,
  TIMESTAMP '2002-01-01 09:30:00' AS requested_at, CASE WHEN all_ok THEN 'COMPLETED' ELSE 'ABORTED' END AS status, TIMESTAMP '2002-01-01 09:30:00' AS completed_at
 FROM selected_customers JOIN gates USING (request_id)""")
+add("erasure_requests_pending", lambda s, d: _erasure(s, d)["pending"], f"""{_CHECKED}
+SELECT request_id, sha256(concat('sar-erasure-v1:', lower(email))) AS subject_ref_hash, 'steward' AS requested_by, 'Art. 17' AS legal_basis,
+ TIMESTAMP '2002-01-01 09:30:00' AS requested_at, 'PENDING' AS status, CAST(NULL AS TIMESTAMP) AS completed_at FROM selected_customers""")
+_FAILED = f"""{_CHECKED}, {_ITEMS}, failed AS (SELECT * REPLACE (
+ CASE WHEN execution_status = 'SUCCEEDED' AND table_full_name LIKE '%customers' THEN 0 ELSE rows_deleted END AS rows_deleted,
+ CASE WHEN execution_status = 'SUCCEEDED' AND table_full_name LIKE '%customers' THEN 'FAILED' ELSE execution_status END AS execution_status,
+ CASE WHEN execution_status = 'SUCCEEDED' AND table_full_name LIKE '%customers' THEN 'no space left' ELSE error_message END AS error_message) FROM items)"""
+add("erasure_items_failed", lambda s, d: _erasure(s, d, _failing)["items"], f"{_FAILED} SELECT * FROM failed")
+add("erasure_requests_failed", lambda s, d: _erasure(s, d, _failing)["requests"].select("request_id", "status", "completed_at"), f"""{_FAILED}
+SELECT request_id, CASE WHEN bool_or(execution_status = 'ABORTED') THEN 'ABORTED' WHEN bool_and(execution_status = 'FAILED') THEN 'FAILED' ELSE 'PARTIAL' END AS status,
+ TIMESTAMP '2002-01-01 09:30:00' AS completed_at FROM failed GROUP BY request_id""")
+add("erase_survivors_failed", lambda s, d: _erasure(s, d, _failing)["survivors"]["silver.crm.customers"], f"{check_ctes('customers')} SELECT * FROM customers")
 _BOOKING_HASH = f"sha256(concat('sar-erasure-row-v1:', {json_text(BOOKING_FIELDS)}))"
 add("erasure_row_hashes", lambda s, d: er.row_hashes({"silver.crm.bookings": load(s, d, "selected_bookings")}), f"""{_CHECKED}
 SELECT request_id, 'silver.crm.bookings' AS table_full_name, {_BOOKING_HASH} AS row_key_hash, n FROM sel_b""")
@@ -329,20 +348,31 @@ SELECT i.*, TIMESTAMP '2001-11-05' < estimated_purge_by AS within_window FROM er
  AND NOT EXISTS (SELECT 1 FROM restorations r WHERE r.request_id = i.request_id AND r.table_full_name = i.table_full_name AND r.execution_status = 'SUCCEEDED')""")
 
 
-def _restore(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    run = _erasure(s, d)
-    name = "silver.crm.bookings"
-    hashes = run["hashes"].filter(F.col("table_full_name") == name)
-    never = s.createDataFrame([], "request_id string, table_full_name string, execution_status string")
-    allowed = er.restorable_items(run["items"].filter(F.col("table_full_name") == name), never, ERASED_AT)
-    return er.restore_rows(run["survivors"][name], load(s, d, "bookings"), hashes, allowed)
+_DELETED_AT = {"silver.crm.customers": 23, "silver.crm.bookings": 17}
 
 
-add("restore_rows", lambda s, d: _restore(s, d)[0], f"{check_ctes('bookings')} SELECT * FROM bookings")
-add("restoration_rows", lambda s, d: er.restoration_rows(_restore(s, d)[1], _versions(s, d), "silver.crm.bookings", "steward", "objection", ERASED_AT).drop("restoration_id"), f"""{_CHECKED}
-SELECT request_id, 'silver.crm.bookings' AS table_full_name, 'steward' AS restored_by, 'objection' AS restoration_reason, CAST(NULL AS BIGINT) AS pre_delete_version,
- CAST(sum(n) AS INT) AS rows_restored, 'SUCCEEDED' AS execution_status, CAST(NULL AS VARCHAR) AS error_message, TIMESTAMP '2002-01-01 09:30:00' AS restored_at
-FROM sel_b JOIN gates USING (request_id) WHERE all_ok GROUP BY request_id""")
+def _restores(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Both erased tables put back from their snapshots, and the audit rows of the restores."""
+    run = _erasure(s, d)
+    never = s.createDataFrame([], "request_id string, table_full_name string, execution_status string")
+    items = er.restorable_items(run["items"], never, ERASED_AT)
+    commits = [(n, v, ERASED_AT + dt.timedelta(seconds=2), "DELETE") for n, v in _DELETED_AT.items()]
+    history = load(s, d, "table_history").unionByName(s.createDataFrame(commits, load(s, d, "table_history").schema))
+    versions = er.pre_delete_version(items.select("request_id", "table_full_name", "executed_at"), history)
+    tables, rows = {}, []
+    for name in _SELECTED:
+        of_table = F.col("table_full_name") == name
+        tables[name], outcome = er.restore_rows(run["survivors"][name], load(s, d, lake.TABLES[name]), run["hashes"].filter(of_table), items.filter(of_table))
+        rows.append(er.restoration_rows(outcome, versions, name, "steward", "objection", ERASED_AT).drop("restoration_id"))
+    return tables, rows[0].unionByName(rows[1])
+
+
+add("restore_rows", lambda s, d: _restores(s, d)[0]["silver.crm.bookings"], f"{check_ctes('bookings')} SELECT * FROM bookings")
+add("restore_rows_by_key", lambda s, d: _restores(s, d)[0]["silver.crm.customers"], f"{check_ctes('customers')} SELECT * FROM customers")
+add("restoration_rows", lambda s, d: _restores(s, d)[1], f"""{_CHECKED}
+SELECT request_id, table_full_name, 'steward' AS restored_by, 'objection' AS restoration_reason, CAST(CASE WHEN table_full_name LIKE '%bookings' THEN 16 ELSE 22 END AS BIGINT) AS pre_delete_version,
+ CAST(rows_selected AS INT) AS rows_restored, 'SUCCEEDED' AS execution_status, CAST(NULL AS VARCHAR) AS error_message, TIMESTAMP '2002-01-01 09:30:00' AS restored_at
+FROM checks JOIN gates USING (request_id) WHERE all_ok""")
 add("erasure_requests_list", lambda s, d: er.newest_requests(load(s, d, "erasure_requests")), f"{check_ctes('erasure_requests')} SELECT * FROM erasure_requests ORDER BY requested_at DESC, request_id")
 add("erasure_items_list", lambda s, d: er.items_of(load(s, d, "erasure_items"), None, "executed_at"), f"{check_ctes('erasure_items')} SELECT * FROM erasure_items ORDER BY request_id, executed_at")
 add("restorations_list", lambda s, d: er.items_of(load(s, d, "restorations"), None, "restored_at"), f"{check_ctes('restorations')} SELECT * FROM restorations ORDER BY request_id, restored_at")

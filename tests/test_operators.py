@@ -289,7 +289,8 @@ def test_erasing_by_key_is_null_safe_and_refuses_empty_requests(spark):
 
 def test_publish_writes_a_fresh_folder(spark, tmp_path):
     df = spark.createDataFrame(ROWS, COLUMNS)
-    paths = er.publish({"silver.s.t": df}, str(tmp_path / "v1"))
+    paths, errors = er.publish({"silver.s.t": df}, str(tmp_path / "v1"))
+    assert not errors
     assert bag(spark.read.parquet(paths["silver.s.t"])) == Counter(ROWS)
     with pytest.raises(Exception):
         er.publish({"silver.s.t": df}, str(tmp_path / "v1"))
