@@ -11,6 +11,7 @@ from stewardry.functions import hashing, masks
 from stewardry.functions.durations import relative_time, sla_minutes
 from stewardry.operators import audit, lifecycle as lc, lineage as ln, policies as po
 from stewardry.plans import lake
+from stewardry.session import scratch_folder
 from stewardry.sources.derived import check_ctes, load, nested_audit_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,6 +231,17 @@ add("freshness_metrics", cat_metrics, f"{_CAT}, {_FM} SELECT * FROM fm")
 add("freshness_metrics_lake", _lake_freshness, _LAKE + " " + " UNION ALL ".join(
     f"SELECT '{n}' AS full_table_name, max(_updated_at) AS max_updated_at, '{sla}' AS freshness_sla, CAST({m} AS INT) AS freshness_sla_minutes, CAST(NULL AS VARCHAR) AS error FROM {t}"
     for (n, t), (sla, m) in zip(lake.TABLES.items(), (("4h", 240), ("7d", 10080), ("bad", 1440), ("1d", 1440)))))
+
+
+def _freshness_table(s: SparkSession, d: str) -> DataFrame:
+    """The metrics table, written from part of the catalog and then replaced by the whole."""
+    path = scratch_folder(s, "freshness")
+    lc.write_metrics(cat_metrics(s, d).filter("error IS NULL"), path)
+    lc.write_metrics(cat_metrics(s, d), path)
+    return s.read.parquet(path)
+
+
+add("freshness_table", _freshness_table, f"{_CAT}, {_FM} SELECT * FROM fm")
 add("structural_compliance", lambda s, d: lc.structural_compliance(load(s, d, "cat_tables"), load(s, d, "cat_columns")), f"{_CAT}, {_SC} SELECT * FROM sc")
 add("retention_compliance", cat_compliance, f"{RC_CTES} SELECT * FROM rc")
 add("problems_first", lambda s, d: lc.problems_first(cat_compliance(s, d)).select("full_table_name", "sla_status"), f"""{RC_CTES}

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stewardry.functions.fuzzy import fuzzy_score
 from stewardry.functions.normalise import HONORIFICS, norm_name, norm_phone, norm_postcode
 from stewardry.operators import disclosure as di, erasure as er, reports as rp, search as se
 from stewardry.plans import lake
@@ -159,6 +160,19 @@ SELECT subject_id, 'silver.crm.customers' AS table_full_name, row_id, count(*) A
 UNION ALL SELECT subject_id, 'silver.crm.bookings', row_id, count(*) FROM hits_bookings WHERE tag = '{_tag}' GROUP BY ALL""")
 add("search_tables", lambda s, d: _search(s, d, threshold=None).drop("score"), f"{_SUBJECTS}, {_DIRECT} SELECT subject_id, table_full_name, row_id, n_rows, matched_on FROM direct")
 add("fuzzy_matches", lambda s, d: _search(s, d))
+add("preselected_log", lambda s, d: load(s, d, "match_log").withColumn("preselected", se.preselected()),
+    f"{check_ctes('match_log')} SELECT *, score IS NULL OR score >= 90 AS preselected FROM match_log")
+
+
+def _fuzzy_scores(s: SparkSession, d: str) -> DataFrame:
+    """Scores with a closed form: an equal name, one with its words turned round, and no text at all."""
+    whole, turned = F.concat_ws(" ", "first_name", "last_name"), F.concat_ws(" ", "last_name", "first_name")
+    texts = {"same": F.array(whole), "turned": F.array(F.lit(""), turned), "nothing": F.array(F.lit(""))}
+    return load(s, d, "people").select("cust_id", *[fuzzy_score(whole, t).alias(name) for name, t in texts.items()])
+
+
+add("fuzzy_scores", _fuzzy_scores,
+    f"{_PEOPLE} SELECT cust_id, 100.0::DOUBLE AS same, 95.0::DOUBLE AS turned, 0.0::DOUBLE AS nothing FROM people")
 add("preselected", lambda s, d: _search(s, d).withColumn("preselected", se.preselected()))
 
 
@@ -509,14 +523,20 @@ STAMPED_AT = dt.datetime(2024, 2, 1)
 
 
 def stamped_stream(s: SparkSession, d: str) -> DataFrame:
-    """The events file as a stream, kept as one stamped row per user."""
+    """The events in three files by day, streamed one file at a time and kept as one stamped row per user."""
     work = scratch_folder(s, "stream")
-    schema = s.read.parquet(f"{d}/events.parquet").schema
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    stamp_stream(stream, ["user_id"], "ts", f"{work}/table", f"{work}/checkpoint", as_of=STAMPED_AT).awaitTermination()
+    events = load(s, d, "events")
+    day = F.dayofmonth("ts")
+    for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    clock = lambda batch: STAMPED_AT + dt.timedelta(days=batch)
+    stamp_stream(stream, ["user_id"], "ts", f"{work}/table", f"{work}/checkpoint", as_of=clock).awaitTermination()
     table = read_latest(s, f"{work}/table")
     return table.select("user_id", "ts", "event_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("_inserted_at", "_updated_at", "_delete_at")])
 
 
-add("stamped_stream", stamped_stream, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-SELECT user_id, ts, event_id, TIMESTAMP '2024-02-01' AS _inserted_at, TIMESTAMP '2024-02-01' AS _updated_at, TIMESTAMP '2024-02-01' + INTERVAL 2555 DAY AS _delete_at FROM r WHERE rn = 1""")
+add("stamped_stream", stamped_stream, """WITH p AS (SELECT *, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END AS part FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, min(part) OVER (PARTITION BY user_id) AS first_part FROM p)
+SELECT user_id, ts, event_id, TIMESTAMP '2024-02-01' + to_days(first_part) AS _inserted_at, TIMESTAMP '2024-02-01' + to_days(part) AS _updated_at,
+ TIMESTAMP '2024-02-01' + to_days(part) + INTERVAL 2555 DAY AS _delete_at FROM r WHERE rn = 1""")

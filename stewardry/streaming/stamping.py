@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +14,9 @@ from stewardry.functions.durations import at
 RETENTION_DAYS = 365 * 7
 # -------------------------------------------------------------------------------------------
 
+#: Folders of a merged table.
+BUCKETS = 16
+
 
 def stamp(df: DataFrame, as_of: dt.datetime | None = None, retention_days: int = RETENTION_DAYS) -> DataFrame:
     """Add the three platform columns to new rows; works on streams and batches."""
@@ -46,6 +49,22 @@ def merge_stamped(current: DataFrame, batch: DataFrame, keys: Sequence[str]) ->
     return merged.select(*keys, *picked)
 
 
+def _buckets(spark, root: str, below: int | None = None) -> dict[str, list[tuple[int, str]]]:
+    """Bucket to its written versions ``(batch, path)``, oldest first, of batches before ``below``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[tuple[int, str]]] = {}
+    for version in fs.listStatus(at(root)) if fs.exists(at(root)) else ():
+        path, batch = version.getPath().toString(), version.getPath().getName()[1:]
+        if not batch.isdigit() or (below is not None and int(batch) >= below) or not fs.exists(at(f"{path}/_SUCCESS")):
+            continue
+        for part in fs.listStatus(at(path)):
+            name = part.getPath().getName()
+            if name.startswith("bucket="):
+                found.setdefault(name, []).append((int(batch), part.getPath().toString()))
+    return {name: sorted(versions) for name, versions in found.items()}
+
+
 def stamp_stream(
     stream: DataFrame,
     keys: Sequence[str],
@@ -53,19 +72,30 @@ def stamp_stream(
     root: str,
     checkpoint: str,
     retention_days: int = RETENTION_DAYS,
-    as_of: dt.datetime | None = None,
+    as_of: dt.datetime | Callable[[int], dt.datetime] | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Stamp a stream and keep the merged table in versioned folders below ``root``.
+    """Stamp a stream and keep the merged table in ``buckets`` folders by key hash below ``root``.
 
-    Each micro-batch writes version ``batch`` from the version before it, so a batch that is run
-    again after a failure gives the same result.
+    A micro-batch rewrites only the buckets that its keys fall into, from their versions before it, so a batch that
+    is run again after a failure gives the same result. A bucket's versions before the last two are then deleted:
+    no batch reads them any more. ``as_of`` may give the time of each batch.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = stamp(latest_per_key(batch, keys, order), as_of, retention_days)
-        if batch_id > 0:
-            fresh = merge_stamped(spark.read.parquet(f"{root}/v{batch_id - 1}"), fresh, keys)
-        fresh.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        now = as_of(batch_id) if callable(as_of) else as_of
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        fresh = stamp(latest_per_key(batch, keys, order), now, retention_days)
+        touched = {f"bucket={r.bucket}" for r in fresh.select(bucket.alias("bucket")).distinct().collect()}  # ``buckets`` at most
+        before = [versions[-1][1] for name, versions in _buckets(spark, root, batch_id).items() if name in touched]
+        if before:
+            fresh = merge_stamped(spark.read.schema(fresh.schema).parquet(*before), fresh, keys)
+        fresh.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v{batch_id}")
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        for versions in _buckets(spark, root, batch_id + 1).values():
+            for _, path in versions[:-2]:
+                fs.delete(at(path), True)
 
     return (
         stream.writeStream.foreachBatch(merge)
@@ -76,11 +106,8 @@ def stamp_stream(
 
 
 def read_latest(spark, root: str) -> DataFrame:
-    """The newest version below ``root``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [int(v[1:]) for v in versions if v.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{v}/_SUCCESS"))]
-    if not done:
+    """The newest version of every bucket below ``root``."""
+    paths = [versions[-1][1] for versions in _buckets(spark, root).values()]
+    if not paths:
         raise FileNotFoundError(root)
-    return spark.read.parquet(f"{root}/v{max(done)}")
+    return spark.read.parquet(*paths)
