@@ -70,6 +70,7 @@ def main() -> None:
         "queries": seconds,
         "sf": sf_dir.rsplit("sf", 1)[-1].strip("/"),
         "cpus": cpus,
+        "runs": runs,
         "spark": spark.version,
     }
     print(json.dumps(result), flush=True)
