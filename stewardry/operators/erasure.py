@@ -63,7 +63,7 @@ def _same(columns: Sequence[str], left: DataFrame, right: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
 
 
-def merged_selection(selected: DataFrame, by: Sequence[str]) -> DataFrame:
+def merged_selection(selected: DataFrame) -> DataFrame:
     """Selected rows with their number, one provenance each.
 
     The same row reached in two ways is selected once: within one provenance, equal rows count as
@@ -96,7 +96,7 @@ def dry_run(
     parts = []
     for name, chosen in selected.items():
         by = list(keys.get(name) or row_columns(chosen))
-        merged = merged_selection(chosen, by)
+        merged = merged_selection(chosen)
         per_item = merged.groupBy("request_id").agg(
             F.sum("n").alias("rows_selected"),
             F.min_by("provenance", _provenance_rank()).alias("provenance"),
@@ -145,7 +145,7 @@ def row_hashes(selected: Mapping[str, DataFrame], purpose: str = "erasure") -> D
     The long form holds any number of rows per item, and equal rows keep their number.
     """
     parts = [
-        merged_selection(rows, row_columns(rows)).select(
+        merged_selection(rows).select(
             "request_id", F.lit(name).alias("table_full_name"),
             hash_row_key(row_text(row_columns(rows)), purpose).alias("row_key_hash"), "n",
         )
