@@ -6,9 +6,11 @@ The order here is rare first: items that blocks of documents show to be frequent
 very end. Only those prefixes are joined. Documents with equal sets are one class from the start.
 
 What is asked for is the classes that links connect, so two classes that are already connected are not compared.
-In each bucket (classes that share a prefix item) all others first meet one pivot, then more, chosen by hash; what
-is then still apart meets in full. Each pair passes the length filter (sizes), the positional filter (places of the
-shared item) and the suffix filter (item counts in equal parts of the hash range) before its sets are fetched.
+Where buckets (classes that share a prefix item) are large, all others first meet one pivot, chosen by hash; what is
+then still apart meets in full. Each pair passes the length filter (sizes), the positional filter (places of the
+shared item) and the suffix filter before its sets are fetched. The suffix filter bounds what the whole sets can
+share: within the join by 256 bits of which each item flips one, then by item counts in equal parts of the hash
+range, then by bitmaps of about two bits an item. Bits that differ are at most as many as items that do.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ PARTS = 16
 #: Rows of a frequent item are spread over so many keys until they are known to be shared.
 SPREAD = 256
 
-_ROWS = "item long, salt int, cls long, n int, place int, row_order long, row_tag int, parts array<int>"
+_ROWS = "item long, salt int, cls long, n int, place int, row_order long, row_tag int, parts array<int>, marks binary, flips array<long>"
 _ROWS_ARROW = pa.schema(
-    [("item", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int32()), ("parts", pa.list_(pa.int32()))]
+    [("item", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int32()), ("parts", pa.list_(pa.int32())), ("marks", pa.binary()), ("flips", pa.list_(pa.int64()))]
 )
 
 
@@ -66,6 +68,23 @@ def item_sets(data: np.ndarray, offsets: np.ndarray, n: int, frequent: np.ndarra
     return items[new], rows[new], rank[new]
 
 
+def bitmap(items: np.ndarray) -> bytes:
+    """One bit per hashed item, in a power of two of at least two bits an item and 64 in all."""
+    size = max(64, 1 << int(2 * len(items) - 1).bit_length()) if len(items) else 64
+    bits = np.zeros(size, np.uint8)
+    bits[(items & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the shorter one's length: at most the number of items
+    that only one of the sets has."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _count_frequent(ngram: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -115,9 +134,13 @@ def _prefixes(ngram: int, num: int, den: int, frequent):
                     cls = signed(mix(sums[starts[1:]] - sums[starts[:-1]] + n.astype(np.uint64)))
                 parts = np.bincount(rows * PARTS + (items >> np.uint64(60)).astype(np.int64), minlength=docs * PARTS)
                 lists = pa.ListArray.from_arrays(np.arange(0, docs * PARTS + 1, PARTS, dtype=np.int32), pa.array(parts, pa.int32()))
+                bit = (items >> np.uint64(56)).astype(np.int64)
+                odd = (np.bincount(rows * 256 + bit, minlength=docs * 256).reshape(docs, 256) & 1).astype(np.uint8)
+                flips = pa.ListArray.from_arrays(np.arange(0, docs * 4 + 1, 4, dtype=np.int32), pa.array(np.packbits(odd, axis=1, bitorder="little").view("<i8").ravel()))
+                marks = [bitmap(items[starts[k] : starts[k + 1]]) for k in range(docs)]
                 spread = signed(mix(orders[a:b].astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, f.type) for x, f in zip((spread, np.zeros(docs, np.int32), cls, n, np.full(docs, -1), orders[a:b], tags[a:b]), _ROWS_ARROW, strict=False)] + [lists],
+                    [pa.array(x, f.type) for x, f in zip((spread, np.zeros(docs, np.int32), cls, n, np.full(docs, -1), orders[a:b], tags[a:b]), _ROWS_ARROW, strict=False)] + [lists, pa.array(marks, pa.binary()), flips],
                     schema=_ROWS_ARROW,
                 )
                 fresh = np.zeros(docs, bool)
@@ -135,7 +158,7 @@ def _prefixes(ngram: int, num: int, den: int, frequent):
                 empty = pa.nulls(len(use), pa.list_(pa.int32()))
                 zero = np.zeros(len(use), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, f.type) for x, f in zip((signed(items[use]), salt, cls[row], n[row], place[use], zero, zero), _ROWS_ARROW, strict=False)] + [empty],
+                    [pa.array(x, f.type) for x, f in zip((signed(items[use]), salt, cls[row], n[row], place[use], zero, zero), _ROWS_ARROW, strict=False)] + [empty, pa.nulls(len(use), pa.binary()), pa.nulls(len(use), pa.list_(pa.int64()))],
                     schema=_ROWS_ARROW,
                 )
 
@@ -155,11 +178,14 @@ def _shared_rows(rows: DataFrame) -> DataFrame:
 
 
 def _may_link(num: int, den: int) -> Column:
-    """Length and positional filter for two classes that meet at one item (columns n, place and n2, place2)."""
+    """Length, positional and first suffix filter for two classes that meet at one item (columns n, place, flips and
+    n2, place2, flips2)."""
     most = F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     least = F.least("n", "n2")
     # 'most' counts the shared item too; J >= num/den means den * overlap >= num * (n + n2 - overlap).
-    return (den * least >= num * F.greatest("n", "n2")) & ((den + num) * most >= num * (F.col("n") + F.col("n2")))
+    differ = sum((F.bit_count(F.col("flips")[k].bitwiseXOR(F.col("flips2")[k])) for k in range(4)), F.lit(0))
+    total = F.col("n") + F.col("n2")
+    return (den * least >= num * F.greatest("n", "n2")) & ((den + num) * most >= num * total) & ((den + num) * differ <= (den - num) * total)
 
 
 def _needed(n: Column, num: int, den: int) -> Column:
@@ -179,25 +205,46 @@ def _sets(ngram: int):
     return sets
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes that reach the similarity: suffix filter on counts, then the sets themselves."""
-    narrow = sizes.select("cls", "n", "parts")
+def _bits_allow(num: int, den: int):
+    """Pairs whose bitmaps leave the similarity possible: at most ``n + n2 - 2 * overlap`` items may differ."""
+
+    def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, n2 = (batch.column(k).to_numpy() for k in range(4))
+            differ = np.array([differing_bits(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            total = n.astype(np.int64) + n2
+            ok = pa.array((den + num) * (total - differ) >= 2 * num * total)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in range(4)], names=["a", "b", "n", "n2"])
+
+    return allow
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes that reach the similarity: suffix filter, then the sets of what is left."""
+    narrow = classes.select("cls", "n", "parts")
     pairs = pairs.join(narrow.toDF("a", "n", "parts"), "a").join(narrow.toDF("b", "n2", "parts2"), "b")
     most = F.aggregate(F.zip_with("parts", "parts2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     pairs = pairs.filter((den + num) * most >= num * (F.col("n") + F.col("n2"))).select("a", "b", "n", "n2")
-    met = pairs.join(sets.toDF("a", "items"), "a").join(sets.toDF("b", "items2"), "b")
+    marks = classes.select("cls", "marks")
+    met = pairs.join(marks.toDF("a", "marks"), "a").join(marks.toDF("b", "marks2"), "b").select("a", "b", "n", "n2", "marks", "marks2")
+    met = materialise(met.mapInArrow(_bits_allow(num, den), "a long, b long, n int, n2 int"), "pairs")
+    needed = met.select(F.col("a").alias("cls")).union(met.select("b")).distinct()
+    chosen = materialise(needed.join(classes.select("cls", "row_order", "row_tag"), "cls"), "chosen")
+    texts = docs.join(chosen, ["row_order", "row_tag"]).select("cls", "text")
+    sets = materialise(texts.mapInArrow(_sets(ngram), "cls long, items array<long>"), "sets")
+    met = met.join(sets.toDF("a", "items"), "a").join(sets.toDF("b", "items2"), "b")
     overlap = F.size(F.array_intersect("items", "items2"))
-    return met.filter((den + num) * overlap >= num * (F.col("n") + F.col("n2"))).select("a", "b")
+    return met.filter((den + num) * overlap >= num * (F.col("n") + F.col("n2"))).select("a", "b").distinct()
 
 
-def _linked_classes(shared: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
+def _linked_classes(shared: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame | None:
     """``node, component`` of linked classes; None if no two are linked."""
     links: DataFrame | None = None
     named: DataFrame | None = None
     members = int(shared.count())
     if not members:
         return None
-    pivots = 1
+    first = True
     while True:
         rows = shared.withColumn("group", F.col("cls"))
         if named is not None:
@@ -207,30 +254,30 @@ def _linked_classes(shared: DataFrame, sizes: DataFrame, sets: DataFrame, num: i
         rows = materialise(rows.join(split, "item"), "buckets")
         sizes_of = rows.groupBy("item", "group").agg(F.count("*").alias("_m"))
         left = sizes_of.groupBy("item").agg(((F.sum("_m") * F.sum("_m") - F.sum(F.col("_m") * F.col("_m"))) / 2).alias("_pairs")).agg(F.sum("_pairs")).first()[0] or 0
-        last = left <= 2 * members or pivots > 4096
+        last = not first or left <= 4 * members
         if not left:
             break
         if last:
-            other = rows.select("item", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "place", "group")))
+            other = rows.select("item", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "place", "flips", "group")))
             met = rows.join(other, "item").filter((F.col("cls") < F.col("cls2")) & (F.col("group") != F.col("group2")) & _may_link(num, den))
             pairs = met.groupBy(F.col("cls").alias("a"), F.col("cls2").alias("b")).agg(F.count("*").alias("_met"), F.min(F.least("n", "n2")).alias("_n"))
             pairs = pairs.filter(F.col("_met") >= _needed(F.col("_n"), num, den)).select("a", "b")
         else:
-            turn = F.xxhash64(F.lit(pivots), "cls")
-            chosen = rows.groupBy("item", F.pmod(turn, F.lit(pivots)).alias("_part")).agg(F.min(F.struct(turn.alias("_turn"), "cls", "n", "place", "group")).alias("_p"))
-            chosen = chosen.select("item", *(F.col(f"_p.{c}").alias(f"{c}2") for c in ("cls", "n", "place", "group")))
+            turn = F.xxhash64(F.lit(1), "cls")
+            chosen = rows.groupBy("item").agg(F.min(F.struct(turn.alias("_turn"), "cls", "n", "place", "flips", "group")).alias("_p"))
+            chosen = chosen.select("item", *(F.col(f"_p.{c}").alias(f"{c}2") for c in ("cls", "n", "place", "flips", "group")))
             met = rows.join(chosen, "item").filter((F.col("group") != F.col("group2")) & _may_link(num, den))
             met = met.groupBy("cls", "cls2").agg(F.count("*").alias("_met"))
-            if pivots == 1:  # each first tries the pivot that it meets most often
-                met = met.groupBy("cls").agg(F.max(F.struct("_met", "cls2")).alias("_best")).select("cls", F.col("_best.cls2").alias("cls2"))
+            # Each tries the pivot that it meets most often.
+            met = met.groupBy("cls").agg(F.max(F.struct("_met", "cls2")).alias("_best")).select("cls", F.col("_best.cls2").alias("cls2"))
             pairs = met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
-        found = materialise(_verified(pairs, sizes, sets, num, den), "linked")
+        found = materialise(_verified(pairs, classes, docs, ngram, num, den), "linked")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             named = components(links)
         if last:
             break
-        pivots *= 8
+        first = False
     return named
 
 
@@ -259,16 +306,15 @@ def near_duplicates(
     docs = keyed(df, id_col, text_col)
     ranks = spark.sparkContext.broadcast(frequent_items(docs, ngram, frequent))  # ``frequent`` items at most
     rows = materialise(_shared_rows(docs.mapInArrow(_prefixes(ngram, num, den, ranks), _ROWS)), "prefixes")
-    documents = rows.filter("place < 0").select("row_order", "row_tag", "cls", "n", "parts")
+    documents = rows.filter("place < 0").select("row_order", "row_tag", "cls", "n")
     shared = rows.filter("place >= 0").select("item", "cls", "n", "place")
 
     enough = shared.groupBy("cls").agg(F.count("*").alias("_met"), F.first("n").alias("_n")).filter(F.col("_met") >= _needed(F.col("_n"), num, den)).select("cls")
     enough = materialise(enough, "candidates")
-    classes = documents.filter("n > 0").groupBy("cls").agg(F.min(F.struct("row_order", "row_tag")).alias("_r"), F.first("n").alias("n"), F.first("parts").alias("parts"))
-    sizes = materialise(classes.join(enough, "cls").select("cls", "n", "parts", "_r.row_order", "_r.row_tag"), "classes")
-    chosen = docs.join(sizes.select("row_order", "row_tag", "cls"), ["row_order", "row_tag"]).select("cls", "text")
-    sets = materialise(chosen.mapInArrow(_sets(ngram), "cls long, items array<long>"), "sets")
-    named = _linked_classes(materialise(shared.join(enough, "cls"), "shared"), sizes, sets, num, den)
+    one = F.min(F.struct("row_order", "row_tag", "n", "parts", "marks", "flips")).alias("_r")
+    classes = rows.filter("place < 0 AND n > 0").join(enough, "cls").groupBy("cls").agg(one)
+    classes = materialise(classes.select("cls", "_r.*"), "classes")
+    named = _linked_classes(materialise(shared.join(classes.select("cls", "flips"), "cls"), "shared"), classes, docs, ngram, num, den)
 
     group = F.when(F.col("n") > 0, F.col("cls"))
     placed = documents.withColumn("group", group)
