@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stewardry.llm import decontam, langid, line_dedup, ngram_join, packing
 from stewardry.llm.queries import tokenizer_path
-from stewardry.session import materialise
+from stewardry.session import materialise, release, scratch
 
 #: Near duplicates share four fifths of their five-word shingles at least.
 NGRAM = 5
@@ -77,7 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages. Each one's intermediate tables go when it has been written, and its rows when the next one has."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as used:
+            docs = used.keep(materialise(stage(spark, docs, sf_dir), f"stage-{name}"))
+        release(spark, before)
+        before = [docs.scratch_path]
     return docs
