@@ -4,8 +4,9 @@ A line is a repeat if a line within ``edits`` single-byte edits of it stands ear
 together by their hash first. For the distinct ones, a line of length L is cut into ``edits + 1`` segments: of two
 lines within reach, the one has at least one segment of the other whole, close to its place. Each line offers its
 own segments under (length, segment number, bytes), and looks up, for every length from its own down to ``edits``
-less, the substrings that can match a segment there. Lines that meet are verified by banded bit-parallel edit
-distance.
+less, the substrings that can match a segment there. Two lines that meet are compared by sketches first: each byte
+trigram of a line flips one of 256 bits, and an edit touches three trigrams at most, so lines within reach differ in
+``6 * edits`` bits at most. What is left is verified by banded bit-parallel edit distance.
 
 Only whether some earlier line is within reach matters, so each line first meets one earlier line of its buckets,
 the one it meets most often; those that are repeats already are not compared further, the others meet the rest.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stewardry.llm.common import bounded_batches, bytes_of, chunks, id_of, keyed, mix, prefix_hash, signed, span_hash
+from stewardry.llm.common import NULL_ORDER, bounded_batches, bytes_of, chunks, keyed, mix, prefix_hash, signed, span_hash
 from stewardry.session import materialise
 
 EDITS = 2
@@ -29,8 +30,11 @@ LEAST_BYTES = 40
 BLOCK_LINES = 200_000
 
 _LINE, _GONE, _SEGMENT, _PROBE = 0, 1, 2, 3
-_ROWS = "key long, id long, kind int, row_order long, row_tag int, line int"
-_ROWS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int32()), ("line", pa.int32())])
+_SKETCH = ["s0", "s1", "s2", "s3"]
+_ROWS = "key long, id long, kind int, row_order long, row_tag int, line int, s0 long, s1 long, s2 long, s3 long"
+_ROWS_ARROW = pa.schema(
+    [("key", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int32()), ("line", pa.int32()), *((s, pa.int64()) for s in _SKETCH)]
+)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -52,6 +56,18 @@ def trimmed_lines(data: np.ndarray, offsets: np.ndarray):
     return begin, stop, rows, line
 
 
+def sketches(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each line, 256 bits of which each byte trigram flips one, as four numbers."""
+    count = np.maximum(stop - begin - 2, 0)
+    of = np.repeat(np.arange(len(begin)), count)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + begin[of]
+    gram = (data[at].astype(np.uint64) << np.uint64(16)) | (data[at + 1].astype(np.uint64) << np.uint64(8)) | data[at + 2]
+    with np.errstate(over="ignore"):
+        bit = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64)
+    flips = np.bincount(of * 256 + bit, minlength=len(begin) * 256).reshape(-1, 256) & 1
+    return np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+
+
 def _segment(length: np.ndarray, edits: int, number: int) -> tuple[np.ndarray, np.ndarray]:
     """Place and size of a segment: as even as can be, longer ones last."""
     size, longer = length // (edits + 1), length % (edits + 1)
@@ -100,8 +116,8 @@ def _offer(edits: int, least: int):
                     continue
                 prefix = prefix_hash(part)
                 ids = signed(span_hash(prefix, begin, stop))
-                order, tag = orders[a + rows], tags[a + rows]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, ids, np.full(len(ids), _LINE), order, tag, line), _ROWS_ARROW, strict=True)], schema=_ROWS_ARROW)
+                columns = (ids, ids, np.full(len(ids), _LINE), orders[a + rows], tags[a + rows], line, *sketches(part, begin, stop).T)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), f.type) for x, f in zip(columns, _ROWS_ARROW, strict=True)], schema=_ROWS_ARROW)
                 fresh = []
                 for k, i in enumerate(ids.tolist()):  # a block offers the segments of a line once
                     if i not in seen:
@@ -112,9 +128,8 @@ def _offer(edits: int, least: int):
                 fresh = np.array(fresh, np.int64)
                 for keys, at, kind in segment_keys(prefix, begin[fresh], stop[fresh], edits):
                     none = pa.nulls(len(at), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(ids[fresh[at]]), pa.array(np.full(len(at), kind, np.int32)), none, none.cast(pa.int32()), none.cast(pa.int32())], schema=_ROWS_ARROW
-                    )
+                    place = [none, none.cast(pa.int32()), none.cast(pa.int32()), none, none, none, none]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[fresh[at]]), pa.array(np.full(len(at), kind, np.int32)), *place], schema=_ROWS_ARROW)
 
     return offer
 
@@ -190,35 +205,28 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _repeats(met: DataFrame, first: DataFrame, docs: DataFrame, edits: int) -> DataFrame | None:
     """Ids of distinct lines with an earlier line within reach; None if no two lines meet."""
     place = F.struct("row_order", "row_tag", "line").alias("first")
-    members = materialise(met.join(first.select("id", place), "id").select("key", "id", (F.col("kind") == _SEGMENT).alias("own"), "first"), "members")
-    count = members.count()
-    if not count:
+    members = met.join(first.select("id", place, F.struct(*_SKETCH).alias("sketch")), "id")
+    members = materialise(members.select("key", "id", (F.col("kind") == _SEGMENT).alias("own"), "first", "sketch"), "members")
+    if members.isEmpty():
         return None
     wanted = members.select("id", "first").distinct().groupBy("first.row_order", "first.row_tag").agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("wanted"))
     texts = docs.join(wanted, ["row_order", "row_tag"]).select("text", "wanted").mapInArrow(_line_texts, "id long, bytes binary")
     texts = materialise(texts.groupBy("id").agg(F.first("bytes").alias("bytes")), "line-texts")
-    found: DataFrame | None = None
-    parts = 1
-    while True:
-        rows = members if found is None else members.join(found, "id", "left_anti")
-        sizes = rows.groupBy("key").agg(F.count("*").alias("_n")).join(members.groupBy("key").agg(F.count("*").alias("_m")), "key")
-        last = parts > 1 and ((sizes.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0) <= 4 * count or parts > 4096)
-        if last:
-            other = members.select("key", F.col("id").alias("id2"), F.col("own").alias("own2"), F.col("first").alias("first2"))
-        else:
-            # The earliest line of each part of a bucket, and the earliest that offers a segment there.
-            pick = lambda rows: rows.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_part")).agg(F.min(F.struct("first", "id", "own")).alias("_p"))
-            chosen = pick(members).unionByName(pick(members.filter("own"))).distinct()
-            other = chosen.select("key", F.col("_p.id").alias("id2"), F.col("_p.own").alias("own2"), F.col("_p.first").alias("first2"))
-        pairs = rows.join(other, "key").filter("id != id2 AND first2 < first AND (own OR own2)").groupBy("id", "id2").agg(F.count("*").alias("_met"))
-        if parts == 1:
-            pairs = pairs.groupBy("id").agg(F.max(F.struct("_met", "id2")).alias("_best")).select("id", F.col("_best.id2").alias("id2"))
+    others = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "own", "first", "sketch")))
+    differ = sum((F.bit_count(F.col(f"sketch.{s}").bitwiseXOR(F.col(f"sketch2.{s}"))) for s in _SKETCH), F.lit(0))
+    in_reach = F.expr("id != id2 AND first2 < first AND (own OR own2)") & (differ <= 6 * edits)
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.select("id", "id2").join(texts, "id").join(texts.toDF("id2", "bytes2"), "id2").select("id", "bytes", "bytes2")
-        more = materialise(both.mapInArrow(_verify(edits), "id long").distinct(), "repeats")
-        found = more if found is None else found.unionByName(more)
-        if last:
-            return found.distinct()
-        parts *= 16
+        return materialise(both.mapInArrow(_verify(edits), "id long").distinct(), "repeats")
+
+    # The earliest line of each bucket, and the earliest that offers a segment there.
+    pick = lambda rows: rows.groupBy("key").agg(F.min(F.struct("first", "id", "own", "sketch")).alias("_p"))
+    earliest = pick(members).unionByName(pick(members.filter("own"))).distinct().select("key", *(F.col(f"_p.{c}").alias(f"{c}2") for c in ("id", "own", "first", "sketch")))
+    met_first = members.join(earliest, "key").filter(in_reach).groupBy("id", "id2").agg(F.count("*").alias("_met"))
+    found = verified(met_first.groupBy("id").agg(F.max(F.struct("_met", "id2")).alias("_best")).select("id", F.col("_best.id2").alias("id2")))
+    rest = members.join(found, "id", "left_anti").join(others, "key").filter(in_reach).select("id", "id2").distinct()
+    return found.unionByName(verified(rest)).distinct()
 
 
 def gone_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -240,7 +248,7 @@ def gone_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     again = F.col("_before").isNotNull() & (F.col("kind") == _LINE)
     same = F.col("_before") == F.struct("id", "kind", "row_order", "row_tag", "line")
     rows = rows.filter(F.when(F.col("kind") == _LINE, ~F.coalesce(same, F.lit(False))).otherwise((F.col("_low") != F.col("_high")) & F.col("_own")))
-    rows = rows.withColumn("kind", F.when(again, F.lit(_GONE)).otherwise(F.col("kind"))).select("key", "id", "kind", "row_order", "row_tag", "line")
+    rows = rows.withColumn("kind", F.when(again, F.lit(_GONE)).otherwise(F.col("kind"))).drop("_before", "_low", "_high", "_own")
     rows = materialise(rows, "lines")
     met = rows.filter(F.col("kind").isin(_SEGMENT, _PROBE)).select("key", "id", "kind").distinct()
     first = rows.filter(F.col("kind") == _LINE)
@@ -280,7 +288,7 @@ def drop_repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     lines = gone.groupBy("row_order", "row_tag").agg(F.collect_set("line").alias("_gone"))  # bounded by the text
     columns = [F.col(id_col).alias("_id"), *(F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)), F.col(text_col).cast("string").alias("_text")]
     docs = df.select(*columns)
-    docs = docs.withColumn("row_order", F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63)))).withColumn("row_tag", F.xxhash64(F.coalesce("_text", F.lit(""))).bitwiseAND(0xFFFFFF).cast("int"))
+    docs = docs.withColumn("row_order", F.coalesce(F.col("_id").cast("long"), F.lit(NULL_ORDER))).withColumn("row_tag", F.xxhash64(F.coalesce("_text", F.lit(""))).bitwiseAND(0xFFFFFF).cast("int"))
     kept = docs.join(lines, ["row_order", "row_tag"], "left").select("_id", *(f"_keep{k}" for k in range(len(keep))), "_text", "_gone")
     schema = kept.drop("_text", "_gone").schema.add("kept", "string").add("n_lines", "long").add("n_gone", "long")
     return kept.mapInArrow(_without, schema).toDF(id_col, *keep, "kept", "n_lines", "n_gone")
