@@ -7,9 +7,11 @@ with the first place where the parse uses it; on repetitive text it is far small
 
 * A later use of a phrase is removed whole: all its windows also start earlier.
 * The first use of a phrase is new unless another phrase has the same trigger. Only then can some of its windows
-  occur elsewhere, and the suffixes of those phrases are put in order, cut at WINDOW bytes, by doubling ranks.
-  Windows of equal rank, over all blocks of phrases, are one run of the corpus order, and all but the earliest of a
-  run are removed.
+  occur elsewhere. The windows are sorted into CONTEXTS classes by how far ahead of the trigger they begin; all of a
+  class hold the same bytes around the trigger, so a class whose bytes no other phrase has is new too.
+* The suffixes of the phrases that are left are put in order, cut at WINDOW bytes, by doubling ranks. Windows of
+  equal rank, over all blocks of phrases, are one run of the corpus order, and all but the earliest of a run are
+  removed.
 
 Each step first works within a block of rows in a task, so a key that many rows share reaches the shuffle once
 per block, and what follows the shuffle streams through sorted rows and holds one of them.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stewardry.llm.common import CHUNK_BYTES, bounded_batches, bytes_of, chunks, id_of, keyed, mix, prefix_hash, signed, span_hash
@@ -36,7 +38,11 @@ BLOCK_PHRASES = 1_000_000
 #: Bytes of phrases whose suffixes are put in order together, about.
 BLOCK_BYTES = 8 << 20
 
-_NEW, _GONE = 0, 1  # a phrase's first use in a block; windows known to start earlier
+#: Classes of a phrase's windows.
+CONTEXTS = 4
+
+#: State of windows known to start earlier; else it is how far behind a phrase's start its trigger stands.
+_GONE = -1
 _USES = "key long, other long, row_order long, row_tag int, start int, windows int, state int"
 _NAMES = ["key", "other", "row_order", "row_tag", "start", "windows", "state"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
@@ -54,10 +60,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, kmer: int = KMER):
-    """Trigger hash, phrase hash, row, start within the row and windows of each phrase. ``offsets`` start at 0."""
+    """Trigger hash, phrase hash, row, start within the row, windows and trigger's place behind the start of each
+    phrase. ``offsets`` start at 0."""
     none = np.zeros(0, np.int64)
     if len(data) < window:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
     prefix = prefix_hash(data)
     at = np.arange(len(data) - kmer + 1)
     hashes = span_hash(prefix, at, at + kmer)
@@ -73,7 +80,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, kmer: i
     # A phrase also ends where windows stop being whole.
     counted = np.concatenate([[0], np.cumsum(whole)])
     windows = counted[ends] - counted[starts]
-    return hashes[trigger[starts]], span_hash(prefix, starts, starts + windows + window - 1), rows[starts], starts - offsets[rows[starts]], windows
+    return hashes[trigger[starts]], span_hash(prefix, starts, starts + windows + window - 1), rows[starts], starts - offsets[rows[starts]], windows, trigger[starts] - starts
 
 
 def _segments(offsets: np.ndarray, window: int) -> Iterator[tuple[int, int, int, int]]:
@@ -103,12 +110,12 @@ def _last(block: list[np.ndarray], before: tuple[int, ...] | None) -> tuple[int,
 
 
 def _first_uses(block: list[np.ndarray]) -> list[np.ndarray]:
-    """Leave the first row of each (key, other) new and mark the others gone."""
+    """Leave the first row of each (key, other) as it is and mark the others gone."""
     order = np.lexsort((block[4], block[3], block[2], block[1], block[0]))
     block = _distinct([x[order] for x in block])
     again = np.zeros(len(block[0]), bool)
     again[1:] = (block[0][1:] == block[0][:-1]) & (block[1][1:] == block[1][:-1])
-    return [*block, np.where(again, _GONE, _NEW).astype(np.int32)]
+    return [*block[:6], np.where(again, _GONE, block[6]).astype(np.int32)]
 
 
 def _joined(block: list[np.ndarray]) -> list[np.ndarray]:
@@ -152,9 +159,9 @@ def _parse(window: int, kmer: int):
             data, offsets = bytes_of(batch.column(2))
             for a, b, begin, end in _segments(offsets, window):
                 offs = np.clip(offsets[a : b + 1], begin, end) - begin
-                key, phrase, rows, starts, windows = phrases(data[begin:end], offs, window, kmer)
+                key, phrase, rows, starts, windows, behind = phrases(data[begin:end], offs, window, kmer)
                 shift = begin - offsets[a] if b - a == 1 else 0
-                held.append([signed(key), signed(phrase), orders[a + rows], tags[a + rows], (starts + shift).astype(np.int32), windows.astype(np.int32)])
+                held.append([signed(key), signed(phrase), orders[a + rows], tags[a + rows], (starts + shift).astype(np.int32), windows.astype(np.int32), behind.astype(np.int32)])
             if sum(len(x[0]) for x in held) >= BLOCK_PHRASES:
                 yield from flush()
         yield from flush()
@@ -226,11 +233,82 @@ def suffix_ranks(data: np.ndarray, places: np.ndarray, window: int = WINDOW) ->
     return _pair_ranks(ranks[places], ranks[places + window - width])
 
 
+_PIECES = "row_order long, row_tag int, start int, windows int, behind int, bytes binary"
+
+
+def _pieces(window: int):
+    """Rows (order, tag, text, phrases) to the bytes of those phrases."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            data, offsets = bytes_of(batch.column(2))
+            out: list[list] = [[], [], [], [], [], []]
+            for k, uses in enumerate(batch.column(3).to_pylist()):
+                for u in uses:
+                    at = int(offsets[k]) + u["start"]
+                    for column, value in zip(out, (orders[k], tags[k], u["start"], u["windows"], u["state"], data[at : at + u["windows"] + window - 1].tobytes()), strict=True):
+                        column.append(value)
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row_order", "row_tag", "start", "windows", "behind", "bytes"])
+
+    return pieces
+
+
+def _contexts(window: int, kmer: int):
+    """Pieces to one row per class of their windows: the hash of the bytes that all windows of the class hold.
+
+    What a batch shows to be shared is known; one of its rows goes on under the hash alone, so that other batches
+    see it, and the others are spread.
+    """
+    step = -(-(window - kmer + 1) // CONTEXTS)
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order, tag, start, windows, behind = (batch.column(k).to_numpy() for k in range(5))
+            data, place = bytes_of(batch.column(5))
+            prefix = prefix_hash(data)
+            rows: list[list[np.ndarray]] = []
+            for c in range(CONTEXTS):
+                low, high = c * step, c * step + step - 1
+                first, last = np.maximum(0, behind - high), np.minimum(windows - 1, behind - low)
+                at = np.flatnonzero(first <= last)
+                trigger = place[at] + behind[at]
+                ends = np.minimum(trigger + window - high, len(data))
+                key = mix(span_hash(prefix, trigger - low, np.maximum(ends, trigger - low)) + np.uint64(c))
+                rows.append([signed(key), order[at], tag[at], start[at], first[at], (last - first + 1)[at]])
+            key, order, tag, start, first, count = (np.concatenate(x) for x in zip(*rows, strict=True))
+            by = np.lexsort((start, tag, order, key))
+            key, order, tag, start, first, count = (x[by] for x in (key, order, tag, start, first, count))
+            new_key = np.ones(len(key), bool)
+            new_key[1:] = key[1:] != key[:-1]
+            new = new_key.copy()  # not a repeated document's
+            new[1:] |= (order[1:] != order[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1])
+            group = np.cumsum(new_key) - 1
+            known = (np.bincount(group[new], minlength=group[-1] + 1 if len(group) else 0) > 1)[group]
+            salt = np.where(new_key, 0, 1 + np.arange(len(key)) % 1024)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (key[new], salt[new].astype(np.int32), known[new], order[new], tag[new], start[new], first[new].astype(np.int32), count[new].astype(np.int32))],
+                names=["key", "salt", "known", "row_order", "row_tag", "start", "first", "count"],
+            )
+
+    return contexts
+
+
+def _shared_contexts(pieces: DataFrame, window: int, kmer: int) -> DataFrame:
+    """Classes whose bytes another phrase has: ``row_order, row_tag, start, classes``."""
+    rows = pieces.mapInArrow(_contexts(window, kmer), "key long, salt int, known boolean, row_order long, row_tag int, start int, first int, count int")
+    place, key = F.struct("row_order", "row_tag", "start"), Window.partitionBy("key", "salt")
+    shared = F.col("known") | (F.min(place).over(key) != F.max(place).over(key)) | F.max("known").over(key)
+    found = rows.withColumn("_shared", shared).filter("_shared")
+    return found.groupBy("row_order", "row_tag", "start").agg(F.collect_set(F.struct("first", "count")).alias("classes"))  # CONTEXTS at most
+
+
 def _suffix_runs(window: int):
-    """Rows (order, tag, text, phrases to compare) to the earliest window of each run of a block, and gone ones."""
+    """Rows (order, tag, start, bytes, classes) to the earliest window of each run of a block, and gone ones."""
 
     def order_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[np.ndarray] = []
+        texts: list[bytes] = []
         held: list[list[np.ndarray]] = []
         size = 0
 
@@ -238,7 +316,7 @@ def _suffix_runs(window: int):
             nonlocal size
             if not held:
                 return
-            data = np.concatenate(texts)
+            data = np.frombuffer(b"".join(texts), np.uint8)
             place, order, tag, start = (np.concatenate(x) for x in zip(*held, strict=True))
             texts.clear(), held.clear()
             size = 0
@@ -250,24 +328,18 @@ def _suffix_runs(window: int):
             ahead, behind = prefix_hash(data), prefix_hash(data[::-1])
             key = span_hash(ahead, place, place + window)
             other = span_hash(behind, len(data) - place - window, len(data) - place)  # read backwards: a second hash
-            block = [signed(key), signed(other), order, tag, start, np.ones(len(rank), np.int32), np.where(again, _GONE, _NEW).astype(np.int32)]
+            block = [signed(key), signed(other), order, tag, start, np.ones(len(rank), np.int32), np.where(again, _GONE, 0).astype(np.int32)]
             yield _record(_joined(block))
 
         for batch in batches:
-            orders, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offsets = bytes_of(batch.column(2))
-            uses = batch.column(3)
-            parts, fields = uses.flatten(), uses.offsets.to_numpy()
-            starts, counts = parts.field("start").to_numpy(), parts.field("windows").to_numpy()
-            base = fields[0]
-            for k in range(len(orders)):
-                mine = slice(fields[k] - base, fields[k + 1] - base)
-                for s, n in zip(starts[mine].tolist(), counts[mine].tolist(), strict=True):
-                    texts.append(data[offsets[k] + s : offsets[k] + s + n + window - 1])
-                    held.append([size + np.arange(n), np.full(n, orders[k]), np.full(n, tags[k], np.int32), np.arange(s, s + n, dtype=np.int32)])
-                    size += n + window - 1
-                    if size >= BLOCK_BYTES:
-                        yield from flush()
+            columns = (batch.column(k).to_pylist() for k in range(5))
+            for order, tag, start, text, classes in zip(*columns, strict=True):
+                texts.append(text)
+                at = np.concatenate([np.arange(c["first"], c["first"] + c["count"]) for c in classes])
+                held.append([size + at, np.full(len(at), order), np.full(len(at), tag, np.int32), (start + at).astype(np.int32)])
+                size += len(text)
+                if size >= BLOCK_BYTES:
+                    yield from flush()
         yield from flush()
 
     return order_suffixes
@@ -350,10 +422,13 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(df.sparkSession)
     docs = keyed(df, id_col, text_col)
     uses = docs.filter(F.octet_length("text") >= window).mapInArrow(_parse(window, kmer), _USES)
-    # One entity per id and tag: a repeated row would be its own earlier copy.
     phrase_rows = materialise(_sorted_pass(uses, _shared_triggers), "phrases")
-    compared = _by_row(phrase_rows.filter(F.col("state") == _NEW).select("row_order", "row_tag", "start", "windows").distinct(), "uses")
-    windows = docs.join(compared, ["row_order", "row_tag"]).select("row_order", "row_tag", "text", "uses").mapInArrow(_suffix_runs(window), _USES)
+    opened = phrase_rows.filter(F.col("state") != _GONE).select("row_order", "row_tag", F.struct("start", "windows", "state").alias("use"))
+    opened = opened.groupBy("row_order", "row_tag").agg(F.collect_set("use").alias("uses"))  # bounded by the text
+    pieces = docs.join(opened, ["row_order", "row_tag"]).select("row_order", "row_tag", "text", "uses").mapInArrow(_pieces(window), _PIECES)
+    pieces = materialise(pieces, "pieces")
+    compared = pieces.join(_shared_contexts(pieces, window, kmer), ["row_order", "row_tag", "start"])
+    windows = compared.select("row_order", "row_tag", "start", "bytes", "classes").mapInArrow(_suffix_runs(window), _USES)
     later = materialise(_sorted_pass(windows, _later_windows), "windows")
     gone = phrase_rows.filter(F.col("state") == _GONE).unionByName(later)
     rows = docs.join(_by_row(gone, "gone"), ["row_order", "row_tag"], "left")

@@ -51,7 +51,7 @@ def test_suffix_dedup_other_windows_and_small_blocks(spark, odd, monkeypatch):
 def test_phrases_cover_each_window_once(texts):
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    _, _, rows, starts, windows = suffix_dedup.phrases(data, offsets, 12, 4)
+    _, _, rows, starts, windows, _ = suffix_dedup.phrases(data, offsets, 12, 4)
     covered = sorted((r, p) for r, s, n in zip(rows.tolist(), starts.tolist(), windows.tolist(), strict=True) for p in range(s, s + n))
     assert covered == [(r, p) for r, t in enumerate(texts) for p in range(len(t) - 11)]
 
@@ -136,6 +136,8 @@ def test_segments_meet_within_reach(a, changes):
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     begin = np.array([0, len(texts[0]) + 1])
     stop = np.array([len(texts[0]), len(data)])
+    ours = line_dedup.sketches(data, begin, stop).view(np.uint64)
+    assert int(np.bitwise_count(ours[0] ^ ours[1]).sum()) <= 12  # two edits at most
     offered, asked = set(), set()
     for keys, at, kind in line_dedup.segment_keys(line_dedup.prefix_hash(data), begin, stop, 2):
         for k, i in zip(keys.tolist(), at.tolist(), strict=True):
