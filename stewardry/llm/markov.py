@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stewardry.llm.common import bounded_batches, bytes_of, chunks, mix, prefix_hash, signed, span_hash, words
+from stewardry.llm.common import _LOWER, bounded_batches, bytes_of, chunks, mix, prefix_hash, signed, span_hash, words
 from stewardry.session import materialise
 
 STATES = 4
@@ -40,7 +40,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     hashes = span_hash(prefix_hash(data, lower=True), starts, ends)
     docs = len(offsets) - 1
     if len(starts):
-        tail, before = data[ends - 1].astype(np.uint64), data[np.maximum(ends - 2, starts)].astype(np.uint64)
+        # Lowered like the hash, so that a word has one class in whatever case it stands.
+        tail, before = (_LOWER[data[at]].astype(np.uint64) for at in (ends - 1, np.maximum(ends - 2, starts)))
         size = np.minimum(ends - starts, 24).astype(np.uint64) // np.uint64(3)
         looks = (mix((size << np.uint64(16)) | (before << np.uint64(8)) | tail) % np.uint64(CLASSES)).astype(np.int64)
     else:
@@ -69,9 +70,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word, look, n`` over all texts: hash, class and count of each word, the end of a text among them."""
+    """``word, look, n`` over all texts: hash, class and count of each word, the end of a text among them; one row a word."""
     rows = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(_count, "word long, look int, n long")
-    return rows.groupBy("word", "look").agg(F.sum("n").alias("n"))
+    return rows.groupBy("word").agg(F.min("look").alias("look"), F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)

@@ -255,6 +255,13 @@ def test_hidden_markov_query(spark):
         assert r["score"] < 0
 
 
+def test_word_counts_have_one_row_a_word_in_any_case(spark):
+    df = spark.createDataFrame([(t,) for t in ("In USA La to", "in usa la TO", "IN Usa LA To", "iN usA lA tO")], "text string").repartition(4)
+    parts = df.rdd.getNumPartitions()
+    rows = markov.word_counts(df).collect()
+    assert parts > 1 and sorted(r["n"] for r in rows) == [4] * 5 and len({r["word"] for r in rows}) == 5  # four words and the end
+
+
 def test_forward_is_the_sum_over_paths_and_training_helps():
     rng = np.random.default_rng(1)
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
