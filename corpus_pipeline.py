@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stewardry.llm import decontam, langid, line_dedup, ngram_join, packing
+from stewardry.llm.common import text_tag
 from stewardry.llm.queries import tokenizer_path
 from stewardry.session import materialise, release, scratch
 
@@ -45,7 +46,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document that names its group. Of several under one id, one stays; documents without words all do."""
     joined = ngram_join.near_duplicates(docs, ngram=NGRAM, similarity=SIMILARITY)
-    tag = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFF).cast("int")
+    tag = text_tag(F.col("text"))
     named = joined.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = named.groupBy("doc_id").agg(F.min("row_tag").alias("_tag")).withColumnRenamed("doc_id", "_id")
     rows = docs.withColumn("_row_tag", tag)

@@ -33,12 +33,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def text_tag(text: Column) -> Column:
+    """The whole hash of a text, with NULL as ''; fewer bits would take different texts of a frequent id for one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row_order`` (the id, NULL first), ``row_tag`` (24 bits that tell texts of one id apart) and ``text`` ('' for NULL)."""
+    """``row_order`` (the id, NULL first), ``row_tag`` (64 bits that tell texts of one id apart) and ``text`` ('' for NULL)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ORDER)).alias("row_order"),
-        F.xxhash64(text).bitwiseAND(0xFFFFFF).cast("int").alias("row_tag"),
+        text_tag(F.col(text_col)).alias("row_tag"),
         text.alias("text"),
     )
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stewardry.llm.common import NULL_ORDER, bounded_batches, bytes_of, chunks, keyed, mix, prefix_hash, signed, span_hash
+from stewardry.llm.common import NULL_ORDER, bounded_batches, bytes_of, chunks, keyed, mix, prefix_hash, signed, span_hash, text_tag
 from stewardry.session import materialise
 
 EDITS = 2
@@ -31,9 +31,9 @@ BLOCK_LINES = 200_000
 
 _LINE, _GONE, _SEGMENT, _PROBE = 0, 1, 2, 3
 _SKETCH = ["s0", "s1", "s2", "s3"]
-_ROWS = "key long, id long, kind int, row_order long, row_tag int, line int, s0 long, s1 long, s2 long, s3 long"
+_ROWS = "key long, id long, kind int, row_order long, row_tag long, line int, s0 long, s1 long, s2 long, s3 long"
 _ROWS_ARROW = pa.schema(
-    [("key", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int32()), ("line", pa.int32()), *((s, pa.int64()) for s in _SKETCH)]
+    [("key", pa.int64()), ("id", pa.int64()), ("kind", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int64()), ("line", pa.int32()), *((s, pa.int64()) for s in _SKETCH)]
 )
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -128,7 +128,7 @@ def _offer(edits: int, least: int):
                 fresh = np.array(fresh, np.int64)
                 for keys, at, kind in segment_keys(prefix, begin[fresh], stop[fresh], edits):
                     none = pa.nulls(len(at), pa.int64())
-                    place = [none, none.cast(pa.int32()), none.cast(pa.int32()), none, none, none, none]
+                    place = [none, none, none.cast(pa.int32()), none, none, none, none]
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[fresh[at]]), pa.array(np.full(len(at), kind, np.int32)), *place], schema=_ROWS_ARROW)
 
     return offer
@@ -288,7 +288,7 @@ def drop_repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     lines = gone.groupBy("row_order", "row_tag").agg(F.collect_set("line").alias("_gone"))  # bounded by the text
     columns = [F.col(id_col).alias("_id"), *(F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)), F.col(text_col).cast("string").alias("_text")]
     docs = df.select(*columns)
-    docs = docs.withColumn("row_order", F.coalesce(F.col("_id").cast("long"), F.lit(NULL_ORDER))).withColumn("row_tag", F.xxhash64(F.coalesce("_text", F.lit(""))).bitwiseAND(0xFFFFFF).cast("int"))
+    docs = docs.withColumn("row_order", F.coalesce(F.col("_id").cast("long"), F.lit(NULL_ORDER))).withColumn("row_tag", text_tag(F.col("_text")))
     kept = docs.join(lines, ["row_order", "row_tag"], "left").select("_id", *(f"_keep{k}" for k in range(len(keep))), "_text", "_gone")
     schema = kept.drop("_text", "_gone").schema.add("kept", "string").add("n_lines", "long").add("n_gone", "long")
     return kept.mapInArrow(_without, schema).toDF(id_col, *keep, "kept", "n_lines", "n_gone")

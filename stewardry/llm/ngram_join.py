@@ -36,9 +36,9 @@ PARTS = 16
 #: Rows of a frequent item are spread over so many keys until they are known to be shared.
 SPREAD = 256
 
-_ROWS = "item long, salt int, cls long, n int, place int, row_order long, row_tag int, parts array<int>, marks binary, flips array<long>"
+_ROWS = "item long, salt int, cls long, n int, place int, row_order long, row_tag long, parts array<int>, marks binary, flips array<long>"
 _ROWS_ARROW = pa.schema(
-    [("item", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int32()), ("parts", pa.list_(pa.int32())), ("marks", pa.binary()), ("flips", pa.list_(pa.int64()))]
+    [("item", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int64()), ("parts", pa.list_(pa.int32())), ("marks", pa.binary()), ("flips", pa.list_(pa.int64()))]
 )
 
 

@@ -43,9 +43,9 @@ CONTEXTS = 4
 
 #: State of windows known to start earlier; else it is how far behind a phrase's start its trigger stands.
 _GONE = -1
-_USES = "key long, other long, row_order long, row_tag int, start int, windows int, state int"
+_USES = "key long, other long, row_order long, row_tag long, start int, windows int, state int"
 _NAMES = ["key", "other", "row_order", "row_tag", "start", "windows", "state"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -233,7 +233,7 @@ def suffix_ranks(data: np.ndarray, places: np.ndarray, window: int = WINDOW) ->
     return _pair_ranks(ranks[places], ranks[places + window - width])
 
 
-_PIECES = "row_order long, row_tag int, start int, windows int, behind int, bytes binary"
+_PIECES = "row_order long, row_tag long, start int, windows int, behind int, bytes binary"
 
 
 def _pieces(window: int):
@@ -249,7 +249,7 @@ def _pieces(window: int):
                     at = int(offsets[k]) + u["start"]
                     for column, value in zip(out, (orders[k], tags[k], u["start"], u["windows"], u["state"], data[at : at + u["windows"] + window - 1].tobytes()), strict=True):
                         column.append(value)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row_order", "row_tag", "start", "windows", "behind", "bytes"])
 
     return pieces
@@ -297,7 +297,7 @@ def _contexts(window: int, kmer: int):
 
 def _shared_contexts(pieces: DataFrame, window: int, kmer: int) -> DataFrame:
     """Classes whose bytes another phrase has: ``row_order, row_tag, start, classes``."""
-    rows = pieces.mapInArrow(_contexts(window, kmer), "key long, salt int, known boolean, row_order long, row_tag int, start int, first int, count int")
+    rows = pieces.mapInArrow(_contexts(window, kmer), "key long, salt int, known boolean, row_order long, row_tag long, start int, first int, count int")
     place, key = F.struct("row_order", "row_tag", "start"), Window.partitionBy("key", "salt")
     shared = F.col("known") | (F.min(place).over(key) != F.max(place).over(key)) | F.max("known").over(key)
     found = rows.withColumn("_shared", shared).filter("_shared")
@@ -336,7 +336,7 @@ def _suffix_runs(window: int):
             for order, tag, start, text, classes in zip(*columns, strict=True):
                 texts.append(text)
                 at = np.concatenate([np.arange(c["first"], c["first"] + c["count"]) for c in classes])
-                held.append([size + at, np.full(len(at), order), np.full(len(at), tag, np.int32), (start + at).astype(np.int32)])
+                held.append([size + at, np.full(len(at), order), np.full(len(at), tag), (start + at).astype(np.int32)])
                 size += len(text)
                 if size >= BLOCK_BYTES:
                     yield from flush()

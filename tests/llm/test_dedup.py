@@ -7,8 +7,9 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from stewardry.llm import line_dedup, ngram_join, queries, spotsigs, suffix_dedup
+from stewardry.llm import common, line_dedup, ngram_join, queries, spotsigs, suffix_dedup
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -188,3 +189,18 @@ def test_spot_search_finds_all(spark):
         got = {(r["query_id"], r["doc_id"]) for r in spotsigs.search(asked, prints, threshold).collect()}
         want = {(q, d) for q in sets if q % 100 == 0 for d, s in sets.items() if sets[q] and len(sets[q] & s) >= threshold * len(sets[q] | s)}
         assert got == want
+
+
+def test_texts_of_one_id_with_equal_low_hash_bits_stay_apart(spark):
+    """Two texts under a NULL id whose hashes agree in 24 bits are two documents for every operator."""
+    made = spark.range(20_000).select("id", F.xxhash64(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" here"))).bitwiseAND(0xFFFFFF).alias("low"))
+    a, b = made.groupBy("low").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1").orderBy("low").first()["ids"][:2]
+    one, two = (f"word {k} here" for k in (a, b))
+    df = spark.createDataFrame([(None, one), (None, two)], "doc_id long, text string")
+    assert common.keyed(df, "doc_id", "text").select("row_order", "row_tag").distinct().count() == 2
+    rows = line_dedup.drop_repeated_lines(df.union(spark.createDataFrame([(1, two)], df.schema)), edits=0, least_bytes=4).collect()
+    assert Counter((r["doc_id"], r["n_gone"]) for r in rows) == Counter({(None, 0): 2, (1, 1): 1})
+    rows = suffix_dedup.remove_repeats(df, window=5, kmer=3).collect()
+    seen = brute.repeats([(0, one), (1, two)], 5), brute.repeats([(0, two), (1, one)], 5)
+    got = Counter(r["kept_sha256"] for r in rows)
+    assert got in [Counter(v[3] for v in want.values()) for want in seen]
