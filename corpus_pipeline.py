@@ -5,7 +5,8 @@ columns of ``documents``:
 
 1. language ID drops documents in no learned language (no text, or no letter in it);
 2. line dedup takes repeated lines out of the texts, and drops documents that had text and have none left;
-3. the n-gram Jaccard join keeps one document of each group of near duplicates, the one with the smallest id;
+3. the n-gram Jaccard join keeps one document of each group of near duplicates, the one with the smallest id
+   (of several texts under it, the one with the smallest tag);
 4. benchmark decontamination drops documents that hold a benchmark item;
 5. best-fit packing places the tokens of the rest into sequences.
 
@@ -44,21 +45,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document that names its group. Of several under one id, one stays; documents without words all do."""
+    """Keep one row of each group of near duplicates: the text that names it. Documents without words all stay.
+
+    A row is known by its id and its text, so NULL or repeated ids neither join nor part groups.
+    """
     joined = ngram_join.near_duplicates(docs, ngram=NGRAM, similarity=SIMILARITY)
-    tag = text_tag(F.col("text"))
-    named = joined.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = named.groupBy("doc_id").agg(F.min("row_tag").alias("_tag")).withColumnRenamed("doc_id", "_id")
-    rows = docs.withColumn("_row_tag", tag)
-    kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_id"]) & (rows["_row_tag"] == chosen["_tag"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row_tag"]).select(*docs.columns)
+    wordless = F.col("n_shingles") == 0
+    named = joined.filter(wordless | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_tag") == F.col("component_tag"))))
+    chosen = named.select(F.col("doc_id").alias("_id"), F.col("row_tag").alias("_tag"), wordless.alias("_wordless")).distinct()
+    rows = docs.withColumn("_row_tag", text_tag(F.col("text")))
+    kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_id"]) & (rows["_row_tag"] == chosen["_tag"]))
+    kept = kept.withColumn("_each", F.when(F.col("_wordless"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["doc_id", "_row_tag", "_each"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item (also those that share such a document's id)."""
+    """Drop documents that hold a benchmark item, and no others under their id."""
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = materialise(found.select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = materialise(found.select(F.col("doc_id").alias("_bad"), F.col("row_tag").alias("_bad_tag")).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (text_tag(F.col("text")) == F.col("_bad_tag")), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stewardry.llm.common import bounded_batches, bytes_of, chunks, mix, ngrams, prefix_hash, span_hash, spans
+from stewardry.llm.common import bounded_batches, bytes_of, chunks, mix, ngrams, prefix_hash, span_hash, spans, text_tag
 
 EDIT_SHARE = 0.2
 LEAST_RUN = 3
@@ -200,8 +200,8 @@ def _scan(index):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bytes_of(batch.column(1))
-            ids = batch.column(0)
-            out: list[list] = [[], [], [], [], [], []]
+            ids, tags = batch.column(0), batch.column(2)
+            out: list[list] = [[], [], [], [], [], [], []]
             held: list[tuple] = []
             for a, b in chunks(offsets):
                 part, offs = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -211,11 +211,11 @@ def _scan(index):
             for r, item, edits, first, end in search(hashes, rows, index.value):
                 before = data[offsets[r] : starts[first]].tobytes().decode()
                 inside = data[starts[first] : ends[end - 1]].tobytes().decode() if end > first else ""
-                values = ids[r].as_py(), int(index.value.ids[item]), edits, len(index.value.words[item]), len(before), len(before) + len(inside)
+                values = ids[r].as_py(), int(index.value.ids[item]), edits, len(index.value.words[item]), len(before), len(before) + len(inside), tags[r].as_py()
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "item_id", "edits", "item_words", "start", "end"])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "item_id", "edits", "item_words", "start", "end", "row_tag"])
 
     return scan
 
@@ -232,7 +232,8 @@ def contaminated(
     least_run: int = LEAST_RUN,
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """Items that stand in documents: ``doc_id, item_id, edits, item_words, start, end`` (code points, end exclusive).
+    """Items that stand in documents: ``doc_id, item_id, edits, item_words, start, end`` (code points, end exclusive)
+    and ``row_tag``, which tells texts of one id apart.
 
     One row per document row and item, with the fewest edits, and of those the first place. A NULL or empty text
     holds no item; a NULL id is kept; repeated rows of documents or items each give their rows; items that are NULL
@@ -243,11 +244,11 @@ def contaminated(
     bounded_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("_item"), F.col(item_text_col).cast("string").alias("_words")).filter("_item IS NOT NULL AND _words IS NOT NULL")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    docs = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    docs = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), text_tag(F.col(text_col)).alias("row_tag"))
     out: DataFrame | None = None
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("_item", "_words"), F.lit(blocks)) == block).orderBy("_item", "_words").toArrow()
         index = spark.sparkContext.broadcast(index_items(rows.column(0).to_pylist(), rows.column(1).to_pylist(), edit_share, least_run, least_words))
-        found = docs.mapInArrow(_scan(index), "doc_id long, item_id long, edits int, item_words int, start long, end long")
+        found = docs.mapInArrow(_scan(index), "doc_id long, item_id long, edits int, item_words int, start long, end long, row_tag long")
         out = found if out is None else out.unionByName(found)
     return out

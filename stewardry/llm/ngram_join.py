@@ -294,8 +294,8 @@ def near_duplicates(
 
     Words are what white space separates, with A-Z lowered; a document of fewer words has its whole sequence as
     its one item, and one without words or text has an empty set, is linked with nothing and names itself. Returns
-    per row ``doc_id, row_tag, n_shingles, component_id`` (the smallest id that links reach). A NULL id comes before
-    all others, repeated rows are linked like any equal ones, further columns are ignored, and an empty table
+    per row ``doc_id, row_tag, n_shingles, component_id, component_tag`` (the smallest id that links reach, and of the
+    texts under it the smallest tag). A NULL id comes before all others, repeated rows are linked like any equal ones, further columns are ignored, and an empty table
     gives no rows.
     """
     num, den = similarity
@@ -320,11 +320,12 @@ def near_duplicates(
     placed = documents.withColumn("group", group)
     if named is not None:
         placed = placed.join(named.toDF("group", "component"), "group", "left").withColumn("group", F.coalesce("component", "group"))
-    least = placed.filter("n > 0").groupBy("group").agg(F.min("row_order").alias("least"))
+    least = placed.filter("n > 0").groupBy("group").agg(F.min(F.struct("row_order", "row_tag")).alias("least"))
     out = placed.join(least, "group", "left")
     return out.select(
         id_of(F.col("row_order")).alias("doc_id"),
         "row_tag",
         F.col("n").cast("long").alias("n_shingles"),
-        id_of(F.coalesce("least", "row_order")).alias("component_id"),
+        id_of(F.coalesce("least.row_order", "row_order")).alias("component_id"),
+        F.coalesce("least.row_tag", "row_tag").alias("component_tag"),
     )

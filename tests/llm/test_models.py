@@ -363,3 +363,18 @@ def test_pipeline_stages_take_odd_rows(spark, odd, nothing):
         for _, stage in corpus_pipeline.STAGES:
             kept = stage(spark, kept, SF)
         assert kept.count() >= 0
+
+
+def test_pipeline_stages_decide_by_row(spark):
+    """Rows with NULL or repeated ids stand for themselves in stages three and four."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id").first()["text"]
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    a, b, c, d, near = (words(30) for _ in range(5))
+    rows = [(None, a), (None, b), (None, f"{near} x"), (7, f"{near} y"), (7, c), (5, d), (5, d), (8, ""), (8, " "), (8, None), (9, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert kept == Counter([(None, a), (None, b), (None, f"{near} x"), (7, c), (5, d), (8, ""), (8, " "), (8, None)])
+    docs = spark.createDataFrame([(None, a), (None, f"{b} {item}"), (7, c), (7, item), (8, None), (8, d)], docs.schema)
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect())
+    assert kept == Counter([(None, a), (7, c), (8, None), (8, d)])
