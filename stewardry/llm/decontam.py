@@ -8,12 +8,18 @@ Each window and item goes through random walks of 3 * L steps (Chakraborty, Gold
 word at the walk's place and goes on to the next word if a random bit of (step, word) says so. Walks over similar
 sequences fall into step, so edit distance becomes Hamming distance. A hash samples a few steps of one walk; a window
 is a candidate for every item with the same hash in any of the repetitions, and candidates are verified exactly.
+
+Items of fewer than ``least_words`` words go another way, which misses nothing: an item that may have e edits is cut
+into e + 1 pieces, of which a stretch within reach holds one whole. Documents' runs of words are looked up among the
+pieces, and what the words around a run do not rule out is verified exactly.
+
+Words are runs of letters and digits; in scripts that set no spaces between words each code point is a word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,13 @@ BLOCK_STEPS = 4_000_000
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _PAD = np.uint64(0x5851F42D4C957F2D)
+#: Code points (first, last) of scripts without spaces: South-East Asian ones, Tibetan, Han, kana, bopomofo, Yi.
+_SPACELESS = (
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x9FFF),
+    (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+)
+#: Punctuation of those scripts, which parts words as ASCII punctuation does.
+_MARKS = ((0x3000, 0x3004), (0x3008, 0x3020), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
 _SAMPLES = np.random.default_rng(4242).random((REPETITIONS, SAMPLED))
 
 
@@ -42,9 +55,29 @@ def edits_allowed(words: int, share: float = EDIT_SHARE) -> int:
     return int(words * share + 1e-9)
 
 
+def _within(points: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    edges = np.array(sorted(x for a, b in ranges for x in (a, b + 1)))
+    return np.searchsorted(edges, points, "right") % 2 == 1
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray):
-    """Hashes of words (letters and digits, A-Z lowered), their starts and ends in bytes, and rows."""
-    starts, ends, rows = spans(_WORD[data], offsets)
+    """Hashes of words (letters and digits, A-Z lowered; single code points of scripts without spaces), their starts
+    and ends in bytes, and rows. ``offsets`` start at 0."""
+    inside, edges = _WORD[data], offsets
+    lead = np.flatnonzero(data >= 0xE0)  # of three or four bytes, as all those scripts are
+    if len(lead):
+        size = np.where(data[lead] >= 0xF0, 4, 3)
+        byte = [data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) for k in range(4)]
+        three = (byte[0] & 15) << 12 | (byte[1] & 63) << 6 | byte[2] & 63
+        points = np.where(size == 3, three, (byte[0] & 7) << 18 | (byte[1] & 63) << 12 | (byte[2] & 63) << 6 | byte[3] & 63)
+        mark, single = _within(points, _MARKS), _within(points, _SPACELESS)
+        for k in range(3):
+            inside[lead[mark] + k] = False
+        if single.any():
+            edges = np.unique(np.concatenate([offsets, lead[single], lead[single] + size[single]]))
+    starts, ends, rows = spans(inside, edges)
+    if edges is not offsets:
+        rows = np.searchsorted(offsets, starts, "right") - 1
     return span_hash(prefix_hash(data, lower=True), starts, ends), starts, ends, rows
 
 
@@ -105,30 +138,56 @@ class ItemIndex:
     hash_item: np.ndarray
     share: float
     least_run: int
+    #: Pieces of short items by their number of words: sorted hashes, items and places in the item.
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+
+def _runs(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of all runs of ``n`` words within a row."""
+    if len(words) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(rows[: len(rows) - n + 1] == rows[n - 1 :])
+    with np.errstate(over="ignore"):
+        out = words[at]
+        for k in range(1, n):
+            out = mix(out + np.uint64(k)) + words[at + k]
+        return at, mix(out)
 
 
 def index_items(ids: list[int], texts: list[str], share: float = EDIT_SHARE, least_run: int = LEAST_RUN, least_words: int = LEAST_WORDS) -> ItemIndex:
     words, kept, runs, run_item, run_place, hashes, hash_item = [], [], [], [], [], [], []
+    cut: dict[int, list[tuple[int, int, int]]] = {}
     for i, text in zip(ids, texts, strict=True):
         data = np.frombuffer(text.encode(), np.uint8)
         found = word_hashes(data, np.array([0, len(data)]))[0]
-        if len(found) < max(least_words, least_run):
+        if not len(found):
             continue
         k = len(words)
         words.append(tuple(found.tolist()))
         kept.append(i)
+        if len(found) < max(least_words, least_run):
+            parts = min(len(found), edits_allowed(len(found), share) + 1)
+            ends = [len(found) * p // parts for p in range(parts + 1)]
+            for a, b in zip(ends, ends[1:], strict=False):
+                piece = _runs(found[a:b], np.zeros(b - a, np.int64), b - a)[1]
+                cut.setdefault(b - a, []).append((int(piece[0]), k, a))
+            continue
         grams = ngrams(found, np.zeros(len(found), np.int64), least_run)[0]
         runs.append(grams), run_item.append(np.full(len(grams), k)), run_place.append(np.arange(len(grams)))
         keys = embed(found, np.zeros(1, np.int64), np.array([len(found)]))[0]
         hashes.append(keys), hash_item.append(np.full(len(keys), k))
-    if not words:
+    pieces = {}
+    for n, rows in sorted(cut.items()):
+        rows.sort()
+        pieces[n] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    if not runs:
         none = np.zeros(0, np.int64)
-        return ItemIndex(none, [], none.astype(np.uint64), none, none, none.astype(np.uint64), none, share, least_run)
+        return ItemIndex(np.array(kept, np.int64), words, none.astype(np.uint64), none, none, none.astype(np.uint64), none, share, least_run, pieces)
     runs, run_item, run_place = np.concatenate(runs), np.concatenate(run_item), np.concatenate(run_place)
     by = np.argsort(runs, kind="stable")
     hashes, hash_item = np.concatenate(hashes), np.concatenate(hash_item)
     by2 = np.argsort(hashes, kind="stable")
-    return ItemIndex(np.array(kept), words, runs[by], run_item[by], run_place[by], hashes[by2], hash_item[by2], share, least_run)
+    return ItemIndex(np.array(kept), words, runs[by], run_item[by], run_place[by], hashes[by2], hash_item[by2], share, least_run, pieces)
 
 
 def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +197,68 @@ def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of], of
 
 
+def _search_short(words: np.ndarray, rows: np.ndarray, index: ItemIndex) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Matches of items below the bound: every stretch that holds a piece is tried."""
+    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    if not len(words):
+        return out
+    size = np.array([len(w) for w in index.words])
+    spare = np.array([edits_allowed(len(w), index.share) for w in index.words])
+    table = np.zeros((len(size), max((int(size[k]) for _, items, _ in index.pieces.values() for k in items), default=0)), np.uint64)
+    for k, w in enumerate(index.words):
+        if len(w) <= table.shape[1]:
+            table[k, : len(w)] = w
+    firsts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    ends = np.append(firsts[1:], len(words))
+    tried: set[tuple[int, int, int]] = set()
+    for n, (hashes, items, places) in index.pieces.items():
+        at, found = _runs(words, rows, n)
+        maybe = np.flatnonzero(np.isin(found, hashes))
+        low, high = np.searchsorted(hashes, found[maybe], "left"), np.searchsorted(hashes, found[maybe], "right")
+        for cut in range(0, len(maybe), 100_000):
+            entry, of = _expand(low[cut : cut + 100_000], high[cut : cut + 100_000])
+            item, begin = items[entry], at[maybe[cut + of]] - places[entry]
+            row = np.searchsorted(firsts, begin + places[entry], "right") - 1
+            # Each word that is not edited stands at most as many words off as edits are allowed.
+            met = np.zeros(len(item), np.int64)
+            for k in range(table.shape[1]):
+                near = np.zeros(len(item), bool)
+                for shift in range(-int(spare[item].max(initial=0)), int(spare[item].max(initial=0)) + 1):
+                    place = begin + k + shift
+                    ok = (abs(shift) <= spare[item]) & (place >= firsts[row]) & (place < ends[row])
+                    near |= ok & (words[np.clip(place, 0, len(words) - 1)] == table[item, k])
+                met += near & (k < size[item])
+            hits = np.flatnonzero(met >= size[item] - spare[item])
+            use = spare[item[hits]] > 0  # without edits the first of a row and item is the answer
+            use[np.unique(row[hits] * len(size) + item[hits], return_index=True)[1]] = True
+            for h in hits[use]:
+                i, b, e = int(item[h]), int(begin[h]), int(spare[item[h]])
+                r = int(rows[firsts[row[h]]])
+                if (r, i) in out and out[r, i] <= (0, b - e, b - e) or (r, i, b) in tried:
+                    continue
+                tried.add((r, i, b))
+                if not e:
+                    match = 0, b, b + int(size[i])
+                else:
+                    a = max(int(firsts[row[h]]), b - e)
+                    stretch = words[a : min(int(ends[row[h]]), b + int(size[i]) + e)].tolist()
+                    edits, end = best_match(index.words[i], stretch)
+                    if edits > e:
+                        continue
+                    back, length = best_match(index.words[i][::-1], stretch[:end][::-1])
+                    match = edits, a + end - length if back == edits else a, a + end
+                if (r, i) not in out or match < out[r, i]:
+                    out[r, i] = match
+    return out
+
+
 def search(words: np.ndarray, rows: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
     """Matches (row, item number, edits, first word, end word) in rows of words, the best of each row and item."""
+    short = _search_short(words, rows, index) if index.pieces else {}
+    return sorted([(r, i, *v) for (r, i), v in short.items()] + _search_long(words, rows, index))
+
+
+def _search_long(words: np.ndarray, rows: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
     if len(words) < index.least_run or not len(index.runs):
         return []
     whole = np.flatnonzero(rows[: len(rows) - index.least_run + 1] == rows[index.least_run - 1 :])
@@ -237,7 +356,7 @@ def contaminated(
 
     One row per document row and item, with the fewest edits, and of those the first place. A NULL or empty text
     holds no item; a NULL id is kept; repeated rows of documents or items each give their rows; items that are NULL
-    or have fewer than ``least_words`` words are not looked for; further columns are ignored; empty tables give no
+    or have no word are not looked for, and those of fewer than ``least_words`` words are found without a miss; further columns are ignored; empty tables give no
     rows. Items go to the executors in blocks of ``BLOCK_ITEMS``, each with one pass over the documents.
     """
     spark = df.sparkSession

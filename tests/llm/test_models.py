@@ -132,6 +132,34 @@ def test_decontamination_edges(spark, odd, nothing):
     assert decontam.contaminated(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
+    """Items below eight words against brute force, and items whose words no spaces part."""
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(1 + k % 7))) for k in range(28)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40)))) for k in range(60)]
+    want = {}
+    for d, text in rows:
+        for i, item in items:
+            w = item.split()
+            edits = brute.best_stretch(w, text.split())
+            if edits <= decontam.edits_allowed(len(w)):
+                want[d, i] = edits
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in found} == want and len(found) == len(want) > 150 and 1 in want.values()
+    words = {k: t.split() for k, t in rows}
+    for r in found:
+        inside = dict(rows)[r["doc_id"]][r["start"] : r["end"]].split()
+        assert brute.edit_distance(dict(items)[r["item_id"]].split(), inside) == r["edits"] and inside and words[r["doc_id"]]
+
+    items = [(1, "What is the capital of France?"), (2, "中国的首都是哪里？"), (3, "日本の首都はどこですか"), (4, "เมืองหลวงของประเทศไทย"), (5, "?!"), (6, "𠀀𠀁")]
+    rows = [(1, "q: what is the capital of france"), (2, "问题：中国的首都是哪里。答"), (3, "さて日本の首都はどこですかね"), (4, "xxเมืองหลวงของประเทศไทยyy"), (5, "é 𠀀𠀁 ?!"), (6, "中国 日本 เมือง what is"), (7, "中国的首都是那里")]
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in found} == {(1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 4): 0, (5, 6): 0, (7, 2): 1}
+    cut = {r["doc_id"]: dict(rows)[r["doc_id"]][r["start"] : r["end"]] for r in found}
+    assert cut[2] == "中国的首都是哪里" and cut[4] == items[3][1] and cut[5] == "𠀀𠀁"
+
+
 def check_packing(rows, docs, encode):
     """Every rule of the packing contract; returns the number of sequences."""
     pieces, bins = defaultdict(list), defaultdict(list)
