@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stewardry.session import materialise
+
 #: Order of a row whose id is NULL: before all others.
 NULL_ORDER = -(2**63)
 
@@ -57,6 +59,22 @@ def grain_bits(rows: int, grain: int) -> int:
     return min(22, max(0, math.ceil(math.log2(max(1, rows) / grain))))
 
 
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with ``place``, its rows' number from 0 in ``order``, which must tell all rows apart.
+
+    Rows are dealt by ranges of ``order`` and numbered within their task; what lies before a task's rows is added from
+    one count a task. ``df`` is read twice, so it should be a written table of narrow rows.
+    """
+    sort = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialise(sort.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
+    rows = rows.withColumn("_part", part).join(F.broadcast(shifts), "_part")  # one row a task
+    return rows.withColumn("place", F.col("_shift") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_shift")
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one byte array and the offsets of its rows; NULL counts as empty."""
     if isinstance(column, pa.ChunkedArray):

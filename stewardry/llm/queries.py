@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import decontam, langid, line_dedup, markov, ngram_join, packing, secrets, sharding, spotsigs, suffix_dedup
+from stewardry.llm import checks, curve_packing, decontam, importance, langid, line_dedup, markov, merkle, ngram_join, packing, secrets, sharding, spotsigs, suffix_dedup
 from stewardry.llm.common import documents
 
 SHARDS = 40
@@ -92,6 +92,19 @@ def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return merkle.manifest(docs, tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+
+
+def op13_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.pack_along_curve(documents(spark, sf_dir), tokenizer=tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_field": op2_secret_field,
@@ -103,8 +116,14 @@ QUERIES = {
     "op8_spot_signatures": op8_spot_signatures,
     "op9_hidden_markov": op9_hidden_markov,
     "op10_stratified_sharding": op10_stratified_sharding,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hilbert_packing": op13_hilbert_packing,
 }
 
-#: No entry: hashes, checksums, tokenizers, trained models and graph components are not in DuckDB's SQL, or take it
-#: too long on whole tables. The queries are held against brute force in tests/llm.
-CHECKS: dict[str, str] = {}
+#: No entry for the others: tokenizers, trained models, suffix order and graph components are not in DuckDB's SQL, or take
+#: it too long on whole tables. Those queries are held against brute force in tests/llm.
+CHECKS: dict[str, str] = {
+    "op11_importance_resampling": checks.IMPORTANCE,
+    "op12_merkle_manifest": checks.MERKLE,
+}
