@@ -7,6 +7,7 @@ every ``capacity``; what is left at its end is cut into powers of two.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -17,78 +18,152 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stewardry.llm.common import bounded_batches
+from stewardry.llm.common import bounded_batches, bytes_of, chunks
 from stewardry.session import materialise
 
 CAPACITY = 4096
 END_ID = 2
 #: Dimensions of the curve and bits of each; together 63 bits at most.
-DIMENSIONS = 3
-BITS = 20
+DIMENSIONS = 8
+BITS = 7
 #: Hash buckets of a document's vector.
-WIDTH = 4096
-#: Words whose ids a worker keeps; beyond it starts anew. Longer words are not kept.
-KEPT_WORDS = 300_000
-KEPT_LENGTH = 40
+WIDTH = 1024
+#: Words whose ids a worker keeps; beyond it starts anew.
+KEPT_WORDS = 800_000
+
+#: Small letters of ASCII and, after the byte C3, of Latin-1; a line end counts as a space.
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+_SMALL[10] = 32
+_SMALL_LATIN = np.arange(256, dtype=np.uint8)
+_SMALL_LATIN[0x80:0x9F] += 32
+_SMALL_LATIN[0x97] = 0x97
+_WORD_END = np.zeros(256, bool)
+_WORD_END[48:58] = _WORD_END[97:123] = True
+
+#: Words of which the tokenizer makes one piece that only byte symbols change: lower-case Latin letters.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The spans of ``ids`` one after the other."""
+    ends = np.cumsum(sizes)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
 class WordIds:
     """Ids of whole texts, one space-separated word at a time.
 
-    For a tokenizer whose pieces never cross white space, a text's ids are those of its words one after the other, so
-    each word of a batch is encoded once and remembered. New words are encoded together, parted by ``|``, which such a
-    tokenizer keeps apart and gives one id; words that hold it are encoded alone.
+    For a lower-casing tokenizer whose pieces never cross white space, a text's ids are those of its words one after the
+    other, so each word of a batch is encoded once and remembered. Plain words go straight to the tokenizer's model;
+    others are encoded together, parted by ``|``, which such a tokenizer keeps apart and gives one id; words that hold
+    it are encoded alone.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.coder.model)
         self.dtype = np.dtype("<u2" if self.coder.get_vocab_size() <= 1 << 16 else "<u4")
         (self.bar,) = self.coder.encode("|", add_special_tokens=False).ids
-        self.kept: dict[str, np.ndarray] = {}
+        letters = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
+        symbols = {x: "".join(piece for piece, _ in self.coder.pre_tokenizer.pre_tokenize_str(x)) for x in letters}
+        self.symbols = str.maketrans(symbols)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Number of each kept word, and the spans of their ids.
+        self.kept: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.coder.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _learn(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Ids of new words. An ASCII word is lowered by the tokenizer anyway, and its last stop or comma is a piece."""
-        parts: dict[str, tuple[str, str]] = {}
-        for word in words:
-            form = word.lower() if word.isascii() and "|" not in word else word
-            end = form[-1:] if form[-1:] in (".", ",") and form[-2:-1].isalpha() else ""
-            parts[word] = (form[: len(form) - len(end)], end)
-        forms = list({x for form, end in parts.values() for x in (form, end)} - {""})
-        plain = [f for f in forms if "|" not in f]
-        found = {f: self._encode(f) for f in forms if "|" in f}
-        ids = self._encode(" | ".join(plain))
-        found |= zip(plain, np.split(ids, np.flatnonzero(ids == self.bar)), strict=True) if plain else []
-        for form in plain[1:]:
-            found[form] = found[form][1:]  # without the bar ahead of it
-        found[""] = ids[:0]
-        return {word: np.concatenate([found[form], found[end]]) if end else found[form] for word, (form, end) in parts.items()}
+        return np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _forms(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct non-empty words, and how many each has, in order."""
+        plain = [k for k, f in enumerate(forms) if _PLAIN.fullmatch(f)]
+        rest = np.setdiff1d(np.arange(len(forms)), plain).tolist()
+        parted = [k for k in rest if "|" not in forms[k]]
+        alone = [k for k in rest if "|" in forms[k]]
+        sizes = np.zeros(len(forms), np.int64)
+        found: list[np.ndarray] = []
+        if plain:
+            coded = self.model.encode([f if f.isascii() else f.translate(self.symbols) for f in map(forms.__getitem__, plain)], is_pretokenized=True, add_special_tokens=False)
+            found.append(np.array(coded.ids, self.dtype))
+            sizes[plain] = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(plain))
+        if parted:
+            ids = self._encode(" | ".join(forms[k] for k in parted))
+            bars = np.flatnonzero(ids == self.bar)
+            sizes[parted] = np.diff(np.concatenate([[-1], bars, [len(ids)]])) - 1
+            found.append(np.delete(ids, bars))
+        for k in alone:
+            found.append(self._encode(forms[k]))
+            sizes[k] = len(found[-1])
+        order = np.array([*plain, *parted, *alone], np.int64)
+        starts = np.zeros(len(forms), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return _gather(np.concatenate(found), starts, sizes) if found else self.ids[:0], sizes
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep new words, '' among them."""
+        used = np.array([k for k, w in enumerate(words) if w], np.int64)
+        ids, filled = self._forms([words[k] for k in used])
+        sizes = np.zeros(len(words), np.int64)
+        sizes[used] = filled
+        self.kept |= zip(words, range(len(self.kept), len(self.kept) + len(words)), strict=True)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _spaced(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The texts in small letters, last stops and commas apart, and which rows this might change: those are empty.
+
+        The tokenizer lowers all letters itself, but composes accents first and knows its special tokens as written, so
+        rows with combining accents (UTF-8 lead bytes CC, CD) or with ``<|`` are left to it as they are.
+        """
+        data, offsets = bytes_of(texts)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        risky = (data == 0xCC) | (data == 0xCD)
+        risky[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        rows = np.unique(np.searchsorted(offsets, np.flatnonzero(risky), "right") - 1)
+        data = _SMALL[data]
+        after = np.flatnonzero(data[:-1] == 0xC3) + 1
+        data[after] = _SMALL_LATIN[data[after]]
+        # A stop or comma is a piece of its own between a letter or digit and a space.
+        marks = np.flatnonzero((data == ord(".")) | (data == ord(",")))
+        marks = marks[(marks > 1) & (marks < len(data) - 1)]
+        before = data[marks - 1]
+        apart = _WORD_END[before] | ((data[marks - 2] == 0xC3) & (before != 0x97) & (before != 0xB7))
+        marks = marks[apart & (data[marks + 1] == 32)]
+        offsets = offsets + np.searchsorted(marks, offsets, "left")
+        spaced = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(np.insert(data, marks, 32)))
+        return spaced, rows
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and where each text's begin."""
         import pyarrow.compute as pc
 
-        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        spaced, odd = self._spaced(texts)
+        split = pc.split_pattern(spaced, " ")
         words = split.flatten().dictionary_encode()
-        distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+        distinct = words.dictionary.to_pylist()
+        if len(self.kept) + len(distinct) > KEPT_WORDS:
+            self._forget()
         new = [w for w in distinct if w not in self.kept]
-        learned = self._learn(new) if new else {}
-        each = [self.kept[w] if w in self.kept else learned[w] for w in distinct]
-        if len(self.kept) + len(learned) > KEPT_WORDS:
-            self.kept.clear()
-        self.kept |= {w: ids.copy() for w, ids in learned.items() if len(w) <= KEPT_LENGTH}
-        table = np.concatenate(each) if each else np.zeros(0, self.dtype)
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        firsts = np.cumsum(sizes) - sizes
-        lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[at] - ends + lengths, lengths)
-        bounds = np.concatenate([[0], ends])
-        return table[places], bounds[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        if new:
+            self._learn(new)
+        known = np.fromiter(map(self.kept.__getitem__, distinct), np.int64, len(distinct))
+        at = known[words.indices.to_numpy()] if len(distinct) else known
+        sizes = self.sizes[at]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        ids = _gather(self.ids, self.starts[at], sizes)
+        if not len(odd):
+            return ids, bounds
+        own = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for row in odd.tolist():
+            own[row] = self._encode(texts[row].as_py())
+        return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
 
 
 _loaded: dict[str, WordIds] = {}
@@ -100,7 +175,7 @@ def projection(dimensions: int, seed: int) -> np.ndarray:
 
 def sketch(ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """The point of a document: its ids hashed into a vector of damped counts of length one, and projected."""
-    counts = np.bincount((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20), minlength=WIDTH)
+    counts = np.bincount((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22), minlength=WIDTH)
     hit = np.flatnonzero(counts)
     weights = np.log1p(counts[hit])
     return (weights / max(np.linalg.norm(weights), 1e-12)) @ matrix[hit]
@@ -154,11 +229,13 @@ def tokens(df: DataFrame, *, tokenizer: str, id_col: str, text_col: str, end_id:
         coder, matrix = _loaded[tokenizer], projection(dimensions, seed)
         end = np.array([end_id], coder.dtype)
         for batch in batches:
-            ids, bounds = coder(batch.column(1))
-            own = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            points = pa.array([sketch(x, matrix) for x in own], pa.list_(pa.float32()))
-            whole = pa.array([np.concatenate([x, end]).tobytes() for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), points, whole], schema=_TOKENS)
+            for first, stop in chunks(bytes_of(batch.column(1))[1], 4 << 20):
+                part = batch.slice(first, stop - first)
+                ids, bounds = coder(part.column(1))
+                own = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                points = pa.array([sketch(x, matrix) for x in own], pa.list_(pa.float32()))
+                whole = pa.array([np.concatenate([x, end]).tobytes() for x in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), points, whole], schema=_TOKENS)
 
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.monotonically_increasing_id())

@@ -216,7 +216,7 @@ def test_curve_packing_of_odd_rows(odd, nothing):
 def test_word_ids_are_the_tokenizers():
     texts = [
         "", None, " ", "a|b | c||", "Don't stop., 'S x'. 3.14. e.g., A.", "É é J̌ ́start ß İI ΑΣ ΑΣ.", "tab\tand nbsp em\nnew\r\nline",
-        "<|endoftext|>x <|ENDOFTEXT|>", "日本語。テスト 한국어 " * 3, "x" * 5000, "end. End, END. end.. (end)", "Plain words, plain words. " * 40, "\x00 \x1f ., . ,",
+        "<|endoftext|>x <|ENDOFTEXT|>", "日本語。テスト 한국어 " * 3, "x" * 5000, "end. End, END. end.. (end)", "Plain words, plain words. " * 40, "\x00 \x1f ., . ,", "À Ö×÷ Þß ÿ. é, É. Ÿ. 5. 7, ”. x”, (a). a.", ".", ",", "a.", "é. ", "A\u030a. A", "Ｔ． x",
     ]
     coder, plain = curve_packing.WordIds(WORD_TOKENS), Tokenizer.from_file(WORD_TOKENS)
     for _ in range(2):  # new words, then kept ones
@@ -239,14 +239,14 @@ def test_hilbert_neighbours(dimensions, bits):
 def test_curve_brings_like_documents_together(spark):
     """Documents of one of six topics share sequences far more often than by chance."""
     rng = np.random.default_rng(5)
-    topics = [[f"t{k}w{n}" for n in range(60)] for k in range(6)]
+    topics = [["".join(rng.choice(list("abcdefghijklmnopqrst"), 6)) for _ in range(40)] for _ in range(6)]
     rows = [(k, " ".join(rng.choice(topics[k % 6], 40))) for k in range(600)]
     packed = curve_packing.pack_along_curve(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=WORD_TOKENS, capacity=1024).collect()
     groups = defaultdict(list)
     for r in packed:
         groups[r["sequence_id"]].append(r["doc_id"] % 6)
     pairs = [(a, b) for g in groups.values() for k, a in enumerate(g) for b in g[:k]]
-    assert sum(a == b for a, b in pairs) / len(pairs) > 0.5
+    assert sum(a == b for a, b in pairs) / len(pairs) > 0.35  # 0.17 by chance
 
 
 def test_copies_lie_in_many_stretches(spark, tasks_kept_apart):
