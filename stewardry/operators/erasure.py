@@ -10,8 +10,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from stewardry.functions.durations import at, retention_days, retention_text
 from stewardry.functions.hashing import hash_row_key, hash_subject_ref, row_text
@@ -32,6 +33,9 @@ HASHES_PER_CHUNK = 10_000
 
 _TARGET = ["request_id", "provenance", "matched_on"]
 
+#: Stored arrays of packed hashes, by the column of the long form.
+_STORED = {"row_key_hash": "row_key_hash", "n": "row_key_count", "n_deleted": "row_deleted_count"}
+
 
 def primary_keys(key_columns: DataFrame, constraints: DataFrame) -> DataFrame:
     """Declared primary-key columns in ordinal order, one row per table."""
@@ -154,6 +158,18 @@ def row_hashes(selected: Mapping[str, DataFrame], purpose: str = "erasure") -> D
     return reduce(DataFrame.unionByName, parts)
 
 
+def erased_by(hashes: DataFrame) -> DataFrame:
+    """Add ``n_deleted``: how many of a request's rows its own delete took away.
+
+    Rows that several requests of a run select are deleted once. They are counted for the request with the smallest
+    id, so the counts of a table add up to the rows that it lost.
+    """
+    of_row = ["table_full_name", "row_key_hash"]
+    first = hashes.groupBy(*of_row).agg(F.min("request_id").alias("owner"), F.max("n").alias("most"))
+    joined = hashes.join(first, of_row)
+    return joined.withColumn("n_deleted", F.when(F.col("request_id") == F.col("owner"), F.col("most")).otherwise(F.lit(0))).drop("owner", "most")
+
+
 def pack_hashes(hashes: DataFrame, per_chunk: int = HASHES_PER_CHUNK) -> DataFrame:
     """Hashes as sorted arrays for storage, in chunks of about ``per_chunk``.
 
@@ -161,30 +177,32 @@ def pack_hashes(hashes: DataFrame, per_chunk: int = HASHES_PER_CHUNK) -> DataFra
     many tasks and no array outgrows its task.
     """
     key = ["request_id", "table_full_name"]
+    fields = {f: c for f, c in _STORED.items() if f in hashes.columns}
     sizes = hashes.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(per_chunk)).alias("chunks"))
     chunk = F.pmod(F.xxhash64("row_key_hash"), F.col("chunks")).cast("int")
     packed = hashes.join(sizes, key).withColumn("chunk", chunk).groupBy(*key, "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("row_key_hash", "n"))).alias("h")
-    )
-    return packed.select(
-        *key, "chunk",
-        F.transform("h", lambda h: h.row_key_hash).alias("row_key_hash"),
-        F.transform("h", lambda h: h.n).alias("row_key_count"),
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("h")
     )
+    return packed.select(*key, "chunk", *(F.col(f"h.{f}").alias(c) for f, c in fields.items()))
 
 
 def unpack_hashes(packed: DataFrame) -> DataFrame:
-    each = packed.select(
-        "request_id", "table_full_name", F.explode(F.arrays_zip("row_key_hash", "row_key_count")).alias("h")
-    )
-    return each.select("request_id", "table_full_name", F.col("h.row_key_hash").alias("row_key_hash"), F.col("h.row_key_count").alias("n"))
+    fields = {f: c for f, c in _STORED.items() if c in packed.columns}
+    each = packed.select("request_id", "table_full_name", F.explode(F.arrays_zip(*fields.values())).alias("h"))
+    return each.select("request_id", "table_full_name", *(F.col(f"h.{c}").alias(f) for f, c in fields.items()))
 
 
 def erasure_items(
-    checks: DataFrame, approved: DataFrame, kept: DataFrame, executed_at: dt.datetime, failures: DataFrame | None = None
+    checks: DataFrame,
+    approved: DataFrame,
+    kept: DataFrame,
+    executed_at: dt.datetime,
+    failures: DataFrame | None = None,
+    erased: DataFrame | None = None,
 ) -> DataFrame:
-    """One audit row per (request, table). ``kept`` is :func:`retention`; ``failures(table_full_name,
-    error)`` are tables whose delete failed. Hashes go with :func:`row_hashes`."""
+    """One audit row per (request, table). ``kept`` is :func:`retention`; ``failures(table_full_name, error)`` are
+    tables whose delete failed. ``erased`` is :func:`erased_by` of the approved requests: without it, ``rows_deleted``
+    is what the dry run matched, and rows that two requests share are counted by both."""
     joined = checks.join(approved, "request_id").join(
         kept.withColumnRenamed("full_table_name", "table_full_name"), "table_full_name", "left"
     )
@@ -192,6 +210,11 @@ def erasure_items(
         joined = joined.withColumn("error", F.lit(None).cast("string"))
     else:
         joined = joined.join(failures.select("table_full_name", "error"), "table_full_name", "left")
+    if erased is None:
+        joined = joined.withColumn("n_deleted", F.col("matched_count"))
+    else:
+        counted = erased.groupBy("request_id", "table_full_name").agg(F.sum("n_deleted").alias("n_deleted"))
+        joined = joined.join(counted, ["request_id", "table_full_name"], "left")
     mismatch = F.format_string("%d rows were selected but %d match in the table.", "rows_selected", "matched_count")
     status = (
         F.when(~F.col("all_ok"), F.lit(ABORTED)).when(F.col("error").isNotNull(), F.lit(FAILED)).otherwise(F.lit(SUCCEEDED))
@@ -202,7 +225,7 @@ def erasure_items(
     return joined.select(
         "request_id", "table_full_name", "provenance", "matched_column_or_tag",
         "rows_selected",
-        F.when(status == SUCCEEDED, F.col("matched_count")).otherwise(F.lit(0)).cast("bigint").alias("rows_deleted"),
+        F.when(status == SUCCEEDED, F.coalesce("n_deleted", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("rows_deleted"),
         "row_targeting_method",
         F.coalesce("vacuum_retention_raw", retention_text(F.lit(None).cast("string"))).alias("vacuum_retention_raw"),
         days.alias("vacuum_retention_days"),
@@ -264,10 +287,12 @@ def run_erasure(
     """Check everything, erase only for requests of which every table passed, and then record what happened.
 
     Requests are recorded as PENDING first. Each table's surviving rows are written to a fresh folder below ``root``
-    (:func:`publish`); a table whose write fails stays as it was, and its items are FAILED with the error. Only
-    after the writes are items, statuses and completion times made, so the evidence never runs ahead of them.
+    (:func:`publish`), and the write itself counts them. A table whose write fails, or that lost another number of rows
+    than the approved requests account for, stays as it was, and its items are FAILED with the error. Only after
+    the writes are items, statuses and completion times made, so the evidence never runs ahead of them.
 
-    Returns ``pending``, ``requests``, ``items``, ``hashes`` (of rows that are gone), ``paths`` of the tables to repoint,
+    Returns ``pending``, ``requests``, ``items``, ``hashes`` (of rows that are gone, with ``n_deleted``, the entries that
+    :func:`ledger` counts up), ``paths`` of the tables to repoint, ``deleted`` (rows that each table lost),
     and ``survivors``: each table as it stands now. Requests without any selected row are refused. Without ``root`` the
     folders are scratch.
     """
@@ -280,17 +305,25 @@ def run_erasure(
     approved = all_ok.filter("all_ok").select("request_id")
     pending = materialise(new_requests(requests, "erasure", as_of), "pending")
     left = {name: erase(tables[name], rows, keys.get(name), approved)[0] for name, rows in selected.items()}
-    paths, errors = publish(left, root or scratch_folder(spark, "published"), write)
+    hashes = materialise(erased_by(row_hashes(selected).join(approved, "request_id", "left_semi")), "hashes")
+    owed = dict(hashes.groupBy("table_full_name").agg(F.sum("n_deleted")).collect())  # one row a table
+    paths, errors, written = publish(left, root or scratch_folder(spark, "published"), write)
+    deleted = {name: tables[name].count() - rows for name, rows in written.items()}
+    for name, lost in deleted.items():
+        if lost != owed.get(name, 0):
+            errors[name] = f"The table lost {lost} rows, but the requests account for {owed.get(name, 0)}; it was left as it is."
+            release(spark, [paths.pop(name)])
     failures = spark.createDataFrame(list(errors.items()), "table_full_name string, error string")
-    items = materialise(erasure_items(checks, all_ok, kept, as_of, failures), "items")
+    items = materialise(erasure_items(checks, all_ok, kept, as_of, failures, hashes), "items")
     gone = items.filter(F.col("execution_status") == SUCCEEDED).select("request_id", "table_full_name")
     return {
         "survivors": {name: spark.read.schema(left[name].schema).parquet(paths[name]) if name in paths else tables[name] for name in left},
         "pending": pending,
         "requests": upsert_requests(pending, request_status(items), as_of),
         "items": items,
-        "hashes": row_hashes(selected).join(gone, ["request_id", "table_full_name"], "left_semi"),
+        "hashes": hashes.join(gone, ["request_id", "table_full_name"], "left_semi"),
         "paths": paths,
+        "deleted": {name: lost for name, lost in deleted.items() if name in paths},
     }
 
 
@@ -298,29 +331,39 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+class Published(NamedTuple):
+    paths: dict[str, str]
+    errors: dict[str, str]
+    #: Rows that each write put down, counted by the write itself.
+    written: dict[str, int]
+
+
 def publish(
     survivors: Mapping[str, DataFrame], root: str, write: Callable[[DataFrame, str], None] | None = None
-) -> tuple[dict[str, str], dict[str, str]]:
-    """Write each surviving table to a fresh folder below ``root``: (paths to repoint to, errors by table).
+) -> Published:
+    """Write each surviving table to a fresh folder below ``root``: paths to repoint to, errors, and rows written by table.
 
-    Overwriting in place by partition would leave a fully erased partition's old rows behind. One table's failure
+    ``write(df, path)`` must write the frame that it is given, whole. Overwriting in place by partition would leave a fully erased partition's old rows behind. One table's failure
     does not stop the others; what it wrote is removed. A folder that is not fresh is refused before anything is
     written.
     """
-    paths, errors = {}, {}
+    paths, errors, written = {}, {}, {}
     targets = {name: f"{root}/{name}" for name in survivors}
     for name, df in survivors.items():
         if exists(df.sparkSession, targets[name]):
             raise FileExistsError(targets[name])
     for name, df in survivors.items():
-        path = targets[name]
+        path, seen = targets[name], Observation()
         try:
-            (write or _write)(df, path)
+            (write or _write)(df.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+            if not exists(df.sparkSession, path):
+                raise FileNotFoundError(path)
+            written[name] = seen.get["rows"]
             paths[name] = path
         except Exception as exc:  # noqa: BLE001  whatever it was, the table was not replaced
             errors[name] = str(exc).partition("\n")[0]
             release(df.sparkSession, [path])
-    return paths, errors
+    return Published(paths, errors, written)
 
 
 # ---- restore -----------------------------------------------------------------------------------
@@ -398,38 +441,66 @@ def restorable_items(items: DataFrame, restorations: DataFrame, as_of: dt.dateti
     )
 
 
+def ledger(erased: DataFrame, restored: DataFrame | None = None) -> DataFrame:
+    """How many rows of each hash are gone for now: (table_full_name, row_key_hash, outstanding).
+
+    Both inputs are append-only. ``erased`` holds the hashes of succeeded items with ``n_deleted`` (of other evidence,
+    ``n``), ``restored(table_full_name, row_key_hash, n)`` what :func:`restore_rows` put back.
+    """
+    key = ["table_full_name", "row_key_hash"]
+    count = "n_deleted" if "n_deleted" in erased.columns else "n"
+    entries = erased.select(*key, F.col(count).alias("n"))
+    if restored is not None:
+        entries = entries.unionByName(restored.select(*key, (-F.col("n")).alias("n")))
+    return entries.groupBy(*key).agg(F.sum("n").alias("outstanding")).filter("outstanding > 0")
+
+
 def restore_rows(
-    current: DataFrame, snapshot: DataFrame, hashes: DataFrame, allowed: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Put erased rows of one table back from its snapshot: (restored table, outcome per request).
+    current: DataFrame, snapshot: DataFrame, hashes: DataFrame, allowed: DataFrame, outstanding: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Put erased rows of one table back from its snapshot: (restored table, outcome per request, entries for the ledger).
+
+    ``hashes`` are the stored row hashes of this table's items, ``allowed`` the requests that may be restored (see
+    :func:`restorable_items`), ``outstanding`` the :func:`ledger` of the table's evidence and of all earlier restores;
+    without it nothing counts as restored so far. A request is restored only if the snapshot holds exactly as many
+    matching rows as were erased, equal rows counted.
 
-    ``hashes`` are the stored row hashes of this table's items, ``allowed`` the requests that may be
-    restored (see :func:`restorable_items`). A request is restored only if the snapshot holds
-    exactly as many matching rows as were erased, equal rows counted.
+    A row that several requests erased is put back once, by the first that asks; for the others it is back already and
+    they succeed with fewer rows. ``rows_shared`` tells how many those were.
     """
     columns = snapshot.columns
+    outstanding = ledger(hashes) if outstanding is None else outstanding
     wanted = hashes.join(allowed.select("request_id").distinct(), "request_id", "left_semi")
-    wanted = wanted.select("request_id", "row_key_hash", "n")
+    wanted = wanted.select("request_id", "table_full_name", "row_key_hash", "n")
     rows = snapshot.withColumn("row_key_hash", hash_row_key(row_text(columns), "erasure"))
     found = rows.join(wanted.select("row_key_hash").distinct(), "row_key_hash", "left_semi")
-    counts = found.groupBy("row_key_hash").agg(F.count("*").alias("found"))
+    found = found.groupBy("row_key_hash").agg(F.count("*").alias("found"), F.first(F.struct(*columns)).alias("row"))
+    found = materialise(found, "found")
     outcome = (
-        wanted.join(counts, "row_key_hash", "left")
+        wanted.join(found.select("row_key_hash", "found"), "row_key_hash", "left")
         .groupBy("request_id")
         .agg(F.sum("n").alias("expected"), F.sum(F.coalesce("found", F.lit(0))).alias("matched"))
         .withColumn("ok", F.col("expected") == F.col("matched"))
     )
-    good = wanted.join(outcome.filter("ok"), "request_id", "left_semi").select("row_key_hash").distinct()
-    restored = found.join(good, "row_key_hash", "left_semi").select(*columns)
-    outcome = outcome.select(
+    good = wanted.join(outcome.filter("ok"), "request_id", "left_semi")
+    gone = good.join(outstanding.select("table_full_name", "row_key_hash", "outstanding"), ["table_full_name", "row_key_hash"])
+    # Requests that share a row draw on what is outstanding one after the other.
+    earlier = Window.partitionBy("table_full_name", "row_key_hash").orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    entries = gone.withColumn("n", F.least("n", F.greatest(F.lit(0), F.col("outstanding") - before))).filter("n > 0")
+    entries = materialise(entries.select("request_id", "table_full_name", "row_key_hash", "n"), "restored")
+    back = entries.groupBy("row_key_hash").agg(F.sum("n").alias("n")).join(found, "row_key_hash")
+    restored = back.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    returned = entries.groupBy("request_id").agg(F.sum("n").alias("returned"))
+    lacking = F.format_string("The snapshot holds %d of the %d erased rows, so none was put back.", "matched", "expected")
+    outcome = outcome.join(returned, "request_id", "left").select(
         "request_id",
-        F.when(F.col("ok"), F.col("matched")).otherwise(F.lit(0)).cast("bigint").alias("rows_restored"),
+        F.coalesce("returned", F.lit(0)).cast("bigint").alias("rows_restored"),
+        F.when(F.col("ok"), F.col("expected") - F.coalesce("returned", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("rows_shared"),
         F.when(F.col("ok"), F.lit(SUCCEEDED)).otherwise(F.lit(FAILED)).alias("execution_status"),
-        F.when(
-            ~F.col("ok"), F.format_string("The snapshot holds %d of the %d erased rows, so none was put back.", "matched", "expected")
-        ).alias("error_message"),
+        F.when(~F.col("ok"), lacking).alias("error_message"),
     )
-    return current.unionByName(restored), outcome
+    return current.unionByName(restored), outcome, entries
 
 
 def restoration_rows(

@@ -1,8 +1,12 @@
 """Lineage: compact event logs into edges, merge them into a cache, and traverse the cache.
 
 Traversals run level by level for all seeds at once. Each level is one join of a frontier with the
-distinct edges; it is written to the shared folder, so no plan grows with the depth and a lost
-executor costs no more than the current level.
+distinct edges; it is written to the shared folder, so a lost executor costs no more than the
+current level. What has been visited lies in a few written runs that are merged as they grow, so
+neither a plan nor the number of scans of a level grows with the depth.
+
+The edge cache is a folder of hash buckets. A batch rewrites the buckets that it has edges in and
+leaves the files of all others as they are.
 """
 
 from __future__ import annotations
@@ -12,10 +16,10 @@ from collections.abc import Mapping
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stewardry.functions.durations import at, relative_time
-from stewardry.session import materialise
+from stewardry.session import exists, materialise, materialise_counted, release
 
 # --- fixed values --------------------------------------------------------------------------
 MONITORING_TABLE = r"_(drift|profile)_metrics$"
@@ -82,6 +86,53 @@ def merge_column_edges(cache: DataFrame, batch: DataFrame) -> DataFrame:
     return cache.unionByName(batch).groupBy(*COLUMN_EDGE).agg(F.max("last_seen").alias("last_seen"))
 
 
+# ---- the cache as a folder of buckets ---------------------------------------------------------
+
+#: Buckets of a new cache. An existing one keeps the number it was made with.
+CACHE_BUCKETS = 64
+
+
+def _merge(cache: DataFrame, batch: DataFrame) -> DataFrame:
+    return merge_column_edges(cache, batch) if "source_column_name" in batch.columns else merge_table_edges(cache, batch)
+
+
+def _dealt(edges: DataFrame, buckets: int) -> DataFrame:
+    keys = COLUMN_EDGE if "source_column_name" in edges.columns else TABLE_EDGE
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    return edges.withColumns({"of": F.lit(buckets), "bucket": bucket}).repartition("bucket")
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cached edges, one row an edge."""
+    return spark.read.parquet(path).drop("of", "bucket")
+
+
+def refresh_cache(path: str, batch: DataFrame, buckets: int = CACHE_BUCKETS) -> list[int]:
+    """Merge compacted table or column edges into the cache at ``path``; returns the buckets that were rewritten.
+
+    Only buckets that hold an edge of the batch are read, merged and replaced, by a dynamic partition overwrite; the
+    files of the others are not touched. Merging is idempotent and never takes an edge away, so a batch may be merged
+    again after a failure, and no bucket empties. A missing cache is made with ``buckets`` buckets. One refresh may run
+    at a time.
+    """
+    spark = batch.sparkSession
+    if not exists(spark, path):
+        made = _merge(batch.limit(0), batch)
+        _dealt(made, buckets).write.partitionBy("of", "bucket").parquet(path)
+        return sorted(r["bucket"] for r in spark.read.parquet(path).select("bucket").distinct().collect())
+    cache = spark.read.parquet(path)
+    known = cache.select("of").first()
+    of = known["of"] if known else buckets
+    batch = materialise(_dealt(batch, of), "batch")
+    touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())  # at most ``of`` numbers
+    if touched:
+        old = cache.filter(F.col("bucket").isin(touched)).drop("of", "bucket")
+        merged = _dealt(_merge(old, batch.drop("of", "bucket")), of)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(path)
+        spark.catalog.refreshByPath(path)
+    return touched
+
+
 # ---- traversal ----------------------------------------------------------------------------
 
 def is_table_name(c) -> Column:
@@ -98,20 +149,58 @@ def _reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, expand: Co
     ``edges(src, dst)`` are already distinct; ``seeds(grp, node)`` count as depth 0. ``expand``
     says which newly reached nodes are followed further; seeds always are.
     """
-    visited = materialise(seeds.select("grp", "node").distinct().withColumn("depth", F.lit(0)), "seeds")
-    frontier = visited
+    frontier, rows = materialise_counted(seeds.select("grp", "node").distinct().withColumn("depth", F.lit(0)), "seeds")
+    visited = VisitedRuns(frontier, rows)
     for depth in count(1):
         if max_depth is not None and depth > max_depth:
             break
         if depth > 1 and expand is not None:
             frontier = frontier.filter(expand)
         hop = frontier.join(edges, F.col("node") == F.col("src")).select("grp", F.col("dst").alias("node")).distinct()
-        fresh = hop.join(visited, ["grp", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = materialise(fresh, "level")
-        if frontier.isEmpty():
+        fresh = hop.join(visited.rows(), ["grp", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier, rows = materialise_counted(fresh, "level")
+        if not rows:
             break
-        visited = visited.unionByName(frontier)
-    return visited
+        visited.add(frontier, rows)
+    return visited.rows()
+
+
+#: Runs of visited nodes that a level may read before small ones are merged.
+MOST_RUNS = 6
+
+
+class VisitedRuns:
+    """The visited nodes of a walk: written tables, of which the last ones are merged when there are many.
+
+    A merge takes the last runs together with every run ahead that is at most three times as large as what is merged so
+    far. So a row is rewritten only into runs that outgrow its own by a third at least, and large runs stay as they are.
+    """
+
+    def __init__(self, first: DataFrame, rows: int) -> None:
+        self.runs: list[tuple[DataFrame, int]] = [(first, rows)]
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [run for run, _ in self.runs])
+
+    def add(self, level: DataFrame, rows: int) -> None:
+        self.runs.append((level, rows))
+        if len(self.runs) <= MOST_RUNS:
+            return
+        start, total = len(self.runs) - 1, rows
+        while start and self.runs[start - 1][1] <= 3 * total:
+            start -= 1
+            total += self.runs[start][1]
+        old = self.runs[start:]
+        if len(old) > 1:
+            merged = materialise(reduce(DataFrame.unionByName, [run for run, _ in old]).coalesce(_tasks(total)), "visited")
+            # The newest level is still to be walked on from; the others are no longer read.
+            release(level.sparkSession, [run.scratch_path for run, _ in old[:-1]])
+            self.runs[start:] = [(merged, total)]
+
+
+def _tasks(rows: int) -> int:
+    """Tasks, and so files, of a merged run: about a million rows each."""
+    return 1 + rows // 1_000_000
 
 
 def trace_tables(

@@ -332,6 +332,39 @@ add("merge_column_edges", lambda s, d: _merged(s, d, "column_lineage_log", ln.co
     f"{_CLOG}, {_column_edges_sql('ce', '1988-01-01')} SELECT * FROM ce")
 
 
+#: The last days of the log, as a nightly batch.
+_LAST_DAYS = 30
+
+
+def _refreshed(s: SparkSession, d: str, log: str, compact) -> tuple[str, list[int], list[dict]]:
+    """A cache written from the log up to a day and refreshed by a nightly batch: its path, the buckets that the batch
+    rewrote, and the buckets' files before and after."""
+    rows, path = load(s, d, log), scratch_folder(s, "cache")
+    night = F.lit(LINEAGE_DAY - dt.timedelta(days=_LAST_DAYS))
+    files = []
+    touched: list[int] = []
+    for part in (rows.filter(F.col("event_date") < night), rows.filter(F.col("event_date") >= night)):
+        touched = ln.refresh_cache(path, compact(part, LINEAGE_DAY, ALL_DAYS), buckets=256)
+        seen = s.read.parquet(path).groupBy("bucket").agg(F.sort_array(F.collect_set("_metadata.file_path")).alias("files"))
+        files.append({r["bucket"]: r["files"] for r in seen.collect()})
+    return path, touched, files
+
+
+def _untouched(s: SparkSession, d: str) -> DataFrame:
+    """Whether the nightly batch replaced the files of its own buckets and kept those of all others."""
+    _, touched, (before, after) = _refreshed(s, d, "column_lineage_log", ln.compact_column_edges)
+    kept = all(after[b] == names for b, names in before.items() if b not in touched)
+    replaced = all(not set(after[b]) & set(before.get(b, [])) for b in touched)
+    return s.createDataFrame([(kept, replaced, set(before) <= set(after))], "others_kept boolean, own_replaced boolean, none_lost boolean")
+
+
+add("lineage_cache_tables", lambda s, d: ln.read_cache(s, _refreshed(s, d, "table_lineage_log", ln.compact_table_edges)[0]),
+    f"{_TLOG}, {_table_edges_sql('te', '1988-01-01')} SELECT * FROM te")
+add("lineage_cache_columns", lambda s, d: ln.read_cache(s, _refreshed(s, d, "column_lineage_log", ln.compact_column_edges)[0]),
+    f"{_CLOG}, {_column_edges_sql('ce', '1988-01-01')} SELECT * FROM ce")
+add("lineage_cache_untouched", _untouched, "SELECT TRUE AS others_kept, TRUE AS own_replaced, TRUE AS none_lost")
+
+
 def _trace(s: SparkSession, d: str, direction: str) -> DataFrame:
     seed = "gold.s1.t0" if direction == "up" else "silver.s1.t0"
     return ln.trace_tables(all_table_edges(s, d), s.createDataFrame([(seed,)], "table_full_name string"), direction)
@@ -352,6 +385,17 @@ for _dir in ("up", "down"):
     add(f"trace_tables_{_dir}", lambda s, d, k=_dir: _trace(s, d, k), f"{_TLOG}, {_TE_ALL}, {_trace_sql(_dir)} SELECT * FROM trace_{_dir}")
 
 
+def _deep(s: SparkSession, d: str) -> DataFrame:
+    """Chains of 300 tables, walked from their first ones all at once."""
+    starts = load(s, d, "deep_edges").filter("level = 0").select(F.col("source_table_full_name").alias("table_full_name"))
+    return ln.trace_tables(load(s, d, "deep_edges").drop("level"), starts, "down")
+
+
+add("trace_tables_deep", _deep, f"""{check_ctes('deep_edges')}
+SELECT source_table_full_name AS matched_table, target_table_full_name AS downstream_table, target_table_catalog AS target_catalog, entity_type, last_seen,
+ CAST(level + 1 AS INT) AS depth FROM deep_edges""")
+
+
 def traced_columns(s: SparkSession, d: str, direction: str) -> DataFrame:
     stop = "bronze." if direction == "up" else None
     return ln.trace_columns(all_column_edges(s, d), load(s, d, "trace_starts"), direction, stop_prefix=stop)

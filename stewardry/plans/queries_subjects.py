@@ -376,7 +376,7 @@ def _restores(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]
     tables, rows = {}, []
     for name in _SELECTED:
         of_table = F.col("table_full_name") == name
-        tables[name], outcome = er.restore_rows(run["survivors"][name], load(s, d, lake.TABLES[name]), run["hashes"].filter(of_table), items.filter(of_table))
+        tables[name], outcome, _ = er.restore_rows(run["survivors"][name], load(s, d, lake.TABLES[name]), run["hashes"].filter(of_table), items.filter(of_table))
         rows.append(er.restoration_rows(outcome, versions, name, "steward", "objection", ERASED_AT).drop("restoration_id"))
     return tables, rows[0].unionByName(rows[1])
 
@@ -387,6 +387,33 @@ add("restoration_rows", lambda s, d: _restores(s, d)[1], f"""{_CHECKED}
 SELECT request_id, table_full_name, 'steward' AS restored_by, 'objection' AS restoration_reason, CAST(CASE WHEN table_full_name LIKE '%bookings' THEN 16 ELSE 22 END AS BIGINT) AS pre_delete_version,
  CAST(rows_selected AS INT) AS rows_restored, 'SUCCEEDED' AS execution_status, CAST(NULL AS VARCHAR) AS error_message, TIMESTAMP '2002-01-01 09:30:00' AS restored_at
 FROM checks JOIN gates USING (request_id) WHERE all_ok""")
+
+
+def _shared_restores(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Pairs of requests that erased the same bookings: the second of each pair is restored after the first."""
+    name = "silver.crm.bookings"
+    chosen = load(s, d, "selected_shared")
+    asked = chosen.select("request_id").distinct().select("request_id", F.col("request_id").alias("subject_ref"), F.lit("steward").alias("requested_by"), F.lit("Art. 17").alias("legal_basis"))
+    run = er.run_erasure(asked, {name: load(s, d, "bookings")}, {name: chosen}, {}, _retention(s), ERASED_AT)
+    table, done, outcomes = run["survivors"][name], None, []
+    hashes = materialise(run["hashes"], "hashes")
+    for first in ("r", "q"):
+        turn = run["items"].filter(F.col("request_id").startswith(first) & (F.col("execution_status") == er.SUCCEEDED))
+        table, outcome, entries = er.restore_rows(table, load(s, d, "bookings"), hashes, turn, er.ledger(hashes, done))
+        done = entries if done is None else done.unionByName(entries)
+        outcomes.append(outcome)
+    return {"table": table, "items": run["items"], "outcomes": outcomes[0].unionByName(outcomes[1])}
+
+
+_SHARED = f"""{check_ctes('selected_shared')},
+w AS (SELECT request_id, booking_id, count(*) AS n FROM selected_shared GROUP BY ALL),
+f AS (SELECT *, min(request_id) OVER (PARTITION BY booking_id) = request_id AS own, max(request_id) OVER (PARTITION BY booking_id) = request_id AS late FROM w)"""
+add("erasure_items_shared", lambda s, d: _shared_restores(s, d)["items"].select("request_id", "rows_selected", "rows_deleted", "execution_status"),
+    f"{_SHARED} SELECT request_id, CAST(sum(n) AS BIGINT) AS rows_selected, CAST(coalesce(sum(n) FILTER (own), 0) AS BIGINT) AS rows_deleted, 'SUCCEEDED' AS execution_status FROM f GROUP BY request_id")
+add("restore_shared_rows", lambda s, d: _shared_restores(s, d)["table"], f"{check_ctes('bookings')} SELECT * FROM bookings")
+add("restore_shared_outcomes", lambda s, d: _shared_restores(s, d)["outcomes"], f"""{_SHARED}
+SELECT request_id, CAST(coalesce(sum(n) FILTER (late), 0) AS BIGINT) AS rows_restored, CAST(coalesce(sum(n) FILTER (NOT late), 0) AS BIGINT) AS rows_shared,
+ 'SUCCEEDED' AS execution_status, CAST(NULL AS VARCHAR) AS error_message FROM f GROUP BY request_id""")
 add("erasure_requests_list", lambda s, d: er.newest_requests(load(s, d, "erasure_requests")), f"{check_ctes('erasure_requests')} SELECT * FROM erasure_requests ORDER BY requested_at DESC, request_id")
 add("erasure_items_list", lambda s, d: er.items_of(load(s, d, "erasure_items"), None, "executed_at"), f"{check_ctes('erasure_items')} SELECT * FROM erasure_items ORDER BY request_id, executed_at")
 add("restorations_list", lambda s, d: er.items_of(load(s, d, "restorations"), None, "restored_at"), f"{check_ctes('restorations')} SELECT * FROM restorations ORDER BY request_id, restored_at")

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 #: Settings every job of this package wants; a cluster profile may override any of them.
 DEFAULTS = {
@@ -86,6 +86,13 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def materialise_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
+    """:func:`materialise`, and how many rows the write put down."""
+    rows = Observation()
+    out = materialise(df.observe(rows, F.count(F.lit(1)).alias("rows")), label)
+    return out, rows.get["rows"]
+
+
 def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
     """Delete folders that :func:`materialise` wrote, or all of them."""
     for path in list(_written if paths is None else paths):

@@ -142,6 +142,12 @@ SELECT source_table_full_name,
  CASE WHEN l_orderkey % 17 = 0 THEN 'dashboard' ELSE target_table_full_name END AS target_table_full_name,
  concat('c', CAST(l_orderkey % 3 AS STRING)) AS target_column_name, event_time, event_date
 FROM {table_lineage_log}""",
+    "deep_edges": """
+SELECT CAST(event_id % 300 AS INT) AS level,
+ concat('silver.l', CAST(event_id % 300 AS STRING), '.t', CAST(CAST(floor(event_id / 300.0) AS BIGINT) AS STRING)) AS source_table_full_name,
+ concat('silver.l', CAST(event_id % 300 + 1 AS STRING), '.t', CAST(CAST(floor(event_id / 300.0) AS BIGINT) AS STRING)) AS target_table_full_name,
+ 'silver' AS source_table_catalog, 'silver' AS target_table_catalog, event_type AS entity_type, ts AS last_seen
+FROM {events}""",
     "cat_tables": f"""
 SELECT p_partkey, {_NAME_PARTS},
  CASE p_partkey % 11 WHEN 0 THEN 'VIEW' WHEN 1 THEN 'EXTERNAL' WHEN 2 THEN 'STREAMING_TABLE'
@@ -256,6 +262,11 @@ SELECT concat('r', CAST(c_custkey AS STRING)) AS request_id, 'upstream' AS prove
 FROM {bookings} t JOIN {customer} ON c_custkey = lead_id WHERE c_acctbal < 0 AND c_mktsegment <> 'MACHINERY'
 UNION ALL SELECT concat('r', CAST(c_custkey AS STRING)), 'upstream', 'class.name', t.*
 FROM {bookings_once} t JOIN {customer} ON c_custkey = lead_id WHERE c_acctbal < 0 AND c_mktsegment = 'MACHINERY'""",
+    "selected_shared": """
+SELECT concat('r', CAST(c_custkey AS STRING)) AS request_id, 'upstream' AS provenance, 'class.name' AS matched_on, t.*
+FROM {bookings} t JOIN {customer} ON c_custkey = lead_id WHERE c_acctbal < 0
+UNION ALL SELECT concat('q', CAST(c_custkey AS STRING)), 'direct', 'class.name', t.*
+FROM {bookings} t JOIN {customer} ON c_custkey = lead_id WHERE c_acctbal < 500 AND booking_id % 3 > 0""",
     "release_requests": """
 SELECT o_orderkey AS request_no, CASE WHEN o_orderkey % 5 = 0 THEN '  ' WHEN o_orderkey % 5 = 1 THEN NULL ELSE 'Running bookings' END AS purpose,
  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS recipients, o_orderkey % 3 = 0 AS unsure,
