@@ -26,6 +26,9 @@ END_ID = 2
 #: Dimensions of the curve and bits of each; together 63 bits at most.
 DIMENSIONS = 8
 BITS = 7
+#: Stretches of the curve to a shuffle partition. Ranges are even in rows, and long documents lie close together, so
+#: some stretches hold several times the tokens of others.
+STRETCHES = 4
 #: Hash buckets of a document's vector.
 WIDTH = 1024
 #: Words whose ids a worker keeps; beyond it starts anew.
@@ -304,7 +307,8 @@ def pack_along_curve(
     spread = np.array([m or 1.0 for m in moments[dimensions:]])
     order = [F.asc("key"), F.asc_nulls_first("doc_id"), F.asc("tie")]
     keyed = rows.select("doc_id", "tie", "ids", _curve_key(centre, spread, bits)("point").alias("key"))
-    laid = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().alias("part"))
+    stretches = STRETCHES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = keyed.repartitionByRange(stretches, *order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().alias("part"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _loaded:
