@@ -75,6 +75,35 @@ def placed(df: DataFrame, order: list[Column]) -> DataFrame:
     return rows.withColumn("place", F.col("_shift") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_shift")
 
 
+#: Bitmaps of 32,768 bits each that a tag filter has: 4 MB in all.
+FILTER_BITMAPS = 1024
+
+
+def tag_filter(tags: DataFrame, column: str = "row_tag") -> DataFrame:
+    """Bitmaps that tell which 64-bit hashes may be in ``column``. Their size is fixed; more hashes make them less selective."""
+    cut = tags.select(_bitmap_of(F.col(column)), _bit_of(F.col(column)))
+    return materialise(cut.groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "filter")
+
+
+def _bitmap_of(tag: Column) -> Column:
+    return F.pmod(F.shiftright(tag, 20), F.lit(FILTER_BITMAPS)).alias("_bitmap")
+
+
+def _bit_of(tag: Column) -> Column:
+    return F.pmod(tag, F.lit(32_768)).alias("_bit")
+
+
+def may_be_in(rows: DataFrame, bitmaps: DataFrame, column: str = "row_tag") -> DataFrame:
+    """The rows whose hash may be among those of :func:`tag_filter`; all that are, and few others.
+
+    Ahead of a join it keeps the other rows and their texts out of the shuffle.
+    """
+    byte = F.expr("conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10)").cast("int")
+    asked = rows.withColumns({"_bitmap": _bitmap_of(F.col(column)), "_bit": _bit_of(F.col(column))})
+    found = asked.join(F.broadcast(bitmaps), "_bitmap")  # FILTER_BITMAPS rows of 4 KB at most
+    return found.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0).select(*rows.columns)
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one byte array and the offsets of its rows; NULL counts as empty."""
     if isinstance(column, pa.ChunkedArray):

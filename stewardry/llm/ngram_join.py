@@ -6,15 +6,17 @@ The order here is rare first: items that blocks of documents show to be frequent
 very end. Only those prefixes are joined. Documents with equal sets are one class from the start.
 
 What is asked for is the classes that links connect, so two classes that are already connected are not compared.
-Where buckets (classes that share a prefix item) are large, all others first meet one pivot, chosen by hash; what is
-then still apart meets in full. Each pair passes the length filter (sizes), the positional filter (places of the
-shared item) and the suffix filter before its sets are fetched. The suffix filter bounds what the whole sets can
-share: within the join by 256 bits of which each item flips one, then by item counts in equal parts of the hash
-range, then by bitmaps of about two bits an item. Bits that differ are at most as many as items that do.
+In each bucket (classes that share a prefix item) all others first meet one pivot, chosen by hash, in as many rounds as
+pay; what is then still apart meets in full. No pair is verified twice. Each pair passes the length filter (sizes), the
+positional filter (places of the shared item) and the suffix filter before its sets are fetched. The suffix filter
+bounds what the whole sets can share: within the join by 64 bits of which each item flips one, then by item counts in
+equal parts of the hash range, then by bitmaps of about two bits an item. Bits that differ are at most as many as items
+that do.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stewardry.llm.common import bounded_batches, bytes_of, chunks, hashed_words, id_of, keyed, mix, ngrams, signed
+from stewardry.llm.common import bounded_batches, bytes_of, chunks, hashed_words, id_of, keyed, may_be_in, mix, ngrams, signed, tag_filter
 from stewardry.llm.graph import components
 from stewardry.session import materialise
 
@@ -36,9 +38,9 @@ PARTS = 16
 #: Rows of a frequent item are spread over so many keys until they are known to be shared.
 SPREAD = 256
 
-_ROWS = "item long, salt int, cls long, n int, place int, row_order long, row_tag long, parts array<int>, marks binary, flips array<long>"
+_ROWS = "item long, salt int, cls long, n int, place int, row_order long, row_tag long, parts array<int>, marks binary, flips long"
 _ROWS_ARROW = pa.schema(
-    [("item", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int64()), ("parts", pa.list_(pa.int32())), ("marks", pa.binary()), ("flips", pa.list_(pa.int64()))]
+    [("item", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int64()), ("parts", pa.list_(pa.int32())), ("marks", pa.binary()), ("flips", pa.int64())]
 )
 
 
@@ -134,11 +136,11 @@ def _prefixes(ngram: int, num: int, den: int, frequent):
                     cls = signed(mix(sums[starts[1:]] - sums[starts[:-1]] + n.astype(np.uint64)))
                 parts = np.bincount(rows * PARTS + (items >> np.uint64(60)).astype(np.int64), minlength=docs * PARTS)
                 lists = pa.ListArray.from_arrays(np.arange(0, docs * PARTS + 1, PARTS, dtype=np.int32), pa.array(parts, pa.int32()))
-                bit = (items >> np.uint64(56)).astype(np.int64)
-                odd = (np.bincount(rows * 256 + bit, minlength=docs * 256).reshape(docs, 256) & 1).astype(np.uint8)
-                flips = pa.ListArray.from_arrays(np.arange(0, docs * 4 + 1, 4, dtype=np.int32), pa.array(np.packbits(odd, axis=1, bitorder="little").view("<i8").ravel()))
+                bit = (items >> np.uint64(58)).astype(np.int64)
+                odd = (np.bincount(rows * 64 + bit, minlength=docs * 64).reshape(docs, 64) & 1).astype(np.uint8)
+                flips = pa.array(np.packbits(odd, axis=1, bitorder="little").view("<i8").ravel())
                 marks = [bitmap(items[starts[k] : starts[k + 1]]) for k in range(docs)]
-                spread = signed(mix(orders[a:b].astype(np.uint64)))
+                spread = signed(mix(mix(orders[a:b].astype(np.uint64)) ^ tags[a:b].astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, f.type) for x, f in zip((spread, np.zeros(docs, np.int32), cls, n, np.full(docs, -1), orders[a:b], tags[a:b]), _ROWS_ARROW, strict=False)] + [lists, pa.array(marks, pa.binary()), flips],
                     schema=_ROWS_ARROW,
@@ -158,7 +160,7 @@ def _prefixes(ngram: int, num: int, den: int, frequent):
                 empty = pa.nulls(len(use), pa.list_(pa.int32()))
                 zero = np.zeros(len(use), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, f.type) for x, f in zip((signed(items[use]), salt, cls[row], n[row], place[use], zero, zero), _ROWS_ARROW, strict=False)] + [empty, pa.nulls(len(use), pa.binary()), pa.nulls(len(use), pa.list_(pa.int64()))],
+                    [pa.array(x, f.type) for x, f in zip((signed(items[use]), salt, cls[row], n[row], place[use], zero, zero), _ROWS_ARROW, strict=False)] + [empty, pa.nulls(len(use), pa.binary()), pa.nulls(len(use), pa.int64())],
                     schema=_ROWS_ARROW,
                 )
 
@@ -183,7 +185,7 @@ def _may_link(num: int, den: int) -> Column:
     most = F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     least = F.least("n", "n2")
     # 'most' counts the shared item too; J >= num/den means den * overlap >= num * (n + n2 - overlap).
-    differ = sum((F.bit_count(F.col("flips")[k].bitwiseXOR(F.col("flips2")[k])) for k in range(4)), F.lit(0))
+    differ = F.bit_count(F.col("flips").bitwiseXOR(F.col("flips2")))
     total = F.col("n") + F.col("n2")
     return (den * least >= num * F.greatest("n", "n2")) & ((den + num) * most >= num * total) & ((den + num) * differ <= (den - num) * total)
 
@@ -219,68 +221,137 @@ def _bits_allow(num: int, den: int):
     return allow
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes that reach the similarity: suffix filter, then the sets of what is left."""
+def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, n, n2) that the suffix filter leaves, in a written table."""
     narrow = classes.select("cls", "n", "parts")
     pairs = pairs.join(narrow.toDF("a", "n", "parts"), "a").join(narrow.toDF("b", "n2", "parts2"), "b")
     most = F.aggregate(F.zip_with("parts", "parts2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     pairs = pairs.filter((den + num) * most >= num * (F.col("n") + F.col("n2"))).select("a", "b", "n", "n2")
     marks = classes.select("cls", "marks")
     met = pairs.join(marks.toDF("a", "marks"), "a").join(marks.toDF("b", "marks2"), "b").select("a", "b", "n", "n2", "marks", "marks2")
-    met = materialise(met.mapInArrow(_bits_allow(num, den), "a long, b long, n int, n2 int"), "pairs")
+    return materialise(met.mapInArrow(_bits_allow(num, den), "a long, b long, n int, n2 int"), "pairs")
+
+
+def _verified(met: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes that reach the similarity, by their sets."""
     needed = met.select(F.col("a").alias("cls")).union(met.select("b")).distinct()
     chosen = materialise(needed.join(classes.select("cls", "row_order", "row_tag"), "cls"), "chosen")
-    texts = docs.join(chosen, ["row_order", "row_tag"]).select("cls", "text")
+    row = F.xxhash64("row_order", "row_tag").alias("_row")
+    texts = may_be_in(docs.withColumn("_row", row), tag_filter(chosen.select(row), "_row"), "_row")
+    texts = texts.join(chosen, ["row_order", "row_tag"]).select("cls", "text")
     sets = materialise(texts.mapInArrow(_sets(ngram), "cls long, items array<long>"), "sets")
     met = met.join(sets.toDF("a", "items"), "a").join(sets.toDF("b", "items2"), "b")
     overlap = F.size(F.array_intersect("items", "items2"))
     return met.filter((den + num) * overlap >= num * (F.col("n") + F.col("n2"))).select("a", "b").distinct()
 
 
+def _open_buckets(rows: DataFrame, apart: bool) -> DataFrame:
+    """``item, _pairs``: items that more than one group has, and how many pairs of classes of different groups meet there.
+
+    ``apart`` says that each class is a group of its own.
+    """
+    if apart:
+        counted = rows.groupBy("item").agg(F.count("*").alias("_m"), F.count("*").alias("_mm"))
+    else:
+        own = rows.groupBy("item", "group").agg(F.count("*").alias("_g"))
+        counted = own.groupBy("item").agg(F.sum("_g").alias("_m"), F.sum(F.col("_g") * F.col("_g")).alias("_mm"))
+    return counted.select("item", ((F.col("_m") * F.col("_m") - F.col("_mm")) / 2).alias("_pairs")).filter("_pairs > 0")
+
+
+_PIVOT = ("cls", "n", "place", "flips", "group")
+
+
+def _bucket_pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """One class per item, another one each ``turn``. They are found ahead of the shuffle, so no bucket has to fit a task."""
+    pivot = F.struct(F.xxhash64(F.lit(turn), "cls").alias("_turn"), *_PIVOT)
+    best = rows.groupBy("item").agg(F.min(pivot).alias("_p"))
+    return best.select("item", *(F.col(f"_p.{c}").alias(f"{c}2") for c in _PIVOT))
+
+
 def _linked_classes(shared: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame | None:
-    """``node, component`` of linked classes; None if no two are linked."""
+    """``node, component`` of linked classes; None if no two are linked.
+
+    Rounds with pivots go on until the pairs left are about as many as the rows, or a round no longer halves them.
+    """
     links: DataFrame | None = None
     named: DataFrame | None = None
+    tried: DataFrame | None = None
     members = int(shared.count())
-    if not members:
-        return None
-    first = True
-    while True:
+    left, turn = None, 0
+    while members:
         rows = shared.withColumn("group", F.col("cls"))
         if named is not None:
             rows = shared.join(named.toDF("cls", "component"), "cls", "left").withColumn("group", F.coalesce("component", "cls")).drop("component")
-        # Buckets whose classes are all connected are done.
-        split = rows.groupBy("item").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).filter("_low != _high").select("item")
-        rows = materialise(rows.join(split, "item"), "buckets")
-        sizes_of = rows.groupBy("item", "group").agg(F.count("*").alias("_m"))
-        left = sizes_of.groupBy("item").agg(((F.sum("_m") * F.sum("_m") - F.sum(F.col("_m") * F.col("_m"))) / 2).alias("_pairs")).agg(F.sum("_pairs")).first()[0] or 0
-        last = not first or left <= 4 * members
+            rows = materialise(rows, "rows")
+        buckets = materialise(_open_buckets(rows, named is None), "buckets")
+        before, left = left, buckets.agg(F.sum("_pairs")).first()[0] or 0
         if not left:
             break
-        if last:
-            other = rows.select("item", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "place", "flips", "group")))
-            met = rows.join(other, "item").filter((F.col("cls") < F.col("cls2")) & (F.col("group") != F.col("group2")) & _may_link(num, den))
-            pairs = met.groupBy(F.col("cls").alias("a"), F.col("cls2").alias("b")).agg(F.count("*").alias("_met"), F.min(F.least("n", "n2")).alias("_n"))
-            pairs = pairs.filter(F.col("_met") >= _needed(F.col("_n"), num, den)).select("a", "b")
-        else:
-            turn = F.xxhash64(F.lit(1), "cls")
-            chosen = rows.groupBy("item").agg(F.min(F.struct(turn.alias("_turn"), "cls", "n", "place", "flips", "group")).alias("_p"))
-            chosen = chosen.select("item", *(F.col(f"_p.{c}").alias(f"{c}2") for c in ("cls", "n", "place", "flips", "group")))
-            met = rows.join(chosen, "item").filter((F.col("group") != F.col("group2")) & _may_link(num, den))
-            met = met.groupBy("cls", "cls2").agg(F.count("*").alias("_met"))
-            # Each tries the pivot that it meets most often.
-            met = met.groupBy("cls").agg(F.max(F.struct("_met", "cls2")).alias("_best")).select("cls", F.col("_best.cls2").alias("cls2"))
-            pairs = met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
-        found = materialise(_verified(pairs, classes, docs, ngram, num, den), "linked")
+        if turn and (left <= 4 * members or left * 2 > before):
+            rows = materialise(rows.join(buckets.select("item"), "item", "left_semi"), "rows")
+            pairs = _meeting_pairs(rows, num, den)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            return _connected(_filtered(pairs, classes, num, den), links, named, classes, docs, ngram, num, den)
+        met = rows.join(_bucket_pivots(rows, turn), "item").filter((F.col("group") != F.col("group2")) & _may_link(num, den))
+        met = met.groupBy("cls", "cls2").agg(F.count("*").alias("_met"))
+        met = met.withColumns({"a": F.least("cls", "cls2"), "b": F.greatest("cls", "cls2")})
+        if tried is not None:
+            met = met.join(tried, ["a", "b"], "left_anti")
+        # Each tries the pivot that it meets most often.
+        best = met.groupBy("cls").agg(F.max(F.struct("_met", "a", "b")).alias("_best"))
+        pairs = materialise(best.select("_best.a", "_best.b").distinct(), "tries")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = materialise(_verified(_filtered(pairs, classes, num, den), classes, docs, ngram, num, den), "linked")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             named = components(links)
-        if last:
-            break
-        first = False
+        turn += 1
     return named
 
 
+def _meeting_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes of different groups that share as many prefix items as a link needs."""
+    # Both sides are the same table read the same way, so it is shuffled once.
+    one, two = rows.alias("one"), rows.alias("two")
+    met = one.join(two, F.col("one.item") == F.col("two.item"))
+    met = met.select(*(F.col(f"one.{c}") for c in _PIVOT), *(F.col(f"two.{c}").alias(f"{c}2") for c in _PIVOT))
+    met = met.filter((F.col("cls") < F.col("cls2")) & (F.col("group") != F.col("group2")) & _may_link(num, den))
+    pairs = met.groupBy(F.col("cls").alias("a"), F.col("cls2").alias("b")).agg(F.count("*").alias("_met"), F.min(F.least("n", "n2")).alias("_n"))
+    return pairs.filter(F.col("_met") >= _needed(F.col("_n"), num, den)).select("a", "b")
+
+
+#: Pairs a class that a verifying round takes at first; each round takes twice as many.
+TRIES = 4
+
+
+def _connected(pairs: DataFrame, links: DataFrame | None, named: DataFrame | None, classes: DataFrame, docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame | None:
+    """``node, component`` after all ``pairs`` that still matter are verified.
+
+    A round takes pairs by their hash, about ``TRIES`` a class; those connect most of a dense group, and pairs within what
+    is connected need no more verifying. Each round takes twice as many, so few rounds take all.
+    """
+    tries = TRIES
+    while True:
+        total = pairs.count()
+        if not total:
+            return named
+        nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().count()
+        share = min(1.0, tries * nodes / total)
+        taken = F.pmod(F.xxhash64(F.lit(tries), "a", "b"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))
+        found = materialise(_verified(pairs.filter(taken), classes, docs, ngram, num, den), "linked")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            named = components(links)
+        if share == 1.0:
+            return named
+        pairs = pairs.filter(~taken)
+        if named is not None:
+            left, right = named.toDF("a", "_a"), named.toDF("b", "_b")
+            pairs = pairs.join(left, "a", "left").join(right, "b", "left").filter("NOT (_a <=> _b) OR _a IS NULL").select(*pairs.columns)
+        pairs, tries = materialise(pairs, "pairs"), tries * 2
+
+
 def near_duplicates(
     df: DataFrame,
     *,
@@ -312,16 +383,20 @@ def near_duplicates(
     enough = shared.groupBy("cls").agg(F.count("*").alias("_met"), F.first("n").alias("_n")).filter(F.col("_met") >= _needed(F.col("_n"), num, den)).select("cls")
     enough = materialise(enough, "candidates")
     one = F.min(F.struct("row_order", "row_tag", "n", "parts", "marks", "flips")).alias("_r")
-    classes = rows.filter("place < 0 AND n > 0").join(enough, "cls").groupBy("cls").agg(one)
+    bits = tag_filter(enough, "cls")
+    classes = may_be_in(rows.filter("place < 0 AND n > 0"), bits, "cls").join(enough, "cls").groupBy("cls").agg(one)
     classes = materialise(classes.select("cls", "_r.*"), "classes")
     named = _linked_classes(materialise(shared.join(classes.select("cls", "flips"), "cls"), "shared"), classes, docs, ngram, num, den)
 
-    group = F.when(F.col("n") > 0, F.col("cls"))
-    placed = documents.withColumn("group", group)
+    # Every class's name is worked out on classes and written, so the join of the documents is with a plain table, and
+    # Spark splits a class that very many of them share.
+    least = documents.filter("n > 0").groupBy("cls").agg(F.min(F.struct("row_order", "row_tag")).alias("least"))
     if named is not None:
-        placed = placed.join(named.toDF("group", "component"), "group", "left").withColumn("group", F.coalesce("component", "group"))
-    least = placed.filter("n > 0").groupBy("group").agg(F.min(F.struct("row_order", "row_tag")).alias("least"))
-    out = placed.join(least, "group", "left")
+        own = materialise(least.join(named.toDF("cls", "component"), "cls", "left"), "names")
+        whole = own.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("first"))
+        least = own.join(whole, "component", "left").select("cls", F.coalesce("first", "least").alias("least"))
+    least = materialise(least.select(F.col("cls").alias("group"), "least"), "names")
+    out = documents.withColumn("group", F.when(F.col("n") > 0, F.col("cls"))).join(least, "group", "left")
     return out.select(
         id_of(F.col("row_order")).alias("doc_id"),
         "row_tag",
