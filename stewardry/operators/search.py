@@ -56,6 +56,13 @@ POSTCODE_PIECE = 5
 _PIECE_OF_KIND = {"equal": 0, "postcode": POSTCODE_PIECE, **{f"piece{n}": n for n in PIECES}}
 
 
+#: Kinds of keys that questions about a tag may lead with; other tags are compared whole.
+KEY_KINDS = defaultdict(lambda: ("equal",), {
+    TAG_NAME: tuple(f"piece{n}" for n in PIECES),
+    TAG_LOCATION: ("postcode", *(f"piece{n}" for n in PIECES)),
+})
+
+
 # ---- tag catalogue and identifiers -----------------------------------------------------------
 
 def tagged_columns(column_tags: DataFrame, catalog: str | None = None) -> DataFrame:
@@ -188,7 +195,7 @@ def _condition_kind() -> Column:
 _SELECTIVITY = {"equal": 0, "postcode": 1, "date": 2, "name": 3, "text": 4}
 
 
-def _specs(requests: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]:
+def questions(requests: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, specs): which subject asks which spec, and the conditions of each distinct spec."""
     kinds = requests.withColumn("kind", _condition_kind())
     variants = _token_variants(requests.filter(F.col("tag") == TAG_NAME), nicknames)
@@ -312,7 +319,7 @@ class KeyUse:
     kind: str
 
 
-def _key_hashes(texts: Column, use: KeyUse) -> Column:
+def key_hashes(texts: Column, use: KeyUse) -> Column:
     """Hashes of the keys of one kind that a row offers for one identifier."""
     shape = {"equal": lambda t: t, "postcode": compact_upper}.get(use.kind, F.lower)
     length = _PIECE_OF_KIND[use.kind]
@@ -321,6 +328,11 @@ def _key_hashes(texts: Column, use: KeyUse) -> Column:
     return F.transform(offered, lambda k: _key_hash(F.lit(use.scope), F.lit(use.tag), F.lit(use.kind), k))
 
 
+def row_texts(df: DataFrame, scope: Scope, fold: bool) -> dict[str, Column]:
+    """The comparable texts of a row by identifier kind."""
+    return {tag: _texts(df, tag, columns, fold) for tag, columns in scope.columns}
+
+
 def _table_sides(
     df: DataFrame, scopes: Sequence[Scope], uses: Sequence[KeyUse], asked: set[tuple[str, str]], fold: bool,
     primary_key: Sequence[str] | None,
@@ -337,7 +349,7 @@ def _table_sides(
         texts = {tag: _texts(df, tag, columns, fold) for tag, columns in scope.columns if (scope.name, tag) in asked}
         wanted = [u for u in uses if u.scope == scope.name and u.tag in texts]
         if wanted:
-            hashes += [_key_hashes(texts[u.tag], u) for u in wanted]
+            hashes += [key_hashes(texts[u.tag], u) for u in wanted]
             cells = F.create_map(*[x for tag, t in texts.items() for x in (F.lit(tag), t)])
             views.append(F.struct(F.lit(scope.name).alias("scope"), cells.alias("texts")))
     if not views:
@@ -382,7 +394,7 @@ def search(
     matches; NULL keeps all. ``scope`` names the scope that was asked. Accents are folded on both sides unless ``fold_columns`` is off.
     Search values are taken literally: ``%`` and ``_`` are no wildcards.
     """
-    members, specs = _specs(requests, nicknames)
+    members, specs = questions(requests, nicknames)
     specs = materialise(specs, "specs")
     keys = materialise(_spec_keys(specs), "keys")
     uses = [KeyUse(*r) for r in keys.select("scope", "tag", "kind").distinct().collect()]  # a handful per scope
@@ -397,19 +409,36 @@ def search(
     if not sides:
         return requests.sparkSession.createDataFrame([], schema)
     offers, rows = (reduce(DataFrame.unionByName, parts) for parts in zip(*sides))
-    hashed = keys.select("spec_id", "scope", _key_hash(F.col("scope"), F.col("tag"), F.col("kind"), F.col("key")).alias("key_hash"))
+    hashed = keys.select("spec_id", "scope", _hash_of_key())
     pairs = offers.join(hashed, "key_hash").select("table_full_name", "row", "scope", "spec_id").distinct()
     met = rows.join(pairs, ["table_full_name", "row", "scope"]).join(specs.select("spec_id", "conditions"), "spec_id")
+    return kept_hits(met, members, threshold)
+
+
+def _hash_of_key() -> Column:
+    return _key_hash(F.col("scope"), F.col("tag"), F.col("kind"), F.col("key")).alias("key_hash")
+
+
+def question_keys(specs: DataFrame) -> DataFrame:
+    """One row per spec and key: (spec_id, scope, key_hash)."""
+    return _spec_keys(specs).select("spec_id", "scope", _hash_of_key())
+
+
+def kept_hits(met: DataFrame, members: DataFrame, threshold: float | None, n_rows: str | None = None) -> DataFrame:
+    """Rows that met a spec by a key and hold all its conditions, for each subject that asks the spec.
+
+    ``n_rows`` names the column that tells how many equal rows one stands for; without it, each is one.
+    """
     every = F.forall("conditions", lambda c: _holds(c, F.col("texts")))
     names = F.filter("conditions", lambda c: c.kind == "name")
     hits = met.filter(every).select(
-        "spec_id", "table_full_name", "row_id",
+        "spec_id", "table_full_name", "row_id", F.lit(1).alias("_n") if n_rows is None else F.col(n_rows).alias("_n"),
         F.array_join(F.array_distinct(F.transform("conditions", lambda c: c.tag)), ", ").alias("matched_on"),
         F.transform(names, lambda c: c.value).alias("names"),
         F.when(F.size(names) > 0, F.element_at("texts", TAG_NAME)).alias("name_texts"),
     )
     counted = hits.groupBy("spec_id", "table_full_name", "row_id", "matched_on", "names", "name_texts").agg(
-        F.count("*").alias("n_rows")
+        F.sum("_n").cast("bigint").alias("n_rows")
     )
     scored = _scored(materialise(counted, "hits"), threshold)
     return members.join(scored, "spec_id").select(
@@ -417,6 +446,11 @@ def search(
     )
 
 
+def above_threshold(matches: DataFrame, threshold: float | None) -> DataFrame:
+    """Matches without a name, and name matches whose ``score`` is ``threshold`` at least."""
+    return matches if threshold is None else matches.filter(F.col("score").isNull() | (F.col("score") >= threshold))
+
+
 def _scored(hits: DataFrame, threshold: float | None) -> DataFrame:
     """Add the fuzzy score to name matches only; the weakest of several names counts."""
     keep = ["spec_id", "table_full_name", "row_id", "n_rows", "matched_on"]
@@ -425,9 +459,7 @@ def _scored(hits: DataFrame, threshold: float | None) -> DataFrame:
     each = named.select(*keep, F.explode("names").alias("name"), "name_texts")
     each = each.select(*keep, fuzzy_score("name", "name_texts").alias("s"))
     scores = each.groupBy(*keep).agg(F.min("s").alias("score"))
-    if threshold is not None:
-        scores = scores.filter(F.col("score") >= threshold)
-    return plain.unionByName(scores)
+    return above_threshold(plain.unionByName(scores), threshold)
 
 
 def search_tables(

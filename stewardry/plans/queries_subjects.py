@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stewardry.functions.fuzzy import fuzzy_score
 from stewardry.functions.normalise import HONORIFICS, norm_name, norm_phone, norm_postcode
-from stewardry.operators import disclosure as di, erasure as er, reports as rp, search as se
+from stewardry.operators import disclosure as di, erasure as er, reports as rp, search as se, search_index as si
 from stewardry.plans import lake
 from stewardry.plans.queries_basic import BOOKING_FIELDS, CATALOG_NOW, RC_CTES, cat_compliance, json_text
 from stewardry.plans.subject_copies import find_subject_copies, unsearched_tables
@@ -82,10 +83,13 @@ add("expand_tokens", lambda s, d: se.expand_tokens(load(s, d, "subjects"), nickn
 SELECT subject_id, CAST(pos AS INT) AS pos, token, variant FROM variants""")
 add("name_slots", lambda s, d: se.assign_name_slots(load(s, d, "cat_name_columns")), f"""{check_ctes('cat_name_columns')}
 SELECT table_catalog, table_schema, table_name, column_name, CASE WHEN column_name LIKE '%\\_1' ESCAPE '\\' THEN '1' WHEN column_name LIKE '%\\_2' ESCAPE '\\' THEN '2'
- WHEN column_name LIKE 'buyer%' THEN 'buyer' WHEN column_name LIKE 'payee%' THEN 'payee' ELSE 'person' END AS slot FROM cat_name_columns""")
+ WHEN column_name LIKE '%1\\_%' ESCAPE '\\' THEN split_part(column_name, '_', 1) WHEN column_name LIKE 'line2%' THEN 'line2' WHEN column_name LIKE 'buyer%' THEN 'buyer' WHEN column_name LIKE 'payee%' THEN 'payee' ELSE 'person' END AS slot FROM cat_name_columns""")
 
 # ---- search -------------------------------------------------------------------------------------
 
+#: The tagged tables, and the rows that requests select in them.
+_SELECTED = {"silver.crm.customers": "selected_customers", "silver.crm.bookings": "selected_bookings"}
+
 
 def row_id_sql(fields: dict[str, str]) -> str:
     return f"sha256({json_text(fields)})"
@@ -159,7 +163,43 @@ for _short, _tag in (("email", "class.email_address"), ("phone", "class.phone_nu
 SELECT subject_id, 'silver.crm.customers' AS table_full_name, row_id, count(*) AS n_rows FROM hits_customers WHERE tag = '{_tag}' GROUP BY ALL
 UNION ALL SELECT subject_id, 'silver.crm.bookings', row_id, count(*) FROM hits_bookings WHERE tag = '{_tag}' GROUP BY ALL""")
 add("search_tables", lambda s, d: _search(s, d, threshold=None).drop("score"), f"{_SUBJECTS}, {_DIRECT} SELECT subject_id, table_full_name, row_id, n_rows, matched_on FROM direct")
+
+
+def _filed(s: SparkSession, parts: dict[str, list[DataFrame]], folder: str) -> dict[str, DataFrame]:
+    """Tables read from files below ``folder``, to which each frame of a table is appended."""
+    for name, frames in parts.items():
+        for df in frames:
+            df.write.mode("append").parquet(f"{folder}/{name}")
+    return {name: s.read.parquet(f"{folder}/{name}") for name in parts}
+
+
+def _index_search(s: SparkSession, d: str, refreshed: bool) -> DataFrame:
+    """All subjects searched in a kept index of the tagged tables. With ``refreshed``, the index is first made from a
+    third of the customers and from bookings that are replaced, and then brought up to the tables' files."""
+    folder = scratch_folder(s, "lake")
+    index = si.SearchIndex(f"idx_{uuid.uuid4().hex}", f"{folder}/index")
+    tagged = {name: load(s, d, lake.TABLES[name]) for name in _SELECTED}
+    customers, bookings = tagged["silver.crm.customers"], tagged["silver.crm.bookings"]
+    tags, third = lake.column_tags(s), F.col("cust_id") % 3 == 0
+    if refreshed:
+        early = _filed(s, {"silver.crm.customers": [customers.filter(third)], "silver.crm.bookings": [bookings.filter("booking_id % 2 = 0")]}, folder)
+        si.refresh(index, early, tags, lake.PRIMARY_KEYS)
+        late = _filed(s, {"silver.crm.customers": [customers.filter(~third)]}, folder) | _filed(s, {"silver.crm.bookings": [bookings]}, f"{folder}/v2")
+        si.refresh(index, late, tags, lake.PRIMARY_KEYS)
+        tables = late
+    else:
+        tables = _filed(s, {name: [df] for name, df in tagged.items()}, folder)
+        si.refresh(index, tables, tags, lake.PRIMARY_KEYS)
+    found = materialise(si.search_index(index, load(s, d, "subjects"), tables, tags, nicknames(s), threshold=None).drop("score"), "found")
+    si.drop(index, s)
+    return found
+
+
+for _name, _kind in (("index_search", False), ("index_search_refreshed", True)):
+    add(_name, lambda s, d, k=_kind: _index_search(s, d, k), f"{_SUBJECTS}, {_DIRECT} SELECT subject_id, table_full_name, row_id, n_rows, matched_on FROM direct")
 add("fuzzy_matches", lambda s, d: _search(s, d))
+add("fuzzy_threshold", lambda s, d: se.above_threshold(load(s, d, "match_log"), 80),
+    f"{check_ctes('match_log')} SELECT * FROM match_log WHERE score IS NULL OR score >= 80")
 add("preselected_log", lambda s, d: load(s, d, "match_log").withColumn("preselected", se.preselected()),
     f"{check_ctes('match_log')} SELECT *, score IS NULL OR score >= 90 AS preselected FROM match_log")
 
@@ -246,7 +286,6 @@ GROUP BY table_name ORDER BY sum(seconds) DESC, table_name LIMIT 15""")
 # ---- erasure ------------------------------------------------------------------------------------
 
 ERASED_AT = dt.datetime(2002, 1, 1, 9, 30)
-_SELECTED = {"silver.crm.customers": "selected_customers", "silver.crm.bookings": "selected_bookings"}
 _ERASE = check_ctes("selected_customers", "selected_bookings")
 _CHECKED = f"""{_ERASE},
 sel_b AS (SELECT request_id, {', '.join(BOOKING_FIELDS)}, count(*) AS n FROM selected_bookings GROUP BY ALL),

@@ -197,7 +197,9 @@ SELECT {_NAME_PARTS}, column_name, 'class.name' AS tag_name FROM {{part}} JOIN (
  SELECT 0 AS kind, 'firstname_1' AS column_name UNION ALL SELECT 0, 'lastname_1' UNION ALL SELECT 0, 'firstname_2'
  UNION ALL SELECT 0, 'lastname_2' UNION ALL SELECT 1, 'first_name' UNION ALL SELECT 1, 'last_name'
  UNION ALL SELECT 2, 'buyer_first' UNION ALL SELECT 2, 'buyer_last' UNION ALL SELECT 2, 'payee_first'
- UNION ALL SELECT 2, 'payee_last' UNION ALL SELECT 3, 'full_name') c ON c.kind = p_partkey % 4""",
+ UNION ALL SELECT 2, 'payee_last' UNION ALL SELECT 3, 'full_name' UNION ALL SELECT 4, 'buyer1_first' UNION ALL SELECT 4, 'buyer1_last'
+ UNION ALL SELECT 4, 'seller1_first' UNION ALL SELECT 4, 'seller1_last' UNION ALL SELECT 5, 'first_name' UNION ALL SELECT 5, 'last_name'
+ UNION ALL SELECT 5, 'line2_name') c ON c.kind = p_partkey % 6""",
     "trace_starts": """
 SELECT concat('s', CAST(cust_id AS STRING)) AS subject_id,
  concat(CASE WHEN cust_id % 5 = 0 THEN 'gold' ELSE 'silver' END, '.s', CAST(cust_id % 3 AS STRING), '.t', CAST(cust_id % 4 AS STRING)) AS table_full_name,

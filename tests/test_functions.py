@@ -17,7 +17,7 @@ def values(spark, kind, inputs, fn):
 
 
 CASES = [
-    (masks.mask_email, "string", {"julian@redkic.co.uk": "******@******.co.uk", "a@b": "*@*.", None: None, "nope": "[REDACTED]", "a@.co": "*@.", "x@y@z.com": "*@*."}),
+    (masks.mask_email, "string", {"person@sample.example.com": "******@******.example.com", "a@b": "*@*.", None: None, "nope": "[REDACTED]", "a@.co": "*@.", "x@y@z.com": "*@*."}),
     (masks.mask_dob, "date", {dt.date(1985, 7, 23): dt.date(1980, 1, 1), None: None, dt.date(2000, 1, 1): dt.date(2000, 1, 1)}),
     (masks.mask_age_number, "int", {35: 30, -5: -10, 0: 0, None: None}),
     (masks.mask_age_text, "string", {"35": "30-39", "x": "[REDACTED]", "35.5": "[REDACTED]", None: "[REDACTED]", "-5": "-10--1"}),
@@ -88,6 +88,9 @@ def test_masks_hide_long_inputs(spark):
 
 
 @pytest.mark.parametrize("columns,slots", [
+    (["buyer1_first", "buyer1_last", "seller1_first", "seller1_last"], {"buyer1": ["buyer1_first", "buyer1_last"], "seller1": ["seller1_first", "seller1_last"]}),
+    (["first_name", "last_name", "line2_name"], {"person": ["first_name", "last_name"], "line2": ["line2_name"]}),
+    (["firstname1", "lastname1", "firstname2", "lastname2"], {"1": ["firstname1", "lastname1"], "2": ["firstname2", "lastname2"]}),
     (["firstname_1", "lastname_1", "firstname_2", "lastname_2"], {"1": ["firstname_1", "lastname_1"], "2": ["firstname_2", "lastname_2"]}),
     (["first_name", "last_name"], {"person": ["first_name", "last_name"]}),
     (["full_name"], {"person": ["full_name"]}),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stewardry.functions import hashing
-from stewardry.operators import audit, disclosure as di, erasure as er, lifecycle as lc, lineage as ln, policies as po, reports as rp, search as se
+from stewardry.operators import audit, disclosure as di, erasure as er, lifecycle as lc, lineage as ln, policies as po, reports as rp, search as se, search_index as si
 from stewardry.session import materialise
 from stewardry.sources.derived import nicknames
 from stewardry.streaming.stamping import merge_stamped, read_latest, stamp, stamp_stream
@@ -262,6 +262,52 @@ def test_dates_match_timestamp_columns(spark):
     assert len(found) == 1
 
 
+def test_the_index_finds_what_the_search_finds(spark, tmp_path):
+    tags = {"first": "class.name", "last": "class.name", "mail": "class.email_address", "phone": "class.phone_number", "place": "class.location"}
+    columns = "first string, last string, mail string, phone string, place string"
+    rows = spark.createDataFrame([("silver", "s", "t", c, t) for c, t in tags.items()], TAG_ROW)
+    rnd = random.Random(8)
+    people = [("".join(rnd.choices("abc", k=rnd.randrange(1, 9))), "".join(rnd.choices("abc", k=4)), f"m{i % 9}@x", str(i % 6) * 9, f"{i} High St AB1 {i % 9}CD") for i in range(60)]
+    asked = [(f"n{i}", "class.name", "".join(rnd.choices("abc", k=rnd.randrange(1, 7)))) for i in range(25)] + [("m", "class.email_address", "M3@X")]
+    asked += [("p", "class.phone_number", "333333333"), ("p", "class.location", "ab1 4cd"), ("q", "class.location", "7 high")]
+    subjects = spark.createDataFrame(asked, "subject_id string, tag string, value string")
+    folder = str(tmp_path / "t")
+    write = lambda part, to=folder: spark.createDataFrame(part, columns).repartition(2).write.mode("append").parquet(to)
+    index = si.SearchIndex("test_index", str(tmp_path / "index"), buckets=8)
+
+    def both(where=folder):
+        tables = {"silver.s.t": spark.read.parquet(where)}
+        done = si.refresh(index, tables, rows)
+        want = se.search_tables(subjects, tables, rows, nicknames(spark))
+        got = si.search_index(index, subjects, tables, rows, nicknames(spark))
+        assert bag(got) == bag(want.select(*got.columns)) and want.count() > 10
+        return done
+
+    write(people[:30])
+    assert both() == {"added": 2, "gone": 0}
+    assert both() == {"added": 0, "gone": 0}
+    write(people[20:])  # equal rows in other files
+    assert both() == {"added": 2, "gone": 0}
+    other = str(tmp_path / "fresh")
+    write(people[5:40], other)
+    assert both(other) == {"added": 2, "gone": 4}
+
+    one = subjects.filter("subject_id = 'm'")
+    hashed = se.question_keys(se.questions(se.direct_requests(se.normalise_subjects(one), se.direct_scopes(rows, {"silver.s.t": None})), nicknames(spark))[1])
+    wide = si._postings_of(index, materialise(hashed, "keys"))
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else plans do not name buckets
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "SelectedBucketsCount: 1 out of 8" in wide.select("*")._jdf.queryExecution().executedPlan().toString()
+        pairs = materialise(wide.select("row", "spec_id").distinct(), "pairs")
+        joined = spark.table(index.rows).join(pairs, "row")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SortMergeJoin" in joined and joined.count("Exchange hashpartitioning") == 1
+    si.drop(index, spark)
+
+
 # ---- erasure and restore -------------------------------------------------------------------------
 
 COLUMNS = "k int, v string, w double"
