@@ -28,6 +28,8 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 DISTANCE = 1
+#: Bytes of a signature of a text that has no words.
+BARE_RUN = 4
 LIKENESS = 0.8
 
 #: Rows of one stretch of ids, about, and stretches at most.
@@ -51,8 +53,8 @@ _ANCHOR_HASHES = _hash_words(sorted(set(ANCHORS)))
 def signatures(data: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 32-bit signatures of each row, sorted, and where each row's begin.
 
-    A row with words but no chain has one signature of all its words; a row without words has none, or one of its
-    bytes if it has any.
+    A row with words but no chain has its words as signatures; a row without words has its runs of ``BARE_RUN`` bytes, or
+    all its bytes if it has fewer; an empty row has none.
     """
     docs = len(offsets) - 1
     prefix = prefix_hash(data, lower=True)
@@ -73,9 +75,16 @@ def signatures(data: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, distan
         for k in range(chain):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[content[follow + (k + 1) * distance - 1]])
     of = rows[spots]
-    bare = np.flatnonzero((np.bincount(of, minlength=docs) == 0) & (np.diff(offsets) > 0))
-    out = np.concatenate([out, span_hash(prefix, offsets[bare], offsets[bare + 1])])
-    of = np.concatenate([of, bare])
+    chained = np.bincount(of, minlength=docs) > 0
+    own = np.flatnonzero(~chained[rows]) if len(rows) else np.zeros(0, np.int64)
+    worded = np.bincount(rows, minlength=docs) > 0
+    sizes = np.diff(offsets)
+    bare = np.flatnonzero(~worded & (sizes > 0))
+    runs = np.maximum(1, sizes[bare] - BARE_RUN + 1)
+    begins = np.repeat(offsets[bare] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+    stops = np.minimum(begins + BARE_RUN, np.repeat(offsets[bare + 1], runs))
+    out = np.concatenate([out, mix(words[own]), span_hash(prefix, begins, stops)])
+    of = np.concatenate([of, rows[own], np.repeat(bare, runs)])
     keys = np.unique((of.astype(np.uint64) << np.uint64(32)) | (out >> np.uint64(32)))
     of = (keys >> np.uint64(32)).astype(np.int64)
     return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.concatenate([[0], np.cumsum(np.bincount(of, minlength=docs))])
@@ -103,7 +112,11 @@ def _written(signature_set: np.ndarray) -> str:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, spots``: the set of signatures of each text, sorted (a NULL text has none)."""
+    """``doc_id, spots``: the set of signatures of each text, sorted.
+
+    A NULL or empty text has none, a NULL id is kept, repeated rows are fingerprinted each, further columns are ignored, and
+    an empty table gives no rows.
+    """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +133,8 @@ def search(queries: DataFrame, docs: DataFrame, threshold: float = LIKENESS) ->
     Set sizes fall into partitions that grow by ``1 / threshold``; sets in reach stand in the same or the next one.
     Within a partition two sets in reach share one of their first ``n - ceil(threshold * n) + 1`` signatures in any
     common order, here that of the hashes; only those are joined, sizes prune the pairs, and the rest is counted.
-    Returns ``query_id, doc_id, likeness``, the query itself included; empty sets match nothing.
+    Returns ``query_id, doc_id, likeness``, the query itself included; empty sets match nothing. Rows of one id on either
+    side count as one pair, with the likeness of one of them, so ids should tell rows apart; NULL ids are kept.
     """
     step = math.log(1 / threshold) if threshold < 1 else 1e9
 

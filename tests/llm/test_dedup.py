@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -204,3 +205,37 @@ def test_texts_of_one_id_with_equal_low_hash_bits_stay_apart(spark):
     seen = brute.repeats([(0, one), (1, two)], 5), brute.repeats([(0, two), (1, one)], 5)
     got = Counter(r["kept_sha256"] for r in rows)
     assert got in [Counter(v[3] for v in want.values()) for want in seen]
+
+
+def test_texts_without_chains_are_compared_by_words():
+    """A letter changed in a text that has no anchors, or no words at all, leaves most of its likeness."""
+    sentence = "быстрая лиса прыгает через ленивую собаку около старого дома "
+    for text in (sentence * 20, "!? " * 3 + "".join(chr(33 + k % 14) for k in range(60))):
+        changed = text[:-5] + "#" + text[-4:]
+        own, edited, other = spotsigs._sets([text.encode(), changed.encode(), b"completely other words here"])
+        assert 0.6 < spotsigs.likeness(own, edited) < 1 and spotsigs.likeness(own, other) == 0
+    whole, empty, short = spotsigs._sets([b"word", b"", b"!!"])
+    assert len(whole) == 1 and len(empty) == 0 and len(short) == 1
+
+
+def plain_signatures(text):
+    """What the signatures stand for: chains of an anchor and the content words after it, or words, or runs of bytes."""
+    words = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text.translate(brute.LOWER))
+    anchors = set(spotsigs.ANCHORS)
+    chains = set()
+    for k, w in enumerate(words):
+        rest = [x for x in words[k + 1 :] if x not in anchors][: spotsigs.CHAIN]
+        if w in anchors and len(rest) == spotsigs.CHAIN:
+            chains.add((w, *rest))
+    data = text.encode()
+    return chains or set(words) or {data[k : k + 4] for k in range(max(1, len(data) - 3))} if data else set()
+
+
+def test_spot_signatures_are_the_plain_ones(spark):
+    docs = [t or "" for _, t in pairs(queries.documents(spark, SF))]
+    plain = [plain_signatures(t) for t in docs]
+    for k, (text, spots) in enumerate(zip(docs, spotsigs._sets([t.encode() for t in docs]), strict=True)):
+        assert len(spots) == len(plain[k])
+        if k:
+            both = len(plain[k] & plain[k - 1]) / max(1, len(plain[k] | plain[k - 1]))
+            assert abs(spotsigs.likeness(spots, spotsigs._sets([docs[k - 1].encode()])[0]) - both) < 1e-9 or not (plain[k] or plain[k - 1])

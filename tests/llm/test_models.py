@@ -11,6 +11,7 @@ from itertools import pairwise
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -406,3 +407,49 @@ def test_pipeline_stages_decide_by_row(spark):
     docs = spark.createDataFrame([(None, a), (None, f"{b} {item}"), (7, c), (7, item), (8, None), (8, d)], docs.schema)
     kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect())
     assert kept == Counter([(None, a), (7, c), (8, None), (8, d)])
+
+
+def test_digitless_secrets_by_precision_and_recall(spark):
+    """Half the secrets have no digit; half the keys are ones no pattern names. Found spans against planted ones."""
+    rng = random.Random(11)
+    prose = "the of and to in a that be for it with as was his they at this have from or".split()
+    nouns = "Correct Horse Battery Staple River Window Garden Marble Copper Silver Yellow Purple".split()
+    mixed = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    strong = lambda n: "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789") for _ in range(n))
+    made = [lambda: mixed(rng.randint(10, 20)), lambda: "".join(rng.sample(nouns, 4)), lambda: strong(rng.randint(10, 24)), lambda: strong(12)]
+
+    def document(k, keys):
+        words = [rng.choice(prose) for _ in range(60)]
+        planted = []
+        if k % 2 == 0:
+            value = made[k // 2 % 4]()
+            planted.append(value)
+            words.insert(30, rng.choice([f'{rng.choice(keys)}="{value}"', f"{rng.choice(keys)}: {value}", f"{rng.choice(keys)} = {value}"]))
+        else:
+            words.insert(30, rng.choice(["the key is important", "a token of thanks", "McDonald and O'Brien", "version 2024-01-05", "call 555-010-2030", "JavaScript in PowerPoint"]))
+        return (k, " ".join(words), planted)
+
+    known, unknown = ["password", "secret", "api_key", "token"], ["passphrase", "credential", "auth_key", "login"]
+    train = [document(k, known) for k in range(400)]
+    test = [document(1000 + k, known + unknown) for k in range(400)]
+    frame = lambda rows: spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = secrets.train(frame(train))
+    found = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["spans"]] for r in secrets.scan(frame(test), model, keep=(F.col("doc_id"), F.col("text"))).collect()}
+    hits = sum(any(v in x for x in found[k]) for k, _, planted in test for v in planted)
+    spans = sum(len(v) for v in found.values())
+    right = sum(any(v in x for v in planted) for k, _, planted in test for x in found[k])
+    recall, precision = hits / sum(len(p) for *_, p in test), right / spans
+    print(f"secrets: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.9 and precision >= 0.9
+    base = sum(any(v in t[s:e] for s, e, _ in secrets.base_spans(t)) for _, t, planted in test for v in planted)
+    assert hits > base  # more than the patterns alone
+
+
+def test_the_sample_of_secrets_is_bounded(spark, monkeypatch):
+    """One id in a thousand rows, and one very long text, bring no more than the stated pieces to the driver."""
+    monkeypatch.setattr(secrets, "SAMPLE_PIECES", 50)
+    seen = []
+    monkeypatch.setattr(secrets, "fit", lambda sequences, steps: seen.append([len(s[2]) for s in sequences]))
+    rows = [(7, f"password=abc{k:06d}xyz and more words") for k in range(1000)] + [(8, " ".join(f"token = a1b2c3d{k}" for k in range(5000)))]
+    secrets.train(spark.createDataFrame(rows, "doc_id long, text string"), sample_docs=300)
+    assert len(seen[0]) == 50 and max(seen[0]) <= secrets.PIECE_TOKENS
