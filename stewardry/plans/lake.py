@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 
-from stewardry.sources.derived import load
+from stewardry.operators.lineage import compact_column_edges, compact_table_edges
+from stewardry.sources.derived import LAKE_TABLE_EDGES as TABLE_EDGES, load  # noqa: F401
+
+#: The lake's logs, read whole.
+LOG_END, LOG_DAYS = dt.date(2010, 1, 1), 10_000
 
 TABLES = {
     "bronze.crm.people_raw": "people_raw",
@@ -32,28 +38,6 @@ TAGS = (
     ("silver.crm.bookings", "firstname_2", "class.name"),
     ("silver.crm.bookings", "lastname_2", "class.name"),
 )
-_FROM_RAW = (
-    ("first_name", "first_name"), ("last_name", "last_name"), ("email", "email"), ("phone", "phone"),
-    ("address", "address"), ("dob", "dob"), ("age_int", "age_int"), ("ip", "ip"), ("card", "card"),
-)
-COLUMN_EDGES = (
-    *[("bronze.crm.people_raw", a, "silver.crm.customers", b) for a, b in _FROM_RAW],
-    ("silver.crm.customers", "email", "gold.mkt.contacts", "contact"),
-    ("silver.crm.customers", "first_name", "gold.mkt.contacts", "person"),
-    ("silver.crm.customers", "last_name", "gold.mkt.contacts", "person"),
-    ("silver.crm.customers", "first_name", "silver.crm.bookings", "firstname_1"),
-    ("silver.crm.customers", "last_name", "silver.crm.bookings", "lastname_1"),
-    ("silver.crm.bookings", "price", "dashboard", "total"),
-)
-TABLE_EDGES = (
-    ("bronze.crm.people_raw", "silver.crm.customers"),
-    ("silver.crm.customers", "gold.mkt.contacts"),
-    ("silver.crm.customers", "silver.crm.bookings"),
-    ("silver.crm.bookings", "gold.fin.revenue"),
-    ("bronze.web.orders_raw", "silver.crm.bookings"),
-)
-
-
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: load(spark, sf_dir, source) for name, source in TABLES.items()}
 
@@ -65,17 +49,10 @@ def column_tags(spark: SparkSession) -> DataFrame:
     )
 
 
-def column_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(COLUMN_EDGES),
-        "source_table_full_name string, source_column_name string, target_table_full_name string, target_column_name string",
-    )
+def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lake's column lineage log says, compacted as the cache holds it."""
+    return compact_column_edges(load(spark, sf_dir, "lake_column_log"), LOG_END, LOG_DAYS)
 
 
-def table_edges(spark: SparkSession) -> DataFrame:
-    rows = [(s, t, s.split(".")[0], t.split(".")[0], "JOB") for s, t in TABLE_EDGES]
-    edges = spark.createDataFrame(
-        rows,
-        "source_table_full_name string, target_table_full_name string, source_table_catalog string, target_table_catalog string, entity_type string",
-    )
-    return edges.selectExpr("*", "timestamp_ntz'2001-11-01 00:00:00' AS last_seen")
+def table_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_table_edges(load(spark, sf_dir, "lake_table_log"), LOG_END, LOG_DAYS)

@@ -454,7 +454,7 @@ def _graph_conditions(s: SparkSession, d: str) -> DataFrame:
 def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     copies = load(s, d, "copies")
     starts = copies.filter("provenance = 'direct'").select("subject_id", "table_full_name").distinct()
-    edges = lake.table_edges(s)
+    edges = lake.table_edges(s, d)
     up = ln.trace_tables(edges, starts, "up", group="subject_id")
     down = ln.trace_tables(edges, starts, "down", group="subject_id")
     return ln.lineage_graph(copies, _graph_conditions(s, d), up, down)

@@ -218,7 +218,7 @@ add("preselected", lambda s, d: _search(s, d).withColumn("preselected", se.prese
 
 def _copies(s: SparkSession, d: str, **options) -> DataFrame:
     return find_subject_copies(
-        load(s, d, "subjects"), lake.tables(s, d), lake.column_tags(s), lake.column_edges(s), nicknames(s),
+        load(s, d, "subjects"), lake.tables(s, d), lake.column_tags(s), lake.column_edges(s, d), nicknames(s),
         primary_keys=lake.PRIMARY_KEYS, **options,
     )
 
@@ -252,8 +252,9 @@ add("find_subject_copies_scored", lambda s, d: _copies(s, d))
 def _unsearched(s: SparkSession, d: str) -> DataFrame:
     """The lake without its gold table, and with an edge to a column that the raw people lack."""
     known = {name: table for name, table in lake.tables(s, d).items() if not name.startswith("gold.")}
-    more = s.createDataFrame([("bronze.crm.people_raw", "nick", "silver.crm.customers", "first_name")], lake.column_edges(s).schema)
-    return unsearched_tables(load(s, d, "subjects"), known, lake.column_tags(s), lake.column_edges(s).unionByName(more), nicknames(s),
+    edges = lake.column_edges(s, d).drop("last_seen")
+    more = s.createDataFrame([("bronze.crm.people_raw", "nick", "silver.crm.customers", "first_name")], edges.schema)
+    return unsearched_tables(load(s, d, "subjects"), known, lake.column_tags(s), edges.unionByName(more), nicknames(s),
                              primary_keys=lake.PRIMARY_KEYS, threshold=None)
 
 

@@ -53,6 +53,34 @@ def _column_branch(name: str, dtype: str, keep: str, position: int) -> str:
     )
 
 
+_FROM_RAW = ("first_name", "last_name", "email", "phone", "address", "dob", "age_int", "ip", "card")
+#: Which columns and tables of the example lake feed which others; its lineage logs hold an event per customer's order.
+LAKE_COLUMN_EDGES = (
+    *[("bronze.crm.people_raw", c, "silver.crm.customers", c) for c in _FROM_RAW],
+    ("silver.crm.customers", "email", "gold.mkt.contacts", "contact"),
+    ("silver.crm.customers", "first_name", "gold.mkt.contacts", "person"),
+    ("silver.crm.customers", "last_name", "gold.mkt.contacts", "person"),
+    ("silver.crm.customers", "first_name", "silver.crm.bookings", "firstname_1"),
+    ("silver.crm.customers", "last_name", "silver.crm.bookings", "lastname_1"),
+    ("silver.crm.bookings", "price", "dashboard", "total"),
+)
+LAKE_TABLE_EDGES = (
+    ("bronze.crm.people_raw", "silver.crm.customers"),
+    ("silver.crm.customers", "gold.mkt.contacts"),
+    ("silver.crm.customers", "silver.crm.bookings"),
+    ("silver.crm.bookings", "gold.fin.revenue"),
+    ("bronze.web.orders_raw", "silver.crm.bookings"),
+)
+
+
+def _edge_log(edges: tuple, fields: tuple[str, ...], extra: str = "") -> str:
+    """Each order is an event of the edge that its customer's number picks."""
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, " + ", ".join(f"'{v}' AS {f}" for v, f in zip(edge, fields)) for k, edge in enumerate(edges))
+    return f"""
+SELECT {', '.join(fields)}{extra}, o_orderdate AS event_time, CAST(o_orderdate AS DATE) AS event_date
+FROM {{orders}} JOIN ({rows}) e ON e.k = o_custkey % {len(edges)}"""
+
+
 DERIVED: dict[str, str] = {
     "people": """
 SELECT c_custkey AS cust_id,
@@ -142,6 +170,11 @@ SELECT source_table_full_name,
  CASE WHEN l_orderkey % 17 = 0 THEN 'dashboard' ELSE target_table_full_name END AS target_table_full_name,
  concat('c', CAST(l_orderkey % 3 AS STRING)) AS target_column_name, event_time, event_date
 FROM {table_lineage_log}""",
+    "lake_column_log": _edge_log(
+        LAKE_COLUMN_EDGES, ("source_table_full_name", "source_column_name", "target_table_full_name", "target_column_name")),
+    "lake_table_log": _edge_log(
+        LAKE_TABLE_EDGES, ("source_table_full_name", "target_table_full_name"),
+        ", split_part(source_table_full_name, '.', 1) AS source_table_catalog, split_part(target_table_full_name, '.', 1) AS target_table_catalog, 'JOB' AS entity_type"),
     "deep_edges": """
 SELECT CAST(event_id % 300 AS INT) AS level,
  concat('silver.l', CAST(event_id % 300 AS STRING), '.t', CAST(CAST(floor(event_id / 300.0) AS BIGINT) AS STRING)) AS source_table_full_name,
