@@ -9,7 +9,7 @@ What is asked for is the classes that links connect, so two classes that are alr
 In each bucket (classes that share a prefix item) all others first meet one pivot, chosen by hash, in as many rounds as
 pay; what is then still apart meets in full. No pair is verified twice. Each pair passes the length filter (sizes), the
 positional filter (places of the shared item) and the suffix filter before its sets are fetched. The suffix filter
-bounds what the whole sets can share: within the join by 64 bits of which each item flips one, then by item counts in
+bounds what the whole sets can share: within the join by 256 bits of which each item flips one, then by item counts in
 equal parts of the hash range, then by bitmaps of about two bits an item. Bits that differ are at most as many as items
 that do.
 """
@@ -38,9 +38,9 @@ PARTS = 16
 #: Rows of a frequent item are spread over so many keys until they are known to be shared.
 SPREAD = 256
 
-_ROWS = "item long, salt int, cls long, n int, place int, row_order long, row_tag long, parts array<int>, marks binary, flips long"
+_ROWS = "item long, salt int, cls long, n int, place int, row_order long, row_tag long, parts array<int>, marks binary, flips array<long>"
 _ROWS_ARROW = pa.schema(
-    [("item", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int64()), ("parts", pa.list_(pa.int32())), ("marks", pa.binary()), ("flips", pa.int64())]
+    [("item", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("row_order", pa.int64()), ("row_tag", pa.int64()), ("parts", pa.list_(pa.int32())), ("marks", pa.binary()), ("flips", pa.list_(pa.int64()))]
 )
 
 
@@ -136,9 +136,9 @@ def _prefixes(ngram: int, num: int, den: int, frequent):
                     cls = signed(mix(sums[starts[1:]] - sums[starts[:-1]] + n.astype(np.uint64)))
                 parts = np.bincount(rows * PARTS + (items >> np.uint64(60)).astype(np.int64), minlength=docs * PARTS)
                 lists = pa.ListArray.from_arrays(np.arange(0, docs * PARTS + 1, PARTS, dtype=np.int32), pa.array(parts, pa.int32()))
-                bit = (items >> np.uint64(58)).astype(np.int64)
-                odd = (np.bincount(rows * 64 + bit, minlength=docs * 64).reshape(docs, 64) & 1).astype(np.uint8)
-                flips = pa.array(np.packbits(odd, axis=1, bitorder="little").view("<i8").ravel())
+                bit = (items >> np.uint64(56)).astype(np.int64)
+                odd = (np.bincount(rows * 256 + bit, minlength=docs * 256).reshape(docs, 256) & 1).astype(np.uint8)
+                flips = pa.ListArray.from_arrays(np.arange(0, docs * 4 + 1, 4, dtype=np.int32), pa.array(np.packbits(odd, axis=1, bitorder="little").view("<i8").ravel()))
                 marks = [bitmap(items[starts[k] : starts[k + 1]]) for k in range(docs)]
                 spread = signed(mix(mix(orders[a:b].astype(np.uint64)) ^ tags[a:b].astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
@@ -160,7 +160,7 @@ def _prefixes(ngram: int, num: int, den: int, frequent):
                 empty = pa.nulls(len(use), pa.list_(pa.int32()))
                 zero = np.zeros(len(use), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, f.type) for x, f in zip((signed(items[use]), salt, cls[row], n[row], place[use], zero, zero), _ROWS_ARROW, strict=False)] + [empty, pa.nulls(len(use), pa.binary()), pa.nulls(len(use), pa.int64())],
+                    [pa.array(x, f.type) for x, f in zip((signed(items[use]), salt, cls[row], n[row], place[use], zero, zero), _ROWS_ARROW, strict=False)] + [empty, pa.nulls(len(use), pa.binary()), pa.nulls(len(use), pa.list_(pa.int64()))],
                     schema=_ROWS_ARROW,
                 )
 
@@ -185,7 +185,7 @@ def _may_link(num: int, den: int) -> Column:
     most = F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     least = F.least("n", "n2")
     # 'most' counts the shared item too; J >= num/den means den * overlap >= num * (n + n2 - overlap).
-    differ = F.bit_count(F.col("flips").bitwiseXOR(F.col("flips2")))
+    differ = sum((F.bit_count(F.col("flips")[k].bitwiseXOR(F.col("flips2")[k])) for k in range(4)), F.lit(0))
     total = F.col("n") + F.col("n2")
     return (den * least >= num * F.greatest("n", "n2")) & ((den + num) * most >= num * total) & ((den + num) * differ <= (den - num) * total)
 
@@ -271,13 +271,12 @@ def _bucket_pivots(rows: DataFrame, turn: int) -> DataFrame:
 def _linked_classes(shared: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame | None:
     """``node, component`` of linked classes; None if no two are linked.
 
-    Rounds with pivots go on until the pairs left are about as many as the rows, or a round no longer halves them.
+    Rounds with pivots go on until the pairs left are a quarter of the rows, or a round leaves most of them.
     """
     links: DataFrame | None = None
     named: DataFrame | None = None
     tried: DataFrame | None = None
-    members = int(shared.count())
-    left, turn = None, 0
+    members, left, turn = int(shared.count()), 0, 0
     while members:
         rows = shared.withColumn("group", F.col("cls"))
         if named is not None:
@@ -287,7 +286,7 @@ def _linked_classes(shared: DataFrame, classes: DataFrame, docs: DataFrame, ngra
         before, left = left, buckets.agg(F.sum("_pairs")).first()[0] or 0
         if not left:
             break
-        if turn and (left <= 4 * members or left * 2 > before):
+        if turn and (4 * left <= members or 4 * left > 3 * before):
             rows = materialise(rows.join(buckets.select("item"), "item", "left_semi"), "rows")
             pairs = _meeting_pairs(rows, num, den)
             if tried is not None:
