@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from stewardry.session import exists, materialise
 
 # --- fixed values: services, actions and layers the reports look for -----------------------
 PII_SERVICE = "unityCatalog"
@@ -123,3 +125,57 @@ def permission_changes(audit: DataFrame, as_of: dt.date, n: int = 500, tie: str
         _object_name().alias("object_name"),
         F.col("response.status_code").alias("status_code"),
     )
+
+
+# ---- day states ------------------------------------------------------------------------------------
+
+#: Users to a bitmap, as Spark's bitmap functions cut numbers.
+_BITMAP = 32_768
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path) if exists(spark, path) else None
+
+
+def append_day_states(audit: DataFrame, folder: str) -> None:
+    """Add the states of whole days to those kept in ``folder``; days that are there already are replaced.
+
+    A day's state is its counts and the exact set of its users, as bitmaps over users' numbers: ``users`` gives each e-mail
+    address a number for good, ``counts`` and ``sets`` are partitioned by day. States of days merge, so a report of
+    any window reads its days' states and not the log.
+    """
+    spark = audit.sparkSession
+    seen = materialise(audit.filter(_is_pii()).select("event_date", F.col("user_identity.email").alias("email")).filter("email IS NOT NULL").distinct(), "seen")
+    known = _table(spark, f"{folder}/users")
+    new = seen.select("email").distinct()
+    base = 0
+    if known is not None:
+        new = new.join(known, "email", "left_anti")
+        base = (known.agg(F.max("number")).first()[0] or 0) + 1
+    # Numbers need not be dense: only bitmaps with a user in them are kept.
+    new = materialise(new.withColumn("number", F.lit(base) + F.monotonically_increasing_id()), "users")
+    new.write.mode("append").parquet(f"{folder}/users")
+    numbered = seen.join(spark.read.parquet(f"{folder}/users"), "email")
+    bitmap = F.floor(F.col("number") / _BITMAP).alias("bitmap")
+    sets = numbered.groupBy("event_date", bitmap).agg(F.bitmap_construct_agg(F.col("number") % _BITMAP).alias("users"))
+    counts = audit.groupBy("event_date").agg(
+        F.count_if(_is_pii()).alias("pii"), F.count_if(_is_failed_login()).alias("failed"), F.count_if(_is_permission_change()).alias("changes")
+    )
+    for name, states in (("sets", sets), ("counts", counts)):
+        # A replaced day overwrites its own partition only; days without PII access have counts but no set.
+        states.repartition("event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(f"{folder}/{name}")
+
+
+def kpis_from_states(spark: SparkSession, folder: str, as_of: dt.date) -> DataFrame:
+    """:func:`audit_kpis` from the states of its days."""
+    recent = _since(as_of, RECENT_DAYS)
+    counts = spark.read.parquet(f"{folder}/counts").filter(_since(as_of, LONG_DAYS)).agg(
+        F.coalesce(F.sum(F.when(recent, F.col("pii"))), F.lit(0)).alias("pii_access_7d"),
+        F.coalesce(F.sum(F.when(recent, F.col("failed"))), F.lit(0)).alias("failed_auth_7d"),
+        F.coalesce(F.sum("changes"), F.lit(0)).alias("permission_changes_30d"),
+    )
+    sets = spark.read.parquet(f"{folder}/sets").filter(recent).groupBy("bitmap").agg(F.bitmap_or_agg("users").alias("users"))
+    parts = counts.withColumn("unique_users_7d", F.lit(0).cast("bigint")).unionByName(
+        sets.select(F.bitmap_count("users").alias("unique_users_7d")), allowMissingColumns=True
+    )
+    return parts.agg(*(F.sum(c).alias(c) for c in ("pii_access_7d", "unique_users_7d", "failed_auth_7d", "permission_changes_30d")))

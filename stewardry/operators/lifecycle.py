@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stewardry.functions.durations import (
     at,
@@ -15,6 +16,7 @@ from stewardry.functions.durations import (
     sla_minutes,
     whole_minutes_between,
 )
+from stewardry.session import materialise, release
 
 # --- fixed values --------------------------------------------------------------------------
 DATA_CATALOGS = ("bronze", "silver", "gold")
@@ -164,6 +166,51 @@ def expire_rows(df: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame
     return df.filter(~due), df.filter(due)
 
 
+#: Months are the periods of tables laid out by expiry; rows that never expire lie in the period of this name.
+NEVER = "never"
+
+
+def _period(delete_at: Column) -> Column:
+    return F.coalesce(F.date_format(delete_at, "'p'yyyy-MM"), F.lit(NEVER))
+
+
+def write_by_period(df: DataFrame, path: str) -> None:
+    """Lay a table out by the month in which its rows expire, so that expiry is a matter of whole folders."""
+    dealt = df.withColumn("_period", _period(F.col("_delete_at")))
+    # A month of a busy table may hold far more rows than another: its rows are spread, not gathered in one task.
+    dealt.repartitionByRange("_period", "_delete_at").write.partitionBy("_period").parquet(path)
+
+
+def read_by_period(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_period")
+
+
+def sweep_periods(spark: SparkSession, path: str, as_of: dt.datetime) -> list[str]:
+    """Remove the rows of a table laid out by :func:`write_by_period` that have expired; returns the periods changed.
+
+    Periods that are over go as folders, unread. Of the period that ``as_of`` lies in, and of no other, the rows are read,
+    and those still alive are written back by a dynamic partition overwrite. Running it again changes nothing. A table of
+    which no row is left has no files.
+    """
+    table = spark.read.parquet(path)
+    now = at(as_of, dict(table.dtypes)["_delete_at"])
+    current = as_of.strftime("p%Y-%m")
+    periods = {m[1] for m in (re.search("/_period=([^/]+)/", f) for f in table.inputFiles()) if m}  # from the listing, one a month
+    over = sorted(p for p in periods if p != NEVER and p < current)
+    release(spark, [f"{path}/_period={p}" for p in over])
+    changed = list(over)
+    month = table.filter(F.col("_period") == current)
+    if current in periods and not month.filter(F.col("_delete_at") <= now).isEmpty():
+        kept = materialise(month.filter(F.col("_delete_at") > now), "alive")
+        if kept.isEmpty():
+            release(spark, [f"{path}/_period={current}"])
+        else:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_period").parquet(path)
+        changed.append(current)
+    spark.catalog.refreshByPath(path)
+    return changed
+
+
 def expiry_report(tables: dict[str, DataFrame], as_of: dt.datetime, unreadable: DataFrame | None = None) -> DataFrame:
     """Expired and kept rows per table, all tables in one job, with status ``applied`` or ``failed``."""
     parts = []

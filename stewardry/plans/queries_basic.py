@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stewardry.functions import hashing, masks
 from stewardry.functions.durations import relative_time, sla_minutes
+from stewardry.functions.sql import register_functions
 from stewardry.operators import audit, lifecycle as lc, lineage as ln, policies as po
 from stewardry.plans import lake
 from stewardry.session import scratch_folder
@@ -41,6 +42,28 @@ SELECT count(CASE WHEN {_D7} AND {_PII} THEN 1 END) AS pii_access_7d,
  count(DISTINCT CASE WHEN {_D7} AND {_PII} THEN email END) AS unique_users_7d,
  count(CASE WHEN {_D7} AND {_LOGIN} THEN 1 END) AS failed_auth_7d,
  count(CASE WHEN {_PERMS} THEN 1 END) AS permission_changes_30d FROM audit_log WHERE {_D30}""")
+
+
+def _kpis_by_state(s: SparkSession, d: str) -> DataFrame:
+    """The KPIs of the report day and of a day ten days earlier, from states that two nightly runs appended."""
+    log, folder = nested_audit_log(s, d), scratch_folder(s, "audit-states")
+    split = AUDIT_DAY - dt.timedelta(days=3)
+    audit.append_day_states(log.filter(F.col("event_date") <= F.lit(split)), folder)
+    audit.append_day_states(log.filter(F.col("event_date") > F.lit(split)), folder)
+    days = [audit.kpis_from_states(s, folder, day).withColumn("as_of", F.lit(day)) for day in (AUDIT_DAY, AUDIT_DAY - dt.timedelta(days=10))]
+    return days[0].unionByName(days[1])
+
+
+def _kpi_sql(day: dt.date) -> str:
+    def since(n: int) -> str:
+        return f"event_date BETWEEN DATE '{day - dt.timedelta(days=n)}' AND DATE '{day}'"
+
+    return f"""SELECT count(CASE WHEN {since(7)} AND {_PII} THEN 1 END) AS pii_access_7d, count(DISTINCT CASE WHEN {since(7)} AND {_PII} THEN email END) AS unique_users_7d,
+ count(CASE WHEN {since(7)} AND {_LOGIN} THEN 1 END) AS failed_auth_7d, count(CASE WHEN {_PERMS} THEN 1 END) AS permission_changes_30d, DATE '{day}' AS as_of
+ FROM audit_log WHERE {since(30)}"""
+
+
+add("audit_kpis_from_states", _kpis_by_state, f"{_AUDIT} {_kpi_sql(AUDIT_DAY)} UNION ALL {_kpi_sql(AUDIT_DAY - dt.timedelta(days=10))}")
 add("pii_access", lambda s, d: audit.pii_access(nested_audit_log(s, d), AUDIT_DAY, tie="event_id"), f"""{_AUDIT}
 SELECT event_time, email AS user_email, full_name_arg AS table_name, source_ip_address, status_code
 FROM audit_log WHERE {_D7} AND {_PII} ORDER BY event_time DESC, event_id LIMIT 1000""")
@@ -100,6 +123,23 @@ add("mask_email_documents", lambda s, d: load(s, d, "documents")
     f"""SELECT doc_id, CAST(position AS INT) AS position, {mask_email_sql('found')} AS masked FROM (SELECT doc_id, unnest(found) AS found, unnest(range(len(found))) AS position
  FROM (SELECT doc_id, regexp_extract_all(text, '{_FOUND}') AS found FROM documents))""")
 
+
+def _masked_by_sql(s: SparkSession, d: str) -> DataFrame:
+    """Every mask and hash called in SQL, age as a number and as a text in one VARIANT function."""
+    register_functions(s, "sr_")
+    return s.sql("""SELECT cust_id, sr_mask_email(email) AS email, sr_mask_dob(dob) AS dob, CAST(sr_mask_age(CAST(age_int AS VARIANT)) AS STRING) AS age_int,
+ CAST(sr_mask_age(CAST(age_str AS VARIANT)) AS STRING) AS age_str, sr_mask_age_number(age_int) AS age_number, sr_mask_age_text(age_str) AS age_text,
+ sr_mask_ip(ip) AS ip, sr_mask_credit_card(card) AS card, sr_mask_phone(phone) AS phone, sr_mask_location(address) AS address,
+ sr_mask_sensitive(CAST(last_name AS VARIANT)) AS last_name, sr_hash_erasure_subject_ref(email) AS subject, sr_hash_access_row_key(email) AS row_key
+ FROM {people}""", people=load(s, d, "people"))
+
+
+add("masks_in_sql", _masked_by_sql, f"""{_PEOPLE} SELECT cust_id, {mask_email_sql('email')} AS email, {MASK_SQL['mask_dob']('dob')} AS dob,
+ CAST({MASK_SQL['mask_age_int']('age_int')} AS VARCHAR) AS age_int, {MASK_SQL['mask_age_str']('age_str')} AS age_str, {MASK_SQL['mask_age_int']('age_int')} AS age_number,
+ {MASK_SQL['mask_age_str']('age_str')} AS age_text, {MASK_SQL['mask_ip']('ip')} AS ip, {MASK_SQL['mask_credit_card']('card')} AS card, {MASK_SQL['mask_phone']('phone')} AS phone,
+ {MASK_SQL['mask_location']('address')} AS address, '[REDACTED]' AS last_name, sha256(concat('sar-erasure-v1:', lower(email))) AS subject,
+ sha256(concat('sar-access-row-v1:', email)) AS row_key FROM people""")
+
 # ---- policies ---------------------------------------------------------------------------------
 
 _POLICIES = "policies(policy_name, catalog, tag_name) AS (VALUES " + ", ".join(
@@ -274,6 +314,18 @@ add("expire_rows", lambda s, d: (lambda parts: parts[0].select("booking_id", F.l
 _EXPIRY = " UNION ALL ".join(
     f"SELECT '{n}' AS full_table_name, count(CASE WHEN _delete_at <= TIMESTAMP '2005-01-01' THEN 1 END) AS rows_expired, count(CASE WHEN _delete_at <= TIMESTAMP '2005-01-01' THEN NULL ELSE 1 END) AS rows_kept, 'applied' AS status FROM {t}"
     for n, t in lake.TABLES.items()) + " UNION ALL SELECT full_table_name, 0, 0, 'failed' FROM cat_failures"
+
+
+def _expired_by_period(s: SparkSession, d: str) -> DataFrame:
+    """The bookings laid out by month of expiry, swept once ahead of the day and then on it: what is left."""
+    folder = scratch_folder(s, "by-period")
+    lc.write_by_period(load(s, d, "bookings"), folder)
+    for day in (ROWS_NOW - dt.timedelta(days=100), ROWS_NOW):
+        lc.sweep_periods(s, folder, day)
+    return lc.read_by_period(s, folder)
+
+
+add("expire_by_period", _expired_by_period, f"{check_ctes('bookings')} SELECT * FROM bookings WHERE _delete_at IS NULL OR _delete_at > TIMESTAMP '{ROWS_NOW}'")
 _expiry = lambda s, d: lc.expiry_report(lake.tables(s, d), ROWS_NOW, load(s, d, "cat_failures"))
 add("expiry_report", _expiry, f"{check_ctes(*lake.TABLES.values(), 'cat_failures')} {_EXPIRY}")
 add("expiry_summary", lambda s, d: lc.expiry_summary(_expiry(s, d)), f"""{check_ctes(*lake.TABLES.values(), 'cat_failures')}

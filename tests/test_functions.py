@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stewardry.functions import durations, hashing, masks, normalise
 from stewardry.functions.fuzzy import weighted_ratio
 from stewardry.functions.slots import name_slots
+from stewardry.functions.sql import FUNCTIONS, register_functions
 
 
 def values(spark, kind, inputs, fn):
@@ -111,3 +112,18 @@ def test_weighted_ratio():
     assert weighted_ratio("hill", "anthony hill") == 90
     assert weighted_ratio("ann", "zzz") == 0
     assert weighted_ratio("new york mets", "new york meats") == pytest.approx(96.296, abs=0.01)
+
+
+def test_sql_functions_answer_as_the_columns_do(spark):
+    register_functions(spark, "t_")
+    by_name = {fn.__name__: (fn, kind, list(cases)) for fn, kind, cases in CASES}
+    for name, (fn, kind, inputs) in by_name.items():
+        if name in FUNCTIONS:
+            df = spark.createDataFrame([(i, v) for i, v in enumerate(inputs)], f"i int, v {kind}")
+            got = df.selectExpr("i", f"t_{name}(v) AS o").orderBy("i").collect()
+            assert [r.o for r in got] == values(spark, kind, inputs, fn), name
+    ages = spark.sql("""SELECT CAST(t_mask_age(v) AS STRING) AS o FROM VALUES (1, CAST(35 AS VARIANT)), (2, CAST('35' AS VARIANT)), (3, CAST(35.5D AS VARIANT)), (4, CAST(47.5 AS VARIANT)),
+     (5, CAST('x' AS VARIANT)), (6, CAST(NULL AS VARIANT)), (7, CAST(true AS VARIANT)), (8, CAST(-5 AS VARIANT)) AS t(i, v) ORDER BY i""").collect()
+    assert [r.o for r in ages] == ["30", "30-39", "30", "40", "[REDACTED]", "[REDACTED]", "[REDACTED]", "-10"]
+    plan = spark.sql("SELECT t_mask_email(v) AS a, t_mask_ip(v) AS b, t_hash_access_row_key(v) AS c FROM VALUES ('a') AS t(v)")._jdf.queryExecution().executedPlan().toString()
+    assert "t_mask" not in plan and "Python" not in plan

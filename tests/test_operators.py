@@ -42,6 +42,47 @@ def test_expiry_splits_without_loss(spark):
     assert all(r._delete_at is not None and r._delete_at <= NOW for r in expired.collect())
 
 
+def test_sweeping_periods_reads_and_rewrites_one(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(i, None if i % 7 == 0 else dt.datetime(2024, 1 + i % 9, 1 + i % 28, i % 24)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, _delete_at timestamp")
+    lc.write_by_period(df, path)
+    files = lambda: {r.p: r.f for r in spark.read.parquet(path).groupBy(F.col("_period").alias("p")).agg(F.collect_set("_metadata.file_path").alias("f")).collect()}
+    before, now = files(), dt.datetime(2024, 4, 15, 12)
+    assert lc.sweep_periods(spark, path, now) == ["p2024-01", "p2024-02", "p2024-03", "p2024-04"]
+    want = Counter(r for r in rows if r[1] is None or r[1] > now)
+    assert bag(lc.read_by_period(spark, path)) == want == bag(lc.expire_rows(df, now)[0])
+    after = files()
+    assert all(after[p] == before[p] for p in after if p != "p2024-04") and set(before) - set(after) == {"p2024-01", "p2024-02", "p2024-03"}
+    assert lc.sweep_periods(spark, path, now) == [] and bag(lc.read_by_period(spark, path)) == want
+    plan = spark.read.parquet(path).filter("_period = 'p2024-04'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_period" in plan
+
+
+def _events(spark, rows):
+    flat = spark.createDataFrame(rows, "event_date date, action_name string, service_name string, name string, email string, status string")
+    return flat.select("event_date", F.lit(None).cast("timestamp").alias("event_time"), "action_name", "service_name", F.create_map(F.lit("full_name_arg"), "name").alias("request_params"),
+                       F.struct("email").alias("user_identity"), F.lit("ip").alias("source_ip_address"), F.struct(F.col("status").alias("status_code"), F.lit("e").alias("error_message")).alias("response"))
+
+
+def test_kpis_from_day_states(spark, tmp_path):
+    rnd, day, folder = random.Random(2), dt.date(2024, 3, 20), str(tmp_path / "states")
+    kinds = [("generateTemporaryTableCredential", "unityCatalog"), ("login", "accounts"), ("grantPermission", "accounts"), ("other", "x")]
+    rows = [(day - dt.timedelta(days=rnd.randrange(45)), *rnd.choice(kinds), rnd.choice(["silver.a.b", "bronze.a.b", "gold.x.y"]), rnd.choice([None, *(f"u{k}" for k in range(12))]), rnd.choice([None, "200", "401"])) for _ in range(600)]
+    log = _events(spark, rows)
+    for first, last in ((45, 20), (19, 8), (10, 0)):  # the last batch brings some days again
+        audit.append_day_states(log.filter(F.col("event_date").between(F.lit(day - dt.timedelta(days=first)), F.lit(day - dt.timedelta(days=last)))), folder)
+    for back in (0, 5, 14, 30):
+        at = day - dt.timedelta(days=back)
+        want = audit.audit_kpis(log, at)
+        assert audit.kpis_from_states(spark, folder, at).select(*want.columns).collect() == want.collect()
+    plan = audit.audit_kpis(log.write.mode("overwrite").partitionBy("event_date").parquet(f"{folder}-log") or spark.read.parquet(f"{folder}-log"), day)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    log = spark.read.parquet(f"{folder}-log")
+    for report in (audit.pii_access, audit.pii_access_by_user, audit.pii_access_by_day, audit.failed_auth, audit.permission_changes):
+        assert "PartitionFilters: [isnotnull(event_date" in report(log, day)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_freshness_precedence(spark):
     sc = spark.createDataFrame([("s", "x", n, u, True, True, f"s.x.{n}") for n, u in (("a", False), ("b", True), ("c", True), ("d", True), ("e", True), ("f", True))],
                                "table_catalog string, table_schema string, table_name string, has_updated_at boolean, has_inserted_at boolean, has_delete_at boolean, full_table_name string")
