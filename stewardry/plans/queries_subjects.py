@@ -35,6 +35,10 @@ def add(name: str, query: Query, check: str | None = None) -> None:
         CHECKS[name] = check
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 # ---- normalisers and tag catalogue --------------------------------------------------------------
 
 _PEOPLE = check_ctes("people")
@@ -489,8 +493,8 @@ add("redacted_columns", lambda s, d: di.column_scope(_defaults(s, d)).select(
 add("categories", lambda s, d: di.categories(_defaults(s, d)).withColumn("categories", F.array_join("categories", ",")),
     f"{_SCOPE} SELECT request_id, coalesce(string_agg(DISTINCT tag_name, ',' ORDER BY tag_name) FILTER (included), '') AS categories FROM def GROUP BY request_id")
 add("retention_lines", lambda s, d: di.retention_lines(load(s, d, "scope_requests"), cat_compliance(s, d)), f"""{RC_CTES}, {check_ctes('scope_requests').removeprefix('WITH RECURSIVE ')}
-SELECT request_id, table_full_name, CASE WHEN has_delete_at IS NULL THEN 'Not tracked by the platform''s retention-compliance view.'
- WHEN NOT has_delete_at THEN 'No automatic retention policy configured for this table.' ELSE concat('Automatic retention configured (freshness SLA: ', freshness_sla, ').') END AS retention_line
+SELECT request_id, table_full_name, CASE WHEN has_delete_at IS NULL THEN {_literal(di.NOT_TRACKED)}
+ WHEN NOT has_delete_at THEN {_literal(di.NO_RETENTION)} ELSE concat({_literal(di.RETENTION_FROM)}, freshness_sla, {_literal(di.RETENTION_TO)}) END AS retention_line
 FROM scope_requests LEFT JOIN rc ON rc.full_table_name = table_full_name""")
 add("table_comments", lambda s, d: di.table_comments(load(s, d, "cat_tables"), load(s, d, "cat_columns")).withColumn(
         "column_comments", F.array_join(F.transform(F.array_sort(F.map_entries("column_comments")), lambda e: F.concat_ws("=", e.key, e.value)), ";")),
@@ -565,10 +569,11 @@ def _systems(s: SparkSession, requests: DataFrame, d: str) -> DataFrame:
     return di.decision_systems_for(requests, load(s, d, "system_choices"), decision_systems(s, REGISTER))
 
 
+_REGISTER_ROWS = """VALUES ('fare-check', 'Fare check <travel>', 'A program sets the fare you are offered from the route and the time of booking.', 'You may ask a person to look at the fare again.'),
+ ('loyalty-tier', 'Loyalty tier', 'Your tier follows from your journeys of the last year.', 'You may contest the tier.')"""
 add("adm_systems", lambda s, d: _systems(s, load(s, d, "erasure_requests"), d), f"""{check_ctes('erasure_requests', 'system_choices')},
-reg(id, system_name, statement, safeguards_text) AS (VALUES ('fare-check', 'Fare check <travel>', 'A program sets the fare you are offered from the route and the time of booking.', 'You may ask a person to look at the fare again.'),
- ('loyalty-tier', 'Loyalty tier', 'Your tier follows from your journeys of the last year.', 'You may contest the tier.'))
-SELECT r.request_id, system_name, coalesce(statement, '{di.NO_DECISION_SYSTEM.replace(chr(39), chr(39) * 2)}') AS statement, safeguards_text
+reg(id, system_name, statement, safeguards_text) AS ({_REGISTER_ROWS})
+SELECT r.request_id, system_name, coalesce(statement, {_literal(di.NO_DECISION_SYSTEM)}) AS statement, safeguards_text
 FROM erasure_requests r LEFT JOIN (SELECT c.request_id, g.* FROM system_choices c JOIN reg g ON g.id = c.system_id) x ON x.request_id = r.request_id""")
 
 
@@ -582,7 +587,54 @@ def reports(s: SparkSession, d: str) -> DataFrame:
     return rp.render_reports(requests, items, rows, comments, _systems(s, requests, d), ERASED_AT)
 
 
-add("reports", reports)
+def _esc(value: str) -> str:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        value = f"replace({value}, '{plain}', '{entity}')"
+    return value
+
+
+def _report_rows_sql(source: str, table: str, columns: list[str], ident: str, n: str) -> str:
+    cells = ", ".join(f"'<td>', {_esc(f'coalesce(CAST({c} AS VARCHAR), {_literal(str())})')}, '</td>'" for c in columns)
+    copies = f"CASE WHEN {n} > 1 THEN concat('<td class=\"note\">', {n}, ' equal rows</td>') ELSE '' END"
+    return f"SELECT request_id, '{table}' AS t, {ident} AS row_id, concat('<tr>', {cells}, {copies}, '</tr>') AS html FROM {source}"
+
+
+def _report_sql() -> str:
+    """The fragments put together as strings; items here fit one page of rows each."""
+    when = ERASED_AT.strftime("%Y-%m-%d %H:%M UTC")
+    untracked = _esc(_literal(di.NOT_TRACKED))
+    left_out = "Columns left out, as the request does not cover them: address, age_int, card, dob, ip, phone."
+
+    def opening(columns: list[str], rows: str, tag: str, way: str, about: str, notes: dict[str, str]) -> str:
+        heads = "".join(f"<th>{c}{'<br>' + notes[c] if c in notes else ''}</th>" for c in columns)
+        return f"""concat('<section><h3>', t, '</h3><p class="note">', {rows}, ' rows, found by {tag} ({way}) &middot; ', {untracked}, '</p>{about}<table><thead><tr>{heads}</tr></thead><tbody>')"""
+
+    rights = "".join(f"<li>{what} (Art. {article})</li>" for what, article in rp.RIGHTS)
+    customers = opening(_OPEN_CUSTOMER, "rows_selected", "class.email_address", "direct", f'<p class="note">{left_out}</p>', {})
+    bookings = opening(list(BOOKING_FIELDS), "rows_selected", "class.name", "upstream", '<p class="note">About this table: Bookings</p>', {"price": "in euro"})
+    return f"""{_CHECKED}, {check_ctes('system_choices').removeprefix('WITH RECURSIVE ')},
+reg(id, system_name, statement, safeguards_text) AS ({_REGISTER_ROWS}),
+asked AS (SELECT DISTINCT request_id FROM checks),
+chosen AS (SELECT DISTINCT a.request_id, system_name, coalesce(statement, {_literal(di.NO_DECISION_SYSTEM)}) AS statement, safeguards_text
+ FROM asked a LEFT JOIN (SELECT c.request_id, g.* FROM system_choices c JOIN reg g ON g.id = c.system_id) x ON x.request_id = a.request_id),
+systems AS (SELECT request_id, string_agg(html, '' ORDER BY html) AS html FROM (SELECT request_id, concat(
+ CASE WHEN system_name IS NOT NULL THEN concat('<h3>', {_esc('system_name')}, '</h3>') ELSE '' END, '<p>', {_esc('statement')}, '</p>',
+ CASE WHEN safeguards_text IS NOT NULL THEN concat('<p class="note">', {_esc('safeguards_text')}, '</p>') ELSE '' END) AS html FROM chosen) GROUP BY request_id),
+rows_html AS ({_report_rows_sql('selected_customers', 'silver.crm.customers', _OPEN_CUSTOMER, _ID_PERSON, '1')}
+ UNION ALL {_report_rows_sql('sel_b', 'silver.crm.bookings', list(BOOKING_FIELDS), _ID_BOOKING, 'n')}),
+items AS (SELECT request_id, table_full_name AS t, rows_selected FROM checks)
+SELECT request_id, '0' AS section, CAST(0 AS INT) AS page, concat('<!doctype html><html><head><meta charset="utf-8"><title>Data report ', request_id,
+ {_literal(f"</title><style>{rp._STYLE}</style></head><body><h1>{rp.TITLE}</h1>")}, '<p class="note">Request ', request_id, ' &middot; made on {when} &middot; by steward</p>',
+ '<p>This report is about <strong>subject of ', request_id, '</strong>. It shows what our tables hold.</p><h2>Kinds of data</h2><p>class.email_address, class.name</p>',
+ '<h2>Why we use it</h2><p>Running bookings &amp; billing</p><h2>Who receives it</h2><p>None</p><h2>Decisions made by programs</h2>', html, '<h2>Table by table</h2>') AS html
+ FROM systems
+UNION ALL SELECT request_id, concat('1 ', t), 0, CASE WHEN t LIKE '%customers' THEN {customers} ELSE {bookings} END FROM items
+UNION ALL SELECT request_id, concat('1 ', t), 1, string_agg(html, chr(10) ORDER BY row_id, html) FROM rows_html GROUP BY request_id, t
+UNION ALL SELECT request_id, concat('1 ', t), 2147483647, '</tbody></table></section>' FROM items
+UNION ALL SELECT request_id, '2', 0, {_literal(f"<h2>What you may ask for</h2><ul>{rights}</ul></body></html>")} FROM asked"""
+
+
+add("reports", reports, _report_sql())
 
 # ---- stream -------------------------------------------------------------------------------------
 
