@@ -103,7 +103,7 @@ def segment_keys(prefix: np.ndarray, begin: np.ndarray, stop: np.ndarray, edits:
 
 def _offer(edits: int, least: int):
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
             orders, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = bytes_of(batch.column(2))
@@ -116,15 +116,29 @@ def _offer(edits: int, least: int):
                     continue
                 prefix = prefix_hash(part)
                 ids = signed(span_hash(prefix, begin, stop))
-                columns = (ids, ids, np.full(len(ids), _LINE), orders[a + rows], tags[a + rows], line, *sketches(part, begin, stop).T)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), f.type) for x, f in zip(columns, _ROWS_ARROW, strict=True)], schema=_ROWS_ARROW)
-                fresh = []
-                for k, i in enumerate(ids.tolist()):  # a block offers the segments of a line once
-                    if i not in seen:
-                        seen.add(i)
-                        fresh.append(k)
+                places = list(zip(orders[a + rows].tolist(), tags[a + rows].tolist(), line.tolist(), strict=True))
+                # Of the occurrences of a line that a block knows, only those that may be the first go under its key.
+                fresh, maybe, later = [], [], []
+                for k, (i, place) in enumerate(zip(ids.tolist(), places, strict=True)):
+                    known = seen.get(i)
+                    if known is None:
+                        fresh.append(k)  # a block offers the segments of a line once
+                    if known is None or place < known:
+                        seen[i] = place
+                        maybe.append(k)
+                    elif place > known:
+                        later.append(k)
                 if len(seen) > BLOCK_LINES:
                     seen.clear()
+                for kind, at in ((_LINE, np.array(maybe, np.int64)), (_GONE, np.array(later, np.int64))):
+                    order, tag, number = orders[a + rows[at]], tags[a + rows[at]], line[at]
+                    if kind == _LINE:
+                        key, marks = ids[at], [pa.array(x) for x in np.ascontiguousarray(sketches(part, begin[at], stop[at]).T)]
+                    else:
+                        key = signed(mix(mix(order.astype(np.uint64)) ^ tag.astype(np.uint64) ^ number.astype(np.uint64)))
+                        marks = [pa.nulls(len(at), pa.int64())] * 4
+                    columns = (key, ids[at], np.full(len(at), kind), order, tag, number)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, f.type) for x, f in zip(columns, _ROWS_ARROW, strict=False)), *marks], schema=_ROWS_ARROW)
                 fresh = np.array(fresh, np.int64)
                 for keys, at, kind in segment_keys(prefix, begin[fresh], stop[fresh], edits):
                     none = pa.nulls(len(at), pa.int64())
@@ -247,7 +261,8 @@ def gone_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
     again = F.col("_before").isNotNull() & (F.col("kind") == _LINE)
     same = F.col("_before") == F.struct("id", "kind", "row_order", "row_tag", "line")
-    rows = rows.filter(F.when(F.col("kind") == _LINE, ~F.coalesce(same, F.lit(False))).otherwise((F.col("_low") != F.col("_high")) & F.col("_own")))
+    whole = F.when(F.col("kind") == _GONE, F.lit(True)).when(F.col("kind") == _LINE, ~F.coalesce(same, F.lit(False)))
+    rows = rows.filter(whole.otherwise((F.col("_low") != F.col("_high")) & F.col("_own")))
     rows = rows.withColumn("kind", F.when(again, F.lit(_GONE)).otherwise(F.col("kind"))).drop("_before", "_low", "_high", "_own")
     rows = materialise(rows, "lines")
     met = rows.filter(F.col("kind").isin(_SEGMENT, _PROBE)).select("key", "id", "kind").distinct()

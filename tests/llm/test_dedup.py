@@ -239,3 +239,13 @@ def test_spot_signatures_are_the_plain_ones(spark):
         if k:
             both = len(plain[k] & plain[k - 1]) / max(1, len(plain[k] | plain[k - 1]))
             assert abs(spotsigs.likeness(spots, spotsigs._sets([docs[k - 1].encode()])[0]) - both) < 1e-9 or not (plain[k] or plain[k - 1])
+
+
+def test_a_frequent_line_puts_few_rows_under_its_key(spark):
+    """A line in every document is offered once a task under its key, not once an occurrence."""
+    line = "this licence line stands in every single document of the table"
+    df = spark.range(0, 3000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + "\nown line of document number "), F.col("id").cast("string"), F.lit(" and nothing else at all\n" + line)).alias("text"))
+    rows = common.keyed(df, "doc_id", "text").mapInArrow(line_dedup._offer(0, 40), line_dedup._ROWS)
+    assert rows.filter(f"kind = {line_dedup._LINE}").groupBy("key").count().agg(F.max("count")).first()[0] <= 8
+    gone = {r["doc_id"]: r["n_gone"] for r in line_dedup.drop_repeated_lines(df, edits=0).collect()}
+    assert gone == {k: 1 if k == 0 else 2 for k in range(3000)}
