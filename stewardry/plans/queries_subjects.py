@@ -649,9 +649,9 @@ def stamped_stream(s: SparkSession, d: str) -> DataFrame:
     for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
         events.filter(part).coalesce(1).write.mode("append").parquet(f"{work}/in")
     stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
-    clock = lambda batch: STAMPED_AT + dt.timedelta(days=batch)
-    stamp_stream(stream, ["user_id"], "ts", f"{work}/table", f"{work}/checkpoint", as_of=clock).awaitTermination()
-    table = read_latest(s, f"{work}/table")
+    clock = F.lit(STAMPED_AT) + F.make_dt_interval(F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2))
+    stamp_stream(stream, ["user_id"], "ts", f"{work}/table", f"{work}/checkpoint", clock=clock).awaitTermination()
+    table = read_latest(s, f"{work}/table", ["user_id"])
     return table.select("user_id", "ts", "event_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("_inserted_at", "_updated_at", "_delete_at")])
 
 

@@ -1,11 +1,16 @@
-"""Platform columns on a stream of changes, merged by key into an ever-current table."""
+"""Platform columns on a stream of changes.
+
+Spark's own state store keeps, for each key, when it first came, when it last came and its newest values, so no table is
+read or rewritten to find out. Each micro-batch hands on the rows it changed, whole; a folder of such changes, one
+partition a batch, is the table, and its newest row per key the current one.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stewardry.functions.durations import at
@@ -14,10 +19,6 @@ from stewardry.functions.durations import at
 RETENTION_DAYS = 365 * 7
 # -------------------------------------------------------------------------------------------
 
-#: Folders of a merged table.
-BUCKETS = 16
-
-
 def stamp(df: DataFrame, as_of: dt.datetime | None = None, retention_days: int = RETENTION_DAYS) -> DataFrame:
     """Add the three platform columns to new rows; works on streams and batches."""
     now = F.current_timestamp() if as_of is None else at(as_of, "timestamp")
@@ -49,20 +50,20 @@ def merge_stamped(current: DataFrame, batch: DataFrame, keys: Sequence[str]) ->
     return merged.select(*keys, *picked)
 
 
-def _buckets(spark, root: str, below: int | None = None) -> dict[str, list[tuple[int, str]]]:
-    """Bucket to its written versions ``(batch, path)``, oldest first, of batches before ``below``."""
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    found: dict[str, list[tuple[int, str]]] = {}
-    for version in fs.listStatus(at(root)) if fs.exists(at(root)) else ():
-        path, batch = version.getPath().toString(), version.getPath().getName()[1:]
-        if not batch.isdigit() or (below is not None and int(batch) >= below) or not fs.exists(at(f"{path}/_SUCCESS")):
-            continue
-        for part in fs.listStatus(at(path)):
-            name = part.getPath().getName()
-            if name.startswith("bucket="):
-                found.setdefault(name, []).append((int(batch), part.getPath().toString()))
-    return {name: sorted(versions) for name, versions in found.items()}
+def stamped_changes(
+    stream: DataFrame, keys: Sequence[str], order: str, clock: Column | None = None, retention_days: int = RETENTION_DAYS
+) -> DataFrame:
+    """The stream's newest row per key with platform columns, as a streaming aggregation.
+
+    ``_inserted_at`` is the time of the key's first batch and stays, ``_updated_at`` that of its last; the newest row is the
+    greatest by ``order`` and then by its values. ``clock`` may give a row's time instead of its batch's.
+    """
+    rest = [c for c in stream.columns if c not in keys]
+    newest = F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("r")
+    timed = stream.withColumn("_now", (F.current_timestamp() if clock is None else clock).cast("timestamp"))
+    kept = timed.groupBy(*keys).agg(newest, F.min("_now").alias("_inserted_at"), F.max("_now").alias("_updated_at"))
+    gone = F.col("_updated_at") + F.make_dt_interval(F.lit(retention_days))
+    return kept.select(*keys, "r.*", "_inserted_at", "_updated_at", gone.alias("_delete_at"))
 
 
 def stamp_stream(
@@ -72,42 +73,27 @@ def stamp_stream(
     root: str,
     checkpoint: str,
     retention_days: int = RETENTION_DAYS,
-    as_of: dt.datetime | Callable[[int], dt.datetime] | None = None,
-    buckets: int = BUCKETS,
+    clock: Column | None = None,
 ) -> StreamingQuery:
-    """Stamp a stream and keep the merged table in ``buckets`` folders by key hash below ``root``.
+    """Write :func:`stamped_changes` below ``root``, one partition a micro-batch.
 
-    A micro-batch rewrites only the buckets that its keys fall into, from their versions before it, so a batch that
-    is run again after a failure gives the same result. A bucket's versions before the last two are then deleted:
-    no batch reads them any more. ``as_of`` may give the time of each batch.
+    A batch that is run again after a failure overwrites its own partition and no other.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        now = as_of(batch_id) if callable(as_of) else as_of
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        fresh = stamp(latest_per_key(batch, keys, order), now, retention_days)
-        touched = {f"bucket={r.bucket}" for r in fresh.select(bucket.alias("bucket")).distinct().collect()}  # ``buckets`` at most
-        before = [versions[-1][1] for name, versions in _buckets(spark, root, batch_id).items() if name in touched]
-        if before:
-            fresh = merge_stamped(spark.read.schema(fresh.schema).parquet(*before), fresh, keys)
-        fresh.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v{batch_id}")
-        at = spark._jvm.org.apache.hadoop.fs.Path
-        fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
-        for versions in _buckets(spark, root, batch_id + 1).values():
-            for _, path in versions[:-2]:
-                fs.delete(at(path), True)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
+    changes = stamped_changes(stream, keys, order, clock, retention_days)
     return (
-        stream.writeStream.foreachBatch(merge)
+        changes.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def read_latest(spark, root: str) -> DataFrame:
-    """The newest version of every bucket below ``root``."""
-    paths = [versions[-1][1] for versions in _buckets(spark, root).values()]
-    if not paths:
-        raise FileNotFoundError(root)
-    return spark.read.parquet(*paths)
+def read_latest(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
+    """The current table: of each key the row that the last batch with it wrote."""
+    changes = spark.read.parquet(root)
+    rest = [c for c in changes.columns if c not in (*keys, "batch")]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return newest.select(*keys, "r.*")

@@ -521,9 +521,14 @@ def test_stamps_keep_the_first_insert_time(spark, tmp_path):
     for i, rows in enumerate(([(1, "a", 1), (1, "b", 2)], [(1, "z", 3), (2, "y", 1)])):
         spark.createDataFrame(rows, "k int, v string, n int").write.mode("append").parquet(source)
         stream = spark.readStream.schema("k int, v string, n int").parquet(source)
-        stamp_stream(stream, ["k"], "n", root, check, as_of=NOW + dt.timedelta(days=i)).awaitTermination()
-    table = {r.k: (r.v, r._inserted_at, r._updated_at) for r in read_latest(spark, root).collect()}
+        stamp_stream(stream, ["k"], "n", root, check, clock=F.lit(NOW + dt.timedelta(days=i))).awaitTermination()
+    table = {r.k: (r.v, r._inserted_at, r._updated_at) for r in read_latest(spark, root, ["k"]).collect()}
     assert table == {1: ("z", NOW, NOW + dt.timedelta(days=1)), 2: ("y", NOW + dt.timedelta(days=1), NOW + dt.timedelta(days=1))}
+    spark.createDataFrame([(1, "old", 2)], "k int, v string, n int").write.mode("append").parquet(source)
+    stream = spark.readStream.schema("k int, v string, n int").parquet(source)
+    stamp_stream(stream, ["k"], "n", root, check).awaitTermination()  # a late, older change: the batch's own clock, the newest values
+    late = {r.k: r for r in read_latest(spark, root, ["k"]).collect()}[1]
+    assert (late.v, late._inserted_at) == ("z", NOW) and late._updated_at > NOW + dt.timedelta(days=1)
 
 
 def test_row_hash_is_not_the_match_id(spark):
