@@ -9,9 +9,9 @@ What is asked for is the classes that links connect, so two classes that are alr
 In each bucket (classes that share a prefix item) all others first meet one pivot, chosen by hash, in as many rounds as
 pay; what is then still apart meets in full. No pair is verified twice. Each pair passes the length filter (sizes), the
 positional filter (places of the shared item) and the suffix filter before its sets are fetched. The suffix filter
-bounds what the whole sets can share: within the join by 256 bits of which each item flips one, then by item counts in
-equal parts of the hash range, then by bitmaps of about two bits an item. Bits that differ are at most as many as items
-that do.
+bounds what the whole sets can share: within the join by 256 bits (and 1,024 for large sets) of which each item flips
+one, then by item counts in equal parts of the hash range, then by bitmaps of about two bits an item. Bits that differ
+are at most as many as items that do.
 """
 
 from __future__ import annotations
@@ -87,6 +87,29 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+#: Sets of more items carry 1,024 sketch bits besides their 256: few bits can't tell large sets apart.
+LARGE_SET = 1000
+
+
+def _flips(items: np.ndarray, rows: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Each set's sketch: 4 words of 256 bits of which each item flips one, and 16 words of 1,024 bits if it is large."""
+
+    def words(of: np.ndarray, count: int, bits: int) -> np.ndarray:
+        number = np.cumsum(of) - 1
+        use = of[rows]
+        at = number[rows[use]] * bits + ((items[use] >> np.uint64(48)) & np.uint64(bits - 1)).astype(np.int64)
+        odd = (np.bincount(at, minlength=count * bits).reshape(count, bits) & 1).astype(np.uint8)
+        return np.packbits(odd, axis=1, bitorder="little").view("<i8")
+
+    large = n > LARGE_SET
+    small, wide = words(np.ones(len(n), bool), len(n), 256), words(large, int(large.sum()), 1024)
+    ends = np.concatenate([[0], np.cumsum(np.where(large, 20, 4))]).astype(np.int32)
+    out = np.zeros(ends[-1], np.int64)
+    out[ends[:-1, None] + np.arange(4)] = small
+    out[ends[:-1][large][:, None] + 4 + np.arange(16)] = wide
+    return pa.ListArray.from_arrays(ends, pa.array(out))
+
+
 def _count_frequent(ngram: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -136,9 +159,7 @@ def _prefixes(ngram: int, num: int, den: int, frequent):
                     cls = signed(mix(sums[starts[1:]] - sums[starts[:-1]] + n.astype(np.uint64)))
                 parts = np.bincount(rows * PARTS + (items >> np.uint64(60)).astype(np.int64), minlength=docs * PARTS)
                 lists = pa.ListArray.from_arrays(np.arange(0, docs * PARTS + 1, PARTS, dtype=np.int32), pa.array(parts, pa.int32()))
-                bit = (items >> np.uint64(56)).astype(np.int64)
-                odd = (np.bincount(rows * 256 + bit, minlength=docs * 256).reshape(docs, 256) & 1).astype(np.uint8)
-                flips = pa.ListArray.from_arrays(np.arange(0, docs * 4 + 1, 4, dtype=np.int32), pa.array(np.packbits(odd, axis=1, bitorder="little").view("<i8").ravel()))
+                flips = _flips(items, rows, n)
                 marks = [bitmap(items[starts[k] : starts[k + 1]]) for k in range(docs)]
                 spread = signed(mix(mix(orders[a:b].astype(np.uint64)) ^ tags[a:b].astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
@@ -185,9 +206,14 @@ def _may_link(num: int, den: int) -> Column:
     most = F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     least = F.least("n", "n2")
     # 'most' counts the shared item too; J >= num/den means den * overlap >= num * (n + n2 - overlap).
-    differ = sum((F.bit_count(F.col("flips")[k].bitwiseXOR(F.col("flips2")[k])) for k in range(4)), F.lit(0))
+    def differ(words: range) -> Column:
+        return sum((F.bit_count(F.get("flips", F.lit(k)).bitwiseXOR(F.get("flips2", F.lit(k)))) for k in words), F.lit(0))
+
     total = F.col("n") + F.col("n2")
-    return (den * least >= num * F.greatest("n", "n2")) & ((den + num) * most >= num * total) & ((den + num) * differ <= (den - num) * total)
+    in_reach = lambda bits: (den + num) * bits <= (den - num) * total
+    # Where one of the sets has no wide sketch, its words are NULL and nothing is told.
+    wide = F.coalesce(in_reach(differ(range(4, 20))), F.lit(True))
+    return (den * least >= num * F.greatest("n", "n2")) & ((den + num) * most >= num * total) & in_reach(differ(range(4))) & wide
 
 
 def _needed(n: Column, num: int, den: int) -> Column:
@@ -258,6 +284,8 @@ def _open_buckets(rows: DataFrame, apart: bool) -> DataFrame:
     return counted.select("item", ((F.col("_m") * F.col("_m") - F.col("_mm")) / 2).alias("_pairs")).filter("_pairs > 0")
 
 
+#: Pivots that a class tries in a round.
+PIVOT_TRIES = 3
 _PIVOT = ("cls", "n", "place", "flips", "group")
 
 
@@ -297,9 +325,9 @@ def _linked_classes(shared: DataFrame, classes: DataFrame, docs: DataFrame, ngra
         met = met.withColumns({"a": F.least("cls", "cls2"), "b": F.greatest("cls", "cls2")})
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
-        # Each tries the pivot that it meets most often.
-        best = met.groupBy("cls").agg(F.max(F.struct("_met", "a", "b")).alias("_best"))
-        pairs = materialise(best.select("_best.a", "_best.b").distinct(), "tries")
+        # Each tries the pivots that it meets most often; it has no more of them than prefix items.
+        best = met.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("_met", "a", "b")), False), 1, PIVOT_TRIES).alias("_best"))
+        pairs = materialise(best.select(F.explode("_best").alias("_best")).select("_best.a", "_best.b").distinct(), "tries")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = materialise(_verified(_filtered(pairs, classes, num, den), classes, docs, ngram, num, den), "linked")
         if not found.isEmpty():

@@ -96,6 +96,23 @@ def test_ngram_join_large_group(spark):
     assert got == Counter(brute.groups(rows, 3, 90, 100))
 
 
+def test_ngram_join_of_large_and_small_sets(spark):
+    """Sets on both sides of the size from which they carry wide sketches, with edits up to and beyond the limit."""
+    rng = random.Random(6)
+    rows = []
+    for size in (960, 1004, 1500, 3000):
+        base = [f"w{rng.randint(0, 900)}" for _ in range(size)]
+        for share in (0, 0.005, 0.01, 0.017, 0.03):
+            text = list(base)
+            for _ in range(int(share * size)):
+                text[rng.randrange(size)] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(text)))
+        rows.append((len(rows), " ".join(base[: int(size * 0.95)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df, ngram=3, similarity=(90, 100)).collect())
+    assert got == Counter(brute.groups(rows, 3, 90, 100)) and len({c for _, _, c in got}) < len(rows)
+
+
 def test_line_dedup_query(spark):
     docs = pairs(queries.documents(spark, SF))
     want = {i: v for (i, _), v in brute.kept_lines(docs[:60], line_dedup.EDITS, line_dedup.LEAST_BYTES).items()}
