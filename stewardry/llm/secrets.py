@@ -8,7 +8,7 @@ that no pattern names. Decoding is Viterbi's.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +35,8 @@ _HEX_LONG = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)
 #: characters around what may name or be one are tagged.
 LEAST_TOKEN = 6
 CONTEXT = 80
+#: Characters of a stretch between windows.
+GAP = 400
 #: Documents that the field is fitted on, and pieces of their windows, at most; longer windows are cut into pieces.
 SAMPLE_DOCS = 2000
 SAMPLE_PIECES = 12_000
@@ -66,7 +68,7 @@ def _secret_parts(text: str, found: list[tuple[int, int, str]]) -> list[tuple[in
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around what may name or be a secret. Everything else can only be outside."""
+    """Stretches around what names or looks like a secret, which the field learns from; the rest is decoded as well."""
     opened = []
     for m in _TELLING_RUN.finditer(text):
         start = m.start()
@@ -101,6 +103,22 @@ def _hashed(name: str) -> int:
     return (value ^ value >> 15) & (1 << FEATURE_BITS) - 1
 
 
+def _own_names(token: str) -> tuple[str, ...]:
+    """The features of a token that do not depend on its neighbours."""
+    digits = sum(c.isdigit() for c in token)
+    letters = sum(c.isalpha() for c in token)
+    changes = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:], strict=False))
+    return (
+        f"shape={_shape(token)}",
+        f"length={min(len(token), 64) // 4}",
+        f"digits={digits * 8 // len(token)}",
+        f"changes={min(changes, 12) // 2}",
+        f"case={token.isupper()}{token.islower()}{letters > 0}{digits > 0}",
+        f"hex={all(c in '0123456789abcdefABCDEF' for c in token)}{len(token) >= LEAST_HEX}",
+        f"start={token[:4]}",
+    )
+
+
 def sequence(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Tokens of a window: their spans, hashed features, and which of begin and inside each may be."""
     tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, a, b)]
@@ -112,25 +130,19 @@ def sequence(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], np.ndarr
     words = [t.lower() for *_, t in tokens]
     for k, (start, end, token) in enumerate(tokens):
         digits = sum(c.isdigit() for c in token)
-        letters = sum(c.isalpha() for c in token)
         back = words[k - 1] if k else "^"
         back2 = words[k - 2] if k > 1 else "^"
         after = words[k + 1] if k + 1 < len(tokens) else "$"
         key = next((w for w in words[max(0, k - 4) : k][::-1] if len(w) > 1), "^")
-        changes = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:], strict=False))
+        *early, start_name = _own_names(token)
         names = (
             "bias",
-            f"shape={_shape(token)}",
-            f"length={min(len(token), 64) // 4}",
-            f"digits={digits * 8 // len(token)}",
-            f"changes={min(changes, 12) // 2}",
-            f"case={token.isupper()}{token.islower()}{letters > 0}{digits > 0}",
-            f"hex={all(c in '0123456789abcdefABCDEF' for c in token)}{len(token) >= LEAST_HEX}",
+            *early,
             f"back={back if len(back) == 1 else '*'}",
             f"back2={back2 if len(back2) == 1 else '*'}{back if len(back) == 1 else '*'}",
             f"after={after if len(after) == 1 else '*'}",
             f"key={key}",
-            f"start={token[:4]}",
+            start_name,
             f"file={code}{dense}{len(token) >= LEAST_TOKEN}",
             f"glued={k > 0 and tokens[k - 1][1] == start}{digits > 0 and len(token) >= LEAST_TOKEN}",
         )
@@ -267,10 +279,105 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     return fit([sequences[k] for k in order], steps)
 
 
-def added_spans(text: str, base: list[tuple[int, int, str]], model: FieldModel) -> list[tuple[int, int, str]]:
-    """Secrets that the field finds and no base span touches."""
+class _Memo(dict):
+    """A dictionary that computes what it lacks and forgets all when it is full."""
+
+    def __init__(self, compute: Callable, most: int = 200_000) -> None:
+        self.compute, self.most = compute, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.compute(key)
+        return value
+
+
+class Screen:
+    """What a token can gain at most by being tagged begin or inside, to pass over stretches where no secret can pay.
+
+    The sum of the weights of a token's features is split into parts that depend on one token or two, which are kept, and
+    two features (``file``, ``glued``) that are bounded by their greatest value. A stretch of which :meth:`may_hold` is
+    false has only outside tags as its best tags, so decoding it in full would add nothing.
+    """
+
+    def __init__(self, model: FieldModel) -> None:
+        gain = model.weights - model.weights[:, [OUT]]
+        part = lambda name: gain[_hashed(name)]
+        flags = (False, True)
+        self.any = np.max([part(f"file={c}{d}{long}") for c in ("code", "prose") for d in range(11) for long in flags], axis=0)
+        self.any = self.any + np.max([part(f"glued={g}{d}") for g in flags for d in flags], axis=0) + part("bias")
+        m = model.moves + _RULES
+        stay = m[OUT, OUT]
+        self.any = self.any + [0, m[:, BEGIN].max() - stay + max(0.0, m[BEGIN:, OUT].max() - stay), m[BEGIN:, IN].max() - stay]
+        one = lambda token: token.lower() if len(token.lower()) == 1 else "*"
+        self.one = _Memo(one)
+        self.own = _Memo(lambda token: sum(part(n) for n in _own_names(token)))
+        self.back = _Memo(lambda token: part(f"back={token}"))
+        self.back2 = _Memo(lambda pair: part(f"back2={pair[0]}{pair[1]}"))
+        self.after = _Memo(lambda token: part(f"after={token}"))
+        self.key = _Memo(lambda token: part(f"key={token.lower()}") if len(token.lower()) > 1 else part("key=^"))
+        self.start_key = part("key=^")
+
+    def may_hold(self, text: str, a: int, b: int) -> bool:
+        """Whether some tags other than outside could be best in a stretch that begins and ends beside white space."""
+        found = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, a, b)]
+        tokens = [t for *_, t in found]
+        if not any(len(t) >= LEAST_TOKEN for t in tokens):
+            return False
+        ones = [self.one[t] for t in tokens]
+        backs, backs2, afters = ["^", *ones[:-1]], ["^", "^", *ones[:-2]][: len(ones)], [*ones[1:], "$"]
+        score = np.array([self.own[t] for t in tokens]) + self.any
+        score += np.array([self.back[t] for t in backs]) + np.array([self.back2[t] for t in zip(backs2, backs, strict=True)])
+        score += np.array([self.after[t] for t in afters])
+        keys = np.concatenate([np.tile(self.start_key, (4, 1)), np.array([self.key[t] for t in tokens])])
+        score += np.max([keys[k : k + len(tokens)] for k in range(4)] + [np.tile(self.start_key, (len(tokens), 1))], axis=0)
+        begins = np.where([len(t) >= LEAST_TOKEN for t in tokens], score[:, BEGIN], -np.inf)
+        inside = np.where([t in ".=~" or len(t) > 1 for t in tokens], np.maximum(score[:, IN], 0), 0)
+        heads = [k for k, (s, _, _) in enumerate(found) if k == 0 or found[k - 1][1] != s]
+        return bool((np.maximum.reduceat(begins, heads) + np.add.reduceat(inside, heads) > 0).any())
+
+
+_SPACES = re.compile(r"\s")
+
+
+def _gaps(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What lies between windows, in stretches of about ``GAP`` characters that do not cut a run without white space."""
+    at = 0
+    for a, b in [*taken, (len(text), len(text))]:
+        while at < a:
+            cut = _SPACES.search(text, min(a, at + GAP), a)
+            yield at, cut.end() if cut else a
+            at = cut.end() if cut else a
+        at = b
+
+
+def _whole_runs(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The windows, widened until they cut no run without white space, and joined where they then meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        while a > 0 and not text[a - 1].isspace():
+            if out and a <= out[-1][1]:
+                break
+            a -= 1
+        cut = _SPACES.search(text, b) if b and not text[b - 1].isspace() else None
+        b = cut.start() if cut else (b if b and text[b - 1].isspace() else len(text))
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def added_spans(text: str, base: list[tuple[int, int, str]], model: FieldModel, screen: Screen | None = None) -> list[tuple[int, int, str]]:
+    """Secrets that the field finds and no base span touches.
+
+    All of the text is tagged: the windows, and the stretches between them unless :class:`Screen` shows that all their
+    tokens are outside.
+    """
     out = []
-    for a, b in windows(text):
+    screen = screen or Screen(model)
+    opened = _whole_runs(text, windows(text))
+    for a, b in sorted(opened + [gap for gap in _gaps(text, opened) if screen.may_hold(text, *gap)]):
         tokens, features, allowed = sequence(text, a, b)
         start = None
         for (s, e), tag in zip([*tokens, (0, 0)], [*viterbi(features, allowed, model), OUT], strict=True):
@@ -298,11 +405,12 @@ def scan(df: DataFrame, model: FieldModel, *, text_col: str = "text", keep: tupl
     schema = kept.drop("_text").schema.add("spans", _SPANS)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        screen = Screen(shared.value)
         for batch in batches:
             out = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 base = base_spans(text) if text else []
-                every = sorted(base + (added_spans(text, base, shared.value) if text else []), key=lambda x: (x[0], KINDS.index(x[2])))
+                every = sorted(base + (added_spans(text, base, shared.value, screen) if text else []), key=lambda x: (x[0], KINDS.index(x[2])))
                 out.append([{"kind": k, "start": s, "end": e} for s, e, k in every])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(_SPAN))], names=[f.name for f in schema])
 
