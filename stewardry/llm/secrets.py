@@ -7,9 +7,11 @@ that no pattern names. Decoding is Viterbi's.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ LEAST_TOKEN = 6
 CONTEXT = 80
 #: Characters of a stretch between windows.
 GAP = 400
+#: Answers on runs without white space of that many characters at most are kept.
+LONG_RUN = 64
 #: Documents that the field is fitted on, and pieces of their windows, at most; longer windows are cut into pieces.
 SAMPLE_DOCS = 2000
 SAMPLE_PIECES = 12_000
@@ -159,6 +163,10 @@ class FieldModel:
     weights: np.ndarray
     moves: np.ndarray
 
+    @cached_property
+    def screen(self) -> Screen:
+        return Screen(self)
+
 
 _FORBIDDEN = -1e4
 _RULES = np.zeros((3, 3))
@@ -282,7 +290,7 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
 class _Memo(dict):
     """A dictionary that computes what it lacks and forgets all when it is full."""
 
-    def __init__(self, compute: Callable, most: int = 200_000) -> None:
+    def __init__(self, compute: Callable, most: int = 100_000) -> None:
         self.compute, self.most = compute, most
 
     def __missing__(self, key):
@@ -292,6 +300,11 @@ class _Memo(dict):
         return value
 
 
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_FORMS = str.maketrans({**dict.fromkeys(_LETTERS, "a"), **dict.fromkeys(_LETTERS.upper(), "A"), **dict.fromkeys(_DIGITS, "9")})
+_STARTS = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{1,4}|[^\sA-Za-z0-9+/_-]")
+
+
 class Screen:
     """What a token can gain at most by being tagged begin or inside, to pass over stretches where no secret can pay.
 
@@ -309,30 +322,93 @@ class Screen:
         m = model.moves + _RULES
         stay = m[OUT, OUT]
         self.any = self.any + [0, m[:, BEGIN].max() - stay + max(0.0, m[BEGIN:, OUT].max() - stay), m[BEGIN:, IN].max() - stay]
-        one = lambda token: token.lower() if len(token.lower()) == 1 else "*"
-        self.one = _Memo(one)
+        self.one = _Memo(lambda token: token.lower() if len(token.lower()) == 1 else "*")
         self.own = _Memo(lambda token: sum(part(n) for n in _own_names(token)))
-        self.back = _Memo(lambda token: part(f"back={token}"))
+        self.back = _Memo(lambda one: part(f"back={one}"))
         self.back2 = _Memo(lambda pair: part(f"back2={pair[0]}{pair[1]}"))
-        self.after = _Memo(lambda token: part(f"after={token}"))
+        self.after = _Memo(lambda one: part(f"after={one}"))
         self.key = _Memo(lambda token: part(f"key={token.lower()}") if len(token.lower()) > 1 else part("key=^"))
-        self.start_key = part("key=^")
+        self.first_key = part("key=^")
+        self.start = _Memo(lambda begin: float(part(f"start={begin}")[BEGIN:].max()))
+        self.any_key = float(gain[:, BEGIN:].max())
+        # Of a token's form (letters as a or A, digits as 9): its own features but its start and whether all of it is hex.
+        named = lambda token: [n for n in _own_names(token) if not n.startswith(("hex=", "start="))]
+        is_hex = lambda token: np.max([part(f"hex={x}{len(token) >= LEAST_HEX}") for x in flags], axis=0)
+        self.form = _Memo(lambda token: sum(part(n) for n in named(token)) + is_hex(token))
+        like = lambda one: {"a": _LETTERS, "9": _DIGITS}.get(one, one)
+        self.form_back = _Memo(lambda one: np.max([self.back[x] for x in like(one)], axis=0))
+        self.form_back2 = _Memo(lambda pair: np.max([self.back2[x, y] for x in like(pair[0]) for y in like(pair[1])], axis=0))
+        self.form_after = _Memo(lambda one: np.max([self.after[x] for x in like(one)], axis=0))
+        self.edges = _Memo(self._edges)
+        self.pays = _Memo(lambda asked: self._pays(*asked))
+
+    def _gains(self, tokens: list[str], before: str, before2: str, after: str) -> np.ndarray:
+        """Bounds by token and tag, without the feature ``key``, which looks back further."""
+        ones = [self.one[t] for t in tokens]
+        backs = [before, *ones[:-1]]
+        backs2 = [before2, before, *ones[:-2]][: len(ones)]
+        parts = (self.own[t] + self.back[b] + self.back2[c, b] + self.after[n] for t, b, c, n in zip(tokens, backs, backs2, [*ones[1:], after], strict=True))
+        return np.array(list(parts)) + self.any
+
+    @staticmethod
+    def _best(tokens: list[str], gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins = np.where([len(t) >= LEAST_TOKEN for t in tokens], gains[:, BEGIN], -np.inf)
+        return begins, np.where([t in ".=~" or len(t) > 1 for t in tokens], np.maximum(gains[:, IN], 0), 0)
+
+    def _edges(self, run: str) -> tuple[str, str, str | None]:
+        """The first and last two tokens of a run without white space, as neighbours see them."""
+        tokens = _TOKEN.findall(run)
+        return self.one[tokens[0]], self.one[tokens[-1]], self.one[tokens[-2]] if len(tokens) > 1 else None
+
+    def _pays(self, run: str, before: str, before2: str, after: str, more: int) -> bool:
+        """Whether a secret of a run's form could pay beside such neighbours, if key and start give no more than ``more`` halves."""
+        tokens = _TOKEN.findall(run)
+        ones = [self.one[t] for t in tokens]
+        backs = [before, *ones[:-1]]
+        backs2 = [before2, before, *ones[:-2]][: len(ones)]
+        parts = (self.form[t] + self.form_back[b] + self.form_back2[c, b] + self.form_after[n] for t, b, c, n in zip(tokens, backs, backs2, [*ones[1:], after], strict=True))
+        begins, inside = self._best(tokens, np.array(list(parts)) + self.any + more / 2)
+        return bool(begins.max() + inside.sum() > 0)
+
+    def _forms_pay(self, runs: list[str], edges: list[tuple[str, str, str | None]], more: float) -> bool:
+        before = before2 = "^"
+        halves = max(0, math.ceil(2 * more))
+        for k, (run, edge) in enumerate(zip(runs, edges, strict=True)):
+            if len(run) >= LEAST_TOKEN and self.pays[run, before, before2, edges[k + 1][0] if k + 1 < len(edges) else "$", halves]:
+                return True
+            before, before2 = edge[1], before if edge[2] is None else edge[2]
+        return False
 
     def may_hold(self, text: str, a: int, b: int) -> bool:
-        """Whether some tags other than outside could be best in a stretch that begins and ends beside white space."""
+        """Whether some tags other than outside could be best in a stretch that begins and ends beside white space.
+
+        First by the forms of its runs without white space, which are few, so answers are kept, and by the greatest start
+        of a token with any key; then with the keys that the stretch has; and last token by token.
+        """
+        stretch = text[a:b]
+        runs = stretch.translate(_FORMS).split()
+        longest = max(map(len, runs), default=0)
+        if longest < LEAST_TOKEN:
+            return False
+        if longest <= LONG_RUN:
+            edges = [self.edges[run] for run in runs]
+            start = max(self.start[t] for t in set(_STARTS.findall(stretch)))
+            if not self._forms_pay(runs, edges, start + self.any_key):
+                return False
+            key = max(float(self.key[t][BEGIN:].max()) for t in [*_TOKEN.findall(stretch), "^"])
+            if not self._forms_pay(runs, edges, start + key):
+                return False
+        return self._may_hold(text, a, b)
+
+    def _may_hold(self, text: str, a: int, b: int) -> bool:
         found = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, a, b)]
         tokens = [t for *_, t in found]
         if not any(len(t) >= LEAST_TOKEN for t in tokens):
             return False
-        ones = [self.one[t] for t in tokens]
-        backs, backs2, afters = ["^", *ones[:-1]], ["^", "^", *ones[:-2]][: len(ones)], [*ones[1:], "$"]
-        score = np.array([self.own[t] for t in tokens]) + self.any
-        score += np.array([self.back[t] for t in backs]) + np.array([self.back2[t] for t in zip(backs2, backs, strict=True)])
-        score += np.array([self.after[t] for t in afters])
-        keys = np.concatenate([np.tile(self.start_key, (4, 1)), np.array([self.key[t] for t in tokens])])
-        score += np.max([keys[k : k + len(tokens)] for k in range(4)] + [np.tile(self.start_key, (len(tokens), 1))], axis=0)
-        begins = np.where([len(t) >= LEAST_TOKEN for t in tokens], score[:, BEGIN], -np.inf)
-        inside = np.where([t in ".=~" or len(t) > 1 for t in tokens], np.maximum(score[:, IN], 0), 0)
+        first = np.tile(self.first_key, (len(tokens), 1))
+        keys = np.concatenate([np.tile(self.first_key, (4, 1)), np.array([self.key[t] for t in tokens])])
+        key = np.max([keys[k : k + len(tokens)] for k in range(4)] + [first], axis=0)
+        begins, inside = self._best(tokens, self._gains(tokens, "^", "^", "$") + key)
         heads = [k for k, (s, _, _) in enumerate(found) if k == 0 or found[k - 1][1] != s]
         return bool((np.maximum.reduceat(begins, heads) + np.add.reduceat(inside, heads) > 0).any())
 
@@ -368,16 +444,15 @@ def _whole_runs(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]
     return out
 
 
-def added_spans(text: str, base: list[tuple[int, int, str]], model: FieldModel, screen: Screen | None = None) -> list[tuple[int, int, str]]:
+def added_spans(text: str, base: list[tuple[int, int, str]], model: FieldModel) -> list[tuple[int, int, str]]:
     """Secrets that the field finds and no base span touches.
 
     All of the text is tagged: the windows, and the stretches between them unless :class:`Screen` shows that all their
     tokens are outside.
     """
     out = []
-    screen = screen or Screen(model)
     opened = _whole_runs(text, windows(text))
-    for a, b in sorted(opened + [gap for gap in _gaps(text, opened) if screen.may_hold(text, *gap)]):
+    for a, b in sorted(opened + [gap for gap in _gaps(text, opened) if model.screen.may_hold(text, *gap)]):
         tokens, features, allowed = sequence(text, a, b)
         start = None
         for (s, e), tag in zip([*tokens, (0, 0)], [*viterbi(features, allowed, model), OUT], strict=True):
@@ -400,17 +475,16 @@ def scan(df: DataFrame, model: FieldModel, *, text_col: str = "text", keep: tupl
     A NULL or empty text has none; repeated rows get equal answers; an empty table gives no rows.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
+    shared = spark.sparkContext.broadcast(FieldModel(model.weights, model.moves))  # a fixed number of weights; each worker keeps its own screen
     kept = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
     schema = kept.drop("_text").schema.add("spans", _SPANS)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        screen = Screen(shared.value)
         for batch in batches:
             out = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 base = base_spans(text) if text else []
-                every = sorted(base + (added_spans(text, base, shared.value, screen) if text else []), key=lambda x: (x[0], KINDS.index(x[2])))
+                every = sorted(base + (added_spans(text, base, shared.value) if text else []), key=lambda x: (x[0], KINDS.index(x[2])))
                 out.append([{"kind": k, "start": s, "end": e} for s, e, k in every])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(_SPAN))], names=[f.name for f in schema])
 

@@ -469,5 +469,5 @@ def test_every_token_is_tagged_in_windows_and_between_them():
         field = secrets.FieldModel(rng.normal(scale=0.5, size=(1 << secrets.FEATURE_BITS, 3)) - [0, 1.2, 0.8], rng.normal(size=(3, 3)))
         line = " ".join(rng.choice(words, 12))
         _, features, allowed = secrets.sequence(line, 0, len(line))
-        if not secrets.Screen(field).may_hold(line, 0, len(line)):
+        if not field.screen.may_hold(line, 0, len(line)):
             assert set(secrets.viterbi(features, allowed, field)) == {secrets.OUT}
