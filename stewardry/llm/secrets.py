@@ -11,7 +11,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,8 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
 #: What opens a window: a run with a digit or with a capital after a small letter, and words that name secrets.
 _TELLING_RUN = re.compile(r"(?:[0-9]|(?<=[a-z])[A-Z])[A-Za-z0-9+/_-]*")
 _NAMING = re.compile(r"(?ai:pass(?:word|wd|phrase|code)|passwd|pwd|secret|token|credential|\bapi|\bkeys?\b|_key|\bauth|\blogin)")
+#: Each match of ``_NAMING`` holds one of these.
+_NAMING_PARTS = ("pass", "pwd", "secret", "token", "credential", "api", "key", "auth", "login")
 _BEFORE_RUN = re.compile(r"[A-Za-z+/_-]*\Z")
 _FEATURES = 14
 
@@ -84,7 +86,9 @@ def windows(text: str) -> list[tuple[int, int]]:
             back = max(0, back - 4096)
         if m.end() - first >= LEAST_TOKEN:
             opened.append((first, m.end()))
-    opened += [(m.start(), m.end()) for m in _NAMING.finditer(text)]
+    lowered = text.lower()
+    if any(part in lowered for part in _NAMING_PARTS):
+        opened += [(m.start(), m.end()) for m in _NAMING.finditer(text)]
     out: list[tuple[int, int]] = []
     for first, last in sorted(opened):
         a, b = max(0, first - CONTEXT), min(len(text), last + CONTEXT)
@@ -100,6 +104,7 @@ def _shape(token: str) -> str:
     return "".join(c for k, c in enumerate(kinds) if k == 0 or kinds[k - 1] != c)
 
 
+@lru_cache(1 << 16)
 def _hashed(name: str) -> int:
     value = 2166136261
     for c in name.encode():
@@ -329,6 +334,7 @@ class Screen:
         self.after = _Memo(lambda one: part(f"after={one}"))
         self.key = _Memo(lambda token: part(f"key={token.lower()}") if len(token.lower()) > 1 else part("key=^"))
         self.first_key = part("key=^")
+        self.key_top = _Memo(lambda token: float(self.key[token][BEGIN:].max()))
         self.start = _Memo(lambda begin: float(part(f"start={begin}")[BEGIN:].max()))
         self.any_key = float(gain[:, BEGIN:].max())
         # Of a token's form (letters as a or A, digits as 9): its own features but its start and whether all of it is hex.
@@ -340,7 +346,7 @@ class Screen:
         self.form_back2 = _Memo(lambda pair: np.max([self.back2[x, y] for x in like(pair[0]) for y in like(pair[1])], axis=0))
         self.form_after = _Memo(lambda one: np.max([self.after[x] for x in like(one)], axis=0))
         self.edges = _Memo(self._edges)
-        self.pays = _Memo(lambda asked: self._pays(*asked))
+        self.pays = _Memo(lambda asked: self._pays(*asked), 400_000)
 
     def _gains(self, tokens: list[str], before: str, before2: str, after: str) -> np.ndarray:
         """Bounds by token and tag, without the feature ``key``, which looks back further."""
@@ -392,10 +398,10 @@ class Screen:
             return False
         if longest <= LONG_RUN:
             edges = [self.edges[run] for run in runs]
-            start = max(self.start[t] for t in set(_STARTS.findall(stretch)))
+            start = max(map(self.start.__getitem__, set(_STARTS.findall(stretch))))
             if not self._forms_pay(runs, edges, start + self.any_key):
                 return False
-            key = max(float(self.key[t][BEGIN:].max()) for t in [*_TOKEN.findall(stretch), "^"])
+            key = max(map(self.key_top.__getitem__, {*_TOKEN.findall(stretch), "^"}))
             if not self._forms_pay(runs, edges, start + key):
                 return False
         return self._may_hold(text, a, b)

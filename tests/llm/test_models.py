@@ -445,6 +445,22 @@ def test_digitless_secrets_by_precision_and_recall(spark):
     assert hits > base  # more than the patterns alone
 
 
+def test_naming_words_are_looked_for_only_where_a_part_of_one_is(monkeypatch):
+    """op2_secret_field: the pattern of naming words is the slowest of a scan; most texts hold no part of any."""
+    named = [f"{'x ' * 90}{word}{' y' * 90}" for word in ("PassPhrase", "pwd", "my_KEY", "Keys", "api", "AUTH", "login", "Credential", "token", "secret", "passwd")]
+    assert all(secrets.windows(text) for text in named)
+
+    class Slow:
+        def finditer(self, text):
+            raise AssertionError("looked for")
+
+    monkeypatch.setattr(secrets, "_NAMING", Slow())
+    assert secrets.windows("plain prose of no such word " * 20) == []
+    for text in named:
+        with pytest.raises(AssertionError, match="looked for"):
+            secrets.windows(text)
+
+
 def test_the_sample_of_secrets_is_bounded(spark, monkeypatch):
     """One id in a thousand rows, and one very long text, bring no more than the stated pieces to the driver."""
     monkeypatch.setattr(secrets, "SAMPLE_PIECES", 50)
