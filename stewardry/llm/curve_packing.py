@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ BITS = 7
 STRETCHES = 4
 #: Hash buckets of a document's vector.
 WIDTH = 1024
+#: Bytes of text that are encoded at once; distinct words are looked up once in each.
+CHUNK_BYTES = 8 << 20
 #: Words whose ids a worker keeps; beyond it starts anew.
 KEPT_WORDS = 800_000
 
@@ -54,6 +57,18 @@ def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
+def _dtype_of(coder) -> np.dtype:
+    return np.dtype("<u2" if coder.get_vocab_size() <= 1 << 16 else "<u4")
+
+
+@cache
+def id_dtype(path: str) -> np.dtype:
+    """The kept form of a tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    return _dtype_of(Tokenizer.from_file(path))
+
+
 class WordIds:
     """Ids of whole texts, one space-separated word at a time.
 
@@ -68,7 +83,7 @@ class WordIds:
 
         self.coder = Tokenizer.from_file(path)
         self.model = Tokenizer(self.coder.model)
-        self.dtype = np.dtype("<u2" if self.coder.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = _dtype_of(self.coder)
         (self.bar,) = self.coder.encode("|", add_special_tokens=False).ids
         letters = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
         symbols = {x: "".join(piece for piece, _ in self.coder.pre_tokenizer.pre_tokenize_str(x)) for x in letters}
@@ -85,10 +100,9 @@ class WordIds:
 
     def _forms(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct non-empty words, and how many each has, in order."""
-        plain = [k for k, f in enumerate(forms) if _PLAIN.fullmatch(f)]
-        rest = np.setdiff1d(np.arange(len(forms)), plain).tolist()
-        parted = [k for k in rest if "|" not in forms[k]]
-        alone = [k for k in rest if "|" in forms[k]]
+        plain, parted, alone = [], [], []
+        for k, form in enumerate(forms):
+            (plain if _PLAIN.fullmatch(form) else alone if "|" in form else parted).append(k)
         sizes = np.zeros(len(forms), np.int64)
         found: list[np.ndarray] = []
         if plain:
@@ -150,13 +164,14 @@ class WordIds:
         spaced, odd = self._spaced(texts)
         split = pc.split_pattern(spaced, " ")
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.kept) + len(distinct) > KEPT_WORDS:
             self._forget()
-        new = [w for w in distinct if w not in self.kept]
-        if new:
-            self._learn(new)
-        known = np.fromiter(map(self.kept.__getitem__, distinct), np.int64, len(distinct))
+        known = np.fromiter(map(self.kept.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = np.arange(len(self.kept), len(self.kept) + len(new))
+            self._learn([distinct[k] for k in new.tolist()])
         at = known[words.indices.to_numpy()] if len(distinct) else known
         sizes = self.sizes[at]
         bounds = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
@@ -232,7 +247,7 @@ def tokens(df: DataFrame, *, tokenizer: str, id_col: str, text_col: str, end_id:
         coder, matrix = _loaded[tokenizer], projection(dimensions, seed)
         end = np.array([end_id], coder.dtype)
         for batch in batches:
-            for first, stop in chunks(bytes_of(batch.column(1))[1], 4 << 20):
+            for first, stop in chunks(bytes_of(batch.column(1))[1], CHUNK_BYTES):
                 part = batch.slice(first, stop - first)
                 ids, bounds = coder(part.column(1))
                 own = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -310,10 +325,10 @@ def pack_along_curve(
     stretches = STRETCHES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = keyed.repartitionByRange(stretches, *order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().alias("part"))
 
+    dtype = id_dtype(tokenizer)  # tasks that only cut need no tokenizer
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _loaded:
-            _loaded[tokenizer] = WordIds(tokenizer)
-        dtype, layout = _loaded[tokenizer].dtype, None
+        layout = None
 
         def batch_of(pieces: Iterator[tuple]) -> pa.RecordBatch:
             out = []

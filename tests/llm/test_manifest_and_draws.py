@@ -227,6 +227,28 @@ def test_word_ids_are_the_tokenizers():
     assert ids[bounds[1] : bounds[2]].tolist() == plain.encode(texts[4], add_special_tokens=False).ids
 
 
+def test_each_distinct_word_is_looked_up_once():
+    """op13_hilbert_packing: kept words and new ones come from one pass, and the form of ids needs no word table."""
+    class Kept(dict):
+        asked = 0
+
+        def get(self, word, default=None):
+            Kept.asked += 1
+            return super().get(word, default)
+
+        def __contains__(self, word):
+            raise AssertionError("asked twice")
+
+    coder = curve_packing.WordIds(WORD_TOKENS)
+    assert curve_packing.id_dtype(WORD_TOKENS) == coder.dtype
+    coder.kept = Kept()
+    plain, texts = Tokenizer.from_file(WORD_TOKENS), ["one two one", "two three", "three one four"]
+    for _ in range(2):
+        ids, bounds = coder(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Kept.asked == 8 and set(coder.kept) == {"one", "two", "three", "four"}
+
+
 @pytest.mark.parametrize("dimensions, bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_neighbours(dimensions, bits):
     points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dimensions), -1).reshape(-1, dimensions)
