@@ -203,51 +203,58 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit(sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = STEPS, decay: float = 1e-3) -> FieldModel:
-    """Maximise the conditional likelihood of tagged windows (features, allowed, tags) by adaptive gradient steps."""
-    weights, moves = np.zeros((1 << FEATURE_BITS, 3)), np.zeros((3, 3))
+    """Maximise the conditional likelihood of tagged windows (features, allowed, tags) by adaptive gradient steps.
+
+    Tokens lie place by place and, within a place, by falling length of their windows, so those with a token at a place are
+    the first ones at the place before it, and no padding is computed. Tags are the first axis.
+    """
+    weights, moves = np.zeros((3, 1 << FEATURE_BITS)), np.zeros((3, 3))
+    n, sequences = len(sequences), sorted((s for s in sequences if len(s[2])), key=lambda s: -len(s[2]))
     if not sequences:
-        weights[:, BEGIN] = -1.0  # nothing to learn from: tag nothing
-        return FieldModel(weights, moves)
-    longest = max(len(s[2]) for s in sequences)
-    n = len(sequences)
-    features = np.zeros((n, longest, _FEATURES), np.int64)
-    allowed = np.zeros((n, longest, 3), bool)
-    allowed[:, :, OUT] = True
-    tags = np.zeros((n, longest), np.int64)
-    real = np.zeros((n, longest), bool)
-    for k, (f, a, t) in enumerate(sequences):
-        features[k, : len(t)], allowed[k, : len(t)], tags[k, : len(t)], real[k, : len(t)] = f, a, t, True
-    gold = np.eye(3)[tags] * real[:, :, None]
-    before = np.concatenate([np.zeros((n, 1), np.int64), tags[:, :-1]], axis=1)
-    gold_moves = np.bincount((before * 3 + tags)[real], minlength=9).reshape(3, 3).astype(float)
+        weights[BEGIN] = -1.0  # nothing to learn from: tag nothing
+        return FieldModel(np.ascontiguousarray(weights.T), moves)
+    lengths = np.array([len(s[2]) for s in sequences])
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.lexsort((own, place))
+    own, place = own[order], place[order]
+    features = np.ascontiguousarray(np.concatenate([s[0] for s in sequences])[order].T)
+    allowed = np.concatenate([s[1] for s in sequences])[order].T
+    tags = np.concatenate([s[2] for s in sequences])[order]
+    held = np.bincount(place)
+    ends = np.concatenate([[0], np.cumsum(held)])
+    at = [slice(a, b) for a, b in zip(ends, ends[1:], strict=False)]  # tokens of a place
+    goes_on = [slice(a, a + m) for a, m in zip(ends, held[1:], strict=False)]  # those of them with a token at the next place
+    last, later = ends[lengths - 1] + np.arange(len(lengths)), place > 0
+    before = (ends[place - 1] + own)[later]
+    gold = np.eye(3)[:, tags]
+    was = np.zeros_like(tags)
+    was[later] = tags[before]
+    gold_moves = np.bincount(was * 3 + tags, minlength=9).reshape(3, 3).astype(float)
     seen_w, seen_m = np.full(weights.shape, 1e-8), np.full((3, 3), 1e-8)
-    flat = features[real].ravel()
+    flat = features.ravel()
+    ahead, behind, came = np.empty_like(gold), np.empty_like(gold), np.full(gold.shape, -np.inf)
+    came[OUT, ~later] = 0.0
     for _ in range(steps):
-        scores = _emissions(features, allowed, weights)
-        scores[~real] = [0, _FORBIDDEN, _FORBIDDEN]
+        scores = np.where(allowed, [w[features].sum(axis=0) for w in weights], _FORBIDDEN)
         rules = moves + _RULES
-        ahead = np.empty_like(scores)
-        ahead[:, 0] = scores[:, 0] + rules[OUT]
-        for t in range(1, longest):
-            ahead[:, t] = _log_sum(ahead[:, t - 1][:, :, None] + rules, 1) + scores[:, t]
-        behind = np.zeros_like(scores)
-        behind[:, -1] = rules[:, OUT]
-        for t in range(longest - 2, -1, -1):
-            behind[:, t] = _log_sum(rules + (scores[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-        total = _log_sum(ahead[:, -1] + behind[:, -1], 1)
-        tag_p = np.exp(ahead + behind - total[:, None, None]) * real[:, :, None]
-        move_p = np.zeros((3, 3))
-        for t in range(longest):
-            start = np.where(np.arange(3) == OUT, 0.0, -np.inf)[None, :] if t == 0 else ahead[:, t - 1]
-            joint = start[:, :, None] + rules + (scores[:, t] + behind[:, t])[:, None, :] - total[:, None, None]
-            move_p += (np.exp(joint) * real[:, t][:, None, None]).sum(axis=0)
-        error = ((gold - tag_p)[real]).repeat(_FEATURES, axis=0)
-        slope = np.stack([np.bincount(flat, error[:, k], len(weights)) for k in range(3)], axis=1) / n - decay * weights
+        ahead[:, at[0]] = scores[:, at[0]] + rules[OUT][:, None]
+        for here, then in zip(goes_on, at[1:], strict=True):
+            ahead[:, then] = _log_sum(ahead[:, here][:, None] + rules[:, :, None], 0) + scores[:, then]
+        behind[:] = rules[:, OUT][:, None]
+        for here, then in zip(reversed(goes_on), reversed(at[1:]), strict=True):
+            behind[:, here] = _log_sum(rules[:, :, None] + (scores[:, then] + behind[:, then])[None], 1)
+        total = _log_sum(ahead[:, last] + behind[:, last], 0)[own]
+        tag_p = np.exp(ahead + behind - total)
+        came[:, later] = ahead[:, before]
+        left = scores + behind - total
+        move_p = np.array([[np.exp(came[a] + rules[a, b] + left[b]).sum() for b in range(3)] for a in range(3)])
+        slope = np.stack([np.bincount(flat, np.tile(error, _FEATURES), 1 << FEATURE_BITS) for error in gold - tag_p]) / n - decay * weights
         slope_m = (gold_moves - move_p) / n - decay * moves
         seen_w, seen_m = seen_w + slope**2, seen_m + slope_m**2
         weights += 0.5 * slope / np.sqrt(seen_w)
         moves += 0.5 * slope_m / np.sqrt(seen_m)
-    return FieldModel(weights, moves)
+    return FieldModel(np.ascontiguousarray(weights.T), moves)
 
 
 def _tagged(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -306,7 +313,7 @@ class _Memo(dict):
 
 
 _LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-_FORMS = str.maketrans({**dict.fromkeys(_LETTERS, "a"), **dict.fromkeys(_LETTERS.upper(), "A"), **dict.fromkeys(_DIGITS, "9")})
+_FORMS = bytes.maketrans((_LETTERS + _LETTERS.upper() + _DIGITS).encode(), b"a" * 26 + b"A" * 26 + b"9" * 10)  # of UTF-8; other bytes stay
 _STARTS = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{1,4}|[^\sA-Za-z0-9+/_-]")
 
 
@@ -376,13 +383,22 @@ class Screen:
         begins, inside = self._best(tokens, np.array(list(parts)) + self.any + more / 2)
         return bool(begins.max() + inside.sum() > 0)
 
+    def _top_start(self, runs: list[str]) -> float:
+        """The greatest gain that the start of a token gives in runs that are long enough to hold a secret."""
+        long = [run for run in runs if len(run) >= LEAST_TOKEN]
+        plain = {run[:4] for run in long if run.isalnum() and run.isascii()}  # each is one token
+        mixed = " ".join([run for run in long if not (run.isalnum() and run.isascii())])
+        return max(map(self.start.__getitem__, plain.union(_STARTS.findall(mixed))))
+
     def _forms_pay(self, runs: list[str], edges: list[tuple[str, str, str | None]], more: float) -> bool:
-        before = before2 = "^"
         halves = max(0, math.ceil(2 * more))
-        for k, (run, edge) in enumerate(zip(runs, edges, strict=True)):
-            if len(run) >= LEAST_TOKEN and self.pays[run, before, before2, edges[k + 1][0] if k + 1 < len(edges) else "$", halves]:
-                return True
-            before, before2 = edge[1], before if edge[2] is None else edge[2]
+        for k, run in enumerate(runs):
+            if len(run) >= LEAST_TOKEN:
+                _, before, before2 = edges[k - 1] if k else ("^", "^", None)
+                if before2 is None:
+                    before2 = edges[k - 2][1] if k > 1 else "^"
+                if self.pays[run, before, before2, edges[k + 1][0] if k + 1 < len(edges) else "$", halves]:
+                    return True
         return False
 
     def may_hold(self, text: str, a: int, b: int) -> bool:
@@ -392,17 +408,18 @@ class Screen:
         of a token with any key; then with the keys that the stretch has; and last token by token.
         """
         stretch = text[a:b]
-        runs = stretch.translate(_FORMS).split()
+        runs = stretch.split()
         longest = max(map(len, runs), default=0)
         if longest < LEAST_TOKEN:
             return False
         if longest <= LONG_RUN:
-            edges = [self.edges[run] for run in runs]
-            start = max(map(self.start.__getitem__, set(_STARTS.findall(stretch))))
-            if not self._forms_pay(runs, edges, start + self.any_key):
+            forms = stretch.encode("utf-8", "surrogatepass").translate(_FORMS).decode("utf-8", "surrogatepass").split()
+            edges = [self.edges[form] for form in forms]
+            start = self._top_start(runs)
+            if not self._forms_pay(forms, edges, start + self.any_key):
                 return False
             key = max(map(self.key_top.__getitem__, {*_TOKEN.findall(stretch), "^"}))
-            if not self._forms_pay(runs, edges, start + key):
+            if not self._forms_pay(forms, edges, start + key):
                 return False
         return self._may_hold(text, a, b)
 

@@ -1,6 +1,7 @@
 """Operators that learn or place: secrets, decontamination, packing, language ID, HMM scores, sharding, pipeline."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -487,3 +488,52 @@ def test_every_token_is_tagged_in_windows_and_between_them():
         _, features, allowed = secrets.sequence(line, 0, len(line))
         if not field.screen.may_hold(line, 0, len(line)):
             assert set(secrets.viterbi(features, allowed, field)) == {secrets.OUT}
+
+
+def _fit_by_paths(sequences, steps, decay=1e-3):
+    """The field's fit with every path of tags written out."""
+    weights, moves = np.zeros((1 << secrets.FEATURE_BITS, 3)), np.zeros((3, 3))
+    seen_w, seen_m = np.full(weights.shape, 1e-8), np.full((3, 3), 1e-8)
+    for _ in range(steps):
+        slope, slope_m = np.zeros_like(weights), np.zeros_like(moves)
+        for features, allowed, tags in sequences:
+            paths = [p for p in itertools.product(range(3), repeat=len(tags)) if all(allowed[k, x] for k, x in enumerate(p)) and (secrets.OUT, secrets.IN) not in zip((secrets.OUT, *p), p)]
+            scores = [sum(weights[features[k], x].sum() for k, x in enumerate(p)) + sum(moves[a, b] for a, b in zip((secrets.OUT, *p), (*p, secrets.OUT))) for p in paths]
+            chances = np.exp(scores) / np.exp(scores).sum()
+            for path, share in [(tuple(tags), 1.0), *zip(paths, -chances)]:
+                for k, (a, b) in enumerate(zip((secrets.OUT, *path), path)):
+                    np.add.at(slope[:, b], features[k], share)
+                    slope_m[a, b] += share
+        slope, slope_m = slope / len(sequences) - decay * weights, slope_m / len(sequences) - decay * moves
+        seen_w, seen_m = seen_w + slope**2, seen_m + slope_m**2
+        weights, moves = weights + 0.5 * slope / np.sqrt(seen_w), moves + 0.5 * slope_m / np.sqrt(seen_m)
+    return weights, moves
+
+
+def test_fit_computes_tokens_only(monkeypatch):
+    """op2: windows of unlike lengths are not padded to the longest, and the field is that of all paths written out."""
+    rng, sizes = np.random.default_rng(6), []
+
+    def window(length):
+        allowed = np.ones((length, 3), bool)
+        allowed[:, secrets.BEGIN] = rng.random(length) < 0.7
+        allowed[0, secrets.IN] = False
+        return rng.integers(0, 40, (length, 14)), allowed, np.where(allowed[:, secrets.BEGIN], rng.integers(0, 2, length), 0)
+
+    mixed = [window(k) for k in (2, 5, 1, 3, 5, 1)]
+    model = secrets.fit(mixed, 4)
+    weights, moves = _fit_by_paths(mixed, 4)
+    # A move that ends a window is no move of its tokens, so the last move of a path is counted in its score only.
+    assert np.allclose(model.weights, weights, atol=1e-6) and np.allclose(model.moves, moves, atol=1e-6)
+    summed = secrets._log_sum
+    monkeypatch.setattr(secrets, "_log_sum", lambda x, axis: (sizes.append(x.size), summed(x, axis))[1])
+    uneven = [window(100), *(window(2) for _ in range(200))]
+    secrets.fit(uneven, 1)
+    assert sum(sizes) < 2 * 9 * 500 + 3 * 201
+
+
+def test_only_long_runs_bound_the_starts():
+    """op2: starts of runs too short to hold a secret are not looked up, and those of all tokens of the others are."""
+    model = secrets.FieldModel(np.zeros((1 << secrets.FEATURE_BITS, 3)), np.zeros((3, 3)))
+    model.screen._top_start(["ab", "Zürichs", "abcdef", "x=1", "(user-name)"])
+    assert set(model.screen.start) == {"Z", "ü", "rich", "abcd", "(", "user", ")"}
