@@ -7,7 +7,10 @@ very end. Only those prefixes are joined. Documents with equal sets are one clas
 
 What is asked for is the classes that links connect, so two classes that are already connected are not compared.
 In each bucket (classes that share a prefix item) all others first meet one pivot, chosen by hash, in as many rounds as
-pay; what is then still apart meets in full. No pair is verified twice. Each pair passes the length filter (sizes), the
+pay. Of what is then still apart, only classes go on that may link with another group; each leans on a hub among those
+around it, if near to it. Those it links with directly join it. Classes of one hub are then compared by the items that only one of them
+and the hub has, rare ones first, as copies of one text that are too far apart to link have few of these in common though
+they share most prefix items. Classes of different hubs meet in their buckets. No pair is verified twice. Each pair passes the length filter (sizes), the
 positional filter (places of the shared item) and the suffix filter before its sets are fetched. The suffix filter
 bounds what the whole sets can share: within the join by 256 bits (and 1,024 for large sets) of which each item flips
 one, then by item counts in equal parts of the hash range, then by bitmaps of about two bits an item. Bits that differ
@@ -17,7 +20,7 @@ are at most as many as items that do.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,20 +203,25 @@ def _shared_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def _may_link(num: int, den: int) -> Column:
-    """Length, positional and first suffix filter for two classes that meet at one item (columns n, place, flips and
-    n2, place2, flips2)."""
-    most = F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    least = F.least("n", "n2")
+def _second(name: str) -> Column:
+    return F.col(f"{name}2")
+
+
+def _may_link(num: int, den: int, one: Callable[[str], Column] = F.col, two: Callable[[str], Column] = _second) -> Column:
+    """Length, positional and first suffix filter for two classes that meet at one item (columns n, place and flips of
+    each, n2, place2 and flips2 being those of the second)."""
+    n, n2, place, place2 = one("n"), two("n"), one("place"), two("place")
+    most = F.least(place, place2) + F.least(n - place, n2 - place2)
+    least = F.least(n, n2)
     # 'most' counts the shared item too; J >= num/den means den * overlap >= num * (n + n2 - overlap).
     def differ(words: range) -> Column:
-        return sum((F.bit_count(F.get("flips", F.lit(k)).bitwiseXOR(F.get("flips2", F.lit(k)))) for k in words), F.lit(0))
+        return sum((F.bit_count(F.get(one("flips"), F.lit(k)).bitwiseXOR(F.get(two("flips"), F.lit(k)))) for k in words), F.lit(0))
 
-    total = F.col("n") + F.col("n2")
+    total = n + n2
     in_reach = lambda bits: (den + num) * bits <= (den - num) * total
     # Where one of the sets has no wide sketch, its words are NULL and nothing is told.
     wide = F.coalesce(in_reach(differ(range(4, 20))), F.lit(True))
-    return (den * least >= num * F.greatest("n", "n2")) & ((den + num) * most >= num * total) & in_reach(differ(range(4))) & wide
+    return (den * least >= num * F.greatest(n, n2)) & ((den + num) * most >= num * total) & in_reach(differ(range(4))) & wide
 
 
 def _needed(n: Column, num: int, den: int) -> Column:
@@ -260,15 +268,19 @@ def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
 
 def _verified(met: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of classes that reach the similarity, by their sets."""
-    needed = met.select(F.col("a").alias("cls")).union(met.select("b")).distinct()
+    sets = _sets_of(met.select(F.col("a").alias("cls")).union(met.select("b")).distinct(), classes, docs, ngram)
+    met = met.join(sets.toDF("a", "items"), "a").join(sets.toDF("b", "items2"), "b")
+    overlap = F.size(F.array_intersect("items", "items2"))
+    return met.filter((den + num) * overlap >= num * (F.col("n") + F.col("n2"))).select("a", "b").distinct()
+
+
+def _sets_of(needed: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int) -> DataFrame:
+    """``cls, items`` of the classes in ``needed``, in a written table."""
     chosen = materialise(needed.join(classes.select("cls", "row_order", "row_tag"), "cls"), "chosen")
     row = F.xxhash64("row_order", "row_tag").alias("_row")
     texts = may_be_in(docs.withColumn("_row", row), tag_filter(chosen.select(row), "_row"), "_row")
     texts = texts.join(chosen, ["row_order", "row_tag"]).select("cls", "text")
-    sets = materialise(texts.mapInArrow(_sets(ngram), "cls long, items array<long>"), "sets")
-    met = met.join(sets.toDF("a", "items"), "a").join(sets.toDF("b", "items2"), "b")
-    overlap = F.size(F.array_intersect("items", "items2"))
-    return met.filter((den + num) * overlap >= num * (F.col("n") + F.col("n2"))).select("a", "b").distinct()
+    return materialise(texts.mapInArrow(_sets(ngram), "cls long, items array<long>"), "sets")
 
 
 def _open_buckets(rows: DataFrame, apart: bool) -> DataFrame:
@@ -296,6 +308,12 @@ def _bucket_pivots(rows: DataFrame, turn: int) -> DataFrame:
     return best.select("item", *(F.col(f"_p.{c}").alias(f"{c}2") for c in _PIVOT))
 
 
+def _grouped(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` of classes with the ``group`` that the links found so far give each."""
+    rows = rows.drop("group").join(named.toDF("cls", "component"), "cls", "left")
+    return rows.withColumn("group", F.coalesce("component", "cls")).drop("component")
+
+
 def _linked_classes(shared: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame | None:
     """``node, component`` of linked classes; None if no two are linked.
 
@@ -308,15 +326,22 @@ def _linked_classes(shared: DataFrame, classes: DataFrame, docs: DataFrame, ngra
     while members:
         rows = shared.withColumn("group", F.col("cls"))
         if named is not None:
-            rows = shared.join(named.toDF("cls", "component"), "cls", "left").withColumn("group", F.coalesce("component", "cls")).drop("component")
-            rows = materialise(rows, "rows")
+            rows = materialise(_grouped(shared, named), "rows")
         buckets = materialise(_open_buckets(rows, named is None), "buckets")
         before, left = left, buckets.agg(F.sum("_pairs")).first()[0] or 0
         if not left:
             break
         if turn and (4 * left <= members or 4 * left > 3 * before):
             rows = materialise(rows.join(buckets.select("item"), "item", "left_semi"), "rows")
-            pairs = _meeting_pairs(rows, num, den)
+            near = _clustered(_partnered(rows, num, den))
+            apart = _differences(near, _sets_of(near.select("cls").distinct(), classes, docs, ngram), num, den)
+            near = near.drop("hub").join(apart.select("cls", "hub"), "cls", "left").withColumn("hub", F.coalesce("hub", "cls"))
+            found = materialise(_hub_links(apart, num, den), "linked")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                named = components(links)
+                near, apart = _grouped(near, named), materialise(_grouped(apart, named), "grouped")
+            pairs = _meeting_pairs(materialise(near, "near"), num, den).unionByName(_differing_pairs(apart, num, den)).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             return _connected(_filtered(pairs, classes, num, den), links, named, classes, docs, ngram, num, den)
@@ -337,17 +362,92 @@ def _linked_classes(shared: DataFrame, classes: DataFrame, docs: DataFrame, ngra
     return named
 
 
+def _partnered(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows that meet, at their item, a class of another group with which theirs may link; in a written table."""
+    # Both sides are the same table read the same way, so it is shuffled once.
+    one, two = rows.alias("one"), rows.alias("two")
+    meet = (F.col("one.item") == F.col("two.item")) & (F.col("one.group") != F.col("two.group"))
+    link = _may_link(num, den, lambda c: F.col(f"one.{c}"), lambda c: F.col(f"two.{c}"))
+    return materialise(one.join(two, meet & link, "left_semi"), "partnered")
+
+
+def _clustered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``hub``, a class near the middle of those around it, in a written table.
+
+    A class that shares its prefix items with most others stands nearest the middle. In each bucket it is the one that
+    the others lean on; each class leans on the one it meets most often, and what hangs together has one hub. Any choice
+    of hubs leaves the links what they are.
+    """
+    sizes = rows.groupBy("item").agg(F.count("*").alias("_m"))
+    scores = materialise(rows.join(sizes, "item").groupBy("cls").agg(F.sum("_m").alias("_score")), "scores")
+    best = rows.join(scores, "cls").groupBy("item").agg(F.max(F.struct("_score", "cls")).alias("_hub"))
+    leans = rows.join(best, "item").select("cls", "_hub").filter("cls != _hub.cls").groupBy("cls", "_hub").agg(F.count("*").alias("_met"))
+    leans = leans.groupBy("cls").agg(F.max(F.struct("_met", "_hub._score", "_hub.cls")).alias("_best"))
+    cluster = components(leans.select(F.col("cls").alias("a"), F.col("_best.cls").alias("b"))).withColumnRenamed("node", "cls")
+    hubs = cluster.join(scores, "cls").groupBy("component").agg(F.max_by("cls", F.struct("_score", "cls")).alias("hub"))
+    hubs = materialise(cluster.join(materialise(hubs, "hubs"), "component").select("cls", "hub"), "hubs")
+    return materialise(rows.join(hubs, "cls", "left").withColumn("hub", F.coalesce("hub", "cls")), "clustered")
+
+
 def _meeting_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes of different groups that share as many prefix items as a link needs."""
+    """Pairs (a, b) of classes of different groups and hubs that share as many prefix items as a link needs."""
     # Both sides are the same table read the same way, so it is shuffled once.
     one, two = rows.alias("one"), rows.alias("two")
     met = one.join(two, F.col("one.item") == F.col("two.item"))
-    met = met.select(*(F.col(f"one.{c}") for c in _PIVOT), *(F.col(f"two.{c}").alias(f"{c}2") for c in _PIVOT))
-    met = met.filter((F.col("cls") < F.col("cls2")) & (F.col("group") != F.col("group2")) & _may_link(num, den))
+    met = met.select(*(F.col(f"one.{c}") for c in (*_PIVOT, "hub")), *(F.col(f"two.{c}").alias(f"{c}2") for c in (*_PIVOT, "hub")))
+    met = met.filter((F.col("cls") < F.col("cls2")) & (F.col("group") != F.col("group2")) & (F.col("hub") != F.col("hub2")) & _may_link(num, den))
     pairs = met.groupBy(F.col("cls").alias("a"), F.col("cls2").alias("b")).agg(F.count("*").alias("_met"), F.min(F.least("n", "n2")).alias("_n"))
     return pairs.filter(F.col("_met") >= _needed(F.col("_n"), num, den)).select("a", "b")
 
 
+#: Times what a link allows that a class may differ from its hub; one that differs more has no hub but itself.
+FAR = 4
+
+
+def _differences(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """One row per class near its hub: ``differ``, the items that only one of the two sets has, and their number ``d``."""
+    members = rows.select("cls", "n", "group", "hub").distinct()
+    sets = sets.dropDuplicates(["cls"])  # repeated rows give their class's set again
+    heads = members.filter("cls = hub").select("hub", F.col("n").alias("hub_n")).join(sets.toDF("hub", "hub_items"), "hub")
+    apart = members.filter("cls != hub").join(sets, "cls").join(materialise(heads, "hubs"), "hub")
+    apart = apart.withColumn("differ", F.concat(F.array_except("items", "hub_items"), F.array_except("hub_items", "items")))
+    apart = apart.withColumn("d", F.size("differ").cast("long")).drop("items", "hub_items")
+    return materialise(apart.filter((den + num) * F.col("d") <= FAR * (den - num) * (F.col("n") + F.col("hub_n"))), "differ")
+
+
+def _hub_links(apart: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a class and its hub that reach the similarity."""
+    linked = apart.filter((den + num) * F.col("d") <= (den - num) * (F.col("n") + F.col("hub_n")))
+    return linked.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
+
+
+def _differing_pairs(apart: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes of one hub and different groups that may link, by what tells them from their hub.
+
+    Copies of one text share most items, but not those that set each apart from it. Two sets of one hub differ in d + d2
+    less twice what their ``differ`` share, and a link allows r = (den - num) / (den + num) of their sizes' sum. If d + d2 is
+    no more than that, both link with the hub and are of one group. Otherwise their ``differ`` share an item, and the first
+    one they share, rare ones first, has at least the needed rest behind it in both. As d and d2 are no further apart than
+    r allows, it is among the first n * (den - num) / num + 1 of each.
+    """
+    split = apart.groupBy("hub").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).filter("_low != _high")
+    apart = apart.join(materialise(split.select("hub"), "split"), "hub", "left_semi")
+    items = apart.select("hub", "cls", "n", "group", "d", F.explode("differ").alias("item"))
+    often = items.groupBy("hub", "item").agg(F.count("*").alias("_often")).filter("_often > 1")
+    rare = F.row_number().over(Window.partitionBy("cls").orderBy(F.coalesce("_often", F.lit(1)), "item")) - 1
+    items = items.join(often, ["hub", "item"], "left").withColumn("place", rare)
+    items = materialise(items.filter(f"_often > 1 AND place * {num} <= n * {den - num}").drop("_often"), "differing")
+    one, two = items.alias("one"), items.alias("two")
+    met = one.join(two, (F.col("one.hub") == F.col("two.hub")) & (F.col("one.item") == F.col("two.item")))
+    columns = ("cls", "n", "group", "d", "place")
+    met = met.select(*(F.col(f"one.{c}") for c in columns), *(F.col(f"two.{c}").alias(f"{c}2") for c in columns))
+    shared = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2"))
+    allowed = (den + num) * (F.col("d") + F.col("d2") - 2 * shared) <= (den - num) * (F.col("n") + F.col("n2"))
+    sizes = den * F.least("n", "n2") >= num * F.greatest("n", "n2")
+    met = met.filter((F.col("cls") < F.col("cls2")) & (F.col("group") != F.col("group2")) & sizes & allowed)
+    return met.select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
+
+
 #: Pairs a class that a verifying round takes at first; each round takes twice as many.
 TRIES = 4
 

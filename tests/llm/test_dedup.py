@@ -113,6 +113,40 @@ def test_ngram_join_of_large_and_small_sets(spark):
     assert got == Counter(brute.groups(rows, 3, 90, 100)) and len({c for _, _, c in got}) < len(rows)
 
 
+def test_ngram_join_copies_too_far_apart_to_link(spark, monkeypatch):
+    """Copies of one text of which no two link are not compared in pairs: they share prefix items, but little else of their own."""
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randint(0, 900)}" for _ in range(300))
+    rows = [(k, " ".join([base, *(f"x{k}-{word}" for word in range(18))])) for k in range(120)]
+    compared, filtered = [], ngram_join._filtered
+    monkeypatch.setattr(ngram_join, "_filtered", lambda pairs, *rest: (compared.append(pairs.count()), filtered(pairs, *rest))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df, ngram=3, similarity=(90, 100)).collect())
+    assert got == Counter(brute.groups(rows, 3, 90, 100))
+    assert 0 < sum(compared) < 5 * len(rows)
+
+
+def test_ngram_join_around_hubs(spark):
+    """Words replaced, dropped and added on both sides of the limit, in chains and stars, with rows that come twice."""
+    rng = random.Random(9)
+    rows = []
+    for size in (40, 90, 200):
+        base = [f"w{size}-{rng.randint(0, 300)}" for _ in range(size)]
+        made = [base]
+        for k in range(40):
+            text = list(rng.choice(made) if k % 4 == 0 else base)
+            for _ in range(rng.randint(1, max(2, size // 25))):
+                at = rng.randrange(len(text))
+                text[at : at + 1] = rng.choice([[], [f"x{rng.randint(0, 40)}"], [text[at], f"x{k}"]])
+            made.append(text)
+        rows += [(len(rows) + k, " ".join(text)) for k, text in enumerate(made[1:])]
+    rows += rows[::10]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for num in (90, 75):
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df, ngram=3, similarity=(num, 100), frequent=20).collect())
+        assert got == Counter(brute.groups(rows, 3, num, 100))
+
+
 def test_line_dedup_query(spark):
     docs = pairs(queries.documents(spark, SF))
     want = {i: v for (i, _), v in brute.kept_lines(docs[:60], line_dedup.EDITS, line_dedup.LEAST_BYTES).items()}
