@@ -349,6 +349,25 @@ def test_the_index_finds_what_the_search_finds(spark, tmp_path):
     si.drop(index, spark)
 
 
+def test_equal_texts_are_indexed_once(spark, tmp_path):
+    """Keys are made and kept per distinct text, in however many rows and files it is; a search still finds each row."""
+    tags = spark.createDataFrame([("silver", "s", "t", "name", "class.name")], TAG_ROW)
+    subjects = spark.createDataFrame([("a", "class.name", "anna hill"), ("b", "class.name", "hill"), ("c", "class.name", "nobody")], "subject_id string, tag string, value string")
+    index = si.SearchIndex("texts_index", str(tmp_path / "index"), buckets=4)
+    sizes = []
+    for part in range(3):
+        spark.createDataFrame([(100 * part + i % 40, ("Anna Hill", "Bob Hill")[i % 2]) for i in range(50)], "booking int, name string").write.mode("append").parquet(str(tmp_path / "t"))
+        tables = {"silver.s.t": spark.read.parquet(str(tmp_path / "t"))}
+        si.refresh(index, tables, tags)
+        sizes.append((spark.table(index.postings).count(), spark.table(index.rows).count()))
+        got = si.search_index(index, subjects, tables, tags, nicknames(spark), threshold=None)
+        assert bag(got) == bag(se.search_tables(subjects, tables, tags, nicknames(spark), threshold=None).select(*got.columns))
+        assert {r["subject_id"]: r["n"] for r in got.groupBy("subject_id").agg(F.sum("n_rows").alias("n")).collect()} == {"a": 25 * (part + 1), "b": 50 * (part + 1)}
+    pieces = sum(len({name[i:i + n] for i in range(len(name) - n + 1)}) for name in ("anna hill", "bob hill") for n in se.PIECES)
+    assert sizes == [(pieces, 2)] * 3
+    si.drop(index, spark)
+
+
 # ---- erasure and restore -------------------------------------------------------------------------
 
 COLUMNS = "k int, v string, w double"
