@@ -137,6 +137,30 @@ def test_table_trace_equals_breadth_first_search(spark, seed):
     assert {(r.matched_table, r.downstream_table, r.depth) for r in one} == {w[1:] for w in want if w[0] == "g1"}
 
 
+def test_a_deep_walk_takes_strides(spark, monkeypatch):
+    """Chains with side ways, shortcuts, a ring, and nodes that lead no further, against breadth-first search."""
+    pairs = {(f"a{i}", f"a{i + 1}") for i in range(60)} | {(f"b{i}", f"b{(i + 1) % 25}") for i in range(25)}
+    pairs |= {("a5", "a9"), ("a30", "x"), ("x", "a34"), ("b3", "a40"), ("a50", "stop1"), ("stop1", "y"), ("stop0", "z")}
+    seeds = [("g", "a0"), ("h", "b7"), ("h", "stop0"), ("i", "a58")]
+    edges = materialise(spark.createDataFrame(sorted(pairs), "src string, dst string"), "edges")
+    jobs, write = [], ln.materialise_counted
+    monkeypatch.setattr(ln, "materialise_counted", lambda df, label: jobs.append(label) or write(df, label))
+    for most in (None, 29):
+        want = {}
+        for group, seed in seeds:
+            queue = deque([(seed, 0)])
+            while queue:
+                node, depth = queue.popleft()
+                if want.get((group, node), depth + 1) <= depth:
+                    continue
+                want[group, node] = depth
+                if (depth == 0 or not node.startswith("stop")) and (most is None or depth < most):
+                    queue.extend((b, depth + 1) for a, b in pairs if a == node)
+        got = ln._reach(edges, spark.createDataFrame(seeds, "grp string, node string"), most, ~F.col("node").startswith("stop")).collect()
+        assert {(r.grp, r.node): r.depth for r in got} == want and len(got) == len(want)
+    assert jobs.count("level") <= 25  # 61 and 29 levels
+
+
 def test_visited_runs_stay_few_and_whole(spark):
     """However long the walk, a level reads few runs, and they hold every visited node once."""
     rnd = random.Random(4)
