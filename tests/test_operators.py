@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stewardry.functions import hashing
+from stewardry.functions.fuzzy import weighted_ratio
 from stewardry.operators import audit, disclosure as di, erasure as er, lifecycle as lc, lineage as ln, policies as po, reports as rp, search as se, search_index as si
 from stewardry.session import materialise
 from stewardry.sources.derived import nicknames
@@ -321,6 +322,27 @@ def test_equal_rows_are_counted_and_weak_names_dropped(spark):
     assert strict == []
 
 
+def test_equal_texts_are_compared_once(spark, monkeypatch):
+    """Rows with equal texts offer keys, are compared and are scored as one; each row is still found and counted."""
+    people = spark.createDataFrame([(i % 50, ("Anna", "Joanne", "Bob")[i % 3], "Hill") for i in range(300)], "booking int, first string, last string")
+    tags = spark.createDataFrame([("silver", "s", "t", c, "class.name") for c in ("first", "last")], TAG_ROW)
+    subjects = spark.createDataFrame([("a", "class.name", "ann hill"), ("a", "class.name", "hill"), ("b", "class.name", "bob hill")], "subject_id string, tag string, value string")
+    written, write = {}, se.materialise
+    monkeypatch.setattr(se, "materialise", lambda df, label="step": written.setdefault(label, write(df, label)))
+    found = se.search_tables(subjects, {"silver.s.t": people}, tags, nicknames(spark), threshold=None, primary_keys={"silver.s.t": ["booking"]}).collect()
+    assert written["texts"].count() == 3 and written["hits"].count() == 3
+    # Rows that share a key and differ in their names are told apart by their number or lie together at the weakest score.
+    ids = {r.k: r.booking for r in people.select("booking", se.row_id(people, ["booking"]).alias("k")).distinct().collect()}
+    want = {}
+    for booking in range(50):
+        for subject, names, asked in (("a", ("Anna", "Joanne"), ("ann hill", "hill")), ("b", ("Bob",), ("bob hill",))):
+            counts = Counter(first for i in range(300) if i % 50 == booking for first in [("Anna", "Joanne", "Bob")[i % 3]] if first in names)
+            for first, n in counts.items():
+                score = min(weighted_ratio(a, f"{first} Hill".lower()) for a in asked)
+                want[subject, booking, n] = min(score, want.get((subject, booking, n), 100.0))
+    assert {(r.subject_id, ids[r.row_id], r.n_rows): r.score for r in found} == want and len(found) == len(want)
+
+
 def test_dates_match_timestamp_columns(spark):
     people = [("a", dt.datetime(1985, 7, 23))]
     found, _ = _search(spark, people, [("s", "class.date_of_birth", "1985-07-23")], columns="i string, born timestamp", tags={"born": "class.date_of_birth"})
